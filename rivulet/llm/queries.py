@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash
-from .shared import documents
+from . import exact_dedup, fingerprints, language_id, lattice_lm, license_scan, mixing, packing, preferences, simhash, token_counts
+from .shared import documents, remainder
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("RIVULET_TOKENIZERS", "/opt/tokenizers")
 
 
+#: The mixture: domains by the source's number, twice the weight on the first, and on English within it.
+MIX_BUDGET = 0.6
+MIX_WEIGHTS = mixing.named_weights([("web", 2.0), ("books", 1.0), ("code", 1.0), ("web/en", 2.0), ("web/en/src0", 0.5)])
+
+
+def source_domain() -> Column:
+    number = F.coalesce(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1).try_cast("int"), F.lit(0)) % 3
+    return F.when(number == 0, "web").when(number == 1, "books").otherwise("code")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(
         documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048, payload=(F.crc32("ids").alias("ids_crc32"),)
@@ -21,23 +31,89 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return preferences.format_preferences(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0)
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = docs.select("doc_id", license_scan.scan(docs).alias("s"))
+    return found.select(
+        "doc_id", "s.n_words", "s.n_base", "s.first_word", "s.last_word",
+        F.array_join("s.base_labels", ",").alias("base_labels"), F.array_join("s.labels", ",").alias("labels"), "s.score",
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs.where(remainder(5) != 0))
+    said = language_id.predict(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), MIX_BUDGET, MIX_WEIGHTS, source_domain, max_epochs=2, seed=7)
+
+
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir), ranges)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(documents(spark, sf_dir), shingle=3, max_bits=3, blocks=2)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model", limit=4096)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="largest")
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lattice_lm.score(documents(spark, sf_dir), remainder(10) != 0, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_license_scan": op3_license_scan,
+    "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_simhash": op7_simhash,
+    "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL = {
+    "op2_chat_formatting": """
+        WITH own AS (
+          SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, (conv_id % 2) = 0 AS chosen, turn,
+                 coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) AS nth
+          FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        firsts AS (
+          SELECT pair_id, min(CASE WHEN differs THEN {'turn': turn, 'nth': nth} END) AS first FROM (
+            SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, coalesce(a.nth, b.nth) AS nth,
+                   a.pair_id IS NULL OR b.pair_id IS NULL OR a.role <> b.role OR a.text <> b.text AS differs
+            FROM (SELECT * FROM own WHERE chosen) a FULL JOIN (SELECT * FROM own WHERE NOT chosen) b
+              ON a.pair_id = b.pair_id AND a.turn = b.turn AND a.nth = b.nth)
+          GROUP BY pair_id),
+        placed AS (
+          SELECT own.*, first IS NULL OR {'turn': turn, 'nth': nth} < first AS shared FROM own JOIN firsts USING (pair_id))
+        SELECT pair_id, CASE WHEN shared THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part, turn,
+               CAST(nth AS INTEGER) AS nth, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+               CAST(NOT shared AND role = 'assistant' AS INTEGER) AS loss
+        FROM placed WHERE chosen OR NOT shared""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
