@@ -1,73 +1,97 @@
 """Token ids of whole texts, remembered word by word.
 
 The tokenizer never merges across white space and drops it, so the ids of a text are those of its words in order.
-A task keeps the ids of words it has met, up to a bound, and asks the library for the new words of a block at once.
+A task keeps the ids of words it has met, in two generations of bounded size. Of new words, plain ones (Latin letters
+with at most one full stop or comma at the end) go straight to the vocabulary's merges as the one or two stretches
+that the pre-tokenizer would make of them; all others go through the library's whole encoding.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
-#: Words remembered in a task before it starts afresh, and the longest word that is.
-REMEMBERED = 400_000
+#: Words remembered in a generation, and the longest word that is.
+REMEMBERED = 250_000
 LONGEST = 64
+#: Characters below this are letters of Latin scripts, or none.
+LATIN = "ɐ"
 
 
-class WordIds:
-    """Little-endian 32-bit ids of texts by a `tokenizers` file whose pre-tokenizer drops white space."""
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
-    MARK = "\x01"
+class WordIds:
+    """Little-endian 32-bit ids of texts by a `tokenizers` file that lower-cases, drops white space and keeps letters
+    apart from other characters."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        mark = self._direct(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.merges = self.tokenizer.model
+        self.alphabet = _byte_alphabet()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.stops = {end: self._direct(end) for end in (b".", b",")}
 
-    def _direct(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words: joined with a mark between them, encoded in one call and cut at the mark."""
-        out: dict[bytes, bytes] = {}
-        mark = self.MARK.encode()
-        apart = [w for w in new if mark in w or self.mark is None]
-        plain = [w for w in new if mark not in w and self.mark is not None]
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        joined = [(b" " + mark + b" ").join(g).decode("utf-8", "surrogatepass") for g in groups]
-        for group, enc in zip(groups, self.tokenizer.encode_batch(joined, add_special_tokens=False) if joined else [], strict=True):
-            ids = np.array(enc.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(group) - 1:  # a word gave the mark's id itself
-                apart += group
-                continue
-            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
-            start = 0
-            for w, end in zip(group, ends, strict=True):
-                out[w] = raw[start:end]
-                start = end + 4
-        for w in apart:
-            out[w] = self._direct(w.decode("utf-8", "surrogatepass")).tobytes()
-        return out
+    def _direct(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin letters, None for any other."""
+        if not word.isalpha():  # ASCII letters
+            text = word.decode("utf-8", "surrogatepass")
+            if not (text.isalpha() and max(text) < LATIN and unicodedata.is_normalized("NFC", text)):
+                return None
+            lower = text.lower()
+            if len(lower) != len(text) or not lower.isalpha():
+                return None
+            mapped = lower.encode().decode("latin-1").translate(self.alphabet)
+        else:
+            mapped = word.lower().decode()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(mapped)])
+
+    def _learn(self, word: bytes) -> bytes:
+        end = self.stops.get(word[-1:])
+        if end is None:
+            ids = self._letters(word)
+        elif (ids := self.known.get(word[:-1]) if word[-2:-1].isalpha() else None) is None:
+            ids = self._letters(word[:-1])
+            ids = ids + end if ids is not None else None
+        else:
+            ids += end
+        return self._direct(word) if ids is None else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {w for words in split for w in words}
-            learnt = self._learn(list(new))
-            long = {w: i for w, i in learnt.items() if len(w) > LONGEST}
-            known.update(learnt)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if new:
-            for w in long:
-                del known[w]
+        out = []
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass")
+            if b"<|" not in raw:  # there, case tells special tokens from text
+                raw = raw.lower()
+            words = raw.split()
+            try:
+                out.append(b"".join([self.known[w] for w in words]))
+            except KeyError:
+                out.append(b"".join([self._get(w) for w in words]))
         return out
+
+    def _get(self, word: bytes) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._learn(word)
+            if len(word) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.older, self.known = self.known, {}
+                self.known[word] = ids
+        return ids
