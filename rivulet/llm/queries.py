@@ -63,7 +63,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(documents(spark, sf_dir), shingle=3, max_bits=3, blocks=2)
+    groups = simhash.exact_groups(documents(spark, sf_dir), shingle=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,19 +1,28 @@
 """SimHash near-dedup by anchor-point covering.
 
-Fingerprint: 64 bits over word shingles; a bit is set where more than half of the shingle hashes (XXH64, seed 42)
-have it. Search: the fingerprint is cut into `blocks` blocks; of two fingerprints within `max_bits` bits, one block
-differs in max_bits // blocks = 1 bit or none. Anchors of a block are the words of a Hamming code over its low 2^r - 1
-bits, free in the bits that remain: a covering code of radius 1. A fingerprint lives at the one anchor within
-radius 1 (its home) and is replicated to every anchor within radius plus threshold (2): the home of any fingerprint
-it can link to is among them. At each anchor, homes are compared with replicas on all 64 bits, and the links found
-are thinned to a forest, so that a group of copies adds rows in proportion to its size. Anchors with many
-fingerprints are compared block by block, each pair of blocks in a task of its own.
-
-Equal fingerprints are merged before the search. Null and empty texts have fingerprint zero and link like any other.
+Fingerprint: one or more words of 64 bits over word shingles; a bit is set where more than half of the shingle hashes
+have it. The first word is over XXH64 with seed 42; further words mix the same hashes anew.
+
+Search: windows of the fingerprint have anchors, the words of a Hamming code over their first 2^r - 1 bits: a covering
+code of radius 1. A fingerprint lives at the one anchor within radius 1 (its home) and is replicated to every anchor
+within radius plus threshold, so of two fingerprints that differ in one bit of a window or none, one meets the other
+at its home. At each anchor all fingerprints are compared in full, and the links found are thinned to a least spanning
+forest, so that a group of copies adds rows in proportion to its size. Anchors with many fingerprints are compared
+block by block, each pair of blocks by itself.
+
+- `exact_groups`: all links within 3 bits of 64, by two windows of 32 bits (of 3 differing bits one window has one at
+  most), the bits beyond the code's 31 being flipped as well.
+- `similar_groups`: links of likeness `least` or more, estimated over `words` words, by `windows` windows a word of 20
+  bits. Each window finds a pair of likeness 0.8 with probability 0.087, 30 of them with 0.93, likelier pairs sooner.
+
+Equal fingerprints are merged before the search. Null and empty texts have fingerprint zero and link like any other
+(in `similar_groups` to each other only). Repeated rows are grouped each; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +30,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from .components import components
 from .shared import materialise, text_or_empty
@@ -29,155 +37,217 @@ from .shared import materialise, text_or_empty
 SEED = 42
 #: Fingerprints of one anchor that are compared in one task, at most twice so many.
 ANCHOR_BLOCK = 2048
+#: Groups of up to so many rows are compared side by side.
+SMALL = 24
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of one text."""
+def simhash_words(text: str | None, shingle: int = 3, n_words: int = 1) -> np.ndarray:
+    """Unsigned 64-bit words of the fingerprint of one text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(n_words, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    digest, n, ones = xxhash.xxh64_intdigest, 0, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
-    for part in np.array_split(hashes, max(1, len(hashes) // 8192)):
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(part)
-    bits = np.packbits(ones * 2 > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+    ones = np.zeros((n_words, 64), np.int64)
+    for part in np.array_split(hashes, len(hashes) // 8192 + 1):
+        for k in range(n_words):
+            bits = np.unpackbits(_mixed(part, k).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    return int(simhash_words(text, shingle)[0])
+
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes themselves for word 0, other hashes made of them for the words after it."""
+    if k == 0:
+        return h
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59B)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def fingerprint(column: Column, shingle: int = 3) -> Column:
-    """Fingerprint as a signed long."""
+
+def fingerprint(column: Column, shingle: int = 3, n_words: int = 1) -> Column:
+    """Array of n_words signed longs."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64))
+            yield pd.Series([simhash_words(t, shingle, n_words).view(np.int64) for t in texts])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, LongType())(column)
-
-
-def _anchors(fp: Column, blocks: int) -> Column:
-    """Array of (anchor, home) of a fingerprint: its home and every other anchor within radius 2, block by block."""
-    out = []
-    edges = [round(64 * b / blocks) for b in range(blocks + 1)]
-    for b, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        width = high - low
-        r = (width + 1).bit_length() - 1
-        n = 2**r - 1
-        word = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-        syndrome = sum(
-            (F.bit_count(word.bitwiseAND(F.lit(sum(1 << (i - 1) for i in range(1, n + 1) if i >> j & 1)))) % 2) * (1 << j)
-            for j in range(r)
-        ).cast("int")
-        out.append((b, width, n, word, syndrome))
-
-    def block(b: int, width: int, n: int, word: Column, s: Column) -> Column:
-        tag = F.lit(b).cast("long") * F.lit(1 << 40)
-
-        def flip(i: Column) -> Column:  # bit of position i, counted from 1; none for 0
-            return F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))
-
-        home = word.bitwiseXOR(flip(s))
-        near = F.filter(F.sequence(F.lit(1), F.lit(n)), lambda i: (s != 0) & (i < i.bitwiseXOR(s)) & (i != s))
-        pairs = F.transform(near, lambda i: word.bitwiseXOR(flip(i)).bitwiseXOR(flip(i.bitwiseXOR(s))))
-        free = F.transform(
-            F.array(*(F.lit(1 << i).cast("long") for i in range(n, width))), lambda bit: home.bitwiseXOR(bit)
-        ) if width > n else F.expr("cast(array() as array<bigint>)")
-        entry = lambda at, own: F.struct((at + tag).alias("anchor"), F.lit(own).alias("home"))
-        return F.concat(F.array(entry(home, True)), F.transform(F.concat(pairs, free), lambda a: entry(a, False)))
-
-    return F.concat(*(block(*x) for x in out))
-
-
-def _forest(fps: np.ndarray, home: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links between homes and any, thinned to a forest."""
-    order = np.argsort(~home, kind="stable")
-    fps, n_home = fps[order], int(home.sum())
-    root = list(range(len(fps)))
+    return F.pandas_udf(run, "array<long>")(column)
+
+
+def _anchors(window: int, fp: Column, low: int, width: int, coded: int, flip_rest: bool) -> Column:
+    """Array of (anchor, home) of one window: the home, and every other anchor within 2 bits of it (of the coded bits
+    only, unless flip_rest)."""
+    r = coded.bit_length()
+    word = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+    masks = [sum(1 << (i - 1) for i in range(1, coded + 1) if i >> j & 1) for j in range(r)]
+    s = sum((F.bit_count(word.bitwiseAND(F.lit(m))) % 2) * (1 << j) for j, m in enumerate(masks)).cast("int")
+
+    def flip(i: Column) -> Column:  # bit of position i, counted from 1; none for 0
+        return F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))
+
+    home = word.bitwiseXOR(flip(s))
+    firsts = F.filter(F.sequence(F.lit(1), F.lit(coded)), lambda i: (s != 0) & (i < i.bitwiseXOR(s)) & (i != s))
+    others = F.transform(firsts, lambda i: word.bitwiseXOR(flip(i)).bitwiseXOR(flip(i.bitwiseXOR(s))))
+    if flip_rest and width > coded:
+        rest = F.array(*(F.lit(1 << i).cast("long") for i in range(coded, width)))
+        others = F.concat(others, F.transform(rest, lambda bit: home.bitwiseXOR(bit)))
+    entry = lambda at, own: F.struct((at + F.lit(window << 40)).alias("anchor"), F.lit(own).alias("home"))
+    return F.concat(F.array(entry(home, True)), F.transform(others, lambda a: entry(a, False)))
+
+
+def _spanning(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a least spanning forest over distances up to most: two arrays of places, and the distances (Prim)."""
+    n = len(fps)
+    near, by = np.full(n, 255, np.uint8), np.zeros(n, np.int64)
+    out_of, a, b, d = np.ones(n, bool), [], [], []
+    at = 0
+    for _ in range(n - 1):
+        out_of[at] = False
+        near[at] = 255
+        gap = np.bitwise_count(fps[at] ^ fps)
+        closer = out_of & (gap < near)
+        near[closer], by[closer] = gap[closer], at
+        at = int(near.argmin())
+        if near[at] == 255:
+            at = int(out_of.argmax())
+        if near[at] <= most:
+            a.append(int(by[at]))
+            b.append(at)
+            d.append(int(near[at]))
+    return np.array(a, np.int64), np.array(b, np.int64), np.array(d, np.int64)
+
+
+def _thinned(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> list[int]:
+    """Places of the links of a least spanning forest among links."""
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
         return x
 
     kept = []
-    for i in range(n_home):
-        near = np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= max_bits)
-        for j in near:
-            a, b = find(i), find(int(j))
-            if a != b:
-                root[a] = b
-                kept.append((i, int(j)))
-    return [(int(fps[i]), int(fps[j])) for i, j in kept]
-
+    for i in np.argsort(d, kind="stable").tolist():
+        a, b = find(int(u[i])), find(int(v[i]))
+        if a != b:
+            root[a] = b
+            kept.append(i)
+    return kept
 
-def _compare(max_bits: int):
-    """Sorted rows (anchor, left, right, fp, home) of a partition to links; one group of rows is held at a time."""
 
-    def links(keys: tuple, parts: list[pd.DataFrame]) -> list[tuple[int, int]]:
-        g = pd.concat(parts) if len(parts) > 1 else parts[0]
-        return _forest(g["fp"].to_numpy().view(np.uint64), g["home"].to_numpy(), max_bits)
+def _compare(most: int):
+    """Sorted rows (anchor, left, right, node, fp) of a partition to links; groups of many rows are held one at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        key, out = None, []
+        held = None
         for batch in batches:
-            if batch.empty:
-                continue
-            k = batch[["anchor", "left", "right"]].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            starts = [0, *cuts.tolist(), len(k)]
-            for a, z in zip(starts, starts[1:], strict=False):
-                own = tuple(k[a])
-                if own != key and held:
-                    out += links(key, held)
-                    held = []
-                key = own
-                held.append(batch.iloc[a:z])
-            yield _pairs(out)
-            out = []
-        if held:
-            yield _pairs(links(key, held))
+            held = batch if held is None or held.empty else pd.concat([held, batch])
+            k = held[["anchor", "left", "right"]].to_numpy()
+            new = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            if len(new):
+                yield links(held.iloc[: new[-1]])
+                held = held.iloc[new[-1] :]
+        if held is not None and len(held):
+            yield links(held)
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        k = rows[["anchor", "left", "right"]].to_numpy()
+        node, fp = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        start = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1]
+        size = np.diff(np.r_[start, len(k)])
+        group = np.repeat(np.arange(len(start)), size)
+        small = np.flatnonzero(np.repeat(size <= SMALL, size))
+        found = []
+        for step in range(1, int(min(SMALL, size.max()))):
+            a = small[small + step < len(group)]
+            a = a[group[a] == group[a + step]]
+            gap = np.bitwise_count(fp[a] ^ fp[a + step])
+            hit = gap <= most
+            found.append((node[a[hit]], node[a[hit] + step], gap[hit]))
+        for g in np.flatnonzero(size > SMALL):
+            own = slice(start[g], start[g] + size[g])
+            a, b, gap = _spanning(fp[own], most)
+            found.append((node[own][a], node[own][b], gap))
+        u, v, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (node[:0], node[:0], node[:0])
+        kept = _thinned(u, v, d)
+        return pd.DataFrame({"u": u[kept], "v": v[kept]})
 
     return run
 
 
-def _pairs(rows: list[tuple[int, int]]) -> pd.DataFrame:
-    a = np.array(rows, np.uint64).reshape(-1, 2).view(np.int64)
-    return pd.DataFrame({"u": a[:, 0], "v": a[:, 1]})
-
-
-def links(fingerprints: DataFrame, max_bits: int = 3, blocks: int = 2) -> DataFrame:
-    """Distinct signed fingerprints (fp) to links (u, v) whose components are those of all pairs within max_bits."""
-    if max_bits // blocks > 1:
-        raise ValueError(f"{blocks} blocks cover {2 * blocks - 1} bits at most, not {max_bits}")
-    at = fingerprints.select("fp", F.explode(_anchors(F.col("fp"), blocks)).alias("a")).select("fp", "a.anchor", "a.home")
+def links(firsts: DataFrame, anchors: list[Column], most: int) -> DataFrame:
+    """firsts (node, fp, and what anchors need) to links (u, v) of nodes whose first words are within `most` bits and
+    that meet at an anchor; thinned, with the components of all such pairs."""
+    at = firsts.select("node", "fp", F.explode(F.concat(*anchors)).alias("a")).select("node", "fp", "a.anchor", "a.home")
     shared = (
         at.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.bool_or("home").alias("any_home"))
         .where("n > 1 and any_home")
         .select("anchor", F.ceil(F.col("n") / ANCHOR_BLOCK).cast("int").alias("parts"))
     )
-    met = at.join(shared, "anchor").withColumn("part", F.pmod(F.xxhash64("fp", "anchor"), F.col("parts")).cast("int"))
+    met = at.join(shared, "anchor").withColumn("part", F.pmod(F.xxhash64("node", "anchor"), F.col("parts")).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "anchor", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "fp", "home"
+        "anchor", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "node", "fp"
     )
     spread = dealt.repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right")
-    return spread.mapInPandas(_compare(max_bits), "u long, v long")
+    return spread.mapInPandas(_compare(most), "u long, v long")
+
 
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """One row for each fingerprint, its node the least identifier."""
+    firsts = rows.groupBy("words").agg(F.min("id").alias("node"))
+    return materialise(firsts.select("node", "words", F.col("words")[0].alias("fp")), "firsts")
 
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3, blocks: int = 2
+
+def _named(rows: DataFrame, firsts: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    roots = components(edges)
+    named = firsts.join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("component_id"))
+    return rows.join(named, "words").select(F.col("id").alias(id_col), F.col("words")[0].alias("fp"), "component_id")
+
+
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int) -> DataFrame:
+    words = fingerprint(text_or_empty(text_col), shingle, n_words)
+    return materialise(docs.select(F.col(id_col).cast("long").alias("id"), words.alias("words")), "fingerprints")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row per input row: id_col, fp (signed), component_id, the least identifier that links of 3 bits or fewer reach."""
+    rows = _fingerprints(docs, id_col, text_col, shingle, 1)
+    firsts = _first_rows(rows)
+    anchors = [_anchors(w, F.col("fp"), 32 * w, 32, 31, True) for w in range(2)]
+    return _named(rows, firsts, links(firsts, anchors, 3), id_col)
+
+
+def bits_apart(likeness: float, bits: int) -> float:
+    """Expected differing bits of two texts whose shingle sets have this Jaccard likeness."""
+    return bits * math.acos(2 * likeness / (1 + likeness)) / math.pi
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 6, windows: int = 5
 ) -> DataFrame:
-    """One row per input row: id_col, fp (signed), component_id (the least identifier that links reach)."""
-    rows = materialise(
-        docs.select(F.col(id_col), fingerprint(text_or_empty(text_col), shingle).alias("fp")), "fingerprints"
-    )
-    firsts = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "firsts")
-    roots = components(links(firsts.select("fp"), max_bits, blocks))
-    grouped = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_col, "fp", "component_id")
+    """One row per input row: id_col, fp, component_id, linked by shingle likeness of `least` or more.
+
+    A link has to agree in the first word (2.5 deviations beyond the expected bits) and is then verified over all
+    words: within the bits expected at `least`, and half a deviation more, as the estimate is off either way.
+    """
+    rows = _fingerprints(docs, id_col, text_col, shingle, words)
+    firsts = _first_rows(rows)
+    lows = [round(k * 44 / max(1, windows - 1)) for k in range(windows)]
+    anchors = [_anchors(w * windows + i, F.col("words")[w], low, 20, 7, False) for w in range(words) for i, low in enumerate(lows)]
+    first, whole = bits_apart(least, 64), bits_apart(least, 64 * words)
+    loose = round(first + 2.5 * math.sqrt(first * (1 - first / 64)))
+    tight = round(whole + 0.5 * math.sqrt(whole * (1 - whole / 64 / words)))
+    edges = links(firsts.where(F.exists("words", lambda w: w != 0)), anchors, loose).distinct()
+    of = firsts.select("node", "words")
+    both = edges.join(of.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
+    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return _named(rows, firsts, both.where(gap <= tight).select("u", "v"), id_col)
