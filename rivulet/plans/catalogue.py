@@ -1,4 +1,184 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries of the row operators, readers and column analysis, and the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivulet.functions.parsing import parse
+from rivulet.operators import insights, rows
+from rivulet.operators.position import POS, with_position
+from rivulet.params import BadExampleHandling, LastExampleHandling, ReaderParams
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark, sf_dir):
+    return with_position(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "event_id")
+
+
+def orders(spark, sf_dir):
+    return with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey")
+
+
+def dirty() -> Column:
+    """Event values as text, some of which do not parse."""
+    k = F.col("event_id") % 97
+    text = F.col("user_id").cast("string")
+    return F.when(k == 3, F.concat(text, F.lit("f"))).when(k == 7, "inf").when(k == 11, "").when(k == 13, " nan ").when(k == 17, F.concat(F.lit(" "), text, F.lit(" "))).when(k == 19, "   ").when(k == 23, "NA").otherwise(text)
+
+
+DIRTY_SQL = """CASE event_id % 97 WHEN 3 THEN user_id::VARCHAR || 'f' WHEN 7 THEN 'inf' WHEN 11 THEN '' WHEN 13 THEN ' nan '
+  WHEN 17 THEN ' ' || user_id || ' ' WHEN 19 THEN '   ' WHEN 23 THEN 'NA' ELSE user_id::VARCHAR END"""
+NUM_SQL = """CASE WHEN regexp_full_match({c}, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*') THEN try_cast(trim({c}) AS DOUBLE) END"""
+E_POS = "(SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events)"
+O_POS = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders)"
+
+
+def range_skip_read(spark, sf_dir):
+    return rows.skip_read(events(spark, sf_dir), 100, 700).select("event_id", F.col(POS).alias("pos"))
+
+
+def shard_mod(spark, sf_dir):
+    return rows.shard(orders(spark, sf_dir), 4, 1).select("o_orderkey", F.col(POS).alias("pos"))
+
+
+def sample_prefix_100(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    return rows.sample(df, 0.25, df.count()).select("o_orderkey", F.col(POS).alias("pos"))
+
+
+CHAIN = ReaderParams(num_instances_to_skip=100, num_instances_to_read=800, num_shards=3, shard_index=1, sample_ratio=0.25, batch_size=16)
+
+
+def range_shard_sample_chain(spark, sf_dir):
+    return rows.chain(events(spark, sf_dir), CHAIN).select("event_id", F.col(POS).alias("pos"))
+
+
+def range_shard_sample_batch_pad(spark, sf_dir):
+    own = rows.batches(rows.chain(events(spark, sf_dir), CHAIN), {"value": 0.0}, CHAIN.batch_size, LastExampleHandling.PAD)
+    return own.select("batch_id", "size", "padding", F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def _batched(last):
+    def query(spark, sf_dir):
+        own = rows.batches(events(spark, sf_dir), {"event_id": 0}, 64, last)
+        return own.select("batch_id", "size", "padding", F.aggregate("event_id", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+
+    return query
+
+
+def _bad(how):
+    def query(spark, sf_dir):
+        df = events(spark, sf_dir).withColumn("x", parse(dirty(), "int64", frozenset()))
+        own = rows.batches(df, {"x": 0}, 16, LastExampleHandling.PAD if how is BadExampleHandling.PAD else LastExampleHandling.NONE, F.col("x").isNull(), how)
+        return own.select("batch_id", "size", "padding", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+    return query
+
+
+def bad_rows_report(spark, sf_dir):
+    df = events(spark, sf_dir).select(F.col(POS).alias("pos"), dirty().alias("cell"))
+    return df.where(parse(F.col("cell"), "int64").isNull())
+
+
+def epoch_shuffle_window(spark, sf_dir):
+    df = rows.shuffle(events(spark, sf_dir), seed=5, window=64, epoch=1)
+    return df.select("event_id", F.col(POS).alias("pos"), F.col("__order.slot").alias("slot"))
+
+
+def concat_stores(spark, sf_dir):
+    a = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("row"), F.col("r_name").alias("name"))
+    b = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row"), F.col("n_name").alias("name"))
+    return insights.concatenate([a, b]).select(F.col("__store_idx").alias("store"), "row", "name")
+
+
+KINDS = ("int8", "uint8", "int16", "uint16", "int32", "uint32", "int64", "float64")
+
+
+def parse_numbers(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", dirty().alias("c"))
+    return df.select("event_id", *(parse(F.col("c"), k).cast("double" if k == "float64" else "long").alias(k) for k in KINDS))
+
+
+def insights_statistics(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select(dirty().alias("cell"))
+    own = insights.analyze(df, ["cell"], ["na", "null"]).drop("string_cardinality")
+    return own.withColumns({c: F.round(c, 6) for c in ("string_avg_length", "numeric_finite_mean")})
+
+
+def insights_text(spark, sf_dir):
+    own = insights.analyze(table(spark, sf_dir, "documents"), ["text", "source", "lang"])
+    return own.select("column", "rows_seen", "string_empty_count", "string_min_length", "string_max_length", "string_num_words")
+
+
+def insights_cardinality(spark, sf_dir):
+    return insights.analyze(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"]).select("column", "string_cardinality")
+
+
+def insights_median_10k(spark, sf_dir):
+    return insights.median_approx(orders(spark, sf_dir), "o_totalprice", POS)
+
+
+def insights_capture(spark, sf_dir):
+    return insights.capture(orders(spark, sf_dir), "o_orderpriority", POS, 3)
+
+
+def sparse_coo_coordinates(spark, sf_dir):
+    """Linear keys of large embedding entries to the coordinates of a matrix of 8 columns."""
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("key", "value")).where("value > 0.15")
+    return cells.select("vec_id", F.floor(F.col("key") / 8).cast("long").alias("i"), (F.col("key") % 8).cast("long").alias("j"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+QUERIES = {
+    "range_skip_read": range_skip_read, "shard_mod": shard_mod, "sample_prefix_100": sample_prefix_100,
+    "range_shard_sample_chain": range_shard_sample_chain, "range_shard_sample_batch_pad": range_shard_sample_batch_pad,
+    "batch_none": _batched(LastExampleHandling.NONE), "batch_drop": _batched(LastExampleHandling.DROP), "batch_pad": _batched(LastExampleHandling.PAD),
+    "bad_skip": _bad(BadExampleHandling.SKIP), "bad_pad": _bad(BadExampleHandling.PAD), "bad_rows_report": bad_rows_report,
+    "epoch_shuffle_window": epoch_shuffle_window, "concat_stores": concat_stores, "parse_numbers": parse_numbers,
+    "insights_statistics": insights_statistics, "insights_text": insights_text, "insights_cardinality": insights_cardinality,
+    "insights_median_10k": insights_median_10k, "insights_capture": insights_capture, "sparse_coo_coordinates": sparse_coo_coordinates,
+}
+
+_CHAIN_SQL = f"""(SELECT event_id, value, CAST((p2 // 100) * 25 + p2 % 100 AS BIGINT) AS pos FROM (
+  SELECT *, (p - 101) // 3 AS p2, (SELECT count(*) FROM {E_POS} WHERE p >= 100 AND p < 900 AND (p - 100) % 3 = 1) AS n
+  FROM {E_POS} WHERE p >= 100 AND p < 900 AND (p - 100) % 3 = 1)
+  WHERE p2 % 100 < floor(0.25::FLOAT * least(100, n - 100 * (p2 // 100))::FLOAT))"""
+_BATCH = f"SELECT CAST(p // 64 AS BIGINT) AS batch_id, {{size}} AS size, {{padding}} AS padding, CAST(sum(event_id) AS BIGINT) AS ids FROM {E_POS} GROUP BY p // 64"
+_X = f"(SELECT p, {DIRTY_SQL} AS c FROM {E_POS})"
+_INT = "CASE WHEN regexp_full_match(c, '\\s*[+-]?\\d+\\s*') THEN try_cast(trim(c) AS BIGINT) END"
+_F = NUM_SQL.format(c="c")
+
+ORACLE_SQL = {
+    "range_skip_read": f"SELECT event_id, CAST(p - 100 AS BIGINT) AS pos FROM {E_POS} WHERE p >= 100 AND p < 800",
+    "shard_mod": f"SELECT o_orderkey, CAST(p // 4 AS BIGINT) AS pos FROM {O_POS} WHERE p % 4 = 1",
+    "sample_prefix_100": f"""SELECT o_orderkey, CAST((p // 100) * 25 + p % 100 AS BIGINT) AS pos FROM {O_POS}
+        WHERE p % 100 < floor(0.25::FLOAT * least(100, (SELECT count(*) FROM orders) - 100 * (p // 100))::FLOAT)""",
+    "range_shard_sample_chain": f"SELECT event_id, pos FROM {_CHAIN_SQL}",
+    "range_shard_sample_batch_pad": f"SELECT CAST(pos // 16 AS BIGINT) AS batch_id, 16 AS size, CAST(16 - count(*) AS INTEGER) AS padding, round(sum(value), 4) AS total FROM {_CHAIN_SQL} GROUP BY pos // 16",
+    "batch_none": _BATCH.format(size="CAST(count(*) AS INTEGER)", padding="0"),
+    "batch_drop": _BATCH.format(size="64", padding="0") + " HAVING count(*) = 64",
+    "batch_pad": _BATCH.format(size="64", padding="CAST(64 - count(*) AS INTEGER)"),
+    "bad_skip": f"SELECT CAST(p // 16 AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS size, 0 AS padding, CAST(sum(x) AS BIGINT) AS total FROM (SELECT p, {_INT} AS x FROM {_X}) GROUP BY p // 16 HAVING count(x) = count(*)",
+    "bad_pad": f"SELECT CAST(p // 16 AS BIGINT) AS batch_id, 16 AS size, CAST(16 - count(x) AS INTEGER) AS padding, CAST(coalesce(sum(x), 0) AS BIGINT) AS total FROM (SELECT p, {_INT} AS x FROM {_X}) GROUP BY p // 16",
+    "bad_rows_report": f"SELECT CAST(p AS BIGINT) AS pos, c AS cell FROM {_X} WHERE ({_INT}) IS NULL",
+    "concat_stores": "SELECT 0 AS store, r_regionkey AS row, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation",
+    "parse_numbers": f"SELECT event_id, {', '.join(f'CASE WHEN x BETWEEN {a} AND {b} THEN x END AS {k}' for k, a, b in (('int8', -128, 127), ('uint8', 0, 255), ('int16', -32768, 32767), ('uint16', 0, 65535), ('int32', -2147483648, 2147483647), ('uint32', 0, 4294967295)))}, x AS int64, CASE WHEN trim(c) = 'nan' THEN 'nan'::DOUBLE ELSE f END AS float64 FROM (SELECT event_id, c, {_INT} AS x, {_F} AS f FROM (SELECT event_id, {DIRTY_SQL} AS c FROM events))",
+    "insights_statistics": f"""SELECT 'cell' AS "column", count(*) AS rows_seen, count(*) FILTER (c = '') AS string_empty_count,
+        min(strlen(c)) FILTER (c <> '') AS string_min_length, max(strlen(c)) AS string_max_length, round(CAST(sum(strlen(c)) AS DOUBLE) / count(*), 6) AS string_avg_length,
+        count(*) FILTER (c <> '' AND trim(c) = '') AS string_only_whitespace_count, count(*) FILTER (lower(trim(c)) IN ('na', 'null')) AS string_null_like_count,
+        CAST(sum(CASE WHEN c <> '' THEN len(string_split(c, ' ')) - CASE WHEN c LIKE '% ' THEN 1 ELSE 0 END END) AS BIGINT) AS string_num_words,
+        count(f) AS numeric_count, count(*) FILTER (trim(c) <> '' AND f IS NULL) AS numeric_nan_count, count(f) AS numeric_finite_count,
+        count(*) FILTER (abs(round(f) - f) <= 1e-5) AS numeric_int_count, round(avg(f), 6) AS numeric_finite_mean, min(f) AS numeric_finite_min, max(f) AS numeric_finite_max
+        FROM (SELECT c, {_F} AS f FROM {_X})""",
+    "insights_text": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows_seen, count(*) FILTER (coalesce({c}, '') = '') AS string_empty_count, coalesce(min(strlen({c})) FILTER ({c} <> ''), 0) AS string_min_length,
+        coalesce(max(strlen({c})), 0) AS string_max_length, CAST(coalesce(sum(CASE WHEN {c} <> '' THEN len(string_split({c}, ' ')) - CASE WHEN {c} LIKE '% ' THEN 1 ELSE 0 END END), 0) AS BIGINT) AS string_num_words FROM documents"""
+        for c in ("text", "source", "lang")
+    ),
+    "insights_median_10k": f"SELECT list_sort(list(x))[len(list(x)) // 2 + 1] AS numeric_finite_median_approx FROM (SELECT o_totalprice AS x FROM {O_POS} WHERE p < 10000)",
+    "insights_capture": f"SELECT value, n, more > 3 AS overflowed FROM (SELECT o_orderpriority AS value, count(*) AS n, min(p) AS f, count(*) OVER () AS more FROM {O_POS} GROUP BY 1) ORDER BY f LIMIT 3",
+    "sparse_coo_coordinates": "SELECT vec_id, CAST((k - 1) // 8 AS BIGINT) AS i, CAST((k - 1) % 8 AS BIGINT) AS j, round(CAST(embedding[k] AS DOUBLE), 5) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) WHERE embedding[k] > 0.15",
+}
