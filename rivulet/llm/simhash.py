@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ from .shared import materialise, text_or_empty
 SEED = 42
 #: Fingerprints of one anchor that are compared in one task, at most twice so many.
 ANCHOR_BLOCK = 2048
+#: Up to so many crowded anchors (12 bytes each) are broadcast.
+BROADCAST_CROWDED = 100_000
 #: Groups of up to so many rows are compared side by side.
 SMALL = 24
 
@@ -81,25 +84,53 @@ def fingerprint(column: Column, shingle: int = 3, n_words: int = 1) -> Column:
     return F.pandas_udf(run, "array<long>")(column)
 
 
-def _anchors(window: int, fp: Column, low: int, width: int, coded: int, flip_rest: bool) -> Column:
-    """Array of (anchor, home) of one window: the home, and every other anchor within 2 bits of it (of the coded bits
-    only, unless flip_rest)."""
-    r = coded.bit_length()
-    word = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-    masks = [sum(1 << (i - 1) for i in range(1, coded + 1) if i >> j & 1) for j in range(r)]
-    s = sum((F.bit_count(word.bitwiseAND(F.lit(m))) % 2) * (1 << j) for j, m in enumerate(masks)).cast("int")
+@dataclass(frozen=True)
+class Window:
+    """Bits low to low + width of a word of the fingerprint; the first 2^r - 1 of them are coded. The rest agree, or
+    may differ in one bit where the coded ones do not if flip_rest."""
+
+    word: int
+    low: int
+    width: int
+    coded: int
+    flip_rest: bool
+
+
+def anchors_of(words: np.ndarray, window: Window) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the fingerprint, anchor): the home of each, and every other anchor within 2 bits."""
+    one, bits = np.uint64(1), (words[:, window.word] >> np.uint64(window.low)) & np.uint64((1 << window.width) - 1)
+    syndrome = np.zeros(len(bits), np.int64)
+    for j in range(window.coded.bit_length()):
+        mask = sum(1 << (i - 1) for i in range(1, window.coded + 1) if i >> j & 1)
+        syndrome |= (np.bitwise_count(bits & np.uint64(mask)) & 1).astype(np.int64) << j
+    flip = np.r_[np.uint64(0), one << np.arange(window.coded, dtype=np.uint64)]  # of each position, counted from 1
+    home = bits ^ flip[syndrome]
+    at, anchor = [np.arange(len(bits))], [home]
+    for i in range(1, window.coded + 1):
+        other = i ^ syndrome
+        own = np.flatnonzero((syndrome != 0) & (i < other) & (i != syndrome))
+        at.append(own)
+        anchor.append(bits[own] ^ flip[i] ^ flip[other[own]])
+    for i in range(window.coded, window.width) if window.flip_rest else ():
+        at.append(at[0])
+        anchor.append(home ^ (one << np.uint64(i)))
+    return np.concatenate(at), np.concatenate(anchor)
+
+
+def _spread(windows: list[Window]):
+    """Rows (node, words) to rows (anchor, node, fp), one for each anchor."""
 
-    def flip(i: Column) -> Column:  # bit of position i, counted from 1; none for 0
-        return F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                part = batch.iloc[start : start + 4096]
+                words, node = np.stack(part["words"].to_numpy()).view(np.uint64), part["node"].to_numpy()
+                fp = words[:, 0].view(np.int64)
+                for w, window in enumerate(windows):
+                    at, anchor = anchors_of(words, window)
+                    yield pd.DataFrame({"anchor": anchor.astype(np.int64) + (w << 40), "node": node[at], "fp": fp[at]})
 
-    home = word.bitwiseXOR(flip(s))
-    firsts = F.filter(F.sequence(F.lit(1), F.lit(coded)), lambda i: (s != 0) & (i < i.bitwiseXOR(s)) & (i != s))
-    others = F.transform(firsts, lambda i: word.bitwiseXOR(flip(i)).bitwiseXOR(flip(i.bitwiseXOR(s))))
-    if flip_rest and width > coded:
-        rest = F.array(*(F.lit(1 << i).cast("long") for i in range(coded, width)))
-        others = F.concat(others, F.transform(rest, lambda bit: home.bitwiseXOR(bit)))
-    entry = lambda at, own: F.struct((at + F.lit(window << 40)).alias("anchor"), F.lit(own).alias("home"))
-    return F.concat(F.array(entry(home, True)), F.transform(others, lambda a: entry(a, False)))
+    return run
 
 
 def _spanning(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,17 +214,16 @@ def _compare(most: int):
     return run
 
 
-def links(firsts: DataFrame, anchors: list[Column], most: int) -> DataFrame:
-    """firsts (node, fp, and what anchors need) to links (u, v) of nodes whose first words are within `most` bits and
-    that meet at an anchor; thinned, with the components of all such pairs."""
-    at = firsts.select("node", "fp", F.explode(F.concat(*anchors)).alias("a")).select("node", "fp", "a.anchor", "a.home")
-    shared = (
-        at.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.bool_or("home").alias("any_home"))
-        .where("n > 1 and any_home")
-        .select("anchor", F.ceil(F.col("n") / ANCHOR_BLOCK).cast("int").alias("parts"))
-    )
-    met = at.join(shared, "anchor").withColumn("part", F.pmod(F.xxhash64("node", "anchor"), F.col("parts")).cast("int"))
+def links(firsts: DataFrame, windows: list[Window], most: int) -> DataFrame:
+    """firsts (node, words) to links (u, v) of nodes whose first words are within `most` bits and that meet at an
+    anchor; thinned, with the components of all such pairs."""
+    at = firsts.select("node", "words").mapInPandas(_spread(windows), "anchor long, node long, fp long")
+    crowded = at.groupBy("anchor").count().where(F.col("count") > ANCHOR_BLOCK)
+    crowded = materialise(crowded.select("anchor", F.ceil(F.col("count") / ANCHOR_BLOCK).cast("int").alias("parts")), "crowded")
+    if crowded.count() <= BROADCAST_CROWDED:
+        crowded = F.broadcast(crowded)
+    met = at.join(crowded, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node", "anchor"), F.col("parts")).cast("int"))
     dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "anchor", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "node", "fp"
     )
@@ -204,7 +234,7 @@ def links(firsts: DataFrame, anchors: list[Column], most: int) -> DataFrame:
 def _first_rows(rows: DataFrame) -> DataFrame:
     """One row for each fingerprint, its node the least identifier."""
     firsts = rows.groupBy("words").agg(F.min("id").alias("node"))
-    return materialise(firsts.select("node", "words", F.col("words")[0].alias("fp")), "firsts")
+    return materialise(firsts.select("node", "words"), "firsts")
 
 
 def _named(rows: DataFrame, firsts: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
@@ -222,8 +252,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id_col, fp (signed), component_id, the least identifier that links of 3 bits or fewer reach."""
     rows = _fingerprints(docs, id_col, text_col, shingle, 1)
     firsts = _first_rows(rows)
-    anchors = [_anchors(w, F.col("fp"), 32 * w, 32, 31, True) for w in range(2)]
-    return _named(rows, firsts, links(firsts, anchors, 3), id_col)
+    windows = [Window(0, low, 32, 31, True) for low in (0, 32)]
+    return _named(rows, firsts, links(firsts, windows, 3), id_col)
 
 
 def bits_apart(likeness: float, bits: int) -> float:
@@ -242,11 +272,11 @@ def similar_groups(
     rows = _fingerprints(docs, id_col, text_col, shingle, words)
     firsts = _first_rows(rows)
     lows = [round(k * 44 / max(1, windows - 1)) for k in range(windows)]
-    anchors = [_anchors(w * windows + i, F.col("words")[w], low, 20, 7, False) for w in range(words) for i, low in enumerate(lows)]
+    of_words = [Window(w, low, 20, 7, False) for w in range(words) for low in lows]
     first, whole = bits_apart(least, 64), bits_apart(least, 64 * words)
     loose = round(first + 2.5 * math.sqrt(first * (1 - first / 64)))
     tight = round(whole + 0.5 * math.sqrt(whole * (1 - whole / 64 / words)))
-    edges = links(firsts.where(F.exists("words", lambda w: w != 0)), anchors, loose).distinct()
+    edges = links(firsts.where(F.exists("words", lambda w: w != 0)), of_words, loose).distinct()
     of = firsts.select("node", "words")
     both = edges.join(of.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
     gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
