@@ -43,7 +43,7 @@ def flush_runs(rows: DataFrame, generations: int = 4, path: str | None = None) -
         .partitionBy("generation")
         .parquet(path)
     )
-    return spark.read.parquet(path)
+    return spark.read.schema(memtable.schema).parquet(path)
 
 
 def compact(runs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), **
     costs nothing but a reread. The files are removed when the driver ends."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
