@@ -6,11 +6,15 @@ import struct
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from rivulet.errors import CorruptHeaderError, CorruptRecordError, SchemaError
+from rivulet.errors import CorruptFooterError, CorruptHeaderError, CorruptRecordError, SchemaError
 from rivulet.functions.parsing import infer_data_type
-from rivulet.params import CsvParams, MaxFieldLengthHandling
-from rivulet.sources import csv, lines, recordio, stores
+from rivulet.operators import rows
+from rivulet.operators.position import with_position
+from rivulet.params import CsvParams, LastExampleHandling, MaxFieldLengthHandling, ReaderParams
+from rivulet.sources import csv, lines, parquet_stream, recordio, stores
+from rivulet.streaming import examples
 
 
 def write(folder, **files):
@@ -111,3 +115,52 @@ def test_records(spark, tmp_path):
         list(recordio.records(frame(0, b"x") + frame(2, b"y")))
     with pytest.raises(CorruptHeaderError):
         list(recordio.frames(data[:9]))
+
+
+def test_parquet_stream(spark, tmp_path):
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def file(n):
+        out = io.BytesIO()
+        pq.write_table(pa.table({"a": list(range(n)), "s": ["PAR1"] * n}), out)
+        return out.getvalue()
+
+    paths = write(tmp_path, a__bin=file(3) + file(500))
+    rows = parquet_stream.read_parquet_stream(spark, paths).orderBy("__row_idx").collect()
+    assert [pq.read_table(io.BytesIO(bytes(r["payload"]))).num_rows for r in rows] == [3, 500]
+    with pytest.raises(CorruptFooterError):
+        list(parquet_stream.split(file(3)[:-2]))
+    with pytest.raises(CorruptHeaderError):
+        list(parquet_stream.split(b"x"))
+
+
+def test_examples(spark):
+    df = with_position(spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2.0).alias("x")), "k")
+    own = examples.Examples(lambda epoch: rows.batches(df, {"k": 0, "x": 0.0}, 4, LastExampleHandling.PAD))
+    for _ in range(2):
+        assert own.peek()["batch_id"] == 0
+        got = list(own)
+        assert [e["k"] for e in got] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 0, 0]] and got[2]["padding"] == 2
+        assert examples.as_numpy(got[0], "x").tolist() == [0, 2, 4, 6] and len(examples.to_pandas(got[1])) == 4
+        own.reset()
+
+
+def test_row_operators_in_sequence(spark):
+    """The closed forms against the operators applied one after the other to a list."""
+    df = with_position(spark.range(1234).toDF("k"), "k").cache()
+    for skip, read, shards, index, ratio in ((0, None, 1, 0, 0.5), (7, 1000, 3, 2, 0.29), (100, 150, 2, 1, 0.9), (0, 90, 1, 0, 0.005), (3, 0, 1, 0, 0.5)):
+        want = list(range(1234))[skip : None if read is None else skip + read][index::shards]
+        out = []
+        for at in range(0, len(want), 100):
+            block = want[at : at + 100]
+            n = rows.sampled(ratio, len(block))
+            out += block[:n]
+            if n == 0:
+                break
+        p = ReaderParams(num_instances_to_skip=skip, num_instances_to_read=read, num_shards=shards, shard_index=index, sample_ratio=ratio)
+        for total in (None, 1234):
+            got = rows.chain(df, p, total).orderBy("__pos").collect()
+            assert [r["k"] for r in got] == out and [r["__pos"] for r in got] == list(range(len(out)))
