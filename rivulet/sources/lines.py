@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.errors import StreamError
 from rivulet.operators.position import POS
 
 
+def _decoded(encoding: str):
+    """Whole files to text; Spark's own readers know few encodings."""
+
+    def run(contents: pd.Series) -> pd.Series:
+        try:
+            return contents.map(lambda c: bytes(c).decode(encoding))
+        except UnicodeDecodeError as e:
+            raise StreamError(f"the text is not {encoding}") from e
+
+    run.__annotations__ = {"contents": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")
+
+
 def read_lines(spark: SparkSession, paths: list[str], keep: Column | None = None, encoding: str | None = None) -> DataFrame:
     """(value, __store_idx, __row_idx, __pos) of the lines of the files in order; keep drops lines before numbering.
 
@@ -16,7 +31,8 @@ def read_lines(spark: SparkSession, paths: list[str], keep: Column | None = None
     if not paths:
         return spark.createDataFrame([], f"value string, __store_idx int, __row_idx long, {POS} long")
     if encoding and encoding.upper() not in ("UTF-8", "UTF8"):
-        blob = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split(F.regexp_replace(F.decode("content", encoding), "\r\n|\r|\n$", "\n"), "\n")).alias("value"))
+        text = F.regexp_replace(_decoded(encoding)("content"), "(\r\n|\r|\n)$", "")
+        blob = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split(text, "\r\n|\r|\n")).alias("value"))
         rows = blob.withColumn("start", F.lit(0).cast("long"))
     else:
         rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))

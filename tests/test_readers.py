@@ -164,3 +164,9 @@ def test_row_operators_in_sequence(spark):
         for total in (None, 1234):
             got = rows.chain(df, p, total).orderBy("__pos").collect()
             assert [r["k"] for r in got] == out and [r["__pos"] for r in got] == list(range(len(out)))
+
+
+def test_encodings(spark, tmp_path):
+    paths = write(tmp_path, a__csv="n,s\r\n1,привет\r\n2,мир\r\n".encode("iso8859_5"))
+    got = csv.read_csv(spark, paths, CsvParams(encoding="ISO-8859-5")).orderBy("__pos").collect()
+    assert [(r["n"], r["s"], r["__pos"]) for r in got] == [(1, "привет", 0), (2, "мир", 1)]
