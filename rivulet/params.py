@@ -70,7 +70,9 @@ class CsvParams:
     quote_char: str = '"'
     comment_char: str | None = None
     skip_blank_lines: bool = True
+    allow_quoted_new_lines: bool = False
     encoding: str | None = None
+    compression: str | None = None
     max_field_length: int | None = None
     max_field_length_handling: MaxFieldLengthHandling = MaxFieldLengthHandling.TREAT_AS_BAD
     max_line_length: int | None = None

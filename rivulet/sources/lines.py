@@ -1,54 +1,120 @@
-"""Text lines with exact positions: counted split by split, shifted by the rows of the splits before."""
+"""Text lines with exact positions: counted split by split, shifted by the rows of the splits before.
+
+Plain UTF-8 goes through Spark's text source, split by split. Files in another encoding, files that are compressed
+without saying so in their name, and records whose quoted fields hold line ends are read whole, a file a row.
+"""
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.errors import StreamError
+from rivulet.errors import InflateError, StreamError
 from rivulet.operators.position import POS
 
+from .stores import compression_of, plain
+
+LINE_END = "\r\n|\r|\n"
+#: Byte order marks, the longest first.
+MARKS = {b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+#: Splits up to which their table is broadcast; above, Spark chooses the join.
+BROADCAST_SPLITS = 1_000_000
 
-def _decoded(encoding: str):
-    """Whole files to text; Spark's own readers know few encodings."""
 
-    def run(contents: pd.Series) -> pd.Series:
+def inflate(data: bytes) -> bytes:
+    """gzip or zlib, members one after the other."""
+    out = []
+    while data:
+        stream = zlib.decompressobj(32 + zlib.MAX_WBITS)
         try:
-            return contents.map(lambda c: bytes(c).decode(encoding))
-        except UnicodeDecodeError as e:
-            raise StreamError(f"the text is not {encoding}") from e
+            out.append(stream.decompress(data) + stream.flush())
+        except zlib.error as e:
+            raise InflateError("the stream does not inflate") from e
+        if not stream.eof:
+            raise InflateError("the stream is cut off")
+        data = stream.unused_data
+    return b"".join(out)
+
+
+def decode(data: bytes, encoding: str | None) -> str:
+    """By the encoding, or by the byte order mark where there is none."""
+    own = encoding or next((e for mark, e in MARKS.items() if data.startswith(mark)), "utf-8")
+    try:
+        return data.decode(own, "strict" if encoding else "replace").removeprefix("﻿")
+    except (UnicodeDecodeError, LookupError) as e:
+        raise StreamError(f"the text is not {own}") from e
+
 
-    run.__annotations__ = {"contents": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")
+def split_lines(text: str) -> list[str]:
+    own = re.split(LINE_END, text)
+    return own if own[-1] else own[:-1]
 
 
-def read_lines(spark: SparkSession, paths: list[str], keep: Column | None = None, encoding: str | None = None) -> DataFrame:
+def _whole(spark: SparkSession, paths: list[str], encoding: str | None, compression: str | None, records: Callable[[str], list[str]]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                data = bytes(content)
+                if (compression or compression_of(path)) == "gzip":
+                    data = inflate(data)
+                own = records(decode(data, encoding))
+                yield pd.DataFrame({"file": path, "start": 0, "value": own})
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(run, "file string, start long, value string")
+
+
+def read_lines(
+    spark: SparkSession,
+    paths: list[str],
+    keep: Column | None = None,
+    encoding: str | None = None,
+    compression: str | None = None,
+    records: Callable[[str], list[str]] | None = None,
+) -> DataFrame:
     """(value, __store_idx, __row_idx, __pos) of the lines of the files in order; keep drops lines before numbering.
 
+    encoding: None follows the byte order marks, UTF-8 without. compression: "gzip" (or zlib) for files that do not
+    say so in their name, None by suffix. records: cuts a whole text, in place of line ends.
+
     Two scans and no shuffle of the lines; the driver gets one row for each file split.
     """
     if not paths:
         return spark.createDataFrame([], f"value string, __store_idx int, __row_idx long, {POS} long")
-    if encoding and encoding.upper() not in ("UTF-8", "UTF8"):
-        text = F.regexp_replace(_decoded(encoding)("content"), "(\r\n|\r|\n)$", "")
-        blob = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), F.explode(F.split(text, "\r\n|\r|\n")).alias("value"))
-        rows = blob.withColumn("start", F.lit(0).cast("long"))
+    whole = records is not None or compression is not None or (encoding or "UTF-8").upper() not in ("UTF-8", "UTF8")
+    return _numbered(spark, paths, keep, encoding, compression, records or split_lines, whole)
+
+
+def _numbered(spark, paths, keep, encoding, compression, records, whole) -> DataFrame:
+    if whole:
+        rows = _whole(spark, paths, encoding, compression, records).withColumn("marked", F.lit(False))
     else:
         rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    rows = rows.withColumn("value", F.when(F.col("start") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
+        head = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
+        wide = head.startswith("FFFE") | head.startswith("FEFF") | (head == "0000FEFF")
+        first = F.col("start") == 0
+        rows = rows.withColumns({"marked": F.lit(encoding is None) & first & wide, "value": F.when(first, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))})
     if keep is not None:
         rows = rows.where(keep)
     rows = rows.withColumn("mid", F.monotonically_increasing_id())
-    splits = rows.groupBy("file", "start").agg(F.min("mid").alias("low"), F.count(F.lit(1)).alias("n")).collect()
-    plain = lambda p: p.split(":", 1)[-1].lstrip("/") if ":" in p.split("/", 1)[0] else p.lstrip("/")
+    splits = rows.groupBy("file", "start").agg(F.min("mid").alias("low"), F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked")).collect()
+    if any(s["marked"] for s in splits):  # 16 or 32 bits a character
+        return _numbered(spark, paths, keep, None, compression, records, True)
     order = {plain(p): i for i, p in enumerate(paths)}
+    store_of = lambda file: order[plain(file if whole else unquote(file))]
     shifts, at, in_store, last = [], 0, 0, None
-    for s in sorted(splits, key=lambda s: (order[plain(s["file"])], s["start"])):
-        store = order[plain(s["file"])]
+    for s in sorted(splits, key=lambda s: (store_of(s["file"]), s["start"])):
+        store = store_of(s["file"])
         in_store = in_store if store == last else 0
         shifts.append((s["file"], s["start"], store, in_store - s["low"], at - s["low"]))
         at, in_store, last = at + s["n"], in_store + s["n"], store
     table = spark.createDataFrame(shifts, "file string, start long, __store_idx int, in_store long, in_all long")
-    joined = rows.join(F.broadcast(table), ["file", "start"])  # one row a split
+    table = F.broadcast(table) if len(shifts) <= BROADCAST_SPLITS else table
+    joined = rows.join(table, ["file", "start"])
     return joined.select("value", "__store_idx", (F.col("mid") + F.col("in_store")).alias("__row_idx"), (F.col("mid") + F.col("in_all")).alias(POS))

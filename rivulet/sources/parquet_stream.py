@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rivulet.errors import CorruptFooterError, CorruptHeaderError
 
+from .stores import numbered
+
 MARK = b"PAR1"
 
 
@@ -37,7 +39,7 @@ def split(data: bytes) -> Iterator[bytes]:
 
 
 def read_parquet_stream(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, __row_idx, payload): each Parquet file of each stream as bytes."""
+    """(path, __row_idx, payload, __store_idx, __pos): each Parquet file of each stream as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -46,4 +48,4 @@ def read_parquet_stream(spark: SparkSession, paths: list[str]) -> DataFrame:
                 yield pd.DataFrame({"path": path, "__row_idx": range(len(own)), "payload": own})
 
     files = spark.read.format("binaryFile").load(paths).select(F.col("path"), "content")
-    return files.mapInPandas(run, "path string, __row_idx long, payload binary")
+    return numbered(files.mapInPandas(run, "path string, __row_idx long, payload binary"), paths)

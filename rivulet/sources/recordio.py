@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rivulet.errors import CorruptHeaderError, CorruptRecordError
 
+from .stores import numbered
+
 #: Fixed values of the format.
 MAGIC = 0xCED7230A
 COMPLETE, BEGIN, MIDDLE, END = range(4)
@@ -47,7 +49,7 @@ def records(data: bytes) -> Iterator[bytes]:
 
 
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, __row_idx, payload), a file a row of the scan."""
+    """(path, __row_idx, payload, __store_idx, __pos), a file a row of the scan."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -56,4 +58,4 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
                 yield pd.DataFrame({"path": path, "__row_idx": range(len(own)), "payload": own})
 
     files = spark.read.format("binaryFile").load(paths).select(F.col("path"), "content")
-    return files.mapInPandas(run, "path string, __row_idx long, payload binary")
+    return numbered(files.mapInPandas(run, "path string, __row_idx long, payload binary"), paths)

@@ -7,7 +7,14 @@ import os
 import re
 from collections.abc import Callable, Iterable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from rivulet.errors import NotSupportedError
+from rivulet.operators.position import POS
+
+#: Files up to which their table is broadcast; above, Spark chooses the join.
+BROADCAST_FILES = 1_000_000
 
 
 def natural_key(name: str) -> list:
@@ -29,6 +36,44 @@ def list_files(paths: str | Iterable[str], pattern: str = "", predicate: Callabl
     return [p for p in found if (not pattern or fnmatch.fnmatchcase(p, pattern)) and (predicate is None or predicate(p))]
 
 
+def list_objects(spark: SparkSession, uris: str | Iterable[str], pattern: str = "", predicate: Callable[[str], bool] | None = None) -> list[str]:
+    """Files under the URIs of any file system that Spark reads, in natural order over all of them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([uris] if isinstance(uris, str) else list(uris))
+    found = sorted((r["path"] for r in files.select("path").collect()), key=natural_key)  # names alone: no contents are read
+    return [p for p in found if (not pattern or fnmatch.fnmatchcase(p, pattern)) and (predicate is None or predicate(p))]
+
+
+def in_memory(spark: SparkSession, buffers: Iterable[bytes]) -> DataFrame:
+    """(__store_idx, content) of buffers of the driver, each a store."""
+    return spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(buffers)], "__store_idx int, content binary")
+
+
+def plain(path: str) -> str:
+    """A path without scheme and leading slashes, as the same file has different spellings."""
+    return re.sub("^[A-Za-z][A-Za-z0-9+.-]*:", "", path).lstrip("/")
+
+
+def with_store(df: DataFrame, paths: list[str], origin: Column, rows: dict[str, int] | None = None) -> DataFrame:
+    """Adds __store_idx, the place of the origin in paths; with rows of each file also __pos from __row_idx."""
+    held, at = [], 0
+    for i, p in enumerate(paths):
+        held.append((plain(p), i, at))
+        at += (rows or {}).get(plain(p), 0)
+    table = df.sparkSession.createDataFrame(held, "__file string, __store_idx int, __before long")
+    table = F.broadcast(table) if len(held) <= BROADCAST_FILES else table
+    name = F.regexp_replace(F.regexp_replace(origin, "^[A-Za-z][A-Za-z0-9+.-]*:", ""), "^/+", "")
+    joined = df.withColumn("__file", name).join(table, "__file")
+    if rows is not None:
+        joined = joined.withColumn(POS, F.col("__row_idx") + F.col("__before"))
+    return joined.drop("__file", "__before")
+
+
+def numbered(df: DataFrame, paths: list[str]) -> DataFrame:
+    """Rows (path, __row_idx, ...) with __store_idx and __pos: one count for each file goes through the driver."""
+    counts = {plain(r["path"]): r["n"] for r in df.groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return with_store(df, paths, F.col("path"), counts)
+
+
 def compression_of(path: str) -> str | None:
     """By suffix; gzip is read by Spark itself."""
     kind = {".gz": "gzip", ".bz2": "bzip2", ".zip": "zip"}.get(os.path.splitext(path)[1])
