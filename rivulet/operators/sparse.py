@@ -33,10 +33,8 @@ def coo_batches(df: DataFrame, column: str, shape: Sequence[int], size: int, pos
     held = with_batch(df, size, pos).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(row)).alias("rows"))
     of = lambda value: F.flatten(F.transform("rows", value))
     keys = lambda r: F.coalesce(r["keys"], F.array().cast("array<bigint>"))
-    dims = [
-        of(lambda r, s=stride, m=n: F.transform(keys(r), lambda k: _along(k, s, m)))
-        for stride, n in zip(default_strides(shape), shape, strict=True)
-    ]
+    axis = lambda stride, n: of(lambda r: F.transform(keys(r), lambda k: _along(k, stride, n)))
+    dims = [axis(stride, n) for stride, n in zip(default_strides(shape), shape, strict=True)]
     rows = of(lambda r: F.transform(keys(r), lambda k: r["row"]))
     kind = df.select(f"{column}.values").schema[0].dataType
     data = of(lambda r: F.coalesce(r["values"], F.array().cast(kind)))

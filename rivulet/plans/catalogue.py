@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions.parsing import parse
-from rivulet.operators import insights, rows
+from rivulet.operators import insights, rows, sketch, sparse
 from rivulet.operators.position import POS, with_position
-from rivulet.params import BadExampleHandling, LastExampleHandling, ReaderParams
+from rivulet.params import BadExampleHandling, CsvParams, LastExampleHandling, ReaderParams
+from rivulet.schema import Attribute, Schema
+from rivulet.sources import csv, lines, protobuf, stores
+from rivulet.sources.staging import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +135,55 @@ def sparse_coo_coordinates(spark, sf_dir):
     return cells.select("vec_id", F.floor(F.col("key") / 8).cast("long").alias("i"), (F.col("key") % 8).cast("long").alias("j"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+def sparse_coo_batches(spark, sf_dir):
+    """Batches of 16 rows of the same matrices: entries and sums of the coordinates and the data."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    keys = F.filter(F.sequence(F.lit(0).cast("long"), F.size("e").cast("long") - 1), lambda k: F.get("e", k.cast("int")) > 0.15)
+    cells = own.select("vec_id", F.struct(keys.alias("keys"), F.transform(keys, lambda k: F.get("e", k.cast("int"))).alias("values")).alias("s"))
+    batch = sparse.coo_batches(with_position(cells, "vec_id"), "s", (8, 8), 16)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return batch.select(
+        "batch_id", F.size("data").alias("entries"), F.col("shape")[0].alias("rows"), total(F.col("coords")[0]).alias("row_sum"),
+        total(F.col("coords")[1]).alias("i_sum"), total(F.col("coords")[2]).alias("j_sum"),
+        F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
+    )
+
+
+def csv_table(spark, sf_dir):
+    """Customers written as delimited text, read with inferred types, two columns by name."""
+    path = new_path(spark, "customers")
+    table(spark, sf_dir, "customer").write.option("header", True).csv(path)
+    own = csv.read_csv(spark, stores.list_objects(spark, path, "*.csv"), CsvParams(use_columns=frozenset({"c_custkey", "c_name", "c_acctbal"})))
+    return own.where("__bad is null").select("c_custkey", "c_name", "c_acctbal")
+
+
+def text_lines(spark, sf_dir):
+    """Lines of event rows written as text, counted by their length."""
+    path = new_path(spark, "events")
+    table(spark, sf_dir, "events").select(F.concat_ws(" ", "event_id", "event_type", "props").alias("value")).write.text(path)
+    own = lines.read_lines(spark, stores.list_objects(spark, path, "*.txt"))
+    return own.groupBy(F.octet_length("value").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dedupe_names(spark, sf_dir):
+    """The nation names by region as a header of repeated names."""
+    held = table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.concat(F.lit("r"), "n_regionkey").alias("c")).collect()  # 25 rows
+    return spark.createDataFrame(list(enumerate(csv.dedupe([r["c"] for r in held]))), "place long, name string")
+
+
+def hll_cardinality(spark, sf_dir):
+    return sketch.estimate(sketch.registers(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k")), "k"))
+
+
+def protobuf_records(spark, sf_dir):
+    """Nation and region keys as 32-bit tensors in messages, through the decoder."""
+    key = lambda name: F.unhex(F.concat(F.lit("12053A030A01"), F.lpad(F.hex(name), 2, "0")))
+    entry = lambda name, value: F.concat(F.unhex(F.lit("0A0A0A01" + name.encode().hex())), key(value))
+    payloads = table(spark, sf_dir, "nation").select("n_name", F.concat(entry("n", F.col("n_nationkey")), entry("r", F.col("n_regionkey"))).alias("payload"))
+    own = protobuf.decode_messages(payloads, Schema((Attribute("n", "int32"), Attribute("r", "int32"))))
+    return own.where("__bad is null").select("n_name", F.col("n")[0].alias("n"), F.col("r")[0].alias("r"))
+
+
 QUERIES = {
     "range_skip_read": range_skip_read, "shard_mod": shard_mod, "sample_prefix_100": sample_prefix_100,
     "range_shard_sample_chain": range_shard_sample_chain, "range_shard_sample_batch_pad": range_shard_sample_batch_pad,
@@ -140,6 +192,8 @@ QUERIES = {
     "epoch_shuffle_window": epoch_shuffle_window, "concat_stores": concat_stores, "parse_numbers": parse_numbers,
     "insights_statistics": insights_statistics, "insights_text": insights_text, "insights_cardinality": insights_cardinality,
     "insights_median_10k": insights_median_10k, "insights_capture": insights_capture, "sparse_coo_coordinates": sparse_coo_coordinates,
+    "sparse_coo_batches": sparse_coo_batches, "csv_table": csv_table, "text_lines": text_lines, "dedupe_names": dedupe_names,
+    "hll_cardinality": hll_cardinality, "protobuf_records": protobuf_records,
 }
 
 _CHAIN_SQL = f"""(SELECT event_id, value, CAST((p2 // 100) * 25 + p2 % 100 AS BIGINT) AS pos FROM (
@@ -181,4 +235,13 @@ ORACLE_SQL = {
     "insights_median_10k": f"SELECT list_sort(list(x))[len(list(x)) // 2 + 1] AS numeric_finite_median_approx FROM (SELECT o_totalprice AS x FROM {O_POS} WHERE p < 10000)",
     "insights_capture": f"SELECT value, n, more > 3 AS overflowed FROM (SELECT o_orderpriority AS value, count(*) AS n, min(p) AS f, count(*) OVER () AS more FROM {O_POS} GROUP BY 1) ORDER BY f LIMIT 3",
     "sparse_coo_coordinates": "SELECT vec_id, CAST((k - 1) // 8 AS BIGINT) AS i, CAST((k - 1) % 8 AS BIGINT) AS j, round(CAST(embedding[k] AS DOUBLE), 5) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) WHERE embedding[k] > 0.15",
+    "sparse_coo_batches": """SELECT CAST(p // 16 AS BIGINT) AS batch_id, CAST(count(k) AS INTEGER) AS entries, max(n) AS rows, CAST(coalesce(sum(p % 16) FILTER (k IS NOT NULL), 0) AS BIGINT) AS row_sum,
+        CAST(coalesce(sum((k // 8) % 8), 0) AS BIGINT) AS i_sum, CAST(coalesce(sum(k % 8), 0) AS BIGINT) AS j_sum, round(coalesce(sum(x), 0), 4) AS total
+        FROM (SELECT p, n, k, x FROM (SELECT *, count(*) OVER (PARTITION BY p // 16) AS n FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings))
+        LEFT JOIN (SELECT vec_id AS v, k - 1 AS k, CAST(embedding[k] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) WHERE CAST(embedding[k] AS DOUBLE) > 0.15) ON v = vec_id)
+        GROUP BY p // 16""",
+    "csv_table": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "text_lines": "SELECT CAST(strlen(event_id || ' ' || event_type || ' ' || props) AS INTEGER) AS bytes, count(*) AS n FROM events GROUP BY 1",
+    "dedupe_names": "SELECT n_nationkey::BIGINT AS place, 'r' || n_regionkey || CASE WHEN r > 0 THEN '_' || r ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation)",
+    "protobuf_records": "SELECT n_name, n_nationkey AS n, n_regionkey AS r FROM nation",
 }

@@ -6,6 +6,7 @@ import fnmatch
 import os
 import re
 from collections.abc import Callable, Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def list_files(paths: str | Iterable[str], pattern: str = "", predicate: Callabl
 def list_objects(spark: SparkSession, uris: str | Iterable[str], pattern: str = "", predicate: Callable[[str], bool] | None = None) -> list[str]:
     """Files under the URIs of any file system that Spark reads, in natural order over all of them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([uris] if isinstance(uris, str) else list(uris))
-    found = sorted((r["path"] for r in files.select("path").collect()), key=natural_key)  # names alone: no contents are read
+    found = sorted(map(unquote, files.inputFiles()), key=natural_key)
     return [p for p in found if (not pattern or fnmatch.fnmatchcase(p, pattern)) and (predicate is None or predicate(p))]
 
 
