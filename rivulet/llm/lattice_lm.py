@@ -2,8 +2,8 @@
 
 Words are scored by a unigram model over the pieces of an existing vocabulary: the log-space forward recursion over a
 word's lattice sums the probability of all its segmentations. Piece weights start from the vocabulary's scores (ranks,
-taken as Zipf's law) and are re-estimated once from the training texts: the forward-backward expectation of every
-piece over all training words and their counts, with the start as a prior. Characters outside the vocabulary cost
+taken as Zipf's law) and are re-estimated from the training texts in a few steps: the forward-backward expectation of
+every piece over all training words and their counts, with the start as a prior. Characters outside the vocabulary cost
 their bytes. A text is its lower-cased words, each begun with a space mark, then an end; the end is a piece of its
 own.
 
@@ -210,8 +210,25 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def score(docs: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1) -> DataFrame:
-    """One row per input row: id_col, train, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def _expecting(vocabulary: str, logp: np.ndarray):
+    """Rows of words and counts to the expected uses of the pieces in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(logp))
+        for b in batches:
+            total += lattice(vocabulary).expected(b["word"].tolist(), b["c"].to_numpy(np.float64), logp)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"piece": at.astype(np.int32), "uses": total[at]})
+
+    return run
+
+
+def score(docs: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", add: float = 0.1, steps: int = 3) -> DataFrame:
+    """One row per input row: id_col, train, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    steps: expectation steps over the distinct training words, each one pass that brings at most a row for each piece
+    of the vocabulary to the driver.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"), F.coalesce(train, F.lit(False)).alias("train"))
     both = materialise(rows.mapInPandas(_numbered, "block long, number int, word binary, n long, id long, train boolean, bag binary"), "numbered", compression="zstd")
     words = both.where("word is not null").select("block", "number", "word", "n")
@@ -221,21 +238,16 @@ def score(docs: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id
     known = counted.where("c > 0").agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
 
-    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, total = lattice(vocabulary), 0.0
-        for b in batches:
-            total = total + own.expected(b["word"].tolist(), b["c"].to_numpy(np.float64), np.log(own.prior))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"piece": at.astype(np.int32), "uses": total[at]} if np.ndim(total) else {"piece": [], "uses": []})
-
-    uses = counted.where("c > 0").mapInPandas(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    prior = lattice(vocabulary).prior
-    weight = prior * PRIOR
-    for r in uses.collect():  # at most one row for each piece of the vocabulary
-        weight[r["piece"]] += r["uses"]
     own = lattice(vocabulary)
-    weight[own.end] += ends
-    logp = np.log(weight / weight.sum())
+    logp = np.log(own.prior)
+    learnt = counted.where("c > 0")
+    for _ in range(steps):
+        uses = learnt.mapInPandas(_expecting(vocabulary, logp), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+        weight = own.prior * PRIOR
+        for r in uses.collect():  # at most one row for each piece of the vocabulary
+            weight[r["piece"]] += r["uses"]
+        weight[own.end] += ends
+        logp = np.log(weight / weight.sum())
     logp[own.byte] -= math.log(256)  # which byte it is
     log_end = logp[own.end] / math.log(10)
 
