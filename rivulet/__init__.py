@@ -1 +1,19 @@
 """Ordered dataset reading, position-based row operators and column analysis on Spark DataFrames."""
+
+from rivulet.errors import (
+    CorruptFooterError, CorruptHeaderError, CorruptRecordError, DataReaderError, InflateError, InvalidInstanceError, NotSupportedError,
+    ReaderLibraryError, RecordError, RecordTooLargeError, SchemaError, StreamError,
+)
+from rivulet.operators.insights import analyze
+from rivulet.params import BadExampleHandling, CsvParams, LastExampleHandling, MaxFieldLengthHandling, ReaderParams
+from rivulet.readers import CsvReader, DataReader, ImageReader, TensorRecordReader, TextLineReader
+from rivulet.schema import Attribute, Schema
+from rivulet.sources.images import ImageParams
+from rivulet.sources.stores import list_files, list_objects
+
+__all__ = [
+    "Attribute", "BadExampleHandling", "CorruptFooterError", "CorruptHeaderError", "CorruptRecordError", "CsvParams", "CsvReader", "DataReader",
+    "DataReaderError", "ImageParams", "ImageReader", "InflateError", "InvalidInstanceError", "LastExampleHandling", "MaxFieldLengthHandling",
+    "NotSupportedError", "ReaderLibraryError", "ReaderParams", "RecordError", "RecordTooLargeError", "Schema", "SchemaError", "StreamError",
+    "TensorRecordReader", "TextLineReader", "analyze", "list_files", "list_objects",
+]

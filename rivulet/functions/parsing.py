@@ -7,9 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = "[ \\t\\n\\x0B\\f\\r]"
-FLOAT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN])$"
-INTEGER = r"^[+-]?\d+$"
+SPACE = " \t\n\x0b\f\r"
+#: Whole cells; possessive, so that a long run of digits is read once.
+FLOAT = r"[+-]?(?:(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?|[nN][aA][nN])"
+INTEGER = r"[+-]?[0-9]++"
 #: Integer types, their Spark type and bounds.
 INTEGERS = {
     "int8": ("byte", -(2**7), 2**7 - 1), "int16": ("short", -(2**15), 2**15 - 1), "int32": ("int", -(2**31), 2**31 - 1), "int64": ("long", -(2**63), 2**63 - 1),
@@ -19,7 +20,11 @@ SPARK_TYPES = {k: v[0] for k, v in INTEGERS.items()} | {"float32": "float", "flo
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+def _whole(text: Column, pattern: str) -> Column:
+    return text.rlike(rf"\A(?:{pattern})\z")
 
 
 def parse(c: Column, kind: str, nan_values: frozenset[str] = frozenset()) -> Column:
@@ -30,13 +35,13 @@ def parse(c: Column, kind: str, nan_values: frozenset[str] = frozenset()) -> Col
     if kind in INTEGERS:
         spark_type, low, high = INTEGERS[kind]
         wide = text.try_cast("decimal(38,0)")
-        return F.when(text.rlike(INTEGER) & wide.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)")), wide.cast(spark_type))
+        return F.when(_whole(text, INTEGER) & wide.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)")), wide.cast(spark_type))
     if kind == "float16":
         return F.lit(None).cast("float")
     if kind not in ("float32", "float64"):
         raise ValueError(f"unknown data type {kind!r}")
     spark_type = SPARK_TYPES[kind]
-    value = F.when(text.rlike(FLOAT), text.try_cast(spark_type))
+    value = F.when(_whole(text, FLOAT), text.try_cast(spark_type))
     value = F.when((value != float("inf")) & (value != float("-inf")), value)
     if nan_values:
         value = F.coalesce(value, F.when(text.isin(*nan_values), F.lit(float("nan")).cast(spark_type)))
@@ -45,12 +50,12 @@ def parse(c: Column, kind: str, nan_values: frozenset[str] = frozenset()) -> Col
 
 def infer_data_type(text: str) -> str:
     """The type of one cell: int64, then uint64 where that overflows, float64, else string."""
-    own = text.strip(" \t\n\x0b\f\r")
-    if re.match(INTEGER, own):
+    own = text.strip(SPACE)
+    if re.fullmatch(INTEGER, own):
         if -(2**63) <= int(own) < 2**63:
             return "int64"
         if 0 <= int(own) < 2**64:
             return "uint64"
-    if re.match(FLOAT, own) and abs(float(own)) != float("inf"):
+    if re.fullmatch(FLOAT, own) and abs(float(own)) != float("inf"):
         return "float64"
     return "string"

@@ -7,19 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.functions.parsing import SPACE, parse, trim
+from rivulet.functions.parsing import parse, trim
 
 MEDIAN_ROWS = 10_000
+#: Registers of the cardinality sketches, as a power of two.
+SKETCH_BITS = 16
 
 
-def _statistics(c: Column, nulls: list[str]) -> dict[str, Column]:
+def _statistics(c: Column, text: Column, x: Column, nulls: list[str]) -> dict[str, Column]:
+    """c: the cell, text: without white space around it, x: its number, not a number included."""
     length = F.octet_length(c)
-    empty, white = c == "", (c != "") & c.rlike(f"^{SPACE}+$")
-    rest = ~empty & ~white
-    x = F.when(rest, parse(c, "float64"))
+    empty, white, rest = c == "", (c != "") & (text == ""), text != ""
     number = x.isNotNull() & ~F.isnan(x)
     x = F.when(number, x)
-    words = F.size(F.split(c, " ")) - F.when(c.endswith(" "), 1).otherwise(0)
+    words = length - F.octet_length(F.replace(c, F.lit(" "))) + F.when(c.endswith(" "), 0).otherwise(1)
     count = lambda cond: F.count_if(cond).cast("long")
     return {
         "rows_seen": F.count(F.lit(1)),
@@ -28,7 +29,7 @@ def _statistics(c: Column, nulls: list[str]) -> dict[str, Column]:
         "string_max_length": F.coalesce(F.max(F.when(~empty, length)), F.lit(0)).cast("long"),
         "string_avg_length": F.coalesce(F.sum(length) / F.count(F.lit(1)), F.lit(0.0)),
         "string_only_whitespace_count": count(white),
-        "string_null_like_count": count(rest & F.lower(trim(c)).isin([n.lower() for n in nulls])) if nulls else F.lit(0).cast("long"),
+        "string_null_like_count": count(rest & F.lower(text).isin([n.lower() for n in nulls])) if nulls else F.lit(0).cast("long"),
         "string_num_words": F.coalesce(F.sum(F.when(~empty, words)), F.lit(0)).cast("long"),
         "numeric_count": count(number),
         "numeric_nan_count": count(rest & ~number),
@@ -37,23 +38,26 @@ def _statistics(c: Column, nulls: list[str]) -> dict[str, Column]:
         "numeric_finite_mean": F.coalesce(F.avg(x), F.lit(float("nan"))),
         "numeric_finite_min": F.coalesce(F.min(x), F.lit(float("nan"))),
         "numeric_finite_max": F.coalesce(F.max(x), F.lit(float("nan"))),
-        "string_cardinality": F.approx_count_distinct(F.when(~empty, c), 0.01),
+        "string_cardinality": F.hll_sketch_estimate(F.hll_sketch_agg(F.when(~empty, c), SKETCH_BITS)),
     }
 
 
 def analyze(df: DataFrame, columns: list[str], null_like_values: list[str] = ()) -> DataFrame:
     """One row per column with its statistics: one scan and one aggregation. Null cells count as empty."""
-    stats = {name: _statistics(F.coalesce(F.col(name).cast("string"), F.lit("")), list(null_like_values)) for name in columns}
-    one = df.agg(*(F.struct(*(s.alias(k) for k, s in own.items())).alias(name) for name, own in stats.items()))
-    rows = F.array(*(F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("s")) for name in columns))
+    cells = df.select(*(F.coalesce(F.col(name).cast("string"), F.lit("")).alias(f"c{i}") for i, name in enumerate(columns)))
+    texts = cells.select("*", *(trim(F.col(f"c{i}")).alias(f"t{i}") for i in range(len(columns))))
+    told = texts.select("*", *(parse(F.col(f"t{i}"), "float64").alias(f"x{i}") for i in range(len(columns))))
+    stats = [_statistics(F.col(f"c{i}"), F.col(f"t{i}"), F.col(f"x{i}"), list(null_like_values)) for i in range(len(columns))]
+    one = told.agg(*(F.struct(*(s.alias(k) for k, s in own.items())).alias(f"s{i}") for i, own in enumerate(stats)))
+    rows = F.array(*(F.struct(F.lit(name).alias("column"), F.col(f"s{i}").alias("s")) for i, name in enumerate(columns)))
     return one.select(F.explode(rows).alias("r")).select("r.column", "r.s.*")
 
 
 def vocabulary_cardinality(df: DataFrame, column: str) -> DataFrame:
     """Estimated distinct words, split at single spaces."""
     c = F.coalesce(F.col(column), F.lit(""))
-    words = df.where(c != "").select(F.explode(F.split(F.when(c.endswith(" "), F.expr(f"left({column}, length({column}) - 1)")).otherwise(c), " ")).alias("w"))
-    return words.agg(F.approx_count_distinct("w", 0.01).alias("string_vocab_cardinality"))
+    words = df.where(c != "").select(F.explode(F.split(F.when(c.endswith(" "), F.left(c, F.length(c) - 1)).otherwise(c), " ")).alias("w"))
+    return words.agg(F.hll_sketch_estimate(F.hll_sketch_agg("w", SKETCH_BITS)).alias("string_vocab_cardinality"))
 
 
 def example_values(df: DataFrame, columns: list[str], pos: str) -> DataFrame:
@@ -72,7 +76,7 @@ def median_approx(df: DataFrame, column: str, pos: str) -> DataFrame:
 def capture(df: DataFrame, column: str, pos: str, most: int = 1000) -> DataFrame:
     """Counts of the first `most` distinct values that are neither empty nor white space, and whether there were more."""
     c = F.col(column).cast("string")
-    seen = df.where((c != "") & ~c.rlike(f"^{SPACE}+$")).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
+    seen = df.where(trim(c) != "").groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
     kept = seen.orderBy("first").limit(most + 1)  # a bounded number of rows from here on
     order = Window.orderBy("first")
     ranked = kept.select("value", "n", F.row_number().over(order).alias("r"), (F.count(F.lit(1)).over(Window.partitionBy()) > most).alias("overflowed"))

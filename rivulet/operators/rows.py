@@ -5,13 +5,13 @@ from __future__ import annotations
 import logging
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.errors import InvalidInstanceError
 from rivulet.params import BadExampleHandling, LastExampleHandling, ReaderParams
 
-from .position import POS
+from .position import POS, with_position
 
 log = logging.getLogger("rivulet")
 SAMPLE_BLOCK = 100
@@ -57,6 +57,19 @@ def shuffle(df: DataFrame, seed: int, window: int = 0, epoch: int = 0, reshuffle
     return df.withColumn("__order", F.struct(slot.alias("slot"), (F.col(pos) if window == 1 else chance).alias("at"), F.col(pos).alias("pos")))
 
 
+def shuffled(df: DataFrame, seed: int, window: int = 0, epoch: int = 0, reshuffle: bool = True, pos: str = POS) -> DataFrame:
+    """The rows at new positions, in the order of `shuffle`. A full shuffle ranks ranges of the hash side by side."""
+    if window == 1:
+        return df
+    chance = F.xxhash64(F.lit(seed + (epoch if reshuffle else 0)), pos)  # one to one for positions
+    if window == 0:
+        return with_position(df.withColumn("__chance", chance), "__chance", pos=pos).drop("__chance")
+    slot = F.floor(F.col(pos) / window).cast("long")
+    dealt = df.withColumns({"__slot": slot, "__chance": chance})
+    rank = F.row_number().over(Window.partitionBy("__slot").orderBy("__chance")) - 1
+    return dealt.withColumn(pos, F.col("__slot") * window + rank).drop("__slot", "__chance")
+
+
 def chain(df: DataFrame, params: ReaderParams, total: int | None = None, pos: str = POS) -> DataFrame:
     """Skip and limit, shard and sample by the parameters; total is counted only for a sample."""
     df = skip_read(df, params.num_instances_to_skip, params.num_instances_to_read, pos)

@@ -131,7 +131,7 @@ def read_csv(spark: SparkSession, paths: list[str], params: CsvParams | None = N
         data = lines.where(~mine | (F.col("__row_idx") > p.header_row_index))
         taken = F.lit(p.header_row_index + 1) * (F.lit(1) if p.has_single_header else F.col("__store_idx") + 1)
         data = data.withColumn("__pos", F.col("__pos") - taken)
-    sample = data.orderBy("__pos").select("value").head(1)
+    sample = data.where("__pos = 0").select("value").head(1) or data.orderBy("__pos").select("value").head(1)  # the first splits, as a rule
     row = tokenize(sample[0]["value"], p.delimiter, p.quote_char) if sample else None
     if p.column_names:
         names = list(p.column_names)
