@@ -9,6 +9,7 @@ from rivulet.functions.parsing import parse
 from rivulet.operators import insights, rows, sketch, sparse
 from rivulet.operators.position import POS, with_position
 from rivulet.params import BadExampleHandling, CsvParams, LastExampleHandling, ReaderParams
+from rivulet.readers import CsvReader
 from rivulet.schema import Attribute, Schema
 from rivulet.sources import csv, lines, protobuf, stores
 from rivulet.sources.staging import new_path
@@ -157,6 +158,28 @@ def csv_table(spark, sf_dir):
     return own.where("__bad is null").select("c_custkey", "c_name", "c_acctbal")
 
 
+def csv_projected(spark, sf_dir):
+    """Customers as delimited text: three columns by place, two of them by name, keys read as text."""
+    path = new_path(spark, "customers")
+    table(spark, sf_dir, "customer").write.option("header", True).csv(path)
+    params = CsvParams(use_columns=frozenset({"c_custkey", "c_nationkey", "c_acctbal"}), use_columns_by_index=frozenset({0, 1, 2}), column_types={"c_custkey": "string"})
+    return csv.read_csv(spark, stores.list_objects(spark, path, "*.csv"), params).where("__bad is null").select("c_custkey", "c_nationkey")
+
+
+def csv_reader_batches(spark, sf_dir):
+    """Customers in order of their key as delimited text, through a reader: skip, shard, padded batches."""
+    path = new_path(spark, "customers")
+    table(spark, sf_dir, "customer").orderBy("c_custkey").write.option("header", True).csv(path)
+    params = ReaderParams(batch_size=16, num_instances_to_skip=10, num_shards=2, shard_index=1, last_example_handling=LastExampleHandling.PAD)
+    own = CsvReader(spark, stores.list_objects(spark, path, "*.csv"), params).batches()
+    return own.select("batch_id", "size", "padding", F.aggregate("c_custkey", F.lit(0).cast("long"), lambda a, x: a + x).alias("keys"))
+
+
+def parse_nan_values(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", dirty().alias("c"))
+    return df.select("event_id", parse(F.col("c"), "float64", frozenset({"NA"})).alias("x"))
+
+
 def text_lines(spark, sf_dir):
     """Lines of event rows written as text, counted by their length."""
     path = new_path(spark, "events")
@@ -193,6 +216,7 @@ QUERIES = {
     "insights_statistics": insights_statistics, "insights_text": insights_text, "insights_cardinality": insights_cardinality,
     "insights_median_10k": insights_median_10k, "insights_capture": insights_capture, "sparse_coo_coordinates": sparse_coo_coordinates,
     "sparse_coo_batches": sparse_coo_batches, "csv_table": csv_table, "text_lines": text_lines, "dedupe_names": dedupe_names,
+    "csv_projected": csv_projected, "csv_reader_batches": csv_reader_batches, "parse_nan_values": parse_nan_values,
     "hll_cardinality": hll_cardinality, "protobuf_records": protobuf_records,
 }
 
@@ -241,6 +265,10 @@ ORACLE_SQL = {
         LEFT JOIN (SELECT vec_id AS v, k - 1 AS k, CAST(embedding[k] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) WHERE CAST(embedding[k] AS DOUBLE) > 0.15) ON v = vec_id)
         GROUP BY p // 16""",
     "csv_table": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "csv_projected": "SELECT c_custkey::VARCHAR AS c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer",
+    "csv_reader_batches": """SELECT CAST(p // 32 AS BIGINT) AS batch_id, 16 AS size, CAST(16 - count(*) AS INTEGER) AS padding, CAST(sum(c_custkey) AS BIGINT) AS keys
+        FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 11 AS p FROM customer) WHERE p >= 0 AND p % 2 = 1 GROUP BY p // 32""",
+    "parse_nan_values": f"SELECT event_id, CASE WHEN trim(c) IN ('nan', 'NA') THEN 'nan'::DOUBLE ELSE {_F} END AS x FROM (SELECT event_id, {DIRTY_SQL} AS c FROM events)",
     "text_lines": "SELECT CAST(strlen(event_id || ' ' || event_type || ' ' || props) AS INTEGER) AS bytes, count(*) AS n FROM events GROUP BY 1",
     "dedupe_names": "SELECT n_nationkey::BIGINT AS place, 'r' || n_regionkey || CASE WHEN r > 0 THEN '_' || r ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation)",
     "protobuf_records": "SELECT n_name, n_nationkey AS n, n_regionkey AS r FROM nation",
