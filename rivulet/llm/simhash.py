@@ -12,12 +12,16 @@ block by block, each pair of blocks by itself.
 
 - `exact_groups`: all links within 3 bits of 64, by two windows of 32 bits (of 3 differing bits one window has one at
   most), the bits beyond the code's 31 being flipped as well.
-- `similar_groups`: links of likeness `least` or more, estimated over `words` words, by `windows` windows a word of 20
-  bits. Each window finds a pair of likeness 0.8 with probability 0.087, 30 of them with 0.93, likelier pairs sooner.
-
-Equal fingerprints are merged before the search. Null and empty texts have fingerprint zero and link like any other
-(in `similar_groups` to each other only). Repeated rows are grouped each; an empty table gives no rows; further
-columns are ignored.
+- `similar_groups`: links of likeness `least` or more: the exact Jaccard likeness of the sets of shingles, of which the
+  texts of a pair are asked. Pairs that SimHash tells apart badly (short texts, repeated lines) decide here, so what
+  meets is not its windows but bands of least hashes: BANDS bands of ROWS least hashes of the set, which a pair of
+  likeness 0.8 shares in all but 7 of a million cases. Where texts meet, a sketch, a byte of each hash, puts aside
+  pairs 4.5 deviations below `least`, and the others make groups of candidates. Within a group all texts are
+  compared in full and only links that hold are thinned: see `_verified_links`.
+
+Before the search, `exact_groups` merges equal fingerprints, `similar_groups` equal sets of shingles (by a 64-bit
+digest). Null and empty texts have fingerprint zero and link like any other (in `similar_groups` to each other only).
+Repeated rows are grouped each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,16 +46,42 @@ ANCHOR_BLOCK = 2048
 BROADCAST_CROWDED = 100_000
 #: Groups of up to so many rows are compared side by side.
 SMALL = 24
+#: Bands of least hashes, and the hashes of a band; a byte of each is the sketch.
+BANDS, ROWS = 30, 5
+SKETCH = BANDS * ROWS
+#: Deviations below the limit at which a pair is put aside unseen.
+DEVIATIONS = 4.5
+#: Up to so many anchors that more than one set has (12 bytes each) are broadcast.
+BROADCAST_SHARED = 1_000_000
+#: Sets that meet at a band are compared in blocks of so many.
+BAND_BLOCK = 1024
+#: Texts of a group of candidates are compared in blocks of so many.
+TEXT_BLOCK = 512
+#: Texts of up to so many candidates (16 bytes each) are fetched by a broadcast.
+BROADCAST_NODES = 200_000
+
+_random = np.random.default_rng(20240301)
+_ODD = _random.integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+
+
+def shingle_hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """Of each shingle its hash, in order; a text of fewer words is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64)
 
 
 def simhash_words(text: str | None, shingle: int = 3, n_words: int = 1) -> np.ndarray:
     """Unsigned 64-bit words of the fingerprint of one text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    return _simhash_of(shingle_hashes(text, shingle), n_words)
+
+
+def _simhash_of(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    if not len(hashes):
         return np.zeros(n_words, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
     ones = np.zeros((n_words, 64), np.int64)
     for part in np.array_split(hashes, len(hashes) // 8192 + 1):
         for k in range(n_words):
@@ -256,28 +286,191 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _named(rows, firsts, links(firsts, windows, 3), id_col)
 
 
-def bits_apart(likeness: float, bits: int) -> float:
-    """Expected differing bits of two texts whose shingle sets have this Jaccard likeness."""
-    return bits * math.acos(2 * likeness / (1 + likeness)) / math.pi
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS hashes: of each of so many orders of the set the first."""
+    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (low[at : at + 2048] * _ODD[0] + high[at : at + 2048] * _ODD[1]).min(axis=1), out=least)
+    return least
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 6, windows: int = 5
-) -> DataFrame:
-    """One row per input row: id_col, fp, component_id, linked by shingle likeness of `least` or more.
+def _signatures(column: Column, shingle: int) -> Column:
+    """fp, node (a digest of the set of shingles), anchors (of the bands), sketch; no anchors for a text without words."""
+    digest = xxhash.xxh64_intdigest
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                hashes = shingle_hashes(text, shingle)
+                fp, hashes = _simhash_of(hashes, 1).view(np.int64)[0], np.unique(hashes)
+                least = least_hashes(hashes)
+                bands = [digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else []
+                node = np.uint64(digest(hashes.tobytes(), SEED)).view(np.int64)
+                rows.append((fp, node, np.array(bands, np.uint64).view(np.int64), least.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["fp", "node", "anchors", "sketch"])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, "fp long, node long, anchors array<long>, sketch binary")(column)
+
+
+def _forest(sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a likest spanning forest over pairs of `least` equal bytes or more (Prim)."""
+    n = len(sketch)
+    near, by = np.full(n, -1), np.zeros(n, np.int64)
+    out_of, a, b = np.ones(n, bool), [], []
+    at = 0
+    for _ in range(n - 1):
+        out_of[at] = False
+        near[at] = -1
+        like = np.count_nonzero(sketch == sketch[at], axis=1)
+        closer = out_of & (like > near)
+        near[closer], by[closer] = like[closer], at
+        at = int(near.argmax())
+        if near[at] >= least:
+            a.append(int(by[at]))
+            b.append(at)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _by_group(keys: list[str], of_groups):
+    """Sorted rows of a partition to what of_groups makes of whole groups; groups of many rows are held one at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None or held.empty else pd.concat([held, batch])
+            k = held[keys].to_numpy()
+            new = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            if len(new):
+                yield of_groups(held.iloc[: new[-1]])
+                held = held.iloc[new[-1] :]
+        if held is not None and len(held):
+            yield of_groups(held)
+
+    return run
+
+
+def _propose(least: int):
+    """Rows (anchor, left, right, node, sketch) to links that have the components of all pairs that meet and whose
+    sketches agree in `least` bytes or more."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        k = rows[["anchor", "left", "right"]].to_numpy()
+        node = rows["node"].to_numpy()
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH)
+        start = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1]
+        size = np.diff(np.r_[start, len(k)])
+        group = np.repeat(np.arange(len(start)), size)
+        small = np.flatnonzero(np.repeat(size <= SMALL, size))
+        found = [(node[:0], node[:0])]
+        near = []
+        for step in range(1, int(min(SMALL, size.max()))):
+            a = small[small + step < len(group)]
+            a = a[group[a] == group[a + step]]
+            like = np.count_nonzero(sketch[a] == sketch[a + step], axis=1)
+            near.append((a[like >= least], a[like >= least] + step, like[like >= least]))
+        if near:
+            a, b, like = (np.concatenate(x) for x in zip(*near, strict=True))
+            kept = _thinned(node[a], node[b], -like)
+            found.append((node[a[kept]], node[b[kept]]))
+        for g in np.flatnonzero(size > SMALL):
+            own = slice(start[g], start[g] + size[g])
+            a, b = _forest(sketch[own], least)
+            found.append((node[own][a], node[own][b]))
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return _by_group(["anchor", "left", "right"], links)
+
+
+def exact_links(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Links of a spanning forest over all pairs of sets (not empty) of Jaccard likeness `least` or more."""
+    size = np.array([len(x) for x in sets])
+    kinds, code = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(code, np.cumsum(size)[:-1])
+    left, waiting, a, b = np.arange(len(sets)), [], [], []
+    flat, start = code, np.r_[0, np.cumsum(size)[:-1]]
+    while len(left):
+        at = waiting.pop() if waiting else int(left[0])
+        if at == left[0] or at in left:
+            left = left[left != at]
+            if not len(left):
+                break
+            flat = np.concatenate([codes[i] for i in left])
+            start = np.r_[0, np.cumsum(size[left])[:-1]]
+        own = np.zeros(len(kinds), bool)
+        own[codes[at]] = True
+        both = np.add.reduceat(own[flat], start, dtype=np.int64)
+        hit = both >= least * (size[left] + size[at] - both) - 1e-9
+        if hit.any():
+            to = left[hit].tolist()
+            a += [at] * len(to)
+            b += to
+            waiting += to
+            left = left[~hit]
+            if len(left):
+                flat = np.concatenate([codes[i] for i in left])
+                start = np.r_[0, np.cumsum(size[left])[:-1]]
+    return a, b
+
+
+def _verify(shingle: int, least: float):
+    """Rows (root, left, right, node, body) to links of the exact likeness of the texts."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for _, own in rows.groupby(["root", "left", "right"], sort=False):
+            node = own["node"].to_numpy()
+            a, b = exact_links([np.unique(shingle_hashes(t, shingle)) for t in own["body"]], least)
+            u.append(node[a])
+            v.append(node[b])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return _by_group(["root", "left", "right"], links)
+
+
+def _blocks(rows: DataFrame, sized: DataFrame, key: str, block: int) -> DataFrame:
+    """rows (key, node, ...) of the keys of `sized` (key, count) in pairs of blocks, each pair by itself: left, right."""
+    met = rows.join(sized, key).withColumn("parts", F.ceil(F.col("count") / block).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("node", key), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other")).drop("parts", "count", "part", "other")
 
-    A link has to agree in the first word (2.5 deviations beyond the expected bits) and is then verified over all
-    words: within the bits expected at `least`, and half a deviation more, as the estimate is off either way.
+
+def _verified_links(firsts: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(u, v): links of likeness `least` or more by the texts.
+
+    Pairs that meet at a band and whose sketches do not rule them out make groups of candidates. Within a group all
+    pairs of texts are compared in full, block by block, and the links that hold are thinned to a spanning forest.
     """
-    rows = _fingerprints(docs, id_col, text_col, shingle, words)
-    firsts = _first_rows(rows)
-    lows = [round(k * 44 / max(1, windows - 1)) for k in range(windows)]
-    of_words = [Window(w, low, 20, 7, False) for w in range(words) for low in lows]
-    first, whole = bits_apart(least, 64), bits_apart(least, 64 * words)
-    loose = round(first + 2.5 * math.sqrt(first * (1 - first / 64)))
-    tight = round(whole + 0.5 * math.sqrt(whole * (1 - whole / 64 / words)))
-    edges = links(firsts.where(F.exists("words", lambda w: w != 0)), of_words, loose).distinct()
-    of = firsts.select("node", "words")
-    both = edges.join(of.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
-    gap = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return _named(rows, firsts, both.where(gap <= tight).select("u", "v"), id_col)
+    share = least + (1 - least) / 256
+    loose = math.floor(SKETCH * share - DEVIATIONS * math.sqrt(SKETCH * share * (1 - share)))
+    at = firsts.select(F.explode("anchors").alias("anchor"), "node")
+    shared = materialise(at.groupBy("anchor").count().where("count > 1"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_SHARED else shared
+    met = _blocks(at, shared, "anchor", BAND_BLOCK).join(firsts.select("node", "sketch"), "node")
+    met = met.select("anchor", "left", "right", "node", "sketch").repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right")
+    roots = materialise(components(met.mapInPandas(_propose(loose), "u long, v long")), "candidates")
+    few = roots.count() <= BROADCAST_NODES
+    bodies = rows.select("node", "body").join(F.broadcast(roots) if few else roots, "node").groupBy("node", "root").agg(F.min("body").alias("body"))
+    sized = roots.groupBy("root").count()
+    dealt = _blocks(bodies, F.broadcast(sized) if few else sized, "root", TEXT_BLOCK).select("root", "left", "right", "node", "body")
+    dealt = dealt.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right")
+    return dealt.mapInPandas(_verify(shingle, least), "u long, v long")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8
+) -> DataFrame:
+    """One row per input row: id_col, fp, component_id, linked by shingle likeness of `least` or more."""
+    said = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"))
+    said = said.select("id", "body", _signatures(F.col("body"), shingle).alias("s")).select("id", "body", "s.*")
+    rows = materialise(said, "signatures")
+    firsts = rows.groupBy("node").agg(F.min("id").alias("first_id"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
+    firsts = materialise(firsts, "firsts")
+    roots = components(_verified_links(firsts, rows, shingle, least))
+    grouped = firsts.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
+    return rows.select("id", "fp", "node").join(named, "node").select(F.col("id").alias(id_col), "fp", "component_id")
