@@ -16,6 +16,7 @@ no rows; with one row its next document is itself. Rows of equal identifiers fol
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .simhash import _blocks, _by_group, _forest
 from .shared import materialise, text_or_empty
 
 SLOTS, BAND = 64, 2
+#: Fingerprints that share a band are compared in blocks of so many.
+BLOCK = 1024
 #: Texts over so many characters are walked one by one, shorter ones side by side.
 LONG = 20_000
 #: Texts walked side by side.
@@ -159,22 +163,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(banded, equal / F.lit(float(SLOTS))).otherwise(0.0)
 
 
+def _links(equal: int):
+    """Rows (value, left, right, node) to a spanning forest of the links of `equal` slots or more in each group."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for _, own in rows.groupby(["value", "left", "right"], sort=False):
+            node = own["node"].to_numpy()
+            a, b = _forest(np.frombuffer(bytes.fromhex("".join(node)), np.uint8).reshape(-1, SLOTS), equal)
+            u.append(node[a])
+            v.append(node[b])
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
+
+    return _by_group(["value", "left", "right"], links)
+
+
 def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band: int = 16) -> DataFrame:
-    """(id, fingerprint, group_id): documents linked by a shared band of `band` slots and verified likeness.
+    """(id, fingerprint, group_id): documents linked by a likeness of `least` (above 0) or more, all such links.
 
-    Equal fingerprints are one row; within a band each is compared with the least and the next one in order, so that
-    links grow with the rows, not with the pairs of a group.
+    Bands have `band` slots at most, and no more than let two fingerprints of that likeness differ in every band; bands
+    of BAND slots find whatever has a likeness. Equal fingerprints are one row; all that share a band are compared,
+    block by block, and the links that hold are thinned to a spanning forest, so that they grow with the rows.
     """
+    equal = max(1, math.ceil(least * SLOTS - 1e-9))
+    band = max(BAND, min(band, SLOTS // (SLOTS - equal + 1)))
     rows = materialise(docs.select(F.col(id_col), fingerprint(text_or_empty(text_col)).alias("fingerprint")), "fingerprints")
-    firsts = rows.groupBy("fingerprint").agg(F.min(id_col).alias("first_id"))
-    bands = firsts.select(
-        "fingerprint",
-        F.posexplode(F.array(*(F.substring("fingerprint", 2 * s + 1, 2 * band) for s in range(0, SLOTS, band)))).alias("band", "value"),
-    )
-    least_of = bands.groupBy("band", "value").agg(F.min("fingerprint").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = bands.join(least_of, ["band", "value"]).select(F.col("fingerprint").alias("u"), "v").where("u <> v").distinct()
-    edges = edges.where(likeness(F.col("u"), F.col("v")) >= least)
-    roots = components(edges).select(F.col("node").alias("fingerprint"), "root")
+    firsts = materialise(rows.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")), "firsts")
+    values = (F.xxhash64(F.lit(s), F.substring("fingerprint", 2 * s + 1, 2 * band)) for s in range(0, SLOTS, band))
+    bands = firsts.select(F.col("fingerprint").alias("node"), F.explode(F.array(*values)).alias("value"))
+    shared = materialise(bands.groupBy("value").count().where("count > 1"), "shared")
+    dealt = _blocks(bands, shared, "value", BLOCK).select("value", "left", "right", "node")
+    dealt = dealt.repartition("value", "left", "right").sortWithinPartitions("value", "left", "right")
+    roots = components(dealt.mapInPandas(_links(equal), "u string, v string")).select(F.col("node").alias("fingerprint"), "root")
     grouped = firsts.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("fingerprint", "group_id")
     return rows.join(named, "fingerprint").select(id_col, "fingerprint", "group_id")

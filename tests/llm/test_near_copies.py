@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from rivulet.llm import simhash
+from rivulet.llm import fingerprints, simhash
 
 
 def shingles(text, n=5):
@@ -80,3 +80,21 @@ def test_crowded_family(spark):
     want = groups_of(texts)
     assert 1 < len(set(want)) < len(texts)
     assert found(spark, texts) == want
+
+
+def test_near_groups(spark):
+    """All links of the fingerprints, against all pairs."""
+    rng, texts = np.random.default_rng(8), []
+    for _ in range(12):
+        base = " ".join(words(rng, 60))
+        texts += [base, *(base[:at] + "##" + base[at:] for at in rng.integers(0, len(base), 6))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slots, root = fingerprints._slots(texts), list(range(len(texts)))
+    bands = slots.reshape(len(texts), -1, fingerprints.BAND)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (slots[i] == slots[j]).mean() >= 0.8 and (bands[i] == bands[j]).all(axis=1).any():
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert 12 < len(set(root)) < len(texts)
+    got = {r["doc_id"]: r["group_id"] for r in fingerprints.near_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == root
