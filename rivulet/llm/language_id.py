@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slots that n-grams are hashed into; a power of two.
@@ -49,6 +49,17 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def lettered(column: Column) -> Column:
+    """has_letter of each text."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([isinstance(t, str) and has_letter(t) for t in texts], dtype=bool)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "boolean")(column)
+
+
 @dataclass
 class Model:
     labels: list[str]
