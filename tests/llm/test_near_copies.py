@@ -98,3 +98,20 @@ def test_near_groups(spark):
     assert 12 < len(set(root)) < len(texts)
     got = {r["doc_id"]: r["group_id"] for r in fingerprints.near_groups(docs).collect()}
     assert [got[i] for i in range(len(texts))] == root
+
+
+def test_isolated_pairs(spark):
+    """Pairs without a third copy, by likeness: all from 0.8 on, none below; short texts too."""
+    rng, texts = np.random.default_rng(9), []
+    for likeness in (0.7, 0.75, 0.78, 0.81, 0.83, 0.85, 0.9):
+        for _ in range(150):
+            base = words(rng, 300)
+            texts += [" ".join(base), " ".join(likened(rng, base, likeness))]
+    for _ in range(150):
+        base = words(rng, 9)
+        texts += [" ".join(base[:8]), " ".join(base)]  # 4 and 5 shingles, alike in 0.8
+    want, got = groups_of(texts), found(spark, texts)
+    for k in range(8):
+        own = range(300 * k + 1, 300 * k + 300, 2)
+        print(k, sum(want[i] != i for i in own), sum(got[i] != i for i in own))
+    assert got == want and sum(g != i for i, g in enumerate(want)) >= 600
