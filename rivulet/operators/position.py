@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POS = "__pos"
+#: Rows of a table that is broadcast: one for each range.
+BROADCAST_RANGES = 100_000
+
+
+def range_bounds(df: DataFrame, key: str, ranges: int, accuracy: int = 10_000) -> list:
+    """Ascending values that cut the key into about equal ranges."""
+    cuts = [k / ranges for k in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(key, F.array(*map(F.lit, cuts)), F.lit(accuracy)).alias("b")).first()["b"] if cuts else None
+    return sorted(set(bounds or []))
+
+
+def range_of(key: Column, bounds: list) -> Column:
+    """The number of bounds below the key, found in two steps: among every k-th bound, then among the k that follow;
+    so a row looks at twice the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    k = isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + k] for i in range(0, len(bounds), k)]
+    below = lambda held: F.size(F.filter(held, lambda b: b < key))
+    if len(groups) == 1:
+        return below(F.lit(bounds))
+    coarse = below(F.lit([g[-1] for g in groups]))  # groups that lie below the key as a whole
+    within = below(F.element_at(F.array(*map(F.lit, groups)), F.least(coarse + 1, F.lit(len(groups)))))
+    return F.when(coarse == len(groups), F.lit(len(bounds))).otherwise(coarse * k + within)
 
 
 def with_position(df: DataFrame, key: str, ranges: int | None = None, pos: str = POS) -> DataFrame:
     """Adds the 0-based rank of a unique numeric key. Rows are cut into ranges of the key; a task numbers its range
     and adds the rows of the ranges before it, one number a range."""
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [k / ranges for k in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(key, F.array(*map(F.lit, cuts))).alias("b")).first()["b"] if cuts else None
-    bounds = sorted(set(bounds or []))
-    at = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    dealt = df.withColumn("__range", at)
-    before, total = {}, 0
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__range", range_of(F.col(key), range_bounds(df, key, ranges)))
+    before, total = [], 0
     for r in dealt.groupBy("__range").count().orderBy("__range").collect():  # one row a range
-        before[r["__range"]] = total
+        before.append((r["__range"], total))
         total += r["count"]
-    offset = F.lit([before.get(i, 0) for i in range(len(bounds) + 1)])
+    offsets = spark.createDataFrame(before, "__range int, __before long")
+    offsets = F.broadcast(offsets) if len(before) <= BROADCAST_RANGES else offsets
     own = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
-    return dealt.withColumn(pos, (own + F.element_at(offset, F.col("__range") + 1)).cast("long")).drop("__range")
+    return dealt.withColumn(pos, own).join(offsets, "__range").withColumn(pos, (F.col(pos) + F.col("__before")).cast("long")).drop("__range", "__before")
