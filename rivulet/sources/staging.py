@@ -32,6 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def paths() -> set[str]:
+    """What new_path has given and nothing has removed."""
+    return set(_WRITTEN)
+
+
 def discard(*paths: str) -> None:
     """Removes what was written at paths of new_path, once nothing reads it any more."""
     for path in paths:
