@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import discard, new_path, written
 
 
 def _pointed(edges: DataFrame) -> DataFrame:
@@ -35,16 +35,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (u, v) of any orderable type to (node, root): root is the least node that can be reached.
 
     Nodes without an edge are absent. Groups are combined before each shuffle, edges stay as many as they were at
-    most, and each round is written to the shared folder.
+    most, and each round is written to the shared folder, in place of the round before.
     """
-    now = materialise(_pointed(edges), "edges")
+    path = new_path(edges.sparkSession, "edges")
+    now = written(_pointed(edges), path)
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
-        now = materialise(_pointed(_small_star(_pointed(_large_star(now)))), "edges")
+        before, last = state, path
+        path = new_path(edges.sparkSession, "edges")
+        now = written(_pointed(_small_star(_pointed(_large_star(now)))), path)
+        discard(last)
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -10,12 +10,13 @@ Leaf totals are summed before they are collected: one row a leaf, `max_leaves` a
 sums within a leaf run over slices of the random order, so no task gets a whole leaf.
 
 Tokens are words between white space; null text counts as empty (no tokens, never selected). Null language or source
-is a leaf of its own, ''. Repeated rows are read each; ties of the random order go by the identifier. Weights that
-are not named are 1; weights of 0 give nothing.
+is a leaf of its own, ''. Repeated rows are read each; ties of the random order go by the identifier. Rows without an
+identifier share one place in the order. Weights that are not named are 1; weights of 0 give nothing.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,18 +50,25 @@ def share(budget: float, weights: list[float], room: list[float]) -> list[float]
 def allot(budget: float, leaves: dict[tuple, float], weights: dict[tuple, float]) -> dict[tuple, float]:
     """Budget of every leaf. leaves: what each can give; weights: by path, of one name up to the leaf's."""
 
-    def usable(path: tuple) -> float:
-        under = [v for k, v in leaves.items() if k[: len(path)] == path and all(weights.get(k[:i], 1.0) > 0 for i in range(len(path) + 1, len(k) + 1))]
-        return sum(under)
-
-    def down(path: tuple, amount: float, depth: int) -> dict[tuple, float]:
-        if path in leaves and len(path) == depth:
-            return {path: amount}
-        children = sorted({k[: len(path) + 1] for k in leaves if k[: len(path)] == path})
-        parts = share(amount, [weights.get(c, 1.0) for c in children], [usable(c) for c in children])
-        return {k: v for c, p in zip(children, parts, strict=True) for k, v in down(c, p, depth).items()}
-
-    return down((), budget, len(next(iter(leaves)))) if leaves else {}
+    depth = len(next(iter(leaves))) if leaves else 0
+    room: defaultdict[tuple, float] = defaultdict(float)  # what each node can use: leaves under it that no weight of 0 bars
+    children: defaultdict[tuple, set] = defaultdict(set)
+    for leaf, n in leaves.items():
+        for k in range(depth, -1, -1):
+            room[leaf[:k]] += n
+            if k:
+                children[leaf[: k - 1]].add(leaf[:k])
+                if weights.get(leaf[:k], 1.0) <= 0:
+                    n = 0.0
+    out, waiting = {}, [((), budget)] if leaves else []
+    while waiting:
+        path, amount = waiting.pop()
+        if len(path) == depth:
+            out[path] = amount
+            continue
+        own = sorted(children[path])
+        waiting += zip(own, share(amount, [weights.get(c, 1.0) for c in own], [room[c] for c in own]), strict=True)
+    return out
 
 
 def tokens(text: Column) -> Column:
@@ -78,14 +86,16 @@ def mix(
     max_leaves: int = 20_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order_by: Column | None = None,
 ) -> DataFrame:
     """(id, domain, lang, source, epoch, n_tokens, take_tokens): the documents selected, once an epoch.
 
     budget: tokens, or below 1 that share of what there is. domain: names the top of the tree; one domain by default.
+    order_by: what the random order is drawn from with the seed, the identifier by default.
     """
     top = domain() if domain else F.lit("all")
     rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(top, F.lit("")).alias("domain"),
+        F.col(id_col).alias("id"), (F.col(id_col) if order_by is None else order_by).cast("string").alias("name"), F.coalesce(top, F.lit("")).alias("domain"),
         F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         tokens(text_or_empty(text_col)).alias("n_tokens"),
     )
@@ -104,8 +114,8 @@ def mix(
 
 
 def select_prefixes(rows: DataFrame, quota: DataFrame, seed: int, id_col: str) -> DataFrame:
-    """rows (id, leaf, n_tokens) in the order of their epoch up to the leaf's quota."""
-    order = F.md5(F.concat_ws("-", F.lit(seed), F.col("epoch"), F.col("id")).cast("binary"))
+    """rows (id, name, leaf, n_tokens) in the order of their epoch up to the leaf's quota."""
+    order = F.md5(F.concat_ws("-", F.lit(seed), F.col("epoch"), F.col("name")).cast("binary"))
     dealt = rows.join(F.broadcast(quota), list(LEAF)).withColumn("order", order).withColumn("slice", F.substring("order", 1, SLICE_DIGITS))
     leaf = (*LEAF, "epoch")
     sums = dealt.groupBy(*leaf, "slice").agg(F.sum("n_tokens").alias("n"))

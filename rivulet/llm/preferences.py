@@ -4,12 +4,16 @@ Chosen and rejected conversations of a pair are compared turn by turn; the turns
 (in role or text, or because one side has ended) are their common prefix. The prefix is rendered once as the prompt,
 what remains of each side as its completion. Loss is taken on assistant turns of completions alone.
 
-Rows are turns: a pair's prompt or completion is its rows in order of `place`, so a conversation of any length is
-spread over tasks and never gathered; `assemble` joins the rows of pairs where whole strings are wanted.
+`format_preferences` gives a row a turn, so that a conversation of any length is spread over tasks. `assemble` joins
+them to paired rows: prompt, both completions, and the mask of each. A pair of more than `most` turns is several rows,
+pieces in order, so that no row and no group grows with the longest conversation.
+
+`against_others` makes pairs of plain conversations: the rejected side has the last assistant turn of another one.
 
 Null role and null text count as empty. Turns are ordered by number; of turns that share a number in one conversation,
 order is by role, then text, and repeated ones are all kept. A pair with one side only has no prompt, and all turns
-of that side are its completion. Rows without a conversation or turn number are left out. Further columns are ignored.
+of that side are its completion; a pair of equal sides is all prompt. Rows without a conversation or turn number are
+left out. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,15 +56,41 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, conv: str
     )
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, rejected) as strings, and the loss of each completion turn in order. A pair's turns
-    meet in one row here: for conversations that fit in one."""
-    turns = F.sort_array(F.collect_list(F.struct("turn", "nth", "rendered", "loss")))
-    parts = rows.groupBy("pair_id", "part").agg(turns.alias("t"))
-    text = F.array_join(F.transform("t", lambda x: x["rendered"]), "")
-    parts = parts.select("pair_id", "part", text.alias("text"), F.transform("t", lambda x: x["loss"]).alias("loss"))
-    of = lambda name, what: F.max(F.when(F.col("part") == name, F.col(what)))
-    return parts.groupBy("pair_id").agg(
-        *(F.coalesce(of(p, "text"), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")),
-        *(of(p, "loss").alias(f"{p}_loss") for p in ("chosen", "rejected")),
+def against_others(turns: DataFrame, partner: Column, conv: str = "conv_id") -> DataFrame:
+    """turns (conv, turn, role, text) to the same with `chosen`: each conversation as it is, and once more with its last
+    assistant turn replaced by that of the conversation `partner` names; without one, the rejected side ends before it."""
+    own = turns.where(F.col(conv).isNotNull() & F.col("turn").isNotNull()).select(
+        F.col(conv), partner.alias("__partner"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    lasts = own.groupBy(conv, "__partner").agg(F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).alias("last"))
+    others = lasts.select(F.col(conv).alias("__partner"), F.col("last.text").alias("instead"))
+    swaps = lasts.where("last is not null").join(others, "__partner", "left").select(conv, "last", "instead")
+    met = own.join(swaps, conv, "left")
+    swapped = (F.col("role") == "assistant") & F.struct("turn", "text").eqNullSafe(F.col("last"))
+    sides = F.array(
+        F.struct(F.lit(True).alias("chosen"), F.col("text").alias("said")),
+        F.struct(F.lit(False).alias("chosen"), F.when(swapped, F.col("instead")).otherwise(F.col("text")).alias("said")),
+    )
+    both = met.select(conv, "turn", "role", F.explode(sides).alias("s"))
+    return both.where("s.said is not null").select(conv, "turn", "role", F.col("s.said").alias("text"), "s.chosen")
+
+
+def assemble(rows: DataFrame, most: int = 4096) -> DataFrame:
+    """(pair_id, piece, n_prompt, prompt, chosen, rejected, chosen_mask, rejected_mask), rows of format_preferences paired.
+
+    A mask lists loss:characters of each turn of a completion, so that it covers the completion. Pairs of up to `most`
+    turns are piece 0; of longer ones a piece has the turns of 64 numbers, 64 of a number at most, and pieces ascend.
+    """
+    sized = rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("least")).where(F.col("n") > most)
+    block = (F.floor((F.col("turn") - F.col("least")) / 64) * F.lit(1 << 31) + F.floor((F.col("nth") - 1) / 64)).cast("long")
+    dealt = rows.join(sized, "pair_id", "left").withColumn("piece", F.coalesce(block, F.lit(0).cast("long")))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "nth", "part", "rendered", "loss")))
+    held = dealt.groupBy("pair_id", "piece").agg(turns.alias("t"))
+    of = lambda part: F.filter("t", lambda x: x["part"] == part)
+    text = lambda part: F.array_join(F.transform(of(part), lambda x: x["rendered"]), "")
+    run = lambda x: F.concat(x["loss"].cast("string"), F.lit(":"), F.char_length(x["rendered"]).cast("string"))
+    mask = lambda part: F.array_join(F.transform(of(part), run), ",")
+    return held.select(
+        "pair_id", "piece", F.size(of("prompt")).alias("n_prompt"), *(text(p).alias(p) for p in ("prompt", "chosen", "rejected")),
+        *(mask(p).alias(f"{p}_mask") for p in ("chosen", "rejected")),
     )

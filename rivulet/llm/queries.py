@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, fingerprints, language_id, lattice_lm, license_scan, mixing, packing, preferences, simhash, token_counts
-from .shared import documents, remainder
-
-#: Where the public vocabulary files lie.
-TOKENIZERS = os.environ.get("RIVULET_TOKENIZERS", "/opt/tokenizers")
-
+from .shared import documents, remainder, vocabulary
 
 #: The mixture: domains by the source's number, twice the weight on the first, and on English within it.
 MIX_BUDGET = 0.6
@@ -25,16 +19,15 @@ def source_domain() -> Column:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(
-        documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048, payload=(F.crc32("ids").alias("ids_crc32"),)
-    )
+    packed = packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048, payload=(F.crc32("ids").alias("ids_crc32"),))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
+    """Each conversation against itself with the last assistant turn of its neighbour, 2k and 2k + 1 being neighbours."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return preferences.format_preferences(turns, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0)
+    both = preferences.against_others(turns, F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")))
+    return preferences.assemble(preferences.format_preferences(both, F.col("conv_id"), F.col("chosen")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +61,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model", limit=4096)
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +70,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lattice_lm.score(documents(spark, sf_dir), remainder(10) != 0, f"{TOKENIZERS}/piece_bpe_32k.model")
+    scored = lattice_lm.score(documents(spark, sf_dir), remainder(10) != 0, vocabulary("piece_bpe_32k.model"))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -96,11 +89,18 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_chat_formatting": """
-        WITH own AS (
-          SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, (conv_id % 2) = 0 AS chosen, turn,
-                 coalesce(role, '') AS role, coalesce(text, '') AS text,
-                 row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) AS nth
-          FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        WITH plain AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        lasts AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS last FROM plain WHERE role = 'assistant' GROUP BY conv_id),
+        swaps AS (SELECT a.conv_id, a.last, b.last.text AS instead FROM lasts a LEFT JOIN lasts b ON b.conv_id = xor(a.conv_id, 1)),
+        both_sides AS (
+          SELECT conv_id AS pair_id, true AS chosen, turn, role, text FROM plain
+          UNION ALL
+          SELECT * FROM (
+            SELECT p.conv_id, false, p.turn, p.role,
+                   CASE WHEN p.role = 'assistant' AND s.last IS NOT NULL AND p.turn = s.last.turn AND p.text = s.last.text THEN s.instead ELSE p.text END AS text
+            FROM plain p LEFT JOIN swaps s ON p.conv_id = s.conv_id) WHERE text IS NOT NULL),
+        own AS (SELECT *, row_number() OVER (PARTITION BY pair_id, chosen, turn ORDER BY role, text) AS nth FROM both_sides),
         firsts AS (
           SELECT pair_id, min(CASE WHEN differs THEN {'turn': turn, 'nth': nth} END) AS first FROM (
             SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, coalesce(a.nth, b.nth) AS nth,
@@ -109,11 +109,22 @@ ORACLE_SQL = {
               ON a.pair_id = b.pair_id AND a.turn = b.turn AND a.nth = b.nth)
           GROUP BY pair_id),
         placed AS (
-          SELECT own.*, first IS NULL OR {'turn': turn, 'nth': nth} < first AS shared FROM own JOIN firsts USING (pair_id))
-        SELECT pair_id, CASE WHEN shared THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part, turn,
-               CAST(nth AS INTEGER) AS nth, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
-               CAST(NOT shared AND role = 'assistant' AS INTEGER) AS loss
-        FROM placed WHERE chosen OR NOT shared""",
+          SELECT own.*, first IS NULL OR {'turn': turn, 'nth': nth} < first AS shared FROM own JOIN firsts USING (pair_id)),
+        parts AS (
+          SELECT pair_id, CASE WHEN shared THEN 'prompt' WHEN chosen THEN 'chosen' ELSE 'rejected' END AS part, turn, nth,
+                 '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+                 CASE WHEN NOT shared AND role = 'assistant' THEN '1' ELSE '0' END AS loss
+          FROM placed WHERE chosen OR NOT shared),
+        pieces AS (
+          SELECT *, CASE WHEN count(*) OVER p > 4096 THEN ((turn - min(turn) OVER p) // 64) * 2147483648 + (nth - 1) // 64 ELSE 0 END AS piece
+          FROM parts WINDOW p AS (PARTITION BY pair_id))
+        SELECT pair_id, CAST(piece AS BIGINT) AS piece, CAST(count(*) FILTER (part = 'prompt') AS INTEGER) AS n_prompt,
+               coalesce(string_agg(rendered, '' ORDER BY turn, nth) FILTER (part = 'prompt'), '') AS prompt,
+               coalesce(string_agg(rendered, '' ORDER BY turn, nth) FILTER (part = 'chosen'), '') AS chosen,
+               coalesce(string_agg(rendered, '' ORDER BY turn, nth) FILTER (part = 'rejected'), '') AS rejected,
+               coalesce(string_agg(loss || ':' || length(rendered), ',' ORDER BY turn, nth) FILTER (part = 'chosen'), '') AS chosen_mask,
+               coalesce(string_agg(loss || ':' || length(rendered), ',' ORDER BY turn, nth) FILTER (part = 'rejected'), '') AS rejected_mask
+        FROM pieces GROUP BY pair_id, piece""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -2,47 +2,35 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from rivulet.sources.staging import discard, new_path, paths
 
+__all__ = ["discard", "documents", "materialise", "new_path", "paths", "remainder", "text_or_empty", "vocabulary", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark).rstrip('/')}/rivulet-{uuid.uuid4().hex[:12]}/{name}"
-    _WRITTEN.append((spark, path))
-    return path
+def written(df: DataFrame, path: str, **options) -> DataFrame:
+    """df as Parquet at the path, read back."""
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), **options) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and a lost executor
     costs nothing but a reread. The files are removed when the driver ends."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, new_path(df.sparkSession, name), **options)
+
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; the environment variable RIVULET_TOKENIZERS names another folder."""
+    if folder := os.environ.get("RIVULET_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session is gone: the cluster's own cleaning applies
-            return
+    return str(public_tokenizers.path(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
