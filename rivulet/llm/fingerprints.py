@@ -11,7 +11,8 @@ for an empty text), in hexadecimal. Banding: consecutive slots form bands; two t
 band. Verification: candidates are compared on all slots; likeness is the share of equal slots, 0 for others.
 
 Null text counts as empty; two empty texts are alike (1). Equal texts have equal fingerprints. An empty table gives
-no rows; with one row its next document is itself. Rows of equal identifiers follow each other in any order.
+no rows; with one row its next document is itself. Rows of equal identifiers follow each other in any order; rows
+without an identifier come first. Identifiers are numbers.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.operators.position import BROADCAST_RANGES, range_bounds, range_of
+
 from .components import components
-from .simhash import _blocks, _by_group, _forest
 from .shared import materialise, text_or_empty
+from .simhash import BROADCAST_SHARED, _blocks, _by_group, _forest
 
 SLOTS, BAND = 64, 2
 #: Fingerprints that share a band are compared in blocks of so many.
@@ -164,13 +167,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _links(equal: int):
-    """Rows (value, left, right, node) to a spanning forest of the links of `equal` slots or more in each group."""
+    """Rows (value, left, right, node, slots) to a spanning forest of the links of `equal` slots or more in each group."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         u, v = [], []
         for _, own in rows.groupby(["value", "left", "right"], sort=False):
             node = own["node"].to_numpy()
-            a, b = _forest(np.frombuffer(bytes.fromhex("".join(node)), np.uint8).reshape(-1, SLOTS), equal)
+            a, b = _forest(np.frombuffer(b"".join(own["slots"]), np.uint8).reshape(-1, SLOTS), equal)
             u.append(node[a])
             v.append(node[b])
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)})
@@ -178,8 +181,9 @@ def _links(equal: int):
     return _by_group(["value", "left", "right"], links)
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band: int = 16) -> DataFrame:
-    """(id, fingerprint, group_id): documents linked by a likeness of `least` (above 0) or more, all such links.
+def group_fingerprints(rows: DataFrame, least: float, id_col: str, band: int = 16) -> DataFrame:
+    """(fingerprint, group_id) of rows (id_col, fingerprint): fingerprints linked by a likeness of `least` (above 0) or
+    more, all such links; the group is named by its least identifier.
 
     Bands have `band` slots at most, and no more than let two fingerprints of that likeness differ in every band; bands
     of BAND slots find whatever has a likeness. Equal fingerprints are one row; all that share a band are compared,
@@ -187,17 +191,23 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     """
     equal = max(1, math.ceil(least * SLOTS - 1e-9))
     band = max(BAND, min(band, SLOTS // (SLOTS - equal + 1)))
-    rows = materialise(docs.select(F.col(id_col), fingerprint(text_or_empty(text_col)).alias("fingerprint")), "fingerprints")
-    firsts = materialise(rows.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")), "firsts")
-    values = (F.xxhash64(F.lit(s), F.substring("fingerprint", 2 * s + 1, 2 * band)) for s in range(0, SLOTS, band))
-    bands = firsts.select(F.col("fingerprint").alias("node"), F.explode(F.array(*values)).alias("value"))
+    firsts = rows.groupBy("fingerprint").agg(F.min(id_col).alias("first_id"))
+    firsts = materialise(firsts.select("*", F.unhex(F.md5("fingerprint")).alias("node"), F.unhex("fingerprint").alias("slots")), "firsts")
+    values = (F.xxhash64(F.lit(s), F.substring("slots", s + 1, band)) for s in range(0, SLOTS, band))
+    bands = firsts.select("node", F.explode(F.array(*values)).alias("value"))
     shared = materialise(bands.groupBy("value").count().where("count > 1"), "shared")
-    dealt = _blocks(bands, shared, "value", BLOCK).select("value", "left", "right", "node")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_SHARED else shared
+    dealt = _blocks(bands, shared, "value", BLOCK).join(firsts.select("node", "slots"), "node").select("value", "left", "right", "node", "slots")
     dealt = dealt.repartition("value", "left", "right").sortWithinPartitions("value", "left", "right")
-    roots = components(dealt.mapInPandas(_links(equal), "u string, v string")).select(F.col("node").alias("fingerprint"), "root")
-    grouped = firsts.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("fingerprint", "group_id")
-    return rows.join(named, "fingerprint").select(id_col, "fingerprint", "group_id")
+    roots = components(dealt.mapInPandas(_links(equal), "u binary, v binary"))
+    grouped = firsts.select("node", "first_id", "fingerprint").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("group_id")), "root").select("fingerprint", "group_id")
+
+
+def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", band: int = 16) -> DataFrame:
+    """(id, fingerprint, group_id): documents linked by a likeness of `least` (above 0) or more, all such links."""
+    rows = materialise(docs.select(F.col(id_col), fingerprint(text_or_empty(text_col)).alias("fingerprint")), "fingerprints")
+    return rows.join(group_fingerprints(rows, least, id_col, band), "fingerprint").select(id_col, "fingerprint", "group_id")
 
 
 def with_next(rows: DataFrame, columns: tuple[str, ...], ranges: int) -> DataFrame:
@@ -206,26 +216,22 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], ranges: int) -> DataFra
     Rows are dealt to ranges of the identifier, the least row of each range also to the range before it; so a window
     over a range sees every next row, and no task sees more than its range.
     """
-    cuts = [k / ranges for k in range(1, ranges)]
-    bounds = rows.agg(F.percentile_approx("id", F.array(*map(F.lit, cuts)), F.lit(10_000)).alias("b")).first()["b"] if cuts else []
-    bounds = sorted(set(bounds or []))
-    of = F.size(F.filter(F.lit(bounds) if bounds else F.expr("cast(array() as array<bigint>)"), lambda b: b < F.col("id")))
-    dealt = rows.withColumn("range", of)
+    dealt = rows.withColumn("range", range_of(F.col("id"), range_bounds(rows, "id", ranges)))
     heads = dealt.groupBy("range").agg(F.min("id").alias("head")).orderBy("range").collect()  # one row a range
-    if not heads:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    before = {r["head"]: heads[i - 1]["range"] for i, r in enumerate(heads)}
-    heads_of = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v)))
-    to = F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("guest")), F.struct(F.element_at(heads_of, F.col("id")).alias("at"), F.lit(True).alias("guest")))
-    copies = dealt.select("id", *columns, F.explode(F.filter(to, lambda t: t["at"].isNotNull())).alias("t"))
+    before = [(r["head"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
+    guests = rows.sparkSession.createDataFrame(before, f"id {rows.schema['id'].dataType.simpleString()}, guest_at int")
+    guests = F.broadcast(guests) if len(before) <= BROADCAST_RANGES else guests
+    to = F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("guest_at").alias("at"), F.lit(True).alias("guest")))
+    copies = dealt.join(guests, "id", "left").select("id", *columns, F.explode(F.filter(to, lambda t: t["at"].isNotNull())).alias("t"))
     ordered = Window.partitionBy("t.at").orderBy("t.guest", "id")
     nexts = copies.select("*", *(F.lead(c).over(ordered).alias(f"next_{c}") for c in columns), F.col("t.guest").alias("guest"))
     return nexts.where("not guest").drop("t", "guest")
 
 
-def edited_fingerprints(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): each text against the
-    text whose last quarter is replaced by the start of the next document, and against the next document."""
+def edited_fingerprints(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id): each text
+    against the text whose last quarter is replaced by the start of the next document, and against the next document;
+    and the group of documents that a search by bands links to it."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     rows = rows.select("id", "body", fingerprint(F.col("body")).alias("fingerprint"))
     pairs = with_next(rows, ("body", "fingerprint"), ranges)
@@ -234,8 +240,10 @@ def edited_fingerprints(docs: DataFrame, ranges: int, id_col: str = "doc_id", te
     edited = F.concat(F.substring("body", F.lit(1), n - cut), F.substring("next_body", F.lit(1), cut))
     pairs = pairs.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     pairs = pairs.select("id", "n_chars", "edited", "fingerprint", "next_fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    return pairs.select(
+    told = pairs.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+    told = materialise(told, "told")
+    return told.join(group_fingerprints(told.select(id_col, "fingerprint"), least, id_col), "fingerprint").select(*told.columns, "group_id")
