@@ -6,15 +6,20 @@ where it starts, and its count relative to the count now. A transition is annota
 count can also fall, where pieces join). States are compiled when they are first needed and kept in a bounded table.
 
 Where two neighbouring characters stand side by side in no piece, nothing merges across, and the state after it does
-not depend on what went before. Long texts are cut into chunks; a chunk's state map is its head up to the first such
-place, a count, and its tail from the last one. Maps compose associatively: the count of tail plus next head comes
-between the counts. Chunks are counted in parallel and composed in order.
-
-Null counts as empty: no bytes, no tokens. Repeated rows are counted each.
+not depend on what went before: any state that reads a chunk with such a place leaves it alike. So a chunk's state map,
+from the state before it to the state after it and the tokens between, is written down whole as its head up to the
+first such place (what the state before still has to read), the count from there to the last one, and its tail (what
+the state after has read). Long texts are cut into chunks whose maps are made in parallel. `combine` composes two
+neighbouring maps, and is associative; the maps of a text are composed as the up-sweep of a prefix scan, FAN neighbours
+at a time, level by level in the cluster, as only the whole text's count is asked for.
+
+Null counts as empty: no bytes, no tokens. Repeated rows are counted each; an empty table gives no rows; a null
+identifier stays null.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,6 +32,8 @@ from .shared import text_or_empty
 #: States kept before the table starts afresh; characters in a chunk at least, and chunks in a text at most.
 MAX_STATES = 150_000
 CHUNK, MOST_CHUNKS = 32_768, 64
+#: Maps that are composed in one row of a level.
+FAN = 8
 SPACE = "▁"
 #: Whole stretches kept as edges, and the longest.
 MAX_EDGES, LONGEST_EDGE = 300_000, 40
@@ -145,15 +152,23 @@ class Transducer:
         last = next(i for i in range(len(text) - 1, 0, -1) if text[i - 1 : i + 1] not in joined)
         return text[:first], self.count(text[first:last]), text[last:], True
 
-    def compose(self, maps: list[tuple[str, int, str, bool]]) -> int:
-        """Tokens of a text from its chunk maps in order."""
-        total, tail = 0, []
-        for head, n, rest, cut in maps:
-            tail.append(head)
-            if cut:
-                total += self.count("".join(tail)) + n
-                tail = [rest]
-        return total + self.count("".join(tail))
+    def combine(self, a: tuple[str, int, str, bool], b: tuple[str, int, str, bool]) -> tuple[str, int, str, bool]:
+        """The map of two neighbouring stretches."""
+        if not a[3]:
+            return a[0] + b[0], b[1], b[2], b[3]
+        if not b[3]:
+            return a[0], a[1], a[2] + b[0], True
+        return a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2], True
+
+    def reduce(self, maps: list[tuple[str, int, str, bool]]) -> tuple[str, int, str, bool]:
+        """Neighbours by neighbours, so that a character is copied once a level."""
+        while len(maps) > 1:
+            maps = [self.combine(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def tokens(self, own: tuple[str, int, str, bool]) -> int:
+        """The map of a text taken at the start state."""
+        return self.count(own[0]) + own[1] + self.count(own[2])
 
 
 _MACHINES: dict[str, Transducer] = {}
@@ -166,9 +181,24 @@ def machine(path: str) -> Transducer:
     return _MACHINES[path]
 
 
+MAP = "head string, count long, tail string, cut boolean"
+
+
+def _composed(model: str):
+    """Arrays of a level's neighbouring maps to their map."""
+
+    def run(parts: pd.Series) -> pd.DataFrame:
+        own = machine(model)
+        rows = [None if p is None else own.reduce([(x["head"], x["count"], x["tail"], x["cut"]) for x in p]) for p in parts]
+        return pd.DataFrame([r or (None, None, None, None) for r in rows], columns=["head", "count", "tail", "cut"]).astype({"count": "Int64", "cut": "boolean"})
+
+    run.__annotations__ = {"parts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, MAP)
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_bytes, n_tokens, over_limit."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("body"))
     rows = rows.withColumn("n_bytes", F.octet_length("body").cast("long"))
     # what the library reads: spaces as a mark of their own, one before the text
     rows = rows.withColumn("body", F.when(F.col("body") == "", "").otherwise(F.concat(F.lit(SPACE), F.translate("body", " ", SPACE))))
@@ -179,20 +209,26 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
         lambda i: F.struct(i.alias("chunk"), F.substring(F.col("body"), i * width + 1, width).alias("text")),
     )
     dealt = rows.select("row", "id", "n_bytes", (n <= width).alias("only"), F.explode(chunks).alias("c")).select("row", "id", "n_bytes", "only", "c.chunk", "c.text")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = machine(model)
         for b in batches:
             got = [("", own.count(t), "", True) if only else own.chunk_map(t) for only, t in zip(b["only"], b["text"], strict=True)]
-            yield b.drop(columns=["text"]).assign(**{k: [g[i] for g in got] for i, k in enumerate(("head", "count", "tail", "cut"))})
-
-    def composed(parts: pd.Series) -> pd.Series:
+            yield b.drop(columns=["text", "only"]).assign(**{k: [g[i] for g in got] for i, k in enumerate(("head", "count", "tail", "cut"))})
+
+    level = dealt.mapInPandas(maps, f"row long, id string, n_bytes long, chunk int, {MAP}")
+    for k in range(1, round(math.log(MOST_CHUNKS, FAN)) + 1):
+        own = F.sort_array(F.collect_list(F.struct("chunk", "head", "count", "tail", "cut")))
+        key = F.lit(0) if FAN**k >= MOST_CHUNKS else F.floor(F.col("chunk") / FAN).cast("int")
+        held = level.groupBy("row", "id", "n_bytes", key.alias("chunk")).agg(own.alias("parts"))
+        held = held.withColumn("m", _composed(model)(F.when(F.size("parts") > 1, F.col("parts"))))
+        one = lambda c: F.when(F.size("parts") == 1, F.col("parts")[0][c]).otherwise(F.col(f"m.{c}")).alias(c)  # noqa: B023, E731
+        level = held.select("row", "id", "n_bytes", "chunk", *map(one, ("head", "count", "tail", "cut")))
+
+    def ends(head: pd.Series, tail: pd.Series) -> pd.Series:
         own = machine(model)
-        return pd.Series([p[0]["count"] if len(p) == 1 and not p[0]["head"] and not p[0]["tail"] else own.compose([(x["head"], x["count"], x["tail"], x["cut"]) for x in sorted(p, key=lambda x: x["chunk"])]) for p in parts], dtype="int64")
+        return pd.Series([own.count(h) + own.count(t) if h or t else 0 for h, t in zip(head, tail, strict=True)], dtype="int64")
 
-    composed.__annotations__ = {"parts": pd.Series, "return": pd.Series}
-    mapped = dealt.mapInPandas(maps, f"row long, id {kind}, n_bytes long, only boolean, chunk int, head string, count long, tail string, cut boolean")
-    parts = mapped.groupBy("row", "id", "n_bytes").agg(F.collect_list(F.struct("chunk", "head", "count", "tail", "cut")).alias("parts"))
-    counted = parts.select("id", "n_bytes", F.pandas_udf(composed, "long")("parts").alias("n_tokens"))
-    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    ends.__annotations__ = {"head": pd.Series, "tail": pd.Series, "return": pd.Series}
+    counted = level.select("id", "n_bytes", (F.col("count") + F.pandas_udf(ends, "long")("head", "tail")).alias("n_tokens"))
+    return counted.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
