@@ -14,7 +14,8 @@ vocabularies (words with their training counts) are summed over the corpus, scor
 to the blocks and met there by the texts. A frequent word is one row in a block, never one in an occurrence; nothing
 that grows with the corpus goes through the driver.
 
-Null text counts as empty: one end. Repeated rows are scored each. Without training texts base and score are those of
+Null text counts as empty: one end. Repeated rows are scored each; a null identifier stays null; an empty table gives
+no rows. Without training texts base and score are those of
 the priors.
 """
 
@@ -195,7 +196,7 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = part << 24 | block
         words = pd.DataFrame({"block": key, "number": np.arange(len(number), dtype=np.int32), "word": list(number), "n": n.astype(np.int64)})
         bags = pd.DataFrame({"block": key, "id": [i for i, _, _ in texts], "train": [bool(t) for _, _, t in texts], "bag": [w.astype("<i4").tobytes() for _, w, _ in texts]})
-        return pd.concat([words, bags]).reindex(columns=["block", "number", "word", "n", "id", "train", "bag"]).astype({"number": "Int32", "n": "Int64", "id": "Int64", "train": "boolean"}).astype({"word": object, "bag": object}).replace({np.nan: None})
+        return pd.concat([words, bags]).reindex(columns=["block", "number", "word", "n", "id", "train", "bag"]).astype({"number": "Int32", "n": "Int64", "train": "boolean"}).astype({"word": object, "bag": object}).replace({np.nan: None})
 
     for batch in batches:
         for key, body, train in zip(batch["id"], batch["body"], batch["train"], strict=True):
@@ -229,8 +230,8 @@ def score(docs: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id
     steps: expectation steps over the distinct training words, each one pass that brings at most a row for each piece
     of the vocabulary to the driver.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"), F.coalesce(train, F.lit(False)).alias("train"))
-    both = materialise(rows.mapInPandas(_numbered, "block long, number int, word binary, n long, id long, train boolean, bag binary"), "numbered", compression="zstd")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("body"), F.coalesce(train, F.lit(False)).alias("train"))
+    both = materialise(rows.mapInPandas(_numbered, "block long, number int, word binary, n long, id string, train boolean, bag binary"), "numbered", compression="zstd")
     words = both.where("word is not null").select("block", "number", "word", "n")
     bags = both.where("bag is not null").select("block", "id", "train", "bag")
     ends = bags.where("train").count()
@@ -256,7 +257,9 @@ def score(docs: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id
             yield pd.DataFrame({"word": b["word"], "c": b["c"], "lp": lattice(vocabulary).log10(b["word"].tolist(), logp)})
 
     rated = counted.mapInPandas(rate, "word binary, c long, lp double")
-    met = words.join(rated, "word").select(F.col("block").alias("of"), "number", "c", "lp")
+    blocks = bags.select("block").distinct().count()
+    parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task meets a block or few
+    met = words.join(rated, "word").select(F.col("block").alias("of"), "number", "c", "lp").repartition(parts, "of")
     below = n + add * (v + 1)
     base_end = math.log10((ends + add) / below)
 
@@ -271,7 +274,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id
             out.append((key, train, len(own) + 1, int((c[own] > 0).sum()) + (ends > 0), base[own].sum() + base_end, lp[own].sum() + log_end))
         return pd.DataFrame(out, columns=["id", "train", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = bags.groupBy("block").cogroup(met.groupBy("of")).applyInPandas(
-        meet, "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = bags.repartition(parts, "block").groupBy("block").cogroup(met.groupBy("of")).applyInPandas(
+        meet, "id string, train boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    return scored.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "train", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

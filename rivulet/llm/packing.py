@@ -7,7 +7,7 @@ The plan says for every length which rank goes to which sequence and place. Rank
 the pieces were cut and shifted by prefix sums over the parts, so no length, however common, meets in one task.
 
 Null text counts as empty (the end id alone); an empty table gives no rows; repeated rows are packed as often as they
-occur; further columns of the input are ignored.
+occur; further columns of the input are ignored; a null identifier stays null.
 """
 
 from __future__ import annotations
@@ -51,10 +51,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
                         seen[n] += 1
                 yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids", "part", "nth"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")).mapInPandas(
-        run, f"id {kind}, piece int, start long, length long, ids binary, part int, nth long"
-    )
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("body"))
+    pieces = rows.mapInPandas(run, "id string, piece int, start long, length long, ids binary, part int, nth long")
+    return pieces.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def fullest(room: int, left: dict[int, int]) -> list[tuple[int, int]]:

@@ -21,7 +21,8 @@ block by block, each pair of blocks by itself.
 
 Before the search, `exact_groups` merges equal fingerprints, `similar_groups` equal sets of shingles (by a 64-bit
 digest). Null and empty texts have fingerprint zero and link like any other (in `similar_groups` to each other only).
-Repeated rows are grouped each; an empty table gives no rows; further columns are ignored.
+Repeated rows are grouped each; an empty table gives no rows; further columns are ignored. Identifiers are of any type
+that has an order; rows without one are grouped like others and name a group only where no member has one.
 """
 
 from __future__ import annotations
@@ -261,29 +262,26 @@ def links(firsts: DataFrame, windows: list[Window], most: int) -> DataFrame:
     return spread.mapInPandas(_compare(most), "u long, v long")
 
 
-def _first_rows(rows: DataFrame) -> DataFrame:
-    """One row for each fingerprint, its node the least identifier."""
-    firsts = rows.groupBy("words").agg(F.min("id").alias("node"))
-    return materialise(firsts.select("node", "words"), "firsts")
-
-
-def _named(rows: DataFrame, firsts: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    roots = components(edges)
-    named = firsts.join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, "words").select(F.col("id").alias(id_col), F.col("words")[0].alias("fp"), "component_id")
-
-
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int) -> DataFrame:
     words = fingerprint(text_or_empty(text_col), shingle, n_words)
-    return materialise(docs.select(F.col(id_col).cast("long").alias("id"), words.alias("words")), "fingerprints")
+    return materialise(docs.select(F.col(id_col).alias("id"), words.alias("words")), "fingerprints")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per input row: id_col, fp (signed), component_id, the least identifier that links of 3 bits or fewer reach."""
-    rows = _fingerprints(docs, id_col, text_col, shingle, 1)
-    firsts = _first_rows(rows)
+    rows = _fingerprints(docs, id_col, text_col, shingle, 1).select("id", F.col("words")[0].alias("fp"))
+    firsts = materialise(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "firsts")
+    nodes = firsts.select(F.col("fp").alias("node"), F.array("fp").alias("words"))
     windows = [Window(0, low, 32, 31, True) for low in (0, 32)]
-    return _named(rows, firsts, links(firsts, windows, 3), id_col)
+    roots = components(links(nodes, windows, 3)).withColumnRenamed("node", "fp")
+    return _named(rows, firsts, roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _named(rows: DataFrame, firsts: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """rows with component_id: of all firsts (key, first_id) of a root (key, root) the least identifier."""
+    grouped = firsts.select(key, "first_id").join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select(key, "component_id")
+    return rows.join(named, key)
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -465,12 +463,10 @@ def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8
 ) -> DataFrame:
     """One row per input row: id_col, fp, component_id, linked by shingle likeness of `least` or more."""
-    said = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("body"))
+    said = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     said = said.select("id", "body", _signatures(F.col("body"), shingle).alias("s")).select("id", "body", "s.*")
     rows = materialise(said, "signatures")
     firsts = rows.groupBy("node").agg(F.min("id").alias("first_id"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
     firsts = materialise(firsts, "firsts")
     roots = components(_verified_links(firsts, rows, shingle, least))
-    grouped = firsts.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
-    return rows.select("id", "fp", "node").join(named, "node").select(F.col("id").alias(id_col), "fp", "component_id")
+    return _named(rows.select("id", "fp", "node"), firsts, roots, "node").select(F.col("id").alias(id_col), "fp", "component_id")
