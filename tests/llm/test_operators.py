@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.llm import exact_dedup, fingerprints, language_id, lattice_lm, license_scan, mixing, packing, preferences, queries, simhash, token_counts
+from rivulet.llm.shared import vocabulary
 
-BPE, PIECES = f"{queries.TOKENIZERS}/word_bpe_49k.json", f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+BPE, PIECES = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
 TEXTS = [
     None, "", "   ", "12 34 --", "Hello world. Hello again, world.", "Hello world. Hello again, world.", "été à l'école\tñandú\n\n中文 字", "x" * 3000,
     "the quick brown fox jumps over the lazy dog " * 900, "Released under the MIT License.", "<|endoftext|> <s> It's we'll", "aa  bb   cc",
@@ -154,7 +155,13 @@ def test_chunk_maps_compose():
     for text in filter(None, TEXTS):
         marked = "▁" + text[:2000].replace(" ", "▁")
         for k in (1, 3, 50):
-            assert own.compose([own.chunk_map(marked[i : i + k]) for i in range(0, len(marked), k)]) == len(model.encode(text[:2000]))
+            maps = [own.chunk_map(marked[i : i + k]) for i in range(0, len(marked), k)]
+            want = len(model.encode(text[:2000]))
+            assert own.tokens(own.reduce(maps)) == want
+            folded = maps[0]
+            for m in maps[1:]:
+                folded = own.combine(folded, m)
+            assert own.tokens(folded) == want  # associative
 
 
 def test_fingerprints(docs, none):
@@ -245,11 +252,34 @@ def test_lattice_and_base(docs, none):
 
 
 def test_preferences(spark):
-    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "lost")]
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "lost"),
+        (4, 0, "user", "same"), (4, 1, "user", "b"), (4, 1, "user", "b"), (4, 1, "assistant", "a"), (5, 0, "user", "same"), (5, 1, "user", "b"), (5, 1, "assistant", "a"),
+    ]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("z"))
     rows = preferences.format_preferences(df, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod("conv_id", F.lit(2)) == 0)
-    got = sorted((r["pair_id"], r["part"], r["turn"], r["loss"]) for r in rows.collect())
-    assert got == [(0, "chosen", 1, 1), (0, "prompt", 0, 0), (0, "rejected", 1, 1), (1, "chosen", 0, 0)]
+    got = sorted((r["pair_id"], r["part"], r["turn"], r["nth"], r["loss"]) for r in rows.collect())
+    assert got == [
+        (0, "chosen", 1, 1, 1), (0, "prompt", 0, 1, 0), (0, "rejected", 1, 1, 1), (1, "chosen", 0, 1, 0),
+        (2, "chosen", 1, 3, 0), (2, "prompt", 0, 1, 0), (2, "prompt", 1, 1, 0), (2, "prompt", 1, 2, 0),  # repeated turn numbers
+    ]
     whole = {r["pair_id"]: r for r in preferences.assemble(rows).collect()}
-    assert whole[0]["prompt"] == "<|user|>\nhi<|end|>\n" and whole[0]["chosen_loss"] == [1] and whole[1]["rejected"] == ""
+    assert whole[0]["prompt"] == "<|user|>\nhi<|end|>\n" and whole[0]["chosen_mask"] == "1:25" and whole[1]["rejected"] == "" and whole[2]["n_prompt"] == 3
     assert preferences.format_preferences(df.where("false"), F.col("conv_id"), F.lit(True)).count() == 0
+
+
+def test_pairs_against_others(spark):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}-{t}") for c in range(3) for t in range(4)] + [(3, 0, "user", "alone")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    both = preferences.against_others(df, F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")))
+    formatted = preferences.format_preferences(both, F.col("conv_id"), F.col("chosen"))
+    out = {r["pair_id"]: r for r in preferences.assemble(formatted).collect()}
+    say = lambda c, t: f"<|{'user' if t % 2 == 0 else 'assistant'}|>\n{c}-{t}<|end|>\n"
+    for c, other in ((0, 1), (1, 0)):
+        assert out[c]["prompt"] == "".join(say(c, t) for t in range(3))
+        assert (out[c]["chosen"], out[c]["rejected"]) == (say(c, 3), say(other, 3)) and out[c]["rejected_mask"] == f"1:{len(say(c, 3))}"
+    assert out[2]["chosen"] == say(2, 3) and out[2]["rejected"] == ""  # its neighbour says nothing
+    assert out[3]["n_prompt"] == 1 and out[3]["chosen"] == out[3]["rejected"] == ""
+    long = spark.range(1000).select(F.lit(0).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    pieces = preferences.assemble(preferences.format_preferences(long, F.col("conv_id"), F.lit(True)), most=100).orderBy("piece").collect()
+    assert len(pieces) == 16 and "".join(r["chosen"] for r in pieces) == "".join(f"<|user|>\n{i}<|end|>\n" for i in range(1000))

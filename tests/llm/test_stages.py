@@ -13,3 +13,63 @@ def test_language_takes_effect(spark):
     bare = docs.selectExpr("doc_id", "text", "string(null) as lang", "source")
     kept = corpus_pipeline.identify_language(spark, bare, "").collect()
     assert len(kept) == 41 and {r["lang"] for r in kept} == {None}
+
+
+def rows_of(spark):
+    """Nulls, empty and repeated texts, repeated and null identifiers, columns that clash with the stages' own."""
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [
+        (1, "a copy of a text", "en", "s0"), (1, "a copy of a text", "en", "s0"), (2, "a copy of a text", None, None), (None, "a copy of a text", "en", "s1"),
+        (3, long, "en", "s1"), (3, long + " more", "en", "s1"), (4, "of its own", "fr", None), (4, "a copy of a text", "fr", "s2"),
+        (None, None, None, None), (5, "", "en", "s0"), (6, None, "en", "s0"), (None, "no number", "en", "s2"), (7, "A COPY of a text", "en", "s0"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.selectExpr("*", "length(text) as n_chars", "'x' as id", "'x' as digest", "'x' as body", "'x' as node", "1L as n", "'x' as row", "'x' as words")
+
+
+def texts_of(df):
+    return sorted((str(r["doc_id"]), str(r["text"])) for r in df.collect())
+
+
+def test_stages_on_odd_rows(spark):
+    docs = rows_of(spark)
+    copies = corpus_pipeline.drop_copies(spark, docs, "")
+    assert copies.columns == docs.columns
+    got = texts_of(copies)
+    long = " ".join(f"word{i}" for i in range(40))
+    assert got == sorted([("1", "a copy of a text"), ("3", long), ("3", long + " more"), ("4", "of its own"), ("5", ""), ("None", "no number"), ("7", "A COPY of a text")])
+    near = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.materialise(copies, "t"), "")  # as the pipeline does, from files
+    assert near.columns == docs.columns
+    assert [i for i, _ in texts_of(near)] == ["1", "3", "4", "5", "None"]
+    mixed = corpus_pipeline.mix_sources(spark, near, "")
+    assert mixed.columns == docs.columns and set(texts_of(mixed)) < set(texts_of(near)) and mixed.count() > 0
+    packed = corpus_pipeline.pack_sequences(spark, docs, "")
+    assert packed.count() == docs.count() and packed.where("doc_id is null").count() == 3
+    said = corpus_pipeline.identify_language(spark, docs, "")
+    assert said.columns == docs.columns and said.count() == 10
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0, name
+
+
+def test_mixing_stage_by_brute_force(spark):
+    """What stays is each leaf's prefix of the seeded order, by the operator's shares."""
+    import hashlib
+
+    from rivulet.llm import mixing, queries
+
+    rows = [(i, " ".join(["w"] * (i % 17 + 1)), ["en", "fr"][i % 2], f"src{i % 5}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    top = {r["source"]: r["d"] for r in docs.select("source", queries.source_domain().alias("d")).distinct().collect()}
+    leaves = {}
+    for i, text, lang, source in rows:
+        leaves.setdefault((top[source], lang, source), []).append((hashlib.md5(f"7-0-{i}".encode()).hexdigest(), i, len(text.split())))
+    room = {k: float(sum(n for _, _, n in v)) for k, v in leaves.items()}
+    parts = mixing.allot(corpus_pipeline.BUDGET * sum(room.values()), room, queries.MIX_WEIGHTS)
+    want = set()
+    for k, own in leaves.items():
+        left = round(parts[k])
+        for _, i, n in sorted(own):
+            if left > 0:
+                want.add(i)
+            left -= n
+    assert {r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()} == want
