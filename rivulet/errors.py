@@ -1,5 +1,7 @@
 """Errors of the readers, one tree under ReaderLibraryError."""
 
+import re
+
 
 class ReaderLibraryError(RuntimeError):
     pass
@@ -47,3 +49,18 @@ class InvalidInstanceError(DataReaderError):
 
 class NotSupportedError(ReaderLibraryError):
     pass
+
+
+def _kinds(kind: type) -> dict[str, type]:
+    return {kind.__name__: kind} | {k: v for s in kind.__subclasses__() for k, v in _kinds(s).items()}
+
+
+def translated(error: BaseException) -> ReaderLibraryError | None:
+    """The error of this library that a task raised, told by its name in what Spark says; None where it is another.
+    Raise it from the Spark error, which stays its cause."""
+    kinds = _kinds(ReaderLibraryError)
+    found = re.findall(rf"^(?:.*[.\] ])?({'|'.join(kinds)}): (.*)$", str(error), re.MULTILINE)
+    if not found:
+        return None
+    name, message = found[-1] if len(found) > 1 and "Traceback" in str(error) else found[0]
+    return kinds[name](re.sub(r" SQLSTATE: \w+$", "", message.strip()))

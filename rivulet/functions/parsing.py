@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def parse(c: Column, kind: str, nan_values: frozenset[str] = frozenset()) -> Col
     if kind in INTEGERS:
         spark_type, low, high = INTEGERS[kind]
         wide = text.try_cast("decimal(38,0)")
-        return F.when(_whole(text, INTEGER) & wide.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)")), wide.cast(spark_type))
+        return F.when(_whole(text, INTEGER) & wide.between(F.lit(Decimal(low)), F.lit(Decimal(high))), wide.cast(spark_type))
     if kind == "float16":
         return F.lit(None).cast("float")
     if kind not in ("float32", "float64"):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from enum import Enum
 
+from rivulet.errors import NotSupportedError
+
 
 class LastExampleHandling(Enum):
     NONE = "none"
@@ -44,6 +46,10 @@ class ReaderParams:
     reshuffle_each_epoch: bool = True
     last_example_handling: LastExampleHandling = LastExampleHandling.NONE
     bad_example_handling: BadExampleHandling = BadExampleHandling.ERROR
+    warn_bad_instances: bool = False
+    #: Taken and left to Spark: how many batches are made ahead and at a time.
+    num_prefetched_examples: int = 0
+    num_parallel_reads: int = 0
 
     def __post_init__(self):
         if self.batch_size < 1:
@@ -77,3 +83,8 @@ class CsvParams:
     max_field_length_handling: MaxFieldLengthHandling = MaxFieldLengthHandling.TREAT_AS_BAD
     max_line_length: int | None = None
     nan_values: frozenset[str] = frozenset()
+    number_base: int = 10
+
+    def __post_init__(self):
+        if self.number_base != 10:
+            raise NotSupportedError("numbers are read to base 10 only")

@@ -1,23 +1,23 @@
 """Delimited text in the readers' own dialect.
 
-Lines are read and numbered by Spark; names and types come from the first lines on the driver; the tokenizer runs over
-Arrow batches, the typed values are Spark expressions over its cells.
+Lines are read and numbered by Spark; names and types come from the first lines on the driver. Spark cuts the lines that
+hold no quote; the tokenizer runs over Arrow batches of the others. The typed values are Spark expressions over the cells.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.errors import CorruptRecordError, SchemaError
 from rivulet.functions.parsing import SPARK_TYPES, infer_data_type, parse
 from rivulet.params import CsvParams, MaxFieldLengthHandling
 
-from .lines import LINE_END, read_lines
+from .lines import LINE_END, Numbered, number_lines
 
 
 def tokenize(line: str, delimiter: str = ",", quote: str = '"') -> list[str]:
@@ -110,8 +110,20 @@ def column_types(names: list[str], row: list[str] | None, p: CsvParams) -> list[
     return kinds
 
 
-def read_csv(spark: SparkSession, paths: list[str], params: CsvParams | None = None) -> DataFrame:
-    """The kept columns, with __store_idx, __row_idx, __pos and __bad (null, or why the row does not decode)."""
+def _lines_at(spark: SparkSession, stores: list, numbered: Numbered, read: Callable[[list], Numbered], store: int, at: int, n: int) -> list[str]:
+    """n lines of a store from place `at` on: only that store is read again."""
+    own = numbered if len(stores) == 1 else read([stores[store]])
+    got = own.lines().where(F.col("__row_idx").between(at, at + n - 1)).select("__row_idx", "value").take(n)
+    return [r["value"] for r in sorted(got)]
+
+
+def read_csv(spark: SparkSession, stores: list, params: CsvParams | None = None) -> DataFrame:
+    """The kept columns, with __store_idx, __row_idx, __pos, __bytes (of the line), __note (null, or what was done to the
+    row) and __bad (null, or why the row does not decode).
+
+    Each store has a header, or the first one with lines if has_single_header; a store that ends before its header row
+    gives no rows. Names come from the first header there is. Lines without a quote are cut in the JVM.
+    """
     p = params or CsvParams()
     keep = F.lit(True)
     if p.comment_char:
@@ -119,20 +131,24 @@ def read_csv(spark: SparkSession, paths: list[str], params: CsvParams | None = N
     if p.skip_blank_lines:
         keep &= F.col("value") != ""
     records = quoted_records(p.delimiter, p.quote_char, p.comment_char) if p.allow_quoted_new_lines else None
-    lines = read_lines(spark, paths, keep, p.encoding, p.compression, records)
-    if p.max_line_length:
-        too_long = F.octet_length("value") >= p.max_line_length
-        lines = lines.withColumn("value", F.when(too_long, F.raise_error("RecordTooLargeError: a line exceeds max_line_length")).otherwise(F.col("value")))
-    header, data = None, lines
-    if p.header_row_index is not None:
-        mine = F.col("__store_idx") == 0 if p.has_single_header else F.lit(True)
-        first = lines.where((F.col("__store_idx") == 0) & (F.col("__row_idx") == p.header_row_index)).select("value").head(1)
-        header = tokenize(first[0]["value"], p.delimiter, p.quote_char) if first else None
-        data = lines.where(~mine | (F.col("__row_idx") > p.header_row_index))
-        taken = F.lit(p.header_row_index + 1) * (F.lit(1) if p.has_single_header else F.col("__store_idx") + 1)
-        data = data.withColumn("__pos", F.col("__pos") - taken)
-    sample = data.where("__pos = 0").select("value").head(1) or data.orderBy("__pos").select("value").head(1)  # the first splits, as a rule
-    row = tokenize(sample[0]["value"], p.delimiter, p.quote_char) if sample else None
+    read = lambda own: number_lines(spark, own, keep, p.encoding, p.compression, records)
+    numbered = read(stores) if stores else None
+    counts = numbered.counts() if stores else {}
+    head = 0 if p.header_row_index is None else p.header_row_index + 1
+    header = row = None
+    first = next(iter(counts), None)
+    titled = next((s for s, n in counts.items() if n >= head), None) if head else None
+    if head and p.has_single_header and titled != first:
+        titled = None
+    filled = next((s for s, n in counts.items() if n > (head if not p.has_single_header or s == first else 0)), None)
+    if titled is not None:
+        got = _lines_at(spark, stores, numbered, read, titled, head - 1, 2)
+        header = tokenize(got[0], p.delimiter, p.quote_char)
+        if titled == filled:
+            row = tokenize(got[1], p.delimiter, p.quote_char)
+    if row is None and filled is not None:
+        at = head if not p.has_single_header or filled == first else 0
+        row = tokenize(_lines_at(spark, stores, numbered, read, filled, at, 1)[0], p.delimiter, p.quote_char)
     if p.column_names:
         names = list(p.column_names)
     elif header is not None:
@@ -151,31 +167,71 @@ def read_csv(spark: SparkSession, paths: list[str], params: CsvParams | None = N
     elif len(set(final)) < len(final):
         raise SchemaError(f"duplicate column names: {final}")
 
-    delimiter, quote, width, longest = p.delimiter, p.quote_char, len(names), p.max_field_length
+    if numbered is not None:
+        data = numbered.lines(head, p.has_single_header)
+    else:
+        data = spark.createDataFrame([], "value string, __store_idx int, __row_idx long, __pos long")
+    if p.max_line_length:
+        too_long = F.octet_length("value") >= p.max_line_length
+        data = data.withColumn("value", F.when(too_long, F.raise_error(F.lit("RecordTooLargeError: a line exceeds max_line_length"))).otherwise(F.col("value")))
+    cell, why, note, told = _cells(data, p, len(names), kept)
+    typed = [parse(cell(k), kinds[i], p.nan_values) for k, i in enumerate(kept)]
+    own = ("__store_idx", "__row_idx", "__pos", "__bytes", "__note")
+    told = told.select(
+        *own[:3], F.octet_length("value").alias("__bytes"), note.alias("__note"), why.alias("__why"),
+        *(F.substring(cell(k), 1, 64).alias(f"__t{k}") for k in range(len(kept))),
+        *(t.cast(SPARK_TYPES[kinds[i]]).alias(f"__v{k}") for k, (i, t) in enumerate(zip(kept, typed, strict=True))),
+    )
+    said = lambda k: F.concat(F.lit(f"{final[k]} is not {kinds[kept[k]]}: '"), F.coalesce(f"__t{k}", F.lit("")), F.lit("'"))
+    failed = F.array_join(F.array(*(F.when(F.col(f"__v{k}").isNull(), said(k)) for k in range(len(kept)))), "; ")
+    bad = F.coalesce(F.col("__why"), F.when(failed != "", failed))
+    return told.select(*(F.col(f"__v{k}").alias(name) for k, name in enumerate(final)), *own, bad.alias("__bad"))
+
+
+def _cells(data: DataFrame, p: CsvParams, width: int, kept: list[int]) -> tuple[Callable[[int], Column], Column, Column, DataFrame]:
+    """(k-th kept cell, why there are none, what was done, rows): lines without a quote are cut by Spark, only others and
+    those that may hold too long a field go through the tokenizer."""
+    delimiter, quote, longest = p.delimiter, p.quote_char, p.max_field_length
     cut = p.max_field_length_handling is not MaxFieldLengthHandling.TREAT_AS_BAD
 
     def cells(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for values in batches:
             out = []
             for line in values:
+                if line is None:
+                    out.append((None, None, None))
+                    continue
                 try:
                     own = tokenize(line, delimiter, quote)
                 except CorruptRecordError as e:
-                    out.append((None, str(e)))
+                    out.append((None, str(e), None))
                     continue
-                why = None if len(own) == width else f"{len(own)} fields instead of {width}"
-                own = [own[i] for i in kept] if why is None else None
-                if own and longest is not None:
-                    raw = [c.encode() for c in own]
-                    if any(len(c) > longest for c in raw):
-                        own, why = ([c[:longest].decode(errors="ignore") for c in raw], None) if cut else (None, "a field is too long")
-                out.append((own, why))
-            yield pd.DataFrame(out, columns=["cells", "why"])
+                why = note = None
+                if len(own) != width:
+                    own, why = None, f"{len(own)} fields instead of {width}"
+                else:
+                    own = [own[i] for i in kept]
+                    if longest is not None:
+                        raw = [c.encode() for c in own]
+                        if any(len(c) > longest for c in raw):
+                            own, why, note = ([c[:longest].decode(errors="ignore") for c in raw], None, "a field was cut") if cut else (None, "a field is too long", None)
+                out.append((own, why, note))
+            yield pd.DataFrame(out, columns=["cells", "why", "note"])
 
     cells.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    told = data.withColumn("__c", F.pandas_udf(cells, "cells array<string>, why string")("value"))
-    typed = [parse(F.col("__c.cells")[k], kinds[i], p.nan_values) for k, i in enumerate(kept)]
-    told = told.select("__store_idx", "__row_idx", "__pos", "__c", *(t.cast(SPARK_TYPES[kinds[i]]).alias(f"__v{k}") for k, (i, t) in enumerate(zip(kept, typed, strict=True))))
-    failed = F.array_join(F.array(*(F.when(F.col(f"__v{k}").isNull(), F.lit(f"{final[k]} is not {kinds[i]}")) for k, i in enumerate(kept))), "; ")
-    why = F.coalesce(F.col("__c.why"), F.when(failed != "", failed))
-    return told.select(*(F.col(f"__v{k}").alias(name) for k, name in enumerate(final)), "__store_idx", "__row_idx", "__pos", why.alias("__bad"))
+    value = F.col("value")
+    hard = F.contains(value, F.lit(quote)) if quote else F.lit(False)
+    if longest is not None:
+        hard |= F.octet_length(value) > longest
+    plain = F.split(value, "\\Q" + delimiter + "\\E")
+    told = data.withColumns({"__hard": hard, "__plain": F.when(~hard, plain)})
+    if not quote and longest is None:
+        python = F.lit(None).cast("struct<cells:array<string>,why:string,note:string>")
+    else:
+        python = F.pandas_udf(cells, "cells array<string>, why string, note string")(F.when(F.col("__hard"), F.col("value")))
+    told = told.withColumn("__c", python)
+    short = F.size("__plain") != width
+    cell = lambda k: F.when(F.col("__hard"), F.get("__c.cells", F.lit(k))).when(~short, F.get("__plain", F.lit(kept[k])))
+    why = F.when(F.col("__hard"), F.col("__c.why")).when(short, F.concat(F.size("__plain").cast("string"), F.lit(f" fields instead of {width}")))
+    warned = p.max_field_length_handling is MaxFieldLengthHandling.TRUNCATE_WARN
+    return cell, why, F.col("__c.note") if warned else F.lit(None).cast("string"), told

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from rivulet.errors import CorruptRecordError, NotSupportedError
 
 from .recordio import read_records
-from .stores import with_store
+from .stores import contents, name_of, special, with_store
 
 #: Bytes before the image in a framed record, the PNG signature, channels of its colour types.
 RECORD_HEADER = 24
@@ -194,13 +194,19 @@ def _decoded(p: ImageParams):
     return F.pandas_udf(run, OUT)
 
 
-def read_images(spark: SparkSession, paths: list[str], params: ImageParams) -> DataFrame:
-    """(__store_idx, __row_idx, __pos, value: height, width, channels, data; __bad) in the order of the paths."""
+def read_images(spark: SparkSession, stores: list, params: ImageParams) -> DataFrame:
+    """(__store_idx, __row_idx, __pos, __bytes, value: height, width, channels, data; __bad) in the order of the stores."""
     if params.image_frame == "recordio":
-        told = read_records(spark, paths).withColumn("__m", _framed(params)("payload"))
+        told = read_records(spark, stores).withColumn("__m", _framed(params)("payload")).withColumn("__bytes", F.octet_length("payload"))
+    elif special(stores):
+        files = with_store(contents(spark, stores), stores, F.col("path")).withColumn("payload", F.concat(F.lit(bytearray(RECORD_HEADER)), "content"))
+        told = _one_a_store(files).withColumn("__m", _framed(params)("payload")).withColumn("__bytes", F.octet_length("content"))
     else:
-        files = spark.read.format("image").option("dropInvalid", False).load(paths)
-        files = with_store(files, paths, F.col("image.origin")).withColumn("__row_idx", F.lit(0).cast("long")).withColumn("__pos", F.col("__store_idx").cast("long"))
-        told = files.withColumn("__m", _decoded(params)("image"))
+        files = spark.read.format("image").option("dropInvalid", False).load(list(dict.fromkeys(map(name_of, stores))))
+        told = _one_a_store(with_store(files, stores, F.col("image.origin"))).withColumn("__m", _decoded(params)("image")).withColumn("__bytes", F.octet_length("image.data"))
     value = F.when(F.col("__m.why").isNull(), F.struct("__m.height", "__m.width", "__m.channels", "__m.data"))
-    return told.select("__store_idx", "__row_idx", "__pos", value.alias("value"), F.col("__m.why").alias("__bad"))
+    return told.select("__store_idx", "__row_idx", "__pos", "__bytes", value.alias("value"), F.col("__m.why").alias("__bad"))
+
+
+def _one_a_store(df: DataFrame) -> DataFrame:
+    return df.withColumn("__row_idx", F.lit(0).cast("long")).withColumn("__pos", F.col("__store_idx").cast("long"))

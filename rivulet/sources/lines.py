@@ -7,44 +7,29 @@ without saying so in their name, and records whose quoted fields hold line ends
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.errors import InflateError, StreamError
+from rivulet.errors import StreamError
 from rivulet.operators.position import POS
 
-from .stores import compression_of, plain
+from .stores import BROADCAST_BYTES, contents, name_of, plain, special
 
 LINE_END = "\r\n|\r|\n"
 #: Byte order marks, the longest first.
 MARKS = {b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
-#: Splits up to which their table is broadcast; above, Spark chooses the join.
-BROADCAST_SPLITS = 1_000_000
-
-
-def inflate(data: bytes) -> bytes:
-    """gzip or zlib, members one after the other."""
-    out = []
-    while data:
-        stream = zlib.decompressobj(32 + zlib.MAX_WBITS)
-        try:
-            out.append(stream.decompress(data) + stream.flush())
-        except zlib.error as e:
-            raise InflateError("the stream does not inflate") from e
-        if not stream.eof:
-            raise InflateError("the stream is cut off")
-        data = stream.unused_data
-    return b"".join(out)
+#: Fixed value: a name of Latin-1 that Python does not know.
+LATIN = {"8859_1": "iso8859-1"}
 
 
 def decode(data: bytes, encoding: str | None) -> str:
     """By the encoding, or by the byte order mark where there is none."""
-    own = encoding or next((e for mark, e in MARKS.items() if data.startswith(mark)), "utf-8")
+    own = LATIN.get(encoding, encoding) or next((e for mark, e in MARKS.items() if data.startswith(mark)), "utf-8")
     try:
         return data.decode(own, "strict" if encoding else "replace").removeprefix("﻿")
     except (UnicodeDecodeError, LookupError) as e:
@@ -56,46 +41,85 @@ def split_lines(text: str) -> list[str]:
     return own if own[-1] else own[:-1]
 
 
-def _whole(spark: SparkSession, paths: list[str], encoding: str | None, compression: str | None, records: Callable[[str], list[str]]) -> DataFrame:
+def _frozen(spark: SparkSession) -> SparkSession:
+    """A session like this one whose split plan stays what it is now: what is read in it is cut and dealt to partitions
+    alike however often, whatever becomes of settings and executors. Row numbers rest on that."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    least = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    own.conf.set("spark.sql.files.minPartitionNum", least or spark.sparkContext.defaultParallelism)
+    return own
+
+
+def _whole(frozen: SparkSession, stores: list, encoding: str | None, compression: str | None, records: Callable[[str], list[str]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                data = bytes(content)
-                if (compression or compression_of(path)) == "gzip":
-                    data = inflate(data)
-                own = records(decode(data, encoding))
-                yield pd.DataFrame({"file": path, "start": 0, "value": own})
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(run, "file string, start long, value string")
-
-
-def read_lines(
+                yield pd.DataFrame({"file": path, "start": 0, "value": records(decode(bytes(content), encoding))})
+
+    return contents(frozen, stores, compression).mapInPandas(run, "file string, start long, value string")
+
+
+@dataclass(frozen=True)
+class Numbered:
+    """Lines of stores (value, file, start, mid): mid counts within a partition of the read, whose split plan is frozen.
+    splits: (store, file, start, least mid, lines) of each split of each store in order."""
+
+    spark: SparkSession
+    rows: DataFrame
+    splits: list[tuple[int, str, int, int, int]]
+
+    def counts(self) -> dict[int, int]:
+        """Lines of each store that has any."""
+        out: dict[int, int] = {}
+        for store, _, _, _, n in self.splits:
+            out[store] = out.get(store, 0) + n
+        return out
+
+    def lines(self, head: int = 0, single: bool = False) -> DataFrame:
+        """(value, __store_idx, __row_idx, __pos); the first `head` lines of each store (single: of the first store that
+        has lines) are left out, and positions count what is there."""
+        counts, shifts, at, in_store, last, drop = self.counts(), [], 0, 0, None, 0
+        for store, file, start, low, n in self.splits:
+            if store != last:
+                in_store, drop = 0, min(head, counts[store]) if not single or last is None else 0
+                at, last = at - drop, store
+            shifts.append((file, start, store, in_store - low, at - low, drop))
+            at, in_store = at + n, in_store + n
+        table = self.spark.createDataFrame(shifts, "file string, start long, __store_idx int, in_store long, in_all long, drop int")
+        table = F.broadcast(table) if sum(len(s[0]) + 48 for s in shifts) <= BROADCAST_BYTES else table
+        joined = table.join(self.rows, ["file", "start"], "right").select(
+            "value", "__store_idx", (F.col("mid") + F.col("in_store")).alias("__row_idx"), (F.col("mid") + F.col("in_all")).alias(POS), "drop"
+        )
+        lost = F.raise_error(F.lit("StreamError: the files are cut otherwise than when they were counted"))
+        return joined.where(F.when(F.col("__store_idx").isNull(), lost).otherwise(F.col("__row_idx") >= F.col("drop"))).drop("drop")
+
+
+def number_lines(
     spark: SparkSession,
-    paths: list[str],
+    stores: list,
     keep: Column | None = None,
     encoding: str | None = None,
     compression: str | None = None,
     records: Callable[[str], list[str]] | None = None,
-) -> DataFrame:
-    """(value, __store_idx, __row_idx, __pos) of the lines of the files in order; keep drops lines before numbering.
+) -> Numbered:
+    """The lines of the stores (files or sources of one's own) in order; keep drops lines before numbering.
 
-    encoding: None follows the byte order marks, UTF-8 without. compression: "gzip" (or zlib) for files that do not
-    say so in their name, None by suffix. records: cuts a whole text, in place of line ends.
+    encoding: None follows the byte order marks, UTF-8 without. compression: None is each store's own, by suffix as a
+    rule; "gzip" also reads zlib. records: cuts a whole text, in place of line ends.
 
-    Two scans and no shuffle of the lines; the driver gets one row for each file split.
+    A store may be empty, or stand in the list several times. Two scans and no shuffle of the lines; the driver gets
+    one row for each file split.
     """
-    if not paths:
-        return spark.createDataFrame([], f"value string, __store_idx int, __row_idx long, {POS} long")
-    whole = records is not None or compression is not None or (encoding or "UTF-8").upper() not in ("UTF-8", "UTF8")
-    return _numbered(spark, paths, keep, encoding, compression, records or split_lines, whole)
-
-
-def _numbered(spark, paths, keep, encoding, compression, records, whole) -> DataFrame:
+    whole = records is not None or special(stores, compression) or (encoding or "UTF-8").upper() not in ("UTF-8", "UTF8")
+    frozen = _frozen(spark)
     if whole:
-        rows = _whole(spark, paths, encoding, compression, records).withColumn("marked", F.lit(False))
+        rows = _whole(frozen, stores, encoding, compression, records or split_lines).withColumn("marked", F.lit(False))
     else:
-        rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        files = list(dict.fromkeys(map(name_of, stores)))
+        rows = frozen.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
         head = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
         wide = head.startswith("FFFE") | head.startswith("FEFF") | (head == "0000FEFF")
         first = F.col("start") == 0
@@ -105,16 +129,16 @@ def _numbered(spark, paths, keep, encoding, compression, records, whole) -> Data
     rows = rows.withColumn("mid", F.monotonically_increasing_id())
     splits = rows.groupBy("file", "start").agg(F.min("mid").alias("low"), F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked")).collect()
     if any(s["marked"] for s in splits):  # 16 or 32 bits a character
-        return _numbered(spark, paths, keep, None, compression, records, True)
-    order = {plain(p): i for i, p in enumerate(paths)}
-    store_of = lambda file: order[plain(file if whole else unquote(file))]
-    shifts, at, in_store, last = [], 0, 0, None
-    for s in sorted(splits, key=lambda s: (store_of(s["file"]), s["start"])):
-        store = store_of(s["file"])
-        in_store = in_store if store == last else 0
-        shifts.append((s["file"], s["start"], store, in_store - s["low"], at - s["low"]))
-        at, in_store, last = at + s["n"], in_store + s["n"], store
-    table = spark.createDataFrame(shifts, "file string, start long, __store_idx int, in_store long, in_all long")
-    table = F.broadcast(table) if len(shifts) <= BROADCAST_SPLITS else table
-    joined = rows.join(table, ["file", "start"])
-    return joined.select("value", "__store_idx", (F.col("mid") + F.col("in_store")).alias("__row_idx"), (F.col("mid") + F.col("in_all")).alias(POS))
+        return number_lines(spark, stores, keep, None, compression, split_lines)
+    of: dict[str, list] = {}
+    for s in splits:
+        of.setdefault(plain(s["file"] if whole else unquote(s["file"])), []).append((s["file"], s["start"], s["low"], s["n"]))
+    placed = [(i, *s) for i, store in enumerate(stores) for s in sorted(of.get(plain(name_of(store)), ()), key=lambda s: s[1])]
+    return Numbered(spark, rows.drop("marked"), placed)
+
+
+def read_lines(spark: SparkSession, stores: list, keep: Column | None = None, encoding: str | None = None, compression: str | None = None, records: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(value, __store_idx, __row_idx, __pos) of number_lines."""
+    if not stores:
+        return spark.createDataFrame([], f"value string, __store_idx int, __row_idx long, {POS} long")
+    return number_lines(spark, stores, keep, encoding, compression, records).lines()

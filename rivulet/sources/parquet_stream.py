@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rivulet.errors import CorruptFooterError, CorruptHeaderError
 
-from .stores import numbered
+from .stores import contents, numbered
 
 MARK = b"PAR1"
 
@@ -38,7 +37,7 @@ def split(data: bytes) -> Iterator[bytes]:
         start = at + 4
 
 
-def read_parquet_stream(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_parquet_stream(spark: SparkSession, stores: list) -> DataFrame:
     """(path, __row_idx, payload, __store_idx, __pos): each Parquet file of each stream as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,5 +46,4 @@ def read_parquet_stream(spark: SparkSession, paths: list[str]) -> DataFrame:
                 own = list(split(bytes(content)))
                 yield pd.DataFrame({"path": path, "__row_idx": range(len(own)), "payload": own})
 
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path"), "content")
-    return numbered(files.mapInPandas(run, "path string, __row_idx long, payload binary"), paths)
+    return numbered(contents(spark, stores).mapInPandas(run, "path string, __row_idx long, payload binary"), stores)

@@ -9,23 +9,50 @@ from __future__ import annotations
 import os
 import select
 import time
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from rivulet.errors import StreamError
+from rivulet.errors import InflateError, StreamError
 
 #: Bytes asked of a pipe at a time.
 READ = 1 << 20
+#: Times a pipe is opened before that is an error, and seconds between them.
+ATTEMPTS, BETWEEN = 3, 1.0
+
+
+def _open(path: str) -> int:
+    """A pipe may be made while we come to read it."""
+    for left in reversed(range(ATTEMPTS)):
+        try:
+            return os.open(path, os.O_RDONLY | os.O_NONBLOCK | os.O_CLOEXEC)
+        except OSError as e:
+            if not left:
+                raise StreamError(f"the pipe {path} cannot be opened") from e
+            time.sleep(BETWEEN)
+    raise AssertionError
+
+
+def inflated(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """gzip or zlib, members one after the other."""
+    stream = None
+    for part in parts:
+        while part:
+            stream = stream or zlib.decompressobj(32 + zlib.MAX_WBITS)
+            try:
+                yield stream.decompress(part)
+            except zlib.error as e:
+                raise InflateError("the stream does not inflate") from e
+            part, stream = stream.unused_data, None if stream.eof else stream
+    if stream is not None:
+        raise InflateError("the stream is cut off")
 
 
 def chunks(path: str, timeout: float) -> Iterator[bytes]:
     """What comes out of the pipe until its writer closes it; StreamError where nothing comes for timeout seconds."""
-    try:
-        fd = os.open(path, os.O_RDONLY | os.O_NONBLOCK | os.O_CLOEXEC)
-    except OSError as e:
-        raise StreamError(f"the pipe {path} cannot be opened") from e
+    fd = _open(path)
     began, seen = time.monotonic(), False
     try:
         while True:
@@ -62,19 +89,20 @@ def lines(parts: Iterator[bytes]) -> Iterator[bytes]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, timeout: float):
-        self.path, self.timeout = path, timeout
+    def __init__(self, path: str, timeout: float, compression: str):
+        self.path, self.timeout, self.compression = path, timeout, compression
 
     def partitions(self):
         return [InputPartition(0)]
 
     def read(self, partition) -> Iterator[tuple]:
-        for n, line in enumerate(lines(chunks(self.path, self.timeout))):
+        parts = chunks(self.path, self.timeout)
+        for n, line in enumerate(lines(inflated(parts) if self.compression == "gzip" else parts)):
             yield line.rstrip(b"\r\n").decode("utf-8", "replace"), n
 
 
 class PipeSource(DataSource):
-    """Options: path, number (of the pass), timeout in seconds."""
+    """Options: path, number (of the pass), timeout in seconds, compression."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,10 +112,10 @@ class PipeSource(DataSource):
         return "value string, __pos long"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(f"{self.options['path']}_{self.options.get('number', '0')}", float(self.options.get("timeout", "60")))
+        return _Reader(f"{self.options['path']}_{self.options.get('number', '0')}", float(self.options.get("timeout", "60")), self.options.get("compression", "none"))
 
 
-def read_pipe(spark: SparkSession, path: str, number: int = 0, timeout: float = 60.0) -> DataFrame:
+def read_pipe(spark: SparkSession, path: str, number: int = 0, timeout: float = 60.0, compression: str = "none") -> DataFrame:
     """(value, __pos) of the lines of the pipe of that pass."""
     spark.dataSource.register(PipeSource)
-    return spark.read.format("pipe").option("path", path).option("number", number).option("timeout", timeout).load()
+    return spark.read.format("pipe").option("path", path).option("number", number).option("timeout", timeout).option("compression", compression).load()

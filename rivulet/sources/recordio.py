@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from rivulet.errors import CorruptHeaderError, CorruptRecordError
+from rivulet.errors import CorruptHeaderError, CorruptRecordError, RecordError
 
-from .stores import numbered
+from .stores import contents, numbered
 
 #: Fixed values of the format.
 MAGIC = 0xCED7230A
@@ -48,14 +47,16 @@ def records(data: bytes) -> Iterator[bytes]:
         raise CorruptRecordError("the last split record does not end")
 
 
-def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, __row_idx, payload, __store_idx, __pos), a file a row of the scan."""
+def read_records(spark: SparkSession, stores: list) -> DataFrame:
+    """(path, __row_idx, payload, __store_idx, __pos), a store a row of the scan. Errors name the store."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                own = list(records(bytes(content)))
+                try:
+                    own = list(records(bytes(content)))
+                except RecordError as e:
+                    raise type(e)(f"{e} ({path})") from e
                 yield pd.DataFrame({"path": path, "__row_idx": range(len(own)), "payload": own})
 
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path"), "content")
-    return numbered(files.mapInPandas(run, "path string, __row_idx long, payload binary"), paths)
+    return numbered(contents(spark, stores).mapInPandas(run, "path string, __row_idx long, payload binary"), stores)
