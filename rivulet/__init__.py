@@ -4,16 +4,21 @@ from rivulet.errors import (
     CorruptFooterError, CorruptHeaderError, CorruptRecordError, DataReaderError, InflateError, InvalidInstanceError, NotSupportedError,
     ReaderLibraryError, RecordError, RecordTooLargeError, SchemaError, StreamError,
 )
-from rivulet.operators.insights import analyze
+from rivulet.log import LogLevel, get_log_level, set_log_handler, set_log_level
+from rivulet.operators.insights import ColumnAnalysis, DataAnalysis, analyze, analyze_dataset
 from rivulet.params import BadExampleHandling, CsvParams, LastExampleHandling, MaxFieldLengthHandling, ReaderParams
-from rivulet.readers import CsvReader, DataReader, ImageReader, TensorRecordReader, TextLineReader
+from rivulet.readers import CsvReader, DataReader, ImageReader, PipeReader, TensorRecordReader, TextLineReader
 from rivulet.schema import Attribute, Schema
 from rivulet.sources.images import ImageParams
-from rivulet.sources.stores import list_files, list_objects
+from rivulet.sources.stores import DataStore, File, InMemoryStore, InputStream, list_files, list_objects
+from rivulet.streaming.examples import Example, Examples, Records
+from rivulet.streaming.tensors import CooTensor, DenseTensor
 
 __all__ = [
-    "Attribute", "BadExampleHandling", "CorruptFooterError", "CorruptHeaderError", "CorruptRecordError", "CsvParams", "CsvReader", "DataReader",
-    "DataReaderError", "ImageParams", "ImageReader", "InflateError", "InvalidInstanceError", "LastExampleHandling", "MaxFieldLengthHandling",
-    "NotSupportedError", "ReaderLibraryError", "ReaderParams", "RecordError", "RecordTooLargeError", "Schema", "SchemaError", "StreamError",
-    "TensorRecordReader", "TextLineReader", "analyze", "list_files", "list_objects",
+    "Attribute", "BadExampleHandling", "ColumnAnalysis", "CooTensor", "CorruptFooterError", "CorruptHeaderError", "CorruptRecordError", "CsvParams",
+    "CsvReader", "DataAnalysis", "DataReader", "DataReaderError", "DataStore", "DenseTensor", "Example", "Examples", "File", "ImageParams",
+    "ImageReader", "InMemoryStore", "InflateError", "InputStream", "InvalidInstanceError", "LastExampleHandling", "LogLevel", "MaxFieldLengthHandling",
+    "NotSupportedError", "PipeReader", "ReaderLibraryError", "ReaderParams", "RecordError", "RecordTooLargeError", "Records", "Schema", "SchemaError",
+    "StreamError", "TensorRecordReader", "TextLineReader", "analyze", "analyze_dataset", "get_log_level", "list_files", "list_objects",
+    "set_log_handler", "set_log_level",
 ]

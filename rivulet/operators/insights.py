@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.errors import SchemaError
 from rivulet.functions.parsing import parse, trim
 
+from .position import POS
+
 MEDIAN_ROWS = 10_000
 #: Registers of the cardinality sketches, as a power of two.
 SKETCH_BITS = 16
@@ -26,6 +30,7 @@ def _statistics(c: Column, text: Column, x: Column, nulls: list[str]) -> dict[st
         "rows_seen": F.count(F.lit(1)),
         "string_empty_count": count(empty),
         "string_min_length": F.coalesce(F.min(F.when(~empty, length)), F.lit(0)).cast("long"),
+        "string_min_length_not_empty": F.coalesce(F.min(F.when(~empty, length)), F.lit(0)).cast("long"),
         "string_max_length": F.coalesce(F.max(F.when(~empty, length)), F.lit(0)).cast("long"),
         "string_avg_length": F.coalesce(F.sum(length) / F.count(F.lit(1)), F.lit(0.0)),
         "string_only_whitespace_count": count(white),
@@ -42,22 +47,42 @@ def _statistics(c: Column, text: Column, x: Column, nulls: list[str]) -> dict[st
     }
 
 
-def analyze(df: DataFrame, columns: list[str], null_like_values: list[str] = ()) -> DataFrame:
-    """One row per column with its statistics: one scan and one aggregation. Null cells count as empty."""
-    cells = df.select(*(F.coalesce(F.col(name).cast("string"), F.lit("")).alias(f"c{i}") for i, name in enumerate(columns)))
+def analyze(df: DataFrame, columns: list[str], null_like_values: list[str] = (), pos: str | None = None) -> DataFrame:
+    """One row per column with its statistics: one scan and one aggregation. Null cells count as empty.
+
+    With pos, the rows' position, also example_value (the first cell), string_vocab_cardinality (one more scan) and
+    numeric_finite_median_approx (one more scan a column).
+    """
+    first = [] if pos is None else [F.min_by(F.col(f"c{i}"), "p").alias(f"e{i}") for i in range(len(columns))]
+    cells = df.select(*(F.coalesce(F.col(name).cast("string"), F.lit("")).alias(f"c{i}") for i, name in enumerate(columns)), *([F.col(pos).alias("p")] if pos else []))
     texts = cells.select("*", *(trim(F.col(f"c{i}")).alias(f"t{i}") for i in range(len(columns))))
     told = texts.select("*", *(parse(F.col(f"t{i}"), "float64").alias(f"x{i}") for i in range(len(columns))))
     stats = [_statistics(F.col(f"c{i}"), F.col(f"t{i}"), F.col(f"x{i}"), list(null_like_values)) for i in range(len(columns))]
-    one = told.agg(*(F.struct(*(s.alias(k) for k, s in own.items())).alias(f"s{i}") for i, own in enumerate(stats)))
-    rows = F.array(*(F.struct(F.lit(name).alias("column"), F.col(f"s{i}").alias("s")) for i, name in enumerate(columns)))
-    return one.select(F.explode(rows).alias("r")).select("r.column", "r.s.*")
+    one = told.agg(*(F.struct(*(s.alias(k) for k, s in own.items())).alias(f"s{i}") for i, own in enumerate(stats)), *first)
+    extra = ["r.example_value"] if pos else []
+    rows = F.array(*(F.struct(F.lit(name).alias("column"), F.col(f"s{i}").alias("s"), (F.col(f"e{i}") if pos else F.lit(None).cast("string")).alias("example_value")) for i, name in enumerate(columns)))
+    out = one.select(F.explode(rows).alias("r")).select("r.column", "r.s.*", *extra)
+    if pos is None:
+        return out
+    medians = reduce(DataFrame.unionByName, (median_approx(df, name, pos).withColumn("column", F.lit(name)) for name in columns))
+    return out.join(vocabularies(df, columns), "column").join(medians, "column")  # a row a column each
+
+
+def vocabularies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, string_vocab_cardinality): estimated distinct words, split at single spaces; one scan for all columns."""
+
+    def words(name: str) -> Column:
+        c = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        cut = F.split(F.when(c.endswith(" "), F.left(c, F.length(c) - 1)).otherwise(c), " ")
+        return F.struct(F.lit(name).alias("column"), F.when(c != "", cut).otherwise(F.array().cast("array<string>")).alias("words"))
+
+    held = df.select(F.explode(F.array(*(words(name) for name in columns))).alias("w")).select("w.column", F.explode_outer("w.words").alias("w"))
+    return held.groupBy("column").agg(F.hll_sketch_estimate(F.hll_sketch_agg("w", SKETCH_BITS)).alias("string_vocab_cardinality"))
 
 
 def vocabulary_cardinality(df: DataFrame, column: str) -> DataFrame:
-    """Estimated distinct words, split at single spaces."""
-    c = F.coalesce(F.col(column), F.lit(""))
-    words = df.where(c != "").select(F.explode(F.split(F.when(c.endswith(" "), F.left(c, F.length(c) - 1)).otherwise(c), " ")).alias("w"))
-    return words.agg(F.hll_sketch_estimate(F.hll_sketch_agg("w", SKETCH_BITS)).alias("string_vocab_cardinality"))
+    """Estimated distinct words of one column."""
+    return vocabularies(df, [column]).drop("column")
 
 
 def example_values(df: DataFrame, columns: list[str], pos: str) -> DataFrame:
@@ -86,3 +111,61 @@ def capture(df: DataFrame, column: str, pos: str, most: int = 1000) -> DataFrame
 def concatenate(stores: list[DataFrame]) -> DataFrame:
     """Stores one after the other, with their place as __store_idx."""
     return reduce(DataFrame.unionByName, (s.withColumn("__store_idx", F.lit(i)) for i, s in enumerate(stores)))
+
+
+@dataclass(frozen=True)
+class ColumnAnalysis:
+    """What was found about a column; the statistics are attributes."""
+
+    column_name: str
+    statistics: dict[str, object]
+    string_captured_unique_values: dict[str, int]
+    string_captured_unique_values_overflowed: bool
+
+    def __getattr__(self, name: str):
+        try:
+            return self.__dict__["statistics"][name]
+        except KeyError:
+            raise AttributeError(name) from None
+
+    def estimate_string_cardinality(self) -> int:
+        return self.statistics["string_cardinality"]
+
+    def estimate_string_vocab_cardinality(self) -> int:
+        return self.statistics["string_vocab_cardinality"]
+
+    def to_dict(self) -> dict[str, object]:
+        """Counts and numbers as text, numbers with six places; cardinalities, captures and the median as they are."""
+        plain = ("string_cardinality", "string_vocab_cardinality", "numeric_finite_median_approx", "example_value")
+        out = {k: v if k in plain else f"{v:.6f}" if isinstance(v, float) else str(v) for k, v in self.statistics.items()}
+        return out | {
+            "string_captured_unique_values": self.string_captured_unique_values,
+            "string_captured_unique_values_overflowed": self.string_captured_unique_values_overflowed,
+        }
+
+    def __repr__(self) -> str:
+        return f"ColumnAnalysis({self.column_name})"
+
+
+@dataclass(frozen=True)
+class DataAnalysis:
+    columns: list[ColumnAnalysis]
+
+
+def analyze_dataset(reader, null_like_values: list[str] = (), capture_columns: list[int] = (), max_capture_count: int = 1000) -> DataAnalysis:
+    """The whole analysis of a reader's rows, all of whose columns are text; a row a column, and the captured values,
+    come to the driver. Columns to capture are given by place. A dataset without rows is an error."""
+    names = list(reader.padding())
+    kinds = {f.name: f.dataType for f in reader.read_schema()}
+    if other := [n for n in names if kinds[n].typeName() != "string"]:
+        raise SchemaError(f"not columns of text: {other}")
+    df = reader.rows()
+    told = {r["column"]: r.asDict() for r in analyze(df, names, null_like_values, POS).collect()}
+    if not told or not next(iter(told.values()))["rows_seen"]:
+        raise SchemaError("the dataset has no rows")
+    out = []
+    for i, name in enumerate(names):
+        kept = capture(df, name, POS, max_capture_count).collect() if i in capture_columns else []
+        stats = {k: v for k, v in told[name].items() if k != "column"}
+        out.append(ColumnAnalysis(name, stats, {r["value"]: r["n"] for r in kept}, any(r["overflowed"] for r in kept)))
+    return DataAnalysis(out)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import logging
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +11,6 @@ from rivulet.params import BadExampleHandling, LastExampleHandling, ReaderParams
 
 from .position import POS, with_position
 
-log = logging.getLogger("rivulet")
 SAMPLE_BLOCK = 100
 
 
@@ -103,29 +100,55 @@ def batches(
     bad: Column | None = None,
     on_bad: BadExampleHandling = BadExampleHandling.ERROR,
     pos: str = POS,
+    details: bool = False,
 ) -> DataFrame:
     """One row per batch: batch_id, size (rows with padding), padding, and an array of each column in row order.
 
-    columns: name to padding value. bad: marks rows that do not decode; ERROR raises, SKIP drops the batch, PAD drops
-    the row and pads the batch.
+    columns: name to padding value. bad: true, or the reason, for rows that do not decode; ERROR raises, SKIP drops the
+    batch, PAD drops the row and pads the batch. details: dropped batches stay, nothing is raised, and columns are added:
+    __dropped, __row_notes and __notes (what befell rows and the batch, in words), __bytes (of the rows' payloads, where
+    df has them) and __error (what ERROR would have raised first).
     """
-    bad = F.lit(False) if bad is None else F.coalesce(bad, F.lit(False))
-    if on_bad is BadExampleHandling.ERROR:
-        bad = F.when(bad, F.raise_error(F.concat(F.lit(f"{InvalidInstanceError.__name__}: row "), F.col(pos).cast("string")))).otherwise(F.lit(False))
+    reason = F.lit(None).cast("string") if bad is None else bad
+    if dict(df.select(reason.alias("r")).dtypes)["r"] == "boolean":
+        reason = F.when(reason, F.lit("the row does not decode"))
+    reason = F.when(reason.isNotNull(), F.concat(F.lit("row "), F.col(pos).cast("string"), F.lit(": "), reason))
+    if on_bad is BadExampleHandling.ERROR and bad is not None and not details:
+        raised = F.raise_error(F.concat(F.lit(f"{InvalidInstanceError.__name__}: "), reason))
+        reason = F.when(reason.isNotNull(), raised).otherwise(F.lit(None).cast("string"))
+    df = df.withColumn("__reason", reason)
+    good = F.col("__reason").isNull()
     row = F.struct(F.col(pos).alias("p"), *(F.col(c) for c in columns))
-    grouped = with_batch(df, size, pos).groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(bad).alias("any_bad"),
-        F.sort_array(F.collect_list(F.when(~bad, row))).alias("rows"),
-    )
-    if on_bad in (BadExampleHandling.SKIP, BadExampleHandling.SKIP_WARN):
-        grouped = grouped.where(~F.col("any_bad"))
-    if last in (LastExampleHandling.DROP, LastExampleHandling.DROP_WARN):
-        grouped = grouped.where(F.col("n") == size)
-    if last.name.endswith("WARN") or on_bad.name.endswith("WARN"):
-        log.warning("short batches: %s, batches with bad rows: %s", last.value, on_bad.value)
-    whole = F.lit(size) if last in (LastExampleHandling.PAD, LastExampleHandling.PAD_WARN) else F.col("n")
+    told = [F.count(F.lit(1)).alias("n"), F.count("__reason").alias("n_bad"), F.sort_array(F.collect_list(F.when(good, row))).alias("rows")]
+    if details:
+        own = F.col("__note") if "__note" in df.columns else F.lit(None).cast("string")
+        note = F.concat_ws("; ", "__reason", F.when(own.isNotNull(), F.concat(F.lit("row "), F.col(pos).cast("string"), F.lit(": "), own)))
+        told.append(F.min_by("__reason", F.when(~good, F.col(pos))).alias("first"))
+        told.append(F.sort_array(F.collect_list(F.when(note != "", F.struct(pos, note.alias("note"))))).alias("notes"))
+        told.append((F.sum(F.when(good, F.col("__bytes"))) if "__bytes" in df.columns else F.lit(0)).cast("long").alias("bytes"))
+    grouped = with_batch(df, size, pos).groupBy("batch_id").agg(*told)
+    any_bad, short = F.col("n_bad") > 0, F.col("n") < size
+    skips = on_bad in (BadExampleHandling.SKIP, BadExampleHandling.SKIP_WARN)
+    drops = last in (LastExampleHandling.DROP, LastExampleHandling.DROP_WARN)
+    dropped = (any_bad if skips else F.lit(False)) | (short if drops else F.lit(False))
+    pads = last in (LastExampleHandling.PAD, LastExampleHandling.PAD_WARN)
+    whole = F.lit(size) if pads else F.col("n")
     padding = (whole - F.size("rows")).cast("int")
+    batch = lambda what: F.concat(F.lit("batch "), F.col("batch_id").cast("string"), F.lit(what))
+    said = [
+        F.when(any_bad, batch(" is skipped, as rows of it are bad")) if on_bad is BadExampleHandling.SKIP_WARN else None,
+        F.when(any_bad, batch(" is padded, as rows of it are bad")) if on_bad is BadExampleHandling.PAD_WARN else None,
+        F.when(short, batch(" is dropped, as it is short")) if last is LastExampleHandling.DROP_WARN else None,
+        F.when(short, batch(" is padded, as it is short")) if last is LastExampleHandling.PAD_WARN else None,
+    ]
+    extra = []
+    if details:
+        said = F.array_compact(F.array(F.lit(None).cast("string"), *(x for x in said if x is not None)))
+        extra = [dropped.alias("__dropped"), F.transform("notes", lambda x: x["note"]).alias("__row_notes"), said.alias("__notes"), F.coalesce("bytes", F.lit(0).cast("long")).alias("__bytes")]
+        extra.append((F.col("first") if on_bad is BadExampleHandling.ERROR else F.lit(None).cast("string")).alias("__error"))
+    else:
+        grouped = grouped.where(~dropped)
     return grouped.select(
         "batch_id", whole.cast("int").alias("size"), padding.alias("padding"),
-        *(F.concat(_cells(c), F.array_repeat(F.lit(v).cast(df.schema[c].dataType), padding)).alias(c) for c, v in columns.items()),
+        *(F.concat(_cells(c), F.array_repeat(F.lit(v).cast(df.schema[c].dataType), padding)).alias(c) for c, v in columns.items()), *extra,
     )
