@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions.parsing import parse
-from rivulet.operators import insights, rows, sketch, sparse
+from rivulet.operators import insights, rows, sparse
 from rivulet.operators.position import POS, with_position
 from rivulet.params import BadExampleHandling, CsvParams, LastExampleHandling, ReaderParams
 from rivulet.readers import CsvReader
@@ -14,6 +14,8 @@ from rivulet.schema import Attribute, Schema
 from rivulet.sources import csv, lines, protobuf, stores
 from rivulet.sources.staging import new_path
 
+from . import formats
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,7 +79,7 @@ def _batched(last):
 def _bad(how):
     def query(spark, sf_dir):
         df = events(spark, sf_dir).withColumn("x", parse(dirty(), "int64", frozenset()))
-        own = rows.batches(df, {"x": 0}, 16, LastExampleHandling.PAD if how is BadExampleHandling.PAD else LastExampleHandling.NONE, F.col("x").isNull(), how)
+        own = rows.batches(df, {"x": 0}, 16, LastExampleHandling.PAD if how in (BadExampleHandling.PAD, BadExampleHandling.PAD_WARN) else LastExampleHandling.NONE, F.col("x").isNull(), how)
         return own.select("batch_id", "size", "padding", F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
     return query
@@ -88,11 +90,6 @@ def bad_rows_report(spark, sf_dir):
     return df.where(parse(F.col("cell"), "int64").isNull())
 
 
-def epoch_shuffle_window(spark, sf_dir):
-    df = rows.shuffle(events(spark, sf_dir), seed=5, window=64, epoch=1)
-    return df.select("event_id", F.col(POS).alias("pos"), F.col("__order.slot").alias("slot"))
-
-
 def concat_stores(spark, sf_dir):
     a = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("row"), F.col("r_name").alias("name"))
     b = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row"), F.col("n_name").alias("name"))
@@ -118,10 +115,6 @@ def insights_text(spark, sf_dir):
     return own.select("column", "rows_seen", "string_empty_count", "string_min_length", "string_max_length", "string_num_words")
 
 
-def insights_cardinality(spark, sf_dir):
-    return insights.analyze(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"]).select("column", "string_cardinality")
-
-
 def insights_median_10k(spark, sf_dir):
     return insights.median_approx(orders(spark, sf_dir), "o_totalprice", POS)
 
@@ -130,12 +123,6 @@ def insights_capture(spark, sf_dir):
     return insights.capture(orders(spark, sf_dir), "o_orderpriority", POS, 3)
 
 
-def sparse_coo_coordinates(spark, sf_dir):
-    """Linear keys of large embedding entries to the coordinates of a matrix of 8 columns."""
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("key", "value")).where("value > 0.15")
-    return cells.select("vec_id", F.floor(F.col("key") / 8).cast("long").alias("i"), (F.col("key") % 8).cast("long").alias("j"), F.round(F.col("value").cast("double"), 5).alias("value"))
-
-
 def sparse_coo_batches(spark, sf_dir):
     """Batches of 16 rows of the same matrices: entries and sums of the coordinates and the data."""
     own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
@@ -188,16 +175,6 @@ def text_lines(spark, sf_dir):
     return own.groupBy(F.octet_length("value").alias("bytes")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def dedupe_names(spark, sf_dir):
-    """The nation names by region as a header of repeated names."""
-    held = table(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.concat(F.lit("r"), "n_regionkey").alias("c")).collect()  # 25 rows
-    return spark.createDataFrame(list(enumerate(csv.dedupe([r["c"] for r in held]))), "place long, name string")
-
-
-def hll_cardinality(spark, sf_dir):
-    return sketch.estimate(sketch.registers(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k")), "k"))
-
-
 def protobuf_records(spark, sf_dir):
     """Nation and region keys as 32-bit tensors in messages, through the decoder."""
     key = lambda name: F.unhex(F.concat(F.lit("12053A030A01"), F.lpad(F.hex(name), 2, "0")))
@@ -212,13 +189,15 @@ QUERIES = {
     "range_shard_sample_chain": range_shard_sample_chain, "range_shard_sample_batch_pad": range_shard_sample_batch_pad,
     "batch_none": _batched(LastExampleHandling.NONE), "batch_drop": _batched(LastExampleHandling.DROP), "batch_pad": _batched(LastExampleHandling.PAD),
     "bad_skip": _bad(BadExampleHandling.SKIP), "bad_pad": _bad(BadExampleHandling.PAD), "bad_rows_report": bad_rows_report,
-    "epoch_shuffle_window": epoch_shuffle_window, "concat_stores": concat_stores, "parse_numbers": parse_numbers,
-    "insights_statistics": insights_statistics, "insights_text": insights_text, "insights_cardinality": insights_cardinality,
-    "insights_median_10k": insights_median_10k, "insights_capture": insights_capture, "sparse_coo_coordinates": sparse_coo_coordinates,
-    "sparse_coo_batches": sparse_coo_batches, "csv_table": csv_table, "text_lines": text_lines, "dedupe_names": dedupe_names,
+    "concat_stores": concat_stores, "parse_numbers": parse_numbers,
+    "insights_statistics": insights_statistics, "insights_text": insights_text,
+    "insights_median_10k": insights_median_10k, "insights_capture": insights_capture,
+    "sparse_coo_batches": sparse_coo_batches, "csv_table": csv_table, "text_lines": text_lines,
     "csv_projected": csv_projected, "csv_reader_batches": csv_reader_batches, "parse_nan_values": parse_nan_values,
-    "hll_cardinality": hll_cardinality, "protobuf_records": protobuf_records,
-}
+    "protobuf_records": protobuf_records,
+    "batch_drop_warn": _batched(LastExampleHandling.DROP_WARN), "batch_pad_warn": _batched(LastExampleHandling.PAD_WARN),
+    "bad_skip_warn": _bad(BadExampleHandling.SKIP_WARN), "bad_pad_warn": _bad(BadExampleHandling.PAD_WARN),
+} | formats.QUERIES
 
 _CHAIN_SQL = f"""(SELECT event_id, value, CAST((p2 // 100) * 25 + p2 % 100 AS BIGINT) AS pos FROM (
   SELECT *, (p - 101) // 3 AS p2, (SELECT count(*) FROM {E_POS} WHERE p >= 100 AND p < 900 AND (p - 100) % 3 = 1) AS n
@@ -245,7 +224,7 @@ ORACLE_SQL = {
     "concat_stores": "SELECT 0 AS store, r_regionkey AS row, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation",
     "parse_numbers": f"SELECT event_id, {', '.join(f'CASE WHEN x BETWEEN {a} AND {b} THEN x END AS {k}' for k, a, b in (('int8', -128, 127), ('uint8', 0, 255), ('int16', -32768, 32767), ('uint16', 0, 65535), ('int32', -2147483648, 2147483647), ('uint32', 0, 4294967295)))}, x AS int64, CASE WHEN trim(c) = 'nan' THEN 'nan'::DOUBLE ELSE f END AS float64 FROM (SELECT event_id, c, {_INT} AS x, {_F} AS f FROM (SELECT event_id, {DIRTY_SQL} AS c FROM events))",
     "insights_statistics": f"""SELECT 'cell' AS "column", count(*) AS rows_seen, count(*) FILTER (c = '') AS string_empty_count,
-        min(strlen(c)) FILTER (c <> '') AS string_min_length, max(strlen(c)) AS string_max_length, round(CAST(sum(strlen(c)) AS DOUBLE) / count(*), 6) AS string_avg_length,
+        min(strlen(c)) FILTER (c <> '') AS string_min_length, min(strlen(c)) FILTER (c <> '') AS string_min_length_not_empty, max(strlen(c)) AS string_max_length, round(CAST(sum(strlen(c)) AS DOUBLE) / count(*), 6) AS string_avg_length,
         count(*) FILTER (c <> '' AND trim(c) = '') AS string_only_whitespace_count, count(*) FILTER (lower(trim(c)) IN ('na', 'null')) AS string_null_like_count,
         CAST(sum(CASE WHEN c <> '' THEN len(string_split(c, ' ')) - CASE WHEN c LIKE '% ' THEN 1 ELSE 0 END END) AS BIGINT) AS string_num_words,
         count(f) AS numeric_count, count(*) FILTER (trim(c) <> '' AND f IS NULL) AS numeric_nan_count, count(f) AS numeric_finite_count,
@@ -258,7 +237,6 @@ ORACLE_SQL = {
     ),
     "insights_median_10k": f"SELECT list_sort(list(x))[len(list(x)) // 2 + 1] AS numeric_finite_median_approx FROM (SELECT o_totalprice AS x FROM {O_POS} WHERE p < 10000)",
     "insights_capture": f"SELECT value, n, more > 3 AS overflowed FROM (SELECT o_orderpriority AS value, count(*) AS n, min(p) AS f, count(*) OVER () AS more FROM {O_POS} GROUP BY 1) ORDER BY f LIMIT 3",
-    "sparse_coo_coordinates": "SELECT vec_id, CAST((k - 1) // 8 AS BIGINT) AS i, CAST((k - 1) % 8 AS BIGINT) AS j, round(CAST(embedding[k] AS DOUBLE), 5) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) WHERE embedding[k] > 0.15",
     "sparse_coo_batches": """SELECT CAST(p // 16 AS BIGINT) AS batch_id, CAST(count(k) AS INTEGER) AS entries, max(n) AS rows, CAST(coalesce(sum(p % 16) FILTER (k IS NOT NULL), 0) AS BIGINT) AS row_sum,
         CAST(coalesce(sum((k // 8) % 8), 0) AS BIGINT) AS i_sum, CAST(coalesce(sum(k % 8), 0) AS BIGINT) AS j_sum, round(coalesce(sum(x), 0), 4) AS total
         FROM (SELECT p, n, k, x FROM (SELECT *, count(*) OVER (PARTITION BY p // 16) AS n FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings))
@@ -270,6 +248,6 @@ ORACLE_SQL = {
         FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 11 AS p FROM customer) WHERE p >= 0 AND p % 2 = 1 GROUP BY p // 32""",
     "parse_nan_values": f"SELECT event_id, CASE WHEN trim(c) IN ('nan', 'NA') THEN 'nan'::DOUBLE ELSE {_F} END AS x FROM (SELECT event_id, {DIRTY_SQL} AS c FROM events)",
     "text_lines": "SELECT CAST(strlen(event_id || ' ' || event_type || ' ' || props) AS INTEGER) AS bytes, count(*) AS n FROM events GROUP BY 1",
-    "dedupe_names": "SELECT n_nationkey::BIGINT AS place, 'r' || n_regionkey || CASE WHEN r > 0 THEN '_' || r ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation)",
     "protobuf_records": "SELECT n_name, n_nationkey AS n, n_regionkey AS r FROM nation",
-}
+} | formats.ORACLE_SQL
+ORACLE_SQL |= {f"{name}_warn": ORACLE_SQL[name] for name in ("batch_drop", "batch_pad", "bad_skip", "bad_pad")}

@@ -165,7 +165,7 @@ def test_marks_and_inflation(spark, tmp_path):
     packed = write(tmp_path / "z", a__bin=zlib.compress(b"a\n") + zlib.compress(b"b"), c__bin=b"")
     assert [r["value"] for r in lines.read_lines(spark, packed, compression="gzip").orderBy("__pos").collect()] == ["a", "b"]
     with pytest.raises(InflateError):
-        lines.inflate(zlib.compress(b"abc")[:-3])
+        stores.inflate(zlib.compress(b"abc")[:-3])
     with pytest.raises(StreamError):
         lines.decode(b"\xff", "utf-8")
 
@@ -231,7 +231,7 @@ def test_adapters(spark):
     df = with_position(spark.range(4).selectExpr("id as k", "named_struct('keys', array(id), 'values', array(id + 0.5d)) as s"), "k")
     batch = sparse.coo_batches(df, "s", (4,), 4).first()
     assert adapters.as_numpy(batch, "data").tolist() == [0.5, 1.5, 2.5, 3.5]
-    assert adapters.to_tensor(np.zeros((2, 3)))["strides"] == (3, 1)
+    assert adapters.to_tensor(np.zeros((2, 3))).strides == (3, 1)
     assert adapters.as_arrow_file(b"abc").read() == b"abc" and adapters.as_dlpack(np.ones(2)) is not None
     with pytest.raises(Exception, match="no such form"):
         adapters.as_dlpack(np.array(["a"]))

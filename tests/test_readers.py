@@ -47,6 +47,39 @@ def test_lines_over_splits(spark, tmp_path):
     assert bad == 0
 
 
+def test_positions_outlive_the_split_plan(spark, tmp_path):
+    """Splits are dealt otherwise when the rows are read than when they were counted."""
+    paths = write(tmp_path, **{f"f{k}__txt": "".join(f"{i}\n" for i in range(k * 100, k * 100 + 100)) for k in range(15)})
+    own = lines.read_lines(spark, paths)
+    held = csv.read_csv(spark, paths, CsvParams(header_row_index=None, column_names=("n",)))
+    changed = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "200"}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        for df, name in ((own, "value"), (held, "n")):
+            assert df.count() == 1500 and df.where(F.col(name).cast("long") != F.col("__pos")).count() == 0
+    finally:
+        for key in changed:
+            spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 2, 3), (0, 2, 1, 3), (1, 1, 0, 2, 3, 0), (3, 0, 2, 1), (1, 3)])
+@pytest.mark.parametrize("single", [False, True])
+def test_empty_short_and_repeated_files(spark, tmp_path, order, single):
+    texts = ["k,v\n1,a\n2,b\n", "", "k,v\n3,c", "k,v\n"]
+    paths = write(tmp_path, **{f"f{i}__csv": t for i, t in enumerate(texts)})
+    own = csv.read_csv(spark, [paths[i] for i in order], CsvParams(has_single_header=single, default_data_type="string"))
+    assert own.columns[:2] == ["k", "v"]
+    want, met = [], False
+    for place, i in enumerate(order):
+        rows = texts[i].split()
+        rows = rows[0 if single and met else 1 :]
+        met |= bool(texts[i])
+        want += [(place, *r.split(",")) for r in rows]
+    got = own.orderBy("__pos").collect()
+    assert [(r["__store_idx"], r["k"], r["v"]) for r in got] == want and [r["__pos"] for r in got] == list(range(len(want)))
+
+
 @pytest.mark.parametrize(
     ("names", "want"),
     [
@@ -76,7 +109,7 @@ def test_csv(spark, tmp_path):
     paths = write(tmp_path, a__csv="n,x,s\n#no\n1,1.5,p\n\n2,1f,q\n3,2\n", b__csv='n,x,s\n4,nan,"r,r"\n')
     rows = csv.read_csv(spark, paths, CsvParams(comment_char="#")).orderBy("__pos").collect()
     assert [(r["n"], r["s"], r["__pos"], r["__bad"]) for r in rows] == [
-        (1, "p", 0, None), (2, "q", 1, "x is not float64"), (None, None, 2, "2 fields instead of 3"), (4, "r,r", 3, None)]
+        (1, "p", 0, None), (2, "q", 1, "x is not float64: '1f'"), (None, None, 2, "2 fields instead of 3"), (4, "r,r", 3, None)]
     one = csv.read_csv(spark, paths[:1], CsvParams(comment_char="#", use_columns=frozenset({"s"})))
     assert one.columns[0] == "s"
     plain = csv.read_csv(spark, paths[:1], CsvParams(header_row_index=None, comment_char="#", default_data_type="string"))
