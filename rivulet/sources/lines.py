@@ -41,7 +41,7 @@ def split_lines(text: str) -> list[str]:
     return own if own[-1] else own[:-1]
 
 
-def _frozen(spark: SparkSession) -> SparkSession:
+def frozen(spark: SparkSession) -> SparkSession:
     """A session like this one whose split plan stays what it is now: what is read in it is cut and dealt to partitions
     alike however often, whatever becomes of settings and executors. Row numbers rest on that."""
     own = spark.newSession()
@@ -53,13 +53,13 @@ def _frozen(spark: SparkSession) -> SparkSession:
     return own
 
 
-def _whole(frozen: SparkSession, stores: list, encoding: str | None, compression: str | None, records: Callable[[str], list[str]]) -> DataFrame:
+def _whole(held: SparkSession, stores: list, encoding: str | None, compression: str | None, records: Callable[[str], list[str]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 yield pd.DataFrame({"file": path, "start": 0, "value": records(decode(bytes(content), encoding))})
 
-    return contents(frozen, stores, compression).mapInPandas(run, "file string, start long, value string")
+    return contents(held, stores, compression).mapInPandas(run, "file string, start long, value string")
 
 
 @dataclass(frozen=True)
@@ -114,27 +114,37 @@ def number_lines(
     one row for each file split.
     """
     whole = records is not None or special(stores, compression) or (encoding or "UTF-8").upper() not in ("UTF-8", "UTF8")
-    frozen = _frozen(spark)
+    held = frozen(spark)
     if whole:
-        rows = _whole(frozen, stores, encoding, compression, records or split_lines).withColumn("marked", F.lit(False))
+        rows = _whole(held, stores, encoding, compression, records or split_lines).withColumn("marked", F.lit(False))
     else:
         files = list(dict.fromkeys(map(name_of, stores)))
-        rows = frozen.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        rows = held.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
         head = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
         wide = head.startswith("FFFE") | head.startswith("FEFF") | (head == "0000FEFF")
         first = F.col("start") == 0
         rows = rows.withColumns({"marked": F.lit(encoding is None) & first & wide, "value": F.when(first, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))})
     if keep is not None:
         rows = rows.where(keep)
-    rows = rows.withColumn("mid", F.monotonically_increasing_id())
-    splits = rows.groupBy("file", "start").agg(F.min("mid").alias("low"), F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked")).collect()
-    if any(s["marked"] for s in splits):  # 16 or 32 bits a character
+    own = number_rows(spark, stores, rows, as_uri=not whole)
+    if own is None:  # 16 or 32 bits a character
         return number_lines(spark, stores, keep, None, compression, split_lines)
+    return own
+
+
+def number_rows(spark: SparkSession, stores: list, rows: DataFrame, as_uri: bool = True) -> Numbered | None:
+    """rows (file, start, value) of a frozen read in order; None if any is `marked`. as_uri: file is a path in Spark's
+    own writing."""
+    rows = rows.withColumn("mid", F.monotonically_increasing_id())
+    marked = F.max("marked") if "marked" in rows.columns else F.lit(False)
+    splits = rows.groupBy("file", "start").agg(F.min("mid").alias("low"), F.count(F.lit(1)).alias("n"), marked.alias("marked")).collect()
+    if any(s["marked"] for s in splits):
+        return None
     of: dict[str, list] = {}
     for s in splits:
-        of.setdefault(plain(s["file"] if whole else unquote(s["file"])), []).append((s["file"], s["start"], s["low"], s["n"]))
+        of.setdefault(plain(unquote(s["file"]) if as_uri else s["file"]), []).append((s["file"], s["start"], s["low"], s["n"]))
     placed = [(i, *s) for i, store in enumerate(stores) for s in sorted(of.get(plain(name_of(store)), ()), key=lambda s: s[1])]
-    return Numbered(spark, rows.drop("marked"), placed)
+    return Numbered(spark, rows.select("file", "start", "mid", "value"), placed)
 
 
 def read_lines(spark: SparkSession, stores: list, keep: Column | None = None, encoding: str | None = None, compression: str | None = None, records: Callable[[str], list[str]] | None = None) -> DataFrame:

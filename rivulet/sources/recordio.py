@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rivulet.errors import CorruptHeaderError, CorruptRecordError, RecordError
 
-from .stores import contents, numbered
+from .lines import Numbered, frozen, number_rows
+from .stores import contents, name_of, numbered, special
 
 #: Fixed values of the format.
 MAGIC = 0xCED7230A
@@ -48,7 +50,16 @@ def records(data: bytes) -> Iterator[bytes]:
 
 
 def read_records(spark: SparkSession, stores: list) -> DataFrame:
-    """(path, __row_idx, payload, __store_idx, __pos), a store a row of the scan. Errors name the store."""
+    """(__row_idx, payload, __store_idx, __pos) of the records of the stores in order.
+
+    Files of whole records are cut at the magic wherever Spark splits them, in the JVM; if each piece is as long as its
+    header says, no payload holds the magic and the cut is right. Otherwise (split records, a magic in a payload,
+    damage), and for stores that Spark does not read by itself, a store is a row of the scan. Errors name the store.
+    """
+    if not special(stores):
+        cut = _cut(spark, stores)
+        if cut is not None:
+            return cut.lines().withColumnRenamed("value", "payload")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -59,4 +70,21 @@ def read_records(spark: SparkSession, stores: list) -> DataFrame:
                     raise type(e)(f"{e} ({path})") from e
                 yield pd.DataFrame({"path": path, "__row_idx": range(len(own)), "payload": own})
 
-    return numbered(contents(spark, stores).mapInPandas(run, "path string, __row_idx long, payload binary"), stores)
+    return numbered(contents(spark, stores).mapInPandas(run, "path string, __row_idx long, payload binary"), stores).drop("path")
+
+
+def _cut(spark: SparkSession, stores: list) -> Numbered | None:
+    """Payloads of files of whole records, numbered; None where a piece is not as long as it should be."""
+    separator = MAGIC.to_bytes(4, "little").decode("latin-1")
+    files = list(dict.fromkeys(map(name_of, stores)))
+    rows = frozen(spark).read.option("lineSep", separator).option("encoding", "ISO-8859-1").text(files)
+    rows = rows.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    word = F.conv(F.hex(F.concat(*(F.substring("piece", k, 1) for k in (4, 3, 2, 1)))), 16, 10).cast("long")
+    kind, length = F.shiftright(word, 29), word.bitwiseAND(0x1FFFFFFF)
+    before = F.octet_length("piece") == 0  # what stands before the first magic
+    whole = (kind == COMPLETE) & (F.octet_length("piece") == 4 + length + F.pmod(-length, F.lit(4)))
+    told = rows.select("file", "start", before.alias("before"), F.coalesce(whole, F.lit(False)).alias("whole"), F.substring("piece", F.lit(5), length.cast("int")).alias("value"))
+    odd = told.groupBy("file").agg((F.count_if(~F.col("before") & ~F.col("whole")) > 0).alias("odd"), F.count_if(F.col("before") & (F.col("start") == 0)).alias("heads"), F.count_if(F.col("before")).alias("empty"))
+    if not odd.where("odd or heads <> 1 or empty <> 1").isEmpty():
+        return None
+    return number_rows(spark, stores, told.where("not before").select("file", "start", "value"))

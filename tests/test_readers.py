@@ -150,6 +150,29 @@ def test_records(spark, tmp_path):
         list(recordio.frames(data[:9]))
 
 
+def test_records_cut_where_files_are_split(spark, tmp_path):
+    import random
+
+    draw = random.Random(3)
+    payloads = [draw.randbytes(draw.randrange(0, 90)) for _ in range(700)]
+    plain = b"".join(frame(0, p) for p in payloads)
+    tricky = frame(0, b"ab" + struct.pack("<I", recordio.MAGIC) + b"cd") + frame(0, b"z")
+    split = frame(1, b"x") + frame(3, b"y") + frame(0, b"")
+    a, b, c, d = write(tmp_path, a__rec=plain, b__rec=b"", c__rec=tricky, d__rec=split)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        for files, want, whole in (([a, b, a], payloads * 2, False), ([a, c], [*payloads, b"ab" + struct.pack("<I", recordio.MAGIC) + b"cd", b"z"], True), ([d, a], [b"xy", b"", *payloads], True)):
+            assert (recordio._cut(spark, files) is None) == whole
+            got = recordio.read_records(spark, files).orderBy("__pos").collect()
+            assert [bytes(r["payload"]) for r in got] == want and [r["__pos"] for r in got] == list(range(len(want)))
+            assert {r["__store_idx"] for r in got} == ({0, 2} if len(files) == 3 else {0, 1})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    bad = write(tmp_path, e__rec=frame(0, b"whole") + frame(0, b"cut off")[:-3])[-1]
+    with pytest.raises(Exception, match="is cut off"):
+        recordio.read_records(spark, [bad]).collect()
+
+
 def test_parquet_stream(spark, tmp_path):
     import io
 
