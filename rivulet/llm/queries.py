@@ -74,6 +74,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op3: words and places of the base phrases, from the same scan."""
+    return op3_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def edited_text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op6: the edited texts, from the same pairing of documents with the next."""
+    return op6_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
@@ -85,9 +95,25 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "license_base_places": license_base_places,
+    "edited_text_digests": edited_text_digests,
 }
 
 ORACLE_SQL = {
+    "license_base_places": r"""
+        WITH t AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        places AS (
+          SELECT doc_id, i, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+                 WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t))
+        SELECT t.doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(label) AS n_base, CAST(min(i) - 1 AS BIGINT) AS first_word, CAST(max(i) - 1 AS BIGINT) AS last_word,
+               coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+        FROM t LEFT JOIN (SELECT * FROM places WHERE label IS NOT NULL) p ON p.doc_id = t.doc_id GROUP BY t.doc_id""",
+    "edited_text_digests": """
+        SELECT doc_id, length(body) AS n_chars, sha256(left(body, length(body) - length(body) // 4) || left(other, length(body) // 4)) AS edited_sha256
+        FROM (SELECT doc_id, body, coalesce(lead(body) OVER (ORDER BY doc_id), first(body) OVER (ORDER BY doc_id)) AS other
+              FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents))""",
     "op2_chat_formatting": """
         WITH plain AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
