@@ -1,13 +1,12 @@
 """Images as rows of height, width, channels and bytes.
 
-Files are decoded by Spark's image source. Images inside framed records are decoded here, PNG only (8 bits a sample,
-not interlaced); anything else there is a bad row. Resize, crop and channels work on Arrow batches.
+Spark's image source decodes (JPEG, PNG, GIF, BMP). It reads files, so images inside framed records or stores of one's
+own are first written to the shared folder, one file for each distinct image, and joined back by digest. Resize, crop
+and channels work on Arrow batches.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,16 +14,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from rivulet.errors import CorruptRecordError, NotSupportedError
 
 from .recordio import read_records
+from .staging import new_path
 from .stores import contents, name_of, special, with_store
 
-#: Bytes before the image in a framed record, the PNG signature, channels of its colour types.
+#: Fixed value: bytes before the image in a framed record.
 RECORD_HEADER = 24
-PNG = b"\x89PNG\r\n\x1a\n"
-PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 OUT = "struct<height: int, width: int, channels: int, data: binary, why: string>"
 
 
@@ -46,74 +45,6 @@ class ImageParams:
             raise ValueError(f"unknown image frame {self.image_frame!r}")
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """Rows, columns, channels; colours as blue, green, red (and alpha)."""
-    if data[:8] != PNG:
-        raise NotSupportedError("not a PNG image")
-    at, body, palette = 8, [], None
-    header = None
-    while at + 8 <= len(data):
-        length, kind = struct.unpack_from(">I4s", data, at)
-        chunk = data[at + 8 : at + 8 + length]
-        if len(chunk) < length:
-            raise CorruptRecordError("the image is cut off")
-        if kind == b"IHDR":
-            header = struct.unpack(">IIBBBBB", chunk)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            body.append(chunk)
-        at += 12 + length
-    if header is None:
-        raise CorruptRecordError("the image has no header")
-    width, height, depth, colour, _, _, interlaced = header
-    if depth != 8 or interlaced or colour not in PNG_CHANNELS:
-        raise NotSupportedError("only PNG images of 8 bits a sample without interlacing are decoded")
-    n = PNG_CHANNELS[colour]
-    try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
-    except zlib.error as e:
-        raise CorruptRecordError("the image does not inflate") from e
-    if len(raw) != height * (1 + width * n):
-        raise CorruptRecordError("the image is cut off")
-    lines = raw.reshape(height, 1 + width * n)
-    out = np.zeros((height, width * n), np.uint8)
-    above = np.zeros(width * n, np.uint8)
-    for y in range(height):
-        out[y] = above = _unfilter(int(lines[y, 0]), lines[y, 1:], above, n)
-    out = out.reshape(height, width, n)
-    if colour == 3:
-        if palette is None or out.max(initial=0) >= len(palette):
-            raise CorruptRecordError("the image has no palette for its colours")
-        out = palette[out[:, :, 0]]
-    if colour == 4:
-        return np.dstack([out[:, :, 0]] * 3 + [out[:, :, 1]])
-    return out if colour == 0 else out[:, :, [2, 1, 0, 3][: out.shape[2]]]
-
-
-def _unfilter(kind: int, line: np.ndarray, above: np.ndarray, n: int) -> np.ndarray:
-    """One line of a PNG image from its differences to the pixels left and above."""
-    if kind == 0:
-        return line
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, n), axis=0, dtype=np.uint8).reshape(-1)
-    if kind == 2:
-        return line + above
-    if kind not in (3, 4):
-        raise CorruptRecordError(f"unknown PNG filter {kind}")
-    out = line.tolist()
-    up = above.tolist()
-    for i in range(len(out)):
-        a, b, c = (out[i - n], up[i], up[i - n]) if i >= n else (0, up[i], 0)
-        if kind == 3:
-            guess = (a + b) >> 1
-        else:
-            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-            guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-        out[i] = out[i] + guess & 255
-    return np.array(out, np.uint8)
-
-
 def channels(image: np.ndarray, n: int) -> np.ndarray:
     """To n channels; four must be there already."""
     have = image.shape[2]
@@ -170,21 +101,12 @@ def _result(make) -> tuple:
     return *own.shape, np.ascontiguousarray(own).tobytes(), None
 
 
-def _framed(p: ImageParams):
-    def run(payloads: pd.Series) -> pd.DataFrame:
-        rows = [_result(lambda b=bytes(b): prepare(decode_png(b[RECORD_HEADER:]), p)) for b in payloads]
-        return pd.DataFrame(rows, columns=["height", "width", "channels", "data", "why"]).astype({c: "Int32" for c in ("height", "width", "channels")})
-
-    run.__annotations__ = {"payloads": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, OUT)
-
-
 def _decoded(p: ImageParams):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def own(h, w, n, data):
-            if h < 1:
+            if h is None or not h >= 1:
                 raise CorruptRecordError("the image does not decode")
-            return prepare(np.frombuffer(bytes(data), np.uint8).reshape(h, w, n), p)
+            return prepare(np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w), int(n)), p)
 
         for b in batches:
             rows = [_result(lambda r=r: own(*r)) for r in zip(b["height"], b["width"], b["nChannels"], b["data"], strict=True)]
@@ -197,16 +119,33 @@ def _decoded(p: ImageParams):
 def read_images(spark: SparkSession, stores: list, params: ImageParams) -> DataFrame:
     """(__store_idx, __row_idx, __pos, __bytes, value: height, width, channels, data; __bad) in the order of the stores."""
     if params.image_frame == "recordio":
-        told = read_records(spark, stores).withColumn("__m", _framed(params)("payload")).withColumn("__bytes", F.octet_length("payload"))
+        told = read_records(spark, stores).withColumn("__bytes", F.octet_length("payload"))
+        body = F.expr(f"substring(payload, {RECORD_HEADER + 1})")
+        told = told.withColumn("image", body).transform(_decode)
     elif special(stores):
-        files = with_store(contents(spark, stores), stores, F.col("path")).withColumn("payload", F.concat(F.lit(bytearray(RECORD_HEADER)), "content"))
-        told = _one_a_store(files).withColumn("__m", _framed(params)("payload")).withColumn("__bytes", F.octet_length("content"))
+        held = with_store(contents(spark, stores), stores, F.col("path")).withColumn("__bytes", F.octet_length("content"))
+        told = _one_a_store(held.withColumn("image", F.col("content"))).transform(_decode)
     else:
         files = spark.read.format("image").option("dropInvalid", False).load(list(dict.fromkeys(map(name_of, stores))))
-        told = _one_a_store(with_store(files, stores, F.col("image.origin"))).withColumn("__m", _decoded(params)("image")).withColumn("__bytes", F.octet_length("image.data"))
+        told = _one_a_store(with_store(files, stores, F.col("image.origin"))).withColumn("__bytes", F.octet_length("image.data"))
+    told = told.withColumn("__m", _decoded(params)("image"))
     value = F.when(F.col("__m.why").isNull(), F.struct("__m.height", "__m.width", "__m.channels", "__m.data"))
     return told.select("__store_idx", "__row_idx", "__pos", "__bytes", value.alias("value"), F.col("__m.why").alias("__bad"))
 
 
 def _one_a_store(df: DataFrame) -> DataFrame:
     return df.withColumn("__row_idx", F.lit(0).cast("long")).withColumn("__pos", F.col("__store_idx").cast("long"))
+
+
+def _decode(df: DataFrame) -> DataFrame:
+    """df with the bytes in `image` decoded as Spark's image source does: a text file of one row is the row's bytes and
+    a line end, which decoders leave unread."""
+    spark = df.sparkSession
+    path = new_path(spark, "images")
+    rows = df.withColumn("__digest", F.concat(F.lit("d"), F.sha2("image", 256)))
+    rows.dropDuplicates(["__digest"]).select("__digest", F.col("image").cast("string").alias("value")).write.partitionBy("__digest").text(path)
+    read = spark.read.format("image").option("dropInvalid", False)
+    if rows.isEmpty():
+        kind = _parse_datatype_string("origin string, height int, width int, nChannels int, mode int, data binary")
+        return rows.withColumn("image", F.lit(None).cast(kind)).drop("__digest")
+    return rows.drop("image").join(read.load(path).select("__digest", "image"), "__digest", "left").drop("__digest")

@@ -1,11 +1,13 @@
 """Text lines with exact positions: counted split by split, shifted by the rows of the splits before.
 
-Plain UTF-8 goes through Spark's text source, split by split. Files in another encoding, files that are compressed
-without saying so in their name, and records whose quoted fields hold line ends are read whole, a file a row.
+UTF-8, and any encoding in which line ends are the bytes they are in ASCII, goes through Spark's text source, split by
+split. Files of 16 or 32 bits a character, files that are compressed without saying so in their name, and records whose
+quoted fields hold line ends are read whole, a file a row.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -36,6 +38,23 @@ def decode(data: bytes, encoding: str | None) -> str:
         raise StreamError(f"the text is not {own}") from e
 
 
+def line_ends_are_plain(encoding: str) -> bool:
+    """Whether line ends, and nothing else, are the bytes they are in ASCII, so that Spark can split files there."""
+    try:
+        name = codecs.lookup(LATIN.get(encoding, encoding)).name
+    except LookupError as e:
+        raise StreamError(f"unknown encoding {encoding!r}") from e
+    return not name.startswith(("utf-16", "utf-32", "utf-7", "iso2022", "hz")) and "\r\n".encode(name) == b"\r\n"
+
+
+def decoded(column: Column, encoding: str) -> Column:
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([decode(bytes(v), encoding) for v in values], dtype=object)
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(column.cast("binary"))
+
+
 def split_lines(text: str) -> list[str]:
     own = re.split(LINE_END, text)
     return own if own[-1] else own[:-1]
@@ -113,13 +132,16 @@ def number_lines(
     A store may be empty, or stand in the list several times. Two scans and no shuffle of the lines; the driver gets
     one row for each file split.
     """
-    whole = records is not None or special(stores, compression) or (encoding or "UTF-8").upper() not in ("UTF-8", "UTF8")
+    utf8 = (encoding or "UTF-8").upper() in ("UTF-8", "UTF8")
+    whole = records is not None or special(stores, compression) or not (utf8 or line_ends_are_plain(encoding))
     held = frozen(spark)
     if whole:
         rows = _whole(held, stores, encoding, compression, records or split_lines).withColumn("marked", F.lit(False))
     else:
         files = list(dict.fromkeys(map(name_of, stores)))
         rows = held.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        if not utf8:
+            rows = rows.withColumn("value", decoded(F.col("value"), encoding))
         head = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
         wide = head.startswith("FFFE") | head.startswith("FEFF") | (head == "0000FEFF")
         first = F.col("start") == 0

@@ -108,14 +108,35 @@ def png(pixels, filters=(0, 1, 2, 3, 4)):
         out, above = out + bytes([kind, *own]), line
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)
-    return images.PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
-
-
-@pytest.mark.parametrize("n", [1, 3, 4])
-def test_png(n):
-    pixels = np.random.default_rng(n).integers(0, 256, (11, 7, n), np.uint8)
-    want = pixels if n == 1 else pixels[:, :, [2, 1, 0, 3][:n]]
-    assert (images.decode_png(png(pixels)) == want).all()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def jpeg(spark, height, width, value):
+    """A grey image, by the JVM's encoder."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, 5)
+    for y in range(height):
+        for x in range(width):
+            image.setRGB(x, y, value << 16 | value << 8 | value)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def test_images_in_records(spark, tmp_path):
+    """Grey, colour and transparent PNG images, a JPEG, junk, nothing, and one image twice."""
+    rng = np.random.default_rng(4)
+    pixels = {n: rng.integers(0, 256, (11, 7, n), np.uint8) for n in (1, 3, 4)}
+    pixels[4][:, :, 3] = 255
+    held = [png(pixels[1]), png(pixels[3]), png(pixels[4]), jpeg(spark, 12, 9, 100), b"junk", b"", png(pixels[3])]
+    (path,) = write(tmp_path, a__rec=b"".join(frame(0, bytes(24) + d) for d in held))
+    rows = images.read_images(spark, [path], images.ImageParams((3, 11, 7), "recordio", to_rgb=True)).orderBy("__pos").collect()
+    assert [r["__bad"] is None for r in rows] == [True, True, True, True, False, False, True] and [r["__pos"] for r in rows] == list(range(7))
+    got = [np.frombuffer(r["value"]["data"], np.uint8).reshape(11, 7, 3) for r in rows if r["value"]]
+    assert (got[0] == pixels[1]).all() and (got[1] == pixels[3]).all() and (got[2] == pixels[4][:, :, :3]).all() and (got[4] == pixels[3]).all()
+    assert np.abs(got[3].astype(int) - 100).max() <= 2
+    empty = write(tmp_path, e__rec=b"")[-1]
+    assert images.read_images(spark, [empty], images.ImageParams((3, 1, 1), "recordio")).count() == 0
 
 
 def test_images(spark, tmp_path):
@@ -130,7 +151,7 @@ def test_images(spark, tmp_path):
     framed = write(tmp_path / "r", a__rec=b"".join(frame(0, bytes(24) + d) for d in (png(pixels), b"junk")))
     rows = images.read_images(spark, framed, images.ImageParams((3, 6, 8), "recordio", to_rgb=True)).orderBy("__pos").collect()
     assert rows[0]["value"]["data"] == v["data"] and rows[1]["__bad"]
-    grey = images.prepare(images.decode_png(png(pixels)), images.ImageParams((1, 5, 5), resize=5))
+    grey = images.prepare(pixels, images.ImageParams((1, 5, 5), resize=5))
     assert grey.shape == (5, 5, 1)
     flat = np.full((9, 6, 3), 77, np.uint8)
     assert images.resize(flat, 4).shape == (6, 4, 3) and (images.resize(flat, 4) == 77).all()

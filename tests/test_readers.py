@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rivulet.errors import CorruptFooterError, CorruptHeaderError, CorruptRecordError, SchemaError
+from rivulet.errors import CorruptFooterError, CorruptHeaderError, CorruptRecordError, SchemaError, StreamError
 from rivulet.functions.parsing import infer_data_type
 from rivulet.operators import rows
 from rivulet.operators.position import with_position
@@ -226,3 +226,21 @@ def test_encodings(spark, tmp_path):
     paths = write(tmp_path, a__csv="n,s\r\n1,привет\r\n2,мир\r\n".encode("iso8859_5"))
     got = csv.read_csv(spark, paths, CsvParams(encoding="ISO-8859-5")).orderBy("__pos").collect()
     assert [(r["n"], r["s"], r["__pos"]) for r in got] == [(1, "привет", 0), (2, "мир", 1)]
+
+
+def test_encodings_are_split(spark, tmp_path):
+    text = "".join(f"{i} привет\n" for i in range(900))
+    a, b = write(tmp_path, a__txt=text.encode("iso8859_5"), b__txt=text.encode("utf-16"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        for path, encoding, parts in ((a, "ISO-8859-5", 4), (b, "UTF-16", 1)):
+            own = lines.number_lines(spark, [path], encoding=encoding)
+            assert len(own.splits) >= parts and (len(own.splits) == 1) == (parts == 1)
+            got = own.lines().orderBy("__pos").collect()
+            assert [r["value"] for r in got] == text.splitlines()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert not any(map(lines.line_ends_are_plain, ("utf-16-le", "UTF-32", "utf-7", "iso2022_jp", "cp037", "hz")))
+    assert all(map(lines.line_ends_are_plain, ("8859_1", "cp1252", "gbk", "shift_jis", "ascii")))
+    with pytest.raises(StreamError):
+        lines.read_lines(spark, [a], encoding="no such")
