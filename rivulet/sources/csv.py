@@ -6,7 +6,6 @@ hold no quote; the tokenizer runs over Arrow batches of the others. The typed va
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +16,8 @@ from rivulet.errors import CorruptRecordError, SchemaError
 from rivulet.functions.parsing import SPARK_TYPES, infer_data_type, parse
 from rivulet.params import CsvParams, MaxFieldLengthHandling
 
-from .lines import LINE_END, Numbered, number_lines
+from .lines import Numbered, number_lines
+from .quoted import Dialect, quoted_records
 
 
 def tokenize(line: str, delimiter: str = ",", quote: str = '"') -> list[str]:
@@ -47,43 +47,6 @@ def tokenize(line: str, delimiter: str = ",", quote: str = '"') -> list[str]:
         at = end + 1
 
 
-def _stays_open(line: str, delimiter: str, quote: str, inside: bool) -> bool:
-    """Whether a line ends within a quoted field; inside: it begins within one."""
-    at, n = 0, len(line)
-    while True:
-        if not inside and at < n and line[at] == quote:
-            at, inside = at + 1, True
-        if inside:
-            while (end := line.find(quote, at)) >= 0 and line[end + 1 : end + 2] == quote:
-                at = end + 2
-            if end < 0:
-                return True
-            at, inside = end + 1, False
-        at = line.find(delimiter, at) + 1
-        if not at:
-            return False
-
-
-def quoted_records(delimiter: str = ",", quote: str = '"', comment: str | None = None):
-    """A function from a text to its records: line ends within quoted fields stay."""
-
-    def cut(text: str) -> list[str]:
-        pieces = re.split(f"({LINE_END})", text)
-        out, own, inside = [], [], False
-        for line, end in zip(pieces[::2], [*pieces[1::2], ""], strict=True):
-            own.append(line)
-            if inside or not (comment and line.startswith(comment)):
-                inside = _stays_open(line, delimiter, quote, inside)
-            if inside and end:
-                own.append(end)
-            elif end or own != [""]:
-                out.append("".join(own))
-                own = []
-        return out
-
-    return cut
-
-
 def dedupe(names: list[str]) -> list[str]:
     """A name met before gets the number of times it was met, again and again until it is new."""
     seen: dict[str, int] = {}
@@ -130,7 +93,7 @@ def read_csv(spark: SparkSession, stores: list, params: CsvParams | None = None)
         keep &= ~F.col("value").startswith(p.comment_char)
     if p.skip_blank_lines:
         keep &= F.col("value") != ""
-    records = quoted_records(p.delimiter, p.quote_char, p.comment_char) if p.allow_quoted_new_lines else None
+    records = quoted_records(Dialect(p.delimiter, p.quote_char, p.comment_char)) if p.allow_quoted_new_lines else None
     read = lambda own: number_lines(spark, own, keep, p.encoding, p.compression, records)
     numbered = read(stores) if stores else None
     counts = numbered.counts() if stores else {}

@@ -1,8 +1,8 @@
 """Text lines with exact positions: counted split by split, shifted by the rows of the splits before.
 
 UTF-8, and any encoding in which line ends are the bytes they are in ASCII, goes through Spark's text source, split by
-split. Files of 16 or 32 bits a character, files that are compressed without saying so in their name, and records whose
-quoted fields hold line ends are read whole, a file a row.
+split, also where quoted fields hold line ends. Files of 16 or 32 bits a character, and files that are compressed without
+saying so in their name, are read whole, a file a row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import codecs
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import unquote
 
 import pandas as pd
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from rivulet.errors import StreamError
 from rivulet.operators.position import POS
 
+from .quoted import LINE_END, cut_splits
 from .stores import BROADCAST_BYTES, contents, name_of, plain, special
 
-LINE_END = "\r\n|\r|\n"
 #: Byte order marks, the longest first.
 MARKS = {b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
 #: Fixed value: a name of Latin-1 that Python does not know.
@@ -123,35 +123,44 @@ def number_lines(
     encoding: str | None = None,
     compression: str | None = None,
     records: Callable[[str], list[str]] | None = None,
+    whole: bool = False,
 ) -> Numbered:
     """The lines of the stores (files or sources of one's own) in order; keep drops lines before numbering.
 
     encoding: None follows the byte order marks, UTF-8 without. compression: None is each store's own, by suffix as a
-    rule; "gzip" also reads zlib. records: cuts a whole text, in place of line ends.
+    rule; "gzip" also reads zlib. records: cuts a text in place of line ends, split by split if it has a dialect. whole:
+    a store a row.
 
     A store may be empty, or stand in the list several times. Two scans and no shuffle of the lines; the driver gets
     one row for each file split.
     """
     utf8 = (encoding or "UTF-8").upper() in ("UTF-8", "UTF8")
-    whole = records is not None or special(stores, compression) or not (utf8 or line_ends_are_plain(encoding))
-    held = frozen(spark)
+    dialect = getattr(records, "dialect", None)
+    whole = whole or (records is not None and dialect is None) or special(stores, compression) or not (utf8 or line_ends_are_plain(encoding))
+    held, completed = frozen(spark), None
     if whole:
         rows = _whole(held, stores, encoding, compression, records or split_lines).withColumn("marked", F.lit(False))
     else:
         files = list(dict.fromkeys(map(name_of, stores)))
-        rows = held.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        reader = held.read if dialect is None else held.read.option("lineSep", "\n")
+        rows = reader.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
         if not utf8:
             rows = rows.withColumn("value", decoded(F.col("value"), encoding))
         head = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
         wide = head.startswith("FFFE") | head.startswith("FEFF") | (head == "0000FEFF")
         first = F.col("start") == 0
         rows = rows.withColumns({"marked": F.lit(encoding is None) & first & wide, "value": F.when(first, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))})
+    if dialect is not None and not whole:
+        cut = cut_splits(held, rows.select(F.when(~F.col("marked"), F.col("value")).alias("value"), "file", "start"), dialect)
+        if cut is None:  # 16 or 32 bits a character
+            return number_lines(spark, stores, keep, None, compression, records, True)
+        rows, completed = cut
     if keep is not None:
         rows = rows.where(keep)
     own = number_rows(spark, stores, rows, as_uri=not whole)
     if own is None:  # 16 or 32 bits a character
-        return number_lines(spark, stores, keep, None, compression, split_lines)
-    return own
+        return number_lines(spark, stores, keep, None, compression, records, True)
+    return own if completed is None else replace(own, rows=completed(own.rows))
 
 
 def number_rows(spark: SparkSession, stores: list, rows: DataFrame, as_uri: bool = True) -> Numbered | None:
@@ -166,7 +175,7 @@ def number_rows(spark: SparkSession, stores: list, rows: DataFrame, as_uri: bool
     for s in splits:
         of.setdefault(plain(unquote(s["file"]) if as_uri else s["file"]), []).append((s["file"], s["start"], s["low"], s["n"]))
     placed = [(i, *s) for i, store in enumerate(stores) for s in sorted(of.get(plain(name_of(store)), ()), key=lambda s: s[1])]
-    return Numbered(spark, rows.select("file", "start", "mid", "value"), placed)
+    return Numbered(spark, rows.drop("marked"), placed)
 
 
 def read_lines(spark: SparkSession, stores: list, keep: Column | None = None, encoding: str | None = None, compression: str | None = None, records: Callable[[str], list[str]] | None = None) -> DataFrame:

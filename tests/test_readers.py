@@ -244,3 +244,36 @@ def test_encodings_are_split(spark, tmp_path):
     assert all(map(lines.line_ends_are_plain, ("8859_1", "cp1252", "gbk", "shift_jis", "ascii")))
     with pytest.raises(StreamError):
         lines.read_lines(spark, [a], encoding="no such")
+
+
+def test_quoted_records_over_splits(spark, tmp_path):
+    """Cut split by split as the whole text is: records over many splits, comments, lone quotes, all line ends."""
+    import random
+
+    from rivulet.sources import quoted
+
+    draw = random.Random(11)
+    texts = []
+    for _ in range(6):
+        parts = []
+        for _ in range(draw.randrange(1, 60)):
+            fields = [draw.choice(["a", "", 'x"y', '"q"', '"l1\nl2"', '"l1\r\n\r""z"', '"' + "long\n" * draw.randrange(30) + '"', "#", "é"]) for _ in range(draw.randrange(1, 4))]
+            parts.append(draw.choice(["", "", "#c "]) + ",".join(fields) + draw.choice(["\n", "\n", "\r\n", "\r"]))
+        texts.append("".join(parts).rstrip("\r\n") if draw.random() < 0.5 else "".join(parts))
+    texts[2] = ""
+    paths = write(tmp_path, **{f"f{i}__csv": t for i, t in enumerate(texts)})
+    for comment in (None, "#"):
+        cut = quoted.quoted_records(quoted.Dialect(comment=comment))
+        want = [(i, r) for i, t in enumerate(texts) for r in cut(t)]
+        for size in ("37", "200", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                own = lines.number_lines(spark, paths, records=cut)
+                got = own.lines().orderBy("__pos").collect()
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            assert [(r["__store_idx"], r["value"]) for r in got] == want
+            assert [r["__pos"] for r in got] == list(range(len(want)))
+            assert (len(own.splits) > 5) == (size != "1m")
+    rows = csv.read_csv(spark, write(tmp_path, u__csv='k,v\n1,"a\nb"\n'.encode("utf-16"))[-1:], CsvParams(allow_quoted_new_lines=True)).collect()
+    assert [(r["k"], r["v"]) for r in rows] == [(1, "a\nb")]
