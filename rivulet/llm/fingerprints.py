@@ -5,9 +5,10 @@ out, and a shared random bit of (j, character) says whether the pointer moves on
 step again after each edit, so edit distance becomes Hamming distance of what is written. The walk ends when the text
 does: whole texts are embedded.
 
-Bit sampling: slot s takes the written character at one position, the one with the least hash h_s among all positions
-of the walk, so that walks of like length sample alike. A fingerprint is SLOTS such characters, hashed to 1..255 (0
-for an empty text), in hexadecimal. Banding: consecutive slots form bands; two texts are candidates if they share a
+Bit sampling: slot s takes what is written at one position, the one with the least hash h_s among all positions of the
+walk, so that walks of like length sample alike; with the GRAM - 1 characters written before it, as single characters
+are alike by chance in one of a dozen places. A fingerprint is SLOTS such stretches, hashed to 1..255 (0 for an empty
+text), in hexadecimal. Banding: consecutive slots form bands; two texts are candidates if they share a
 band. Verification: candidates are compared on all slots; likeness is the share of equal slots, 0 for others.
 
 Null text counts as empty; two empty texts are alike (1). Equal texts have equal fingerprints. An empty table gives
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,23 +31,23 @@ from rivulet.operators.position import BROADCAST_RANGES, range_bounds, range_of
 
 from .components import components
 from .shared import materialise, text_or_empty
-from .simhash import BROADCAST_SHARED, _blocks, _by_group, _forest
+from .simhash import _blocks, _by_group, _forest
 
 SLOTS, BAND = 64, 2
+#: Written characters that a slot takes.
+GRAM = 4
 #: Fingerprints that share a band are compared in blocks of so many.
 BLOCK = 1024
-#: Texts over so many characters are walked one by one, shorter ones side by side.
-LONG = 20_000
-#: Texts walked side by side.
-LANES = 4096
+#: Texts walked side by side, steps between two looks at which have ended, and texts left that are walked one by one.
+LANES, STRIDE, FEW = 4096, 32, 24
 #: The random choices repeat after so many steps (a prime).
 PERIOD = 4093
 
 _random = np.random.default_rng(20240229)
 _MOVES = _random.integers(0, 2, (PERIOD, 256), dtype=np.uint8)
-_MOVES[:, 0] = 1
+_MOVES[:, 0] = 0  # what follows a text: nothing is written there
 _MULTIPLIERS = _random.integers(1, 1 << 62, SLOTS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_VALUES = _random.permutation(256).astype(np.uint8)
+_GRAMS = _random.integers(1, 1 << 31, GRAM, dtype=np.int64).astype(np.uint32) | np.uint32(1)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -55,15 +57,15 @@ def _codes(text: str) -> np.ndarray:
 
 
 class _Positions:
-    """Of each slot, the positions at which its hash reaches a new least value: the sample of a walk of n steps is the
-    last of them below n."""
+    """Of each slot, the positions at which its hash reaches a new least value: the sample of a walk is what it wrote at
+    the last of them, so a walk keeps what it writes at these and forgets the rest."""
 
     def __init__(self):
         self.known = 0
-        self.records: list[np.ndarray] = [np.zeros(0, np.int64)] * SLOTS
+        self.slots: dict[int, list[int]] = {}  # that have a new least at a position
         self.least = [np.iinfo(np.uint64).max] * SLOTS
 
-    def _extend(self, n: int) -> None:
+    def reach(self, n: int) -> None:
         while self.known < n:
             at = np.arange(self.known, self.known + (1 << 16), dtype=np.uint64)
             for s, m in enumerate(_MULTIPLIERS):
@@ -72,74 +74,81 @@ class _Positions:
                 h *= np.uint64(0xBF58476D1CE4E5B9)
                 h ^= h >> np.uint64(32)
                 low = np.minimum.accumulate(np.r_[np.uint64(self.least[s]), h])
-                new = np.flatnonzero(low[1:] < low[:-1])
-                self.records[s] = np.r_[self.records[s], at[new].astype(np.int64)]
+                for position in at[low[1:] < low[:-1]].tolist():
+                    self.slots.setdefault(position, []).append(s)
                 self.least[s] = low[-1]
             self.known += 1 << 16
 
-    def of(self, steps: np.ndarray) -> np.ndarray:
-        """Walks by slots; steps are positive."""
-        self._extend(int(steps.max()))
-        return np.stack([r[np.searchsorted(r, steps) - 1] for r in self.records], axis=1)
-
 
 _positions = _Positions()
 
 
-def _walk(code: np.ndarray) -> np.ndarray:
-    """What is written, for one text."""
-    out, moves, i, j, n = bytearray(), _MOVES.tolist(), 0, 0, len(code)
-    code = code.tolist()
+@cache
+def _move_lists() -> list[bytes]:
+    return [row.tobytes() for row in _MOVES]
+
+
+def _taken(written: list[np.ndarray]) -> np.ndarray:
+    """Bytes 1..255 of the last GRAM written characters, the last one first."""
+    h = sum(c.astype(np.uint32) * m for c, m in zip(written, _GRAMS, strict=True))
+    return np.maximum((h ^ h >> np.uint32(15)) * np.uint32(2654435761) >> np.uint32(24), 1).astype(np.uint8)
+
+
+def _walk_on(code: bytes, i: int, j: int, before: list[int], held: np.ndarray) -> None:
+    """Walks one text from its i-th character and step j to its end; before: what was written last, the latest first;
+    held: what the slots keep."""
+    moves, n, kept = _move_lists(), len(code), {}
+    b, c, d = before
     while i < n:
-        c = code[i]
-        out.append(c)
-        i += moves[j][c]
-        j = j + 1 if j + 1 < PERIOD else 0
-    return np.frombuffer(bytes(out), np.uint8)
-
-
-def _walk_lanes(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Written characters, steps by texts, and steps of each text; texts in descending length."""
-    n = np.array([len(c) for c in codes])
-    start = np.r_[0, np.cumsum(n)[:-1]].astype(np.int64)
-    flat = np.concatenate(codes)
-    end, at, steps = start + n, start.copy(), np.zeros(len(codes), np.int64)
-    lane = np.arange(len(codes))
-    out = []
-    j = 0
-    while len(lane):
-        row = np.zeros(len(codes), np.uint8)
-        c = flat[at]
-        row[lane] = c
-        out.append(row)
-        at = at + _MOVES[j % PERIOD][c]
-        j += 1
-        over = at >= end
-        if over.any():
-            steps[lane[over]] = j
-            left = ~over
-            lane, at, end = lane[left], at[left], end[left]
-    return np.stack(out), steps
+        _positions.reach(j + PERIOD)
+        for row in moves[j % PERIOD :]:
+            a = code[i]
+            if j in _positions.slots:
+                for s in _positions.slots[j]:
+                    kept[s] = (a, b, c, d)
+            i += row[a]
+            j += 1
+            b, c, d = a, b, c
+            if i >= n:
+                break
+    if kept:
+        held[list(kept)] = _taken(list(np.array(list(kept.values()), np.uint8).T))
+
+
+def _walk_lanes(codes: list[np.ndarray]) -> np.ndarray:
+    """Texts by slots: what the slots keep. Texts are walked side by side, the last few one by one."""
+    held = np.zeros((len(codes), SLOTS), np.uint8)
+    end = np.zeros(1, np.uint8)
+    flat = np.concatenate([x for c in codes for x in (c, end)])
+    start = np.r_[0, np.cumsum([len(c) + 1 for c in codes])[:-1]].astype(np.int64)
+    lane, at, j = np.arange(len(codes)), start.copy(), 0
+    before = [np.zeros(len(codes), np.uint8)] * (GRAM - 1)
+    while len(lane) > FEW:
+        _positions.reach(j + STRIDE)
+        for _ in range(STRIDE):
+            c = flat[at]
+            if j in _positions.slots:
+                live = np.flatnonzero(c)
+                held[lane[live][:, None], _positions.slots[j]] = _taken([x[live] for x in (c, *before)])[:, None]
+            at += _MOVES[j % PERIOD][c]
+            before = [c, *before[:-1]]
+            j += 1
+        live = np.flatnonzero(flat[at])
+        if len(live) < len(lane):
+            lane, at, before = lane[live], at[live], [x[live] for x in before]
+    for n, (k, i) in enumerate(zip(lane.tolist(), at.tolist(), strict=True)):
+        _walk_on(codes[k].tobytes(), i - int(start[k]), j, [int(x[n]) for x in before], held[k])
+    return held
 
 
 def _slots(texts: list[str]) -> np.ndarray:
     """Texts by slots."""
     out = np.zeros((len(texts), SLOTS), np.uint8)
     codes = [_codes(t) for t in texts]
-    short = sorted((i for i, c in enumerate(codes) if 0 < len(c) <= LONG), key=lambda i: -len(codes[i]))
-    at = 0
-    while at < len(short):
-        lanes = min(LANES, max(1, (1 << 26) // (3 * len(codes[short[at]]))))  # so many bytes of written characters
-        own = short[at : at + lanes]
-        written, steps = _walk_lanes([codes[i] for i in own])
-        where = _positions.of(steps)
-        out[own] = _VALUES[written[where, np.arange(len(own))[:, None]]]
-        at += lanes
-    for i, c in enumerate(codes):
-        if len(c) > LONG:
-            written = _walk(c)
-            out[i] = _VALUES[written[_positions.of(np.array([len(written)]))[0]]]
-    out[[bool(len(c)) for c in codes]] = np.maximum(out[[bool(len(c)) for c in codes]], 1)
+    filled = sorted((i for i, c in enumerate(codes) if len(c)), key=lambda i: -len(codes[i]))
+    for at in range(0, len(filled), LANES):
+        own = filled[at : at + LANES]
+        out[own] = _walk_lanes([codes[i] for i in own])
     return out
 
 
@@ -196,7 +205,6 @@ def group_fingerprints(rows: DataFrame, least: float, id_col: str, band: int = 1
     values = (F.xxhash64(F.lit(s), F.substring("slots", s + 1, band)) for s in range(0, SLOTS, band))
     bands = firsts.select("node", F.explode(F.array(*values)).alias("value"))
     shared = materialise(bands.groupBy("value").count().where("count > 1"), "shared")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_SHARED else shared
     dealt = _blocks(bands, shared, "value", BLOCK).join(firsts.select("node", "slots"), "node").select("value", "left", "right", "node", "slots")
     dealt = dealt.repartition("value", "left", "right").sortWithinPartitions("value", "left", "right")
     roots = components(dealt.mapInPandas(_links(equal), "u binary, v binary"))

@@ -181,11 +181,15 @@ def test_fingerprints(docs, none):
 
 
 def test_walks_agree():
+    """Side by side, one by one, and on from where the others ended."""
     rng = np.random.default_rng(1)
-    codes = sorted((fingerprints._codes("".join(rng.choice(list("abcé 中"), n))) for n in (1, 5, 80, 400)), key=len, reverse=True)
-    written, steps = fingerprints._walk_lanes(codes)
-    for i, c in enumerate(codes):
-        assert written[: steps[i], i].tolist() == fingerprints._walk(c).tolist()
+    texts = ["".join(rng.choice(list("abcé 中"), n)) for n in (1, 5, 80, 400, 9000, *rng.integers(1, 3000, 30))]
+    codes = [fingerprints._codes(t) for t in texts]
+    together = fingerprints._walk_lanes(codes)
+    for c, own in zip(codes, together, strict=True):
+        alone = np.zeros(fingerprints.SLOTS, np.uint8)
+        fingerprints._walk_on(c.tobytes(), 0, 0, [0, 0, 0], alone)
+        assert alone.tolist() == own.tolist()
 
 
 def test_simhash(docs, none):
