@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ def share(budget: float, weights: list[float], room: list[float]) -> list[float]
         for i in full:
             out[i] = room[i]
             left -= room[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        done = set(full)
+        open_ = [i for i in open_ if i not in done]
     return out
 
 
@@ -72,8 +74,13 @@ def allot(budget: float, leaves: dict[tuple, float], weights: dict[tuple, float]
 
 
 def tokens(text: Column) -> Column:
-    words = F.regexp_replace(text, r"^[ \t-\r]+|[ \t-\r]+$", "")
-    return F.when(words == "", F.lit(0)).otherwise(F.size(F.split(words, r"[ \t-\r]+"))).cast("long")
+    """Words between white space. Over Arrow batches, as splitting in the JVM costs three times as much."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(t.encode("utf-8", "surrogatepass").split()) for t in texts], dtype="int64")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "long")(text)
 
 
 def mix(
@@ -83,7 +90,7 @@ def mix(
     domain: Callable[[], Column] | None = None,
     max_epochs: int = 1,
     seed: int = 7,
-    max_leaves: int = 20_000,
+    max_leaves: int = 100_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     order_by: Column | None = None,

@@ -222,7 +222,12 @@ def plain_slots(text):
             h ^= h >> 29
             h = h * 0xBF58476D1CE4E5B9 & mask
             return h ^ h >> 32
-        slots.append(max(1, int(fingerprints._VALUES[out[min(range(len(out)), key=key)]])) if out else 0)
+        if not out:
+            slots.append(0)
+            continue
+        at = min(range(len(out)), key=key)
+        h = sum(out[at - k] * int(w) for k, w in enumerate(fingerprints._GRAMS) if at >= k) % (1 << 32)
+        slots.append(max(1, (h ^ h >> 15) * 2654435761 % (1 << 32) >> 24))
     return slots
 
 
@@ -291,3 +296,9 @@ def test_lattice_training(spark):
         score = (sum(math.log(uses(w, logp)[1]) for w in ws) + logp[own.end]) / math.log(10)
         assert out[i]["score"] == pytest.approx(score, rel=1e-9)
         assert (out[i]["n_tokens"], out[i]["n_known"], out[i]["train"]) == (len(ws) + 1, sum(w in counts for w in ws) + 1, fold[i])
+
+
+def test_words_counted(spark):
+    texts = ["", " ", "a", " a  b\t\n c\x0b\x0cd\re ", "é ü x", "\n\n", "中文 字", "a b"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", mixing.tokens(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(t.encode().split()) for i, t in enumerate(texts)}
