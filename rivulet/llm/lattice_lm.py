@@ -142,13 +142,17 @@ class Lattice:
             yield np.array(own), code, length, size
             at = z
 
-    def forward(self, code, length, size, logp: np.ndarray) -> np.ndarray:
-        """Words by positions: natural log of the summed probability of all segmentations up to there."""
+    def forward(self, code, length, size, logp: np.ndarray, edges: list | None = None) -> np.ndarray:
+        """Words by positions: natural log of the summed probability of all segmentations up to there. The edges met, as
+        (position, words, characters, log probability, piece, times), are added to `edges`."""
         alpha = np.full((len(code), code.shape[1] + 1), -np.inf)
         alpha[:, 0] = 0
         for s in range(code.shape[1]):
             for lane, k, piece, times in self._edges(code, length, s, size):
-                alpha[lane, s + k] = np.logaddexp(alpha[lane, s + k], alpha[lane, s] + times * logp[piece])
+                cost = times * logp[piece]
+                alpha[lane, s + k] = np.logaddexp(alpha[lane, s + k], alpha[lane, s] + cost)
+                if edges is not None:
+                    edges.append((s, lane, k, cost, piece, times))
         return alpha
 
     def log10(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
@@ -161,16 +165,16 @@ class Lattice:
         """Expected uses of each piece over the words, each as often as it counts."""
         total = np.zeros(len(logp))
         for own, code, length, size in self.batches(words):
-            alpha = self.forward(code, length, size, logp)
+            edges: list = []
+            alpha = self.forward(code, length, size, logp, edges)
             z = alpha[np.arange(len(own)), length]
             beta = np.full(alpha.shape, -np.inf)
             beta[np.arange(len(own)), length] = 0
-            for s in range(code.shape[1] - 1, -1, -1):
-                for lane, k, piece, times in self._edges(code, length, s, size):
-                    ahead = times * logp[piece] + beta[lane, s + k]
-                    beta[lane, s] = np.logaddexp(beta[lane, s], ahead)
-                    use = np.exp(alpha[lane, s] + ahead - z[lane]) * counts[own[lane]] * times
-                    total += np.bincount(piece, use, len(total))
+            for s, lane, k, cost, piece, times in reversed(edges):
+                ahead = cost + beta[lane, s + k]
+                beta[lane, s] = np.logaddexp(beta[lane, s], ahead)
+                use = np.exp(alpha[lane, s] + ahead - z[lane]) * counts[own[lane]] * times
+                total += np.bincount(piece, use, len(total))
         return total
 
 
