@@ -391,9 +391,9 @@ def insights_vocabulary(spark, sf_dir):
     """Estimated distinct words, split at single spaces, against the true number."""
     df = with_position(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source"), "doc_id")
     trimmed = F.when(F.col("text").endswith(" "), F.left("text", F.length("text") - 1)).otherwise(F.col("text"))
-    exact = df.where("text <> ''").select(F.explode(F.split(trimmed, " ")).alias("w")).agg(F.countDistinct("w").alias("words"))
+    exact = df.where("text <> ''").select(F.explode(F.split(trimmed, " ")).alias("w")).agg(F.countDistinct("w")).first()[0]
     told = insights.analyze(df, ["text"], pos=POS)
-    return told.crossJoin(exact).select(F.col("words"), _near(F.col("string_vocab_cardinality"), F.col("words"), 0.02).alias("near"))  # one row by one row
+    return told.select(F.lit(exact).cast("long").alias("words"), _near(F.col("string_vocab_cardinality"), F.lit(exact), 0.02).alias("near"))
 
 
 def insights_full(spark, sf_dir):
@@ -418,8 +418,9 @@ def hll_cardinality(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"))
     half = df.select("k", (F.crc32(F.col("k").cast("binary")) % 2 == 0).alias("h"))
     merged = sketch.merge(sketch.registers(half.where("h"), "k"), sketch.registers(half.where("not h"), "k"))
-    two = sketch.estimate(merged, "merged").crossJoin(sketch.estimate(sketch.registers(df, "k"), "whole")).crossJoin(df.agg(F.countDistinct("k").alias("keys")))  # one row each
-    return two.select("keys", _near(F.col("whole"), F.col("keys"), 0.02).alias("near"), (F.col("whole") == F.col("merged")).alias("merges"))
+    keys, whole = df.agg(F.countDistinct("k")).first()[0], sketch.estimate(sketch.registers(df, "k")).first()[0]
+    own = sketch.estimate(merged, "merged")
+    return own.select(F.lit(keys).cast("long").alias("keys"), _near(F.lit(whole), F.lit(keys), 0.02).alias("near"), (F.col("merged") == whole).alias("merges"))
 
 
 def sparse_coo_coordinates(spark, sf_dir):
