@@ -155,6 +155,6 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pd.DataFrame({"lang_pred": label, "score": score})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(run, "lang_pred string, score double")
+    udf = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()  # else a filter on it scores each text twice
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, udf(F.col(text_col)).alias("__said")).select(*kept, "__said.lang_pred", "__said.score")

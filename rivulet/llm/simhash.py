@@ -465,7 +465,7 @@ def similar_groups(
     """One row per input row: id_col, fp, component_id, linked by shingle likeness of `least` or more."""
     said = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     said = said.select("id", "body", _signatures(F.col("body"), shingle).alias("s")).select("id", "body", "s.*")
-    rows = materialise(said, "signatures")
+    rows = materialise(said, "signatures", compression="zstd")
     firsts = rows.groupBy("node").agg(F.min("id").alias("first_id"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
     firsts = materialise(firsts, "firsts")
     roots = components(_verified_links(firsts, rows, shingle, least))
