@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from .shared import text_or_empty
 
 #: States kept before the table starts afresh; characters in a chunk at least, and chunks in a text at most.
-MAX_STATES = 150_000
+MAX_STATES = 200_000
 CHUNK, MOST_CHUNKS = 32_768, 64
 #: Maps that are composed in one row of a level.
 FAN = 8
 SPACE = "▁"
+#: Below every score.
+NONE = float("-inf")
 #: Whole stretches kept as edges, and the longest.
-MAX_EDGES, LONGEST_EDGE = 300_000, 40
+MAX_EDGES, LONGEST_EDGE = 250_000, 40
 STRETCH = re.compile("[^▁\n]+|▁+[^▁\n]*|\n")
 
 
@@ -50,6 +52,20 @@ class _State(dict):
         return out
 
 
+class _Edges(dict):
+    """Tokens of stretches from the start state, walked when first asked for; long ones are not kept."""
+
+    __slots__ = ("machine",)
+
+    def __missing__(self, part: str) -> int:
+        n = self.machine.walk(part)
+        if len(part) <= LONGEST_EDGE:
+            if len(self) >= MAX_EDGES:
+                self.clear()
+            self[part] = n
+        return n
+
+
 class Transducer:
     def __init__(self, path: str):
         import sentencepiece
@@ -57,40 +73,58 @@ class Transducer:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i) or model.is_byte(i))]
         self.score = {model.id_to_piece(i): model.get_score(i) for i in ids}
-        self.begins = {p[:k] for p in self.score for k in range(1, len(p))}
+        self.pieces = {p: p for p in self.score}
+        self.begins = {b: b for b in {p[:k] for p in self.score for k in range(1, len(p))}}  # to one object each
         self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.traces: dict[str, tuple] = {}
         self.states: dict[tuple, _State] = {}
-        self.edges: dict[str, int] = {}
+        self.edges = _Edges()
+        self.edges.machine = self
         # stretches end before a run of spaces and around a line end, if no piece stands across these
         self.plain_cuts = not any("\n" in j or j[1] == SPACE != j[0] for j in self.joined)
         self.start = self.state((("", None, 0),))
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a short string by its merges, best score first, leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score]
-            if not found:
-                break
-            i = min(found)[1]
+    def merges(self, text: str) -> Iterator[tuple[list[str], float]]:
+        """The parts of a short string before each of its merges, with the score of that merge, and at the end; the best
+        score first, the leftmost of equals."""
+        parts, score = list(text), self.score.get
+        worth = [score(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while worth and (best := max(worth)) > NONE:
+            yield parts, best
+            i = worth.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            del worth[i]
+            if i:
+                worth[i - 1] = score(parts[i - 1] + parts[i], NONE)
+            if i < len(worth):
+                worth[i] = score(parts[i] + parts[i + 1], NONE)
+        yield parts, NONE
+
+    def trace(self, piece: str) -> tuple[bool, list[str], list[str], list[float]]:
+        """Whether a piece comes out whole, and its first and last part before each of its merges with their scores."""
+        own = self.traces.get(piece)
+        if own is None:
+            steps = [(parts[0], parts[-1], best, len(parts) == 1) for parts, best in self.merges(piece)]
+            own = self.traces[piece] = (steps[-1][3], [x[0] for x in steps], [x[1] for x in steps], [x[2] for x in steps])
+        return own
 
     def fits(self, last: str | None, piece: str) -> bool:
-        """Whether piece can follow last: neither merges across, nor falls apart."""
-        ok = self.whole.get(piece)
-        if ok is None:
-            ok = self.whole[piece] = self.merge(piece) == [piece]
-        if not ok or last is None:
-            return ok
-        ok = self.pairs.get((last, piece))
-        if ok is None:
-            if len(self.pairs) > 4 * MAX_STATES:
-                self.pairs.clear()
-            ok = self.pairs[last, piece] = self.merge(last + piece) == [last, piece]
-        return ok
+        """Whether piece can follow last: neither merges across, nor falls apart. Their merges go on side by side, the
+        better one first; across them merges what is better than both next ones, or as good as that on the right."""
+        whole, firsts, _, ahead = self.trace(piece)
+        if not whole or last is None:
+            return whole
+        _, _, lasts, before = self.trace(last)
+        i = j = 0
+        while True:
+            s, t = before[i], ahead[j]
+            across = self.score.get(lasts[i] + firsts[j], NONE)
+            if across > s and across >= t or s == t == NONE:
+                return across == NONE
+            if s >= t:
+                i += 1
+            else:
+                j += 1
 
     def state(self, contexts: tuple) -> _State:
         own = self.states.get(contexts)
@@ -112,11 +146,11 @@ class Transducer:
             ahead.append((s + ch, None if free else last, at))
         for text, last, at in ahead:
             if text in self.score and self.fits(last, text):
-                token, delta = text, at + 1
+                token, delta = self.pieces[text], at + 1
                 break
         else:
             token, delta = ch, ahead[-1][2] + (1 if ch in self.score else len(ch.encode("utf-8", "surrogatepass")))
-        kept = [(text, last, at - delta) for text, last, at in ahead if text in self.begins]
+        kept = [(begin, last, at - delta) for text, last, at in ahead if (begin := self.begins.get(text))]
         return self.state((*kept, ("", token, 0))), delta
 
     def walk(self, text: str) -> int:
@@ -131,17 +165,7 @@ class Transducer:
         state to one that acts like it: once walked, it is kept as one edge with its count."""
         if not self.plain_cuts:
             return self.walk(text)
-        n, edges = 0, self.edges
-        for part in STRETCH.findall(text):
-            own = edges.get(part)
-            if own is None:
-                own = self.walk(part)
-                if len(part) <= LONGEST_EDGE:
-                    if len(edges) >= MAX_EDGES:
-                        edges.clear()
-                    edges[part] = own
-            n += own
-        return n
+        return sum(map(self.edges.__getitem__, STRETCH.findall(text)))
 
     def chunk_map(self, text: str) -> tuple[str, int, str, bool]:
         """(head, count, tail, cut): cut is False where nothing cuts the chunk, which is then all head."""
@@ -200,20 +224,21 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     """One row per input row: id_col, n_bytes, n_tokens, over_limit."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("body"))
     rows = rows.withColumn("n_bytes", F.octet_length("body").cast("long"))
-    # what the library reads: spaces as a mark of their own, one before the text
-    rows = rows.withColumn("body", F.when(F.col("body") == "", "").otherwise(F.concat(F.lit(SPACE), F.translate("body", " ", SPACE))))
     n = F.char_length("body")
     width = F.greatest(F.lit(CHUNK), F.ceil(n / MOST_CHUNKS)).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / width).cast("int") - 1)),
-        lambda i: F.struct(i.alias("chunk"), F.substring(F.col("body"), i * width + 1, width).alias("text")),
-    )
-    dealt = rows.select("row", "id", "n_bytes", (n <= width).alias("only"), F.explode(chunks).alias("c")).select("row", "id", "n_bytes", "only", "c.chunk", "c.text")
+    whole = F.struct(F.lit(0).alias("chunk"), F.col("body").alias("text"))
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda i: F.struct(i.alias("chunk"), F.substring(F.col("body"), i * width + 1, width).alias("text")))
+    chunks = F.explode(F.when(n <= width, F.array(whole)).otherwise(cut)).alias("c")
+    dealt = rows.select("row", "id", "n_bytes", (n <= width).alias("only"), chunks).select("row", "id", "n_bytes", "only", "c.chunk", "c.text")
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = machine(model)
         for b in batches:
-            got = [("", own.count(t), "", True) if only else own.chunk_map(t) for only, t in zip(b["only"], b["text"], strict=True)]
+            got = []
+            for only, chunk, text in zip(b["only"], b["chunk"], b["text"], strict=True):
+                marked = text.replace(" ", SPACE)  # what the library reads: spaces as a mark of their own, one before the text
+                marked = SPACE + marked if text and not chunk else marked
+                got.append(("", own.count(marked), "", True) if only else own.chunk_map(marked))
             yield b.drop(columns=["text", "only"]).assign(**{k: [g[i] for g in got] for i, k in enumerate(("head", "count", "tail", "cut"))})
 
     level = dealt.mapInPandas(maps, f"row long, id string, n_bytes long, chunk int, {MAP}")
