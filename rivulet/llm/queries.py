@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language_id, lattice_lm, license_scan, mixing, packing, preferences, simhash, token_counts
+from . import exact_dedup, filter_audit, fingerprints, language_id, lattice_lm, license_scan, mixing, neighbours, packing, phrases, preferences, simhash, token_counts
 from .shared import documents, remainder, vocabulary
 
 #: The mixture: domains by the source's number, twice the weight on the first, and on English within it.
@@ -74,6 +74,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), least=100, top=2000).withColumn("rank", F.col("rank").cast("long"))
+
+
+def nearest_neighbour_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of op12 whatever the order of its sums: who is found, and the cosine to nine digits."""
+    return op12_nearest_neighbours(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can state of op3: words and places of the base phrases, from the same scan."""
     return op3_license_scan(spark, sf_dir).drop("labels", "score")
@@ -95,6 +112,10 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_phrase_collocations": op13_phrase_collocations,
+    "nearest_neighbour_ids": nearest_neighbour_ids,
     "license_base_places": license_base_places,
     "edited_text_digests": edited_text_digests,
 }
@@ -151,6 +172,60 @@ ORACLE_SQL = {
                coalesce(string_agg(loss || ':' || length(rendered), ',' ORDER BY turn, nth) FILTER (part = 'chosen'), '') AS chosen_mask,
                coalesce(string_agg(loss || ':' || length(rendered), ',' ORDER BY turn, nth) FILTER (part = 'rejected'), '') AS rejected_mask
         FROM pieces GROUP BY pair_id, piece""",
+    "op11_filter_audit": r"""
+        WITH t AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+                 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+                 'E': coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)} AS x
+          FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+        fails AS (
+          SELECT part, good, toxic, concat(CASE WHEN x.A THEN 'A' ELSE '' END, CASE WHEN x.B THEN 'B' ELSE '' END, CASE WHEN x.C THEN 'C' ELSE '' END,
+                 CASE WHEN x.D THEN 'D' ELSE '' END, CASE WHEN x.E THEN 'E' ELSE '' END) AS failed FROM f),
+        sets AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, failed),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+        orders AS (
+          SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+          WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+        steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+        spots AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[:step - 1] AS before FROM steps),
+        met AS (
+          SELECT part, filter_order, step, own, n, good, toxic, contains(failed, own) AS fails, failed = own AS only_own,
+                 len(regexp_extract_all(failed, '[' || before || '_]')) > 0 AS gone FROM sets, spots)
+        SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept,
+               CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+               CAST(coalesce(sum(n) FILTER (only_own), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost,
+               CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+               CAST(sum(coalesce(sum(n) FILTER (fails AND NOT gone), 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM met GROUP BY part, filter_order, step, own""",
+    "nearest_neighbour_ids": """
+        WITH v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 9) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_phrase_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        t AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM t GROUP BY lang),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+        spans AS (SELECT lang, w[i:i + m - 1] AS p FROM (SELECT *, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM starts)),
+        f AS (SELECT lang, p, count(*) AS a FROM spans GROUP BY lang, p HAVING count(*) >= 100),
+        cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+        scored AS (
+          SELECT c.lang, c.p, c.a, c.k, x.a AS l, y.a AS r, n, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+          FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:] JOIN totals ON totals.lang = c.lang),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        longer AS (SELECT lang, q AS p, max(a) AS more FROM (SELECT lang, a, unnest([p[:-2], p[2:]]) AS q FROM f WHERE len(p) > 2) GROUP BY lang, q),
+        kept AS (SELECT best.*, array_to_string(best.p, ' ') AS phrase FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.p = best.p WHERE more IS NULL OR more < best.a)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
