@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .shared import FILE, ROW, placed
 
-#: Rows of a block of candidates and of queries, about; and of the products held at a time.
-CANDIDATES, QUERIES = 65_536, 16_384
+#: Rows of a block of candidates and of queries, about; and of the products held at a time. A tile returns k rows a query,
+#: so blocks of candidates are not cut below LEAST rows for the sake of more tasks.
+CANDIDATES, QUERIES, LEAST = 65_536, 16_384, 4_096
 TILE_CANDIDATES, TILE_QUERIES = 8_192, 256
 #: Components multiplied at a time: sums of so many products of int8 are exact in float32.
 EXACT = 1024
@@ -136,7 +137,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     asking = rows.where("asks")
     n_queries, n_rows = asking.select(FILE).count(), vectors.count()
     query_blocks = max(1, -(-n_queries // QUERIES))
-    blocks = max(1, -(-n_rows // CANDIDATES), parts // query_blocks)
+    blocks = max(1, -(-n_rows // CANDIDATES), min(parts // query_blocks, n_rows // LEAST))
 
     first = F.row_number().over(Window.partitionBy("vector").orderBy(F.col("id").asc_nulls_last(), FILE, ROW))
     candidates = rows.select("id", FILE, ROW, "vector").withColumn("nth", first).where(F.col("nth") <= k + 1).drop("nth")
