@@ -34,8 +34,8 @@ from .shared import materialise, text_or_empty
 LONGEST = 5
 #: Bytes of frequent words, and of the keys of one length, that are broadcast.
 MOST_BYTES = 256_000_000
-#: Words remembered before a mapper sends its counts, numbers in a written row, keys sorted at a time.
-DISTINCT, RUN, KEYS = 500_000, 1 << 20, 1 << 22
+#: Words remembered before a mapper sends its counts, bytes of text split at a time, numbers in a written row, keys sorted at a time.
+DISTINCT, TEXT, RUN, KEYS = 500_000, 1 << 22, 1 << 20, 1 << 21
 #: Buckets: so many occurrences each, in powers of two, from a chunk of counts to 128 MB of bits.
 LOAD, MOST_BUCKETS = 4, 1 << 30
 
@@ -54,8 +54,14 @@ def _words(texts: list[bytes]) -> list[bytes]:
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     for batch in batches:
         texts: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            texts.setdefault(lang, []).append(text)
+        size = 0
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
+            texts.setdefault(lang, []).append(text.as_py())
+            size += len(texts[lang][-1])
+            if size > TEXT:
+                for known, own in texts.items():
+                    yield known, _words(own)
+                texts, size = {}, 0
         for lang, own in texts.items():
             yield lang, _words(own)
 
@@ -222,7 +228,8 @@ def _bucket_bits(runs: DataFrame, known, buckets: int, least: int) -> np.ndarray
 
 
 def _candidates(runs: DataFrame, known, bits, buckets: int) -> DataFrame:
-    """(key): distinct safe keys whose bucket is full."""
+    """(key): distinct safe keys whose bucket is full. Mappers send theirs packed, a row a shard, and shards merge them."""
+    shards = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = bits.value
@@ -232,9 +239,18 @@ def _candidates(runs: DataFrame, known, bits, buckets: int) -> DataFrame:
             return (full[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
         for keys in _keys(batches, known.value, passing):
-            yield pa.RecordBatch.from_pydict({"key": np.unique(keys).view(np.int64)})
-
-    return runs.mapInArrow(collect, "key long").distinct()
+            keys = np.unique(keys)
+            shard = (mixed(keys, 78) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            own, starts = np.unique(shard[order], return_index=True)
+            for chunk, part in zip(own.tolist(), np.split(keys[order], starts[1:]), strict=True):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([part.tobytes()], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([np.frombuffer(data.as_buffer(), np.uint64) for data in table["data"]]))
+        return pa.table({"key": keys.view(np.int64)})
+
+    return runs.mapInArrow(collect, COUNTS).groupBy("chunk").applyInArrow(merge, "key long")
 
 
 def _counted(runs: DataFrame, known, hashed, n: int) -> np.ndarray:
