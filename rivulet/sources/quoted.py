@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import new_path
+from .stores import BROADCAST_BYTES
 
 LINE_END = "\r\n|\r|\n"
 #: Kinds of what a split yields: a record, the beginning of one that goes on in the next split, and what goes on.
@@ -83,7 +84,7 @@ def quoted_records(dialect: Dialect = Dialect()) -> Callable[[str], list[str]]:
     return cut
 
 
-def _by_split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator[str]]]:
+def by_split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, Iterator[str]]]:
     """((file, start, ...), lines) of each stretch of rows of one split; a stretch is read to its end before the next."""
     rows = (r for b in batches for r in b.itertuples(index=False, name=None))  # (value, file, start, ...)
     ahead = next(rows, None)
@@ -106,7 +107,7 @@ def _ends(dialect: Dialect):
     """For either beginning of each split, whether it ends within a quoted field, and whether a record ended in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, lines in _by_split(batches):
+        for key, lines in by_split(batches):
             machines, marked = [Machine(dialect, inside) for inside in (False, True)], False
             for text in lines:
                 marked |= text is None
@@ -125,7 +126,7 @@ def _ends(dialect: Dialect):
 
 def _pieces(dialect: Dialect, kinds: tuple[int, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (file, start, inside, owner), lines in _by_split(batches):
+        for (file, start, inside, owner), lines in by_split(batches):
             machine, rest, held = Machine(dialect, bool(inside)), bool(inside), []
 
             def told(value: str, kind: int, at: int, file=file, start=start, held=held) -> None:
@@ -147,6 +148,17 @@ def _pieces(dialect: Dialect, kinds: tuple[int, ...]):
     return run
 
 
+def with_splits(spark: SparkSession, rows: DataFrame, table: list[tuple], columns: str) -> DataFrame:
+    """rows (file, start, ...) of a frozen read, in their order, with what `table` (file, start, columns) has of their split.
+    A table beyond BROADCAST_BYTES meets them in a shuffle, after which splits lie whole and in order again."""
+    held = spark.createDataFrame(table, f"file string, start long, {columns}")
+    if sum(len(t[0]) + 16 + 8 * len(t) for t in table) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(held), ["file", "start"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.withColumn("__mid", F.monotonically_increasing_id()).join(held.hint("merge"), ["file", "start"])
+    return met.repartition(parts, "file", "start").sortWithinPartitions("file", "start", "__mid").drop("__mid")
+
+
 def cut_splits(spark: SparkSession, lines: DataFrame, dialect: Dialect) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None:
     """lines (value, file, start), cut at line feeds alone by a frozen read, to (file, start, value, kind), records in
     order, those that lie across splits at their beginning; and a function that completes the values of these. None if
@@ -162,8 +174,7 @@ def cut_splits(spark: SparkSession, lines: DataFrame, dialect: Dialect) -> tuple
         ends, ended = (s["in_open"], s["in_ended"]) if inside else (s["out_open"], s["out_ended"])
         owner = -1 if not ends else s["start"] if ended or not inside else owner
         inside = ends
-    table = spark.createDataFrame(begins, "file string, start long, inside boolean, owner long")
-    met = lines.join(F.broadcast(table), ["file", "start"]).select("value", "file", "start", "inside", "owner")  # a row a split
+    met = with_splits(spark, lines, begins, "inside boolean, owner long").select("value", "file", "start", "inside", "owner")
     out = "file string, start long, value string, kind int, owner long"
     records = met.mapInPandas(_pieces(dialect, (RECORD, HEAD)), out).drop("owner")
     if not any(b[2] for b in begins):
