@@ -12,8 +12,8 @@ text), in hexadecimal. Banding: consecutive slots form bands; two texts are cand
 band. Verification: candidates are compared on all slots; likeness is the share of equal slots, 0 for others.
 
 Null text counts as empty; two empty texts are alike (1). Equal texts have equal fingerprints. An empty table gives
-no rows; with one row its next document is itself. Rows of equal identifiers follow each other in any order; rows
-without an identifier come first. Identifiers are numbers.
+no rows; with one row its next document is itself. Identifiers are of any type that JSON can hold; rows of equal ones
+follow each other by their place in the files, and rows without an identifier come first, in that order too.
 """
 
 from __future__ import annotations
@@ -27,10 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.position import BROADCAST_RANGES, range_bounds, range_of
-
 from .components import components
-from .shared import materialise, text_or_empty
+from .shared import FILE, ROW, materialise, placed, text_or_empty
 from .simhash import _blocks, _by_group, _forest
 
 SLOTS, BAND = 64, 2
@@ -218,30 +216,46 @@ def near_groups(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     return rows.join(group_fingerprints(rows, least, id_col, band), "fingerprint").select(id_col, "fingerprint", "group_id")
 
 
+def _heads(rows: DataFrame, ranges: int) -> tuple[list[str], str]:
+    """The first place of each of at most `ranges` even ranges of the order of `with_next`, as JSON, and their type. Spark
+    deals the places, which are written so that they are dealt once; one row a range goes through the driver."""
+    at = F.struct(F.col("id").isNotNull().alias("named"), "id", FILE, ROW)
+    dealt = rows.select(at.alias("at")).repartitionByRange(ranges, "at").select("at", F.spark_partition_id().alias("range"))
+    heads = materialise(dealt, "places").groupBy("range").agg(F.min("at").alias("head")).orderBy("head")
+    return [r["head"] for r in heads.select(F.to_json("head", {"ignoreNullFields": "false"}).alias("head")).collect()], heads.schema["head"].dataType.simpleString()
+
+
 def with_next(rows: DataFrame, columns: tuple[str, ...], ranges: int) -> DataFrame:
-    """Each of `columns` of the next row by `id` as next_<column>; the first row follows the last.
+    """Each of `columns` of the next row by `id`, null first, then by place, as next_<column>; the first row follows the last.
 
-    Rows are dealt to ranges of the identifier, the least row of each range also to the range before it; so a window
-    over a range sees every next row, and no task sees more than its range.
+    Rows are dealt to ranges of that order, the first row of each range also to the range before it; so a window over a
+    range sees every next row, and no task sees more than its range, however many rows share an identifier.
     """
-    dealt = rows.withColumn("range", range_of(F.col("id"), range_bounds(rows, "id", ranges)))
-    heads = dealt.groupBy("range").agg(F.min("id").alias("head")).orderBy("range").collect()  # one row a range
-    before = [(r["head"], heads[i - 1]["range"]) for i, r in enumerate(heads)]
-    guests = rows.sparkSession.createDataFrame(before, f"id {rows.schema['id'].dataType.simpleString()}, guest_at int")
-    guests = F.broadcast(guests) if len(before) <= BROADCAST_RANGES else guests
-    to = F.array(F.struct(F.col("range").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("guest_at").alias("at"), F.lit(True).alias("guest")))
-    copies = dealt.join(guests, "id", "left").select("id", *columns, F.explode(F.filter(to, lambda t: t["at"].isNotNull())).alias("t"))
-    ordered = Window.partitionBy("t.at").orderBy("t.guest", "id")
+    heads, kind = _heads(rows, ranges)
+    if not heads:
+        return rows.select("*", *(F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns)).drop(FILE, ROW)
+    step = math.isqrt(len(heads) - 1) + 1
+    known = lambda some: F.from_json(F.lit(f"[{','.join(some)}]"), f"array<{kind}>")
+    every, coarse = known(heads), known(heads[::step])
+    own = F.struct(F.col("id").isNotNull().alias("named"), "id", FILE, ROW)
+    upto = lambda held: F.size(F.filter(held, lambda h: h <= F.col("own")))
+    dealt = rows.withColumn("own", own).withColumn("group", upto(coarse) - 1)
+    dealt = dealt.withColumn("range", F.col("group") * step + upto(F.slice(every, F.col("group") * step + 1, F.lit(step))) - 1)
+    at = lambda r, guest: F.struct(r.alias("at"), F.lit(guest).alias("guest"))
+    first = F.get(every, F.col("range")) == F.col("own")
+    to = F.array(at(F.col("range"), False), F.when(first, at(F.pmod(F.col("range") - 1, F.lit(len(heads))), True)))
+    copies = dealt.select("id", "own", *columns, F.explode(F.filter(to, lambda t: t.isNotNull())).alias("t"))
+    ordered = Window.partitionBy("t.at").orderBy("t.guest", "own")
     nexts = copies.select("*", *(F.lead(c).over(ordered).alias(f"next_{c}") for c in columns), F.col("t.guest").alias("guest"))
-    return nexts.where("not guest").drop("t", "guest")
+    return nexts.where("not guest").drop("t", "guest", "own")
 
 
 def edited_fingerprints(docs: DataFrame, ranges: int, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id): each text
     against the text whose last quarter is replaced by the start of the next document, and against the next document;
     and the group of documents that a search by bands links to it."""
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
-    rows = rows.select("id", "body", fingerprint(F.col("body")).alias("fingerprint"))
+    rows = placed(docs, F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
+    rows = rows.select(FILE, ROW, "id", "body", fingerprint(F.col("body")).alias("fingerprint"))
     pairs = with_next(rows, ("body", "fingerprint"), ranges)
     n = F.char_length("body")
     cut = F.floor(n / 4).cast("int")

@@ -5,8 +5,8 @@ Chosen and rejected conversations of a pair are compared turn by turn; the turns
 what remains of each side as its completion. Loss is taken on assistant turns of completions alone.
 
 `format_preferences` gives a row a turn, so that a conversation of any length is spread over tasks. `assemble` joins
-them to paired rows: prompt, both completions, and the mask of each. A pair of more than `most` turns is several rows,
-pieces in order, so that no row and no group grows with the longest conversation.
+them to paired rows: prompt, both completions, and the mask of each. A row takes 64 turn numbers of a pair, so that no row
+and no group grows with the longest conversation.
 
 `against_others` makes pairs of plain conversations: the rejected side has the last assistant turn of another one.
 
@@ -75,17 +75,16 @@ def against_others(turns: DataFrame, partner: Column, conv: str = "conv_id") ->
     return both.where("s.said is not null").select(conv, "turn", "role", F.col("s.said").alias("text"), "s.chosen")
 
 
-def assemble(rows: DataFrame, most: int = 4096) -> DataFrame:
+def assemble(rows: DataFrame) -> DataFrame:
     """(pair_id, piece, n_prompt, prompt, chosen, rejected, chosen_mask, rejected_mask), rows of format_preferences paired.
 
-    A mask lists loss:characters of each turn of a completion, so that it covers the completion. Pairs of up to `most`
-    turns are piece 0; of longer ones a piece has the turns of 64 numbers, 64 of a number at most, and pieces ascend.
+    A mask lists loss:characters of each turn of a completion, so that it covers the completion. The turns 64 k to
+    64 k + 63 of a pair, 64 of each number at most, are a piece, and pieces ascend: one rule for pairs of any length, which
+    puts most of them into one row.
     """
-    sized = rows.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("least")).where(F.col("n") > most)
-    block = (F.floor((F.col("turn") - F.col("least")) / 64) * F.lit(1 << 31) + F.floor((F.col("nth") - 1) / 64)).cast("long")
-    dealt = rows.join(sized, "pair_id", "left").withColumn("piece", F.coalesce(block, F.lit(0).cast("long")))
+    piece = F.floor(F.col("turn") / 64) * F.lit(1 << 31) + F.floor((F.col("nth") - 1) / 64)
     turns = F.sort_array(F.collect_list(F.struct("turn", "nth", "part", "rendered", "loss")))
-    held = dealt.groupBy("pair_id", "piece").agg(turns.alias("t"))
+    held = rows.groupBy("pair_id", piece.cast("long").alias("piece")).agg(turns.alias("t"))
     of = lambda part: F.filter("t", lambda x: x["part"] == part)
     text = lambda part: F.array_join(F.transform(of(part), lambda x: x["rendered"]), "")
     run = lambda x: F.concat(x["loss"].cast("string"), F.lit(":"), F.char_length(x["rendered"]).cast("string"))

@@ -163,8 +163,7 @@ ORACLE_SQL = {
                  CASE WHEN NOT shared AND role = 'assistant' THEN '1' ELSE '0' END AS loss
           FROM placed WHERE chosen OR NOT shared),
         pieces AS (
-          SELECT *, CASE WHEN count(*) OVER p > 4096 THEN ((turn - min(turn) OVER p) // 64) * 2147483648 + (nth - 1) // 64 ELSE 0 END AS piece
-          FROM parts WINDOW p AS (PARTITION BY pair_id))
+          SELECT *, floor(turn / 64) * 2147483648 + (nth - 1) // 64 AS piece FROM parts)
         SELECT pair_id, CAST(piece AS BIGINT) AS piece, CAST(count(*) FILTER (part = 'prompt') AS INTEGER) AS n_prompt,
                coalesce(string_agg(rendered, '' ORDER BY turn, nth) FILTER (part = 'prompt'), '') AS prompt,
                coalesce(string_agg(rendered, '' ORDER BY turn, nth) FILTER (part = 'chosen'), '') AS chosen,

@@ -294,7 +294,7 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signatures(column: Column, shingle: int) -> Column:
-    """fp, node (a digest of the set of shingles), anchors (of the bands), sketch; no anchors for a text without words."""
+    """fp, node and other (digests of the set of shingles), anchors (of the bands), sketch; no anchors for a text without words."""
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -306,11 +306,12 @@ def _signatures(column: Column, shingle: int) -> Column:
                 least = least_hashes(hashes)
                 bands = [digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else []
                 node = np.uint64(digest(hashes.tobytes(), SEED)).view(np.int64)
-                rows.append((fp, node, np.array(bands, np.uint64).view(np.int64), least.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["fp", "node", "anchors", "sketch"])
+                other = np.uint64(digest(hashes.tobytes(), SEED + 1)).view(np.int64)
+                rows.append((fp, node, other, np.array(bands, np.uint64).view(np.int64), least.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["fp", "node", "other", "anchors", "sketch"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "fp long, node long, anchors array<long>, sketch binary")(column)
+    return F.pandas_udf(run, "fp long, node long, other long, anchors array<long>, sketch binary")(column)
 
 
 def _forest(sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -459,6 +460,12 @@ def _verified_links(firsts: DataFrame, rows: DataFrame, shingle: int, least: flo
     return dealt.mapInPandas(_verify(shingle, least), "u long, v long")
 
 
+def _firsts(rows: DataFrame) -> DataFrame:
+    """A row a node; `clash` where sets that share it differ in their other digest."""
+    own = (F.min("id").alias("first_id"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
+    return materialise(rows.groupBy("node").agg(*own, (F.min("other") != F.max("other")).alias("clash")), "firsts")
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8
 ) -> DataFrame:
@@ -466,7 +473,11 @@ def similar_groups(
     said = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
     said = said.select("id", "body", _signatures(F.col("body"), shingle).alias("s")).select("id", "body", "s.*")
     rows = materialise(said, "signatures", compression="zstd")
-    firsts = rows.groupBy("node").agg(F.min("id").alias("first_id"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch"))
-    firsts = materialise(firsts, "firsts")
+    firsts = _firsts(rows)
+    while not (clashes := firsts.where("clash").select("node")).isEmpty():  # sets apart by 128 bits that share a node
+        rows = rows.join(clashes.withColumn("clash", F.lit(True)), "node", "left")
+        rows = rows.withColumn("node", F.when(F.col("clash"), F.xxhash64("other", "node")).otherwise(F.col("node"))).drop("clash")
+        rows = materialise(rows, "signatures", compression="zstd")
+        firsts = _firsts(rows)
     roots = components(_verified_links(firsts, rows, shingle, least))
     return _named(rows.select("id", "fp", "node"), firsts, roots, "node").select(F.col("id").alias(id_col), "fp", "component_id")
