@@ -14,7 +14,7 @@ from rivulet.schema import Attribute, Schema
 from rivulet.sources import csv, lines, protobuf, stores
 from rivulet.sources.staging import new_path
 
-from . import formats
+from . import formats, ranges
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,7 +197,7 @@ QUERIES = {
     "protobuf_records": protobuf_records,
     "batch_drop_warn": _batched(LastExampleHandling.DROP_WARN), "batch_pad_warn": _batched(LastExampleHandling.PAD_WARN),
     "bad_skip_warn": _bad(BadExampleHandling.SKIP_WARN), "bad_pad_warn": _bad(BadExampleHandling.PAD_WARN),
-} | formats.QUERIES
+} | formats.QUERIES | ranges.QUERIES
 
 _CHAIN_SQL = f"""(SELECT event_id, value, CAST((p2 // 100) * 25 + p2 % 100 AS BIGINT) AS pos FROM (
   SELECT *, (p - 101) // 3 AS p2, (SELECT count(*) FROM {E_POS} WHERE p >= 100 AND p < 900 AND (p - 100) % 3 = 1) AS n
@@ -249,5 +249,5 @@ ORACLE_SQL = {
     "parse_nan_values": f"SELECT event_id, CASE WHEN trim(c) IN ('nan', 'NA') THEN 'nan'::DOUBLE ELSE {_F} END AS x FROM (SELECT event_id, {DIRTY_SQL} AS c FROM events)",
     "text_lines": "SELECT CAST(strlen(event_id || ' ' || event_type || ' ' || props) AS INTEGER) AS bytes, count(*) AS n FROM events GROUP BY 1",
     "protobuf_records": "SELECT n_name, n_nationkey AS n, n_regionkey AS r FROM nation",
-} | formats.ORACLE_SQL
+} | formats.ORACLE_SQL | ranges.ORACLE_SQL
 ORACLE_SQL |= {f"{name}_warn": ORACLE_SQL[name] for name in ("batch_drop", "batch_pad", "bad_skip", "bad_pad")}

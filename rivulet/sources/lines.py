@@ -1,8 +1,9 @@
 """Text lines with exact positions: counted split by split, shifted by the rows of the splits before.
 
 UTF-8, and any encoding in which line ends are the bytes they are in ASCII, goes through Spark's text source, split by
-split, also where quoted fields hold line ends. Files of 16 or 32 bits a character, and files that are compressed without
-saying so in their name, are read whole, a file a row.
+split, also where quoted fields hold line ends. Files of 16 or 32 bits a character are cut split by split as well (`wide`),
+but for those with quoted line ends; these, and files that are compressed without saying so in their name, are read
+whole, a file a row.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import codecs
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
@@ -22,6 +24,7 @@ from rivulet.operators.position import POS
 
 from .quoted import LINE_END, cut_splits
 from .stores import BROADCAST_BYTES, contents, name_of, plain, special
+from .wide import by_encoding, heads, wide_lines
 
 #: Byte order marks, the longest first.
 MARKS = {b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
@@ -81,6 +84,25 @@ def _whole(held: SparkSession, stores: list, encoding: str | None, compression:
     return contents(held, stores, compression).mapInPandas(run, "file string, start long, value string")
 
 
+def is_wide(encoding: str) -> bool:
+    """Whether characters take 16 or 32 bits."""
+    return codecs.lookup(LATIN.get(encoding, encoding)).name.startswith(("utf-16", "utf-32"))
+
+
+def _wide(spark: SparkSession, stores: list, keep: Column | None, encoding: str | None) -> Numbered:
+    """Lines of files of which some have 16 or 32 bits a character: all by `encoding`, or those whose mark says so."""
+    held, files = frozen(spark), list(dict.fromkeys(map(name_of, stores)))
+    parts = []
+    for own, named in by_encoding(files, heads(held, files).collect(), encoding, lambda f: plain(unquote(f))).items():  # one row a file
+        if own is not None:
+            parts.append(wide_lines(spark, held, named, own, strict=encoding is not None))
+            continue
+        rows = held.read.text(named).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+        parts.append(rows.withColumn("value", F.when(F.col("start") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))))
+    rows = reduce(DataFrame.unionByName, parts)
+    return number_rows(spark, stores, rows if keep is None else rows.where(keep))
+
+
 @dataclass(frozen=True)
 class Numbered:
     """Lines of stores (value, file, start, mid): mid counts within a partition of the read, whose split plan is frozen.
@@ -136,6 +158,8 @@ def number_lines(
     """
     utf8 = (encoding or "UTF-8").upper() in ("UTF-8", "UTF8")
     dialect = getattr(records, "dialect", None)
+    if not whole and records is None and not special(stores, compression) and not utf8 and not line_ends_are_plain(encoding) and is_wide(encoding):
+        return _wide(spark, stores, keep, encoding)
     whole = whole or (records is not None and dialect is None) or special(stores, compression) or not (utf8 or line_ends_are_plain(encoding))
     held, completed = frozen(spark), None
     if whole:
@@ -158,7 +182,9 @@ def number_lines(
     if keep is not None:
         rows = rows.where(keep)
     own = number_rows(spark, stores, rows, as_uri=not whole)
-    if own is None:  # 16 or 32 bits a character
+    if own is None and dialect is None:  # 16 or 32 bits a character
+        return _wide(spark, stores, keep, None)
+    if own is None:
         return number_lines(spark, stores, keep, None, compression, records, True)
     return own if completed is None else replace(own, rows=completed(own.rows))
 

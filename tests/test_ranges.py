@@ -106,3 +106,35 @@ def test_a_header_that_runs_into_the_magic(spark, tmp_path, splits):
     splits(8 << 20)
     found = [bytes(r["payload"]) for r in read_records(spark, [str(tmp_path / "a.rec")]).orderBy("__pos").collect()]
     assert found == [payload + b"b", b"c"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be", "utf-16", "utf-32-be", None])
+def test_lines_of_wide_characters_over_many_splits(spark, tmp_path, splits, encoding):
+    from rivulet.sources.lines import decode, read_lines, split_lines
+
+    rng = np.random.default_rng(7)
+    words = ["red", "ਊ", "Ѐ", "\n", "\r", "\r\n", "ਊЀਊĀ", "😀", "ਊ\n", "", "x" * 30]
+    written = encoding or "utf-16"
+    datas = ["".join(rng.choice(words, n)).encode(written) for n in (300, 0, 3, 120)] + ["ਊĀ".encode(written) * 200]
+    if encoding is None:
+        datas += ["plain\nlines\r\nof é".encode(), "".join(rng.choice(words, 80)).encode("utf-32")]
+    files = []
+    for i, data in enumerate(datas):
+        (tmp_path / f"w{i}.txt").write_bytes(data)
+        files.append(str(tmp_path / f"w{i}.txt"))
+    files.append(files[3])
+    want = [(i, n, line) for i, d in enumerate([*datas, datas[3]]) for n, line in enumerate(split_lines(decode(d, encoding)))]
+    splits(150)
+    rows = sorted((r["__store_idx"], r["__row_idx"], r["value"], r["__pos"]) for r in read_lines(spark, files, encoding=encoding).collect())
+    assert [r[:3] for r in rows] == want
+    assert sorted(r[3] for r in rows) == list(range(len(want)))
+
+
+def test_wide_text_that_is_cut_off(spark, tmp_path):
+    from rivulet.errors import StreamError
+    from rivulet.sources.lines import read_lines
+
+    (tmp_path / "odd.txt").write_bytes("ab\ncd".encode("utf-16-le") + b"x")
+    with pytest.raises(Exception) as told:
+        read_lines(spark, [str(tmp_path / "odd.txt")], encoding="utf-16-le").collect()
+    assert isinstance(translated(told.value) or told.value, StreamError)
