@@ -285,5 +285,5 @@ def test_pairs_against_others(spark):
     assert out[2]["chosen"] == say(2, 3) and out[2]["rejected"] == ""  # its neighbour says nothing
     assert out[3]["n_prompt"] == 1 and out[3]["chosen"] == out[3]["rejected"] == ""
     long = spark.range(1000).select(F.lit(0).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    pieces = preferences.assemble(preferences.format_preferences(long, F.col("conv_id"), F.lit(True)), most=100).orderBy("piece").collect()
+    pieces = preferences.assemble(preferences.format_preferences(long, F.col("conv_id"), F.lit(True))).orderBy("piece").collect()
     assert len(pieces) == 16 and "".join(r["chosen"] for r in pieces) == "".join(f"<|user|>\n{i}<|end|>\n" for i in range(1000))
