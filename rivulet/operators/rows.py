@@ -1,4 +1,4 @@
-"""Row operators in closed form over the row position: each is a filter and new positions, with no sort or window."""
+"""Row operators in closed form over the row position: each is a filter and new positions, mostly with no sort or window."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rivulet.errors import InvalidInstanceError
 from rivulet.params import BadExampleHandling, LastExampleHandling, ReaderParams
 
+from .buffer import place
 from .position import POS, with_position
 
 SAMPLE_BLOCK = 100
@@ -46,25 +47,22 @@ def sample(df: DataFrame, ratio: float, total: int, pos: str = POS) -> DataFrame
     return df.where(kept).withColumn(pos, block * full + place)
 
 
-def shuffle(df: DataFrame, seed: int, window: int = 0, epoch: int = 0, reshuffle: bool = True, pos: str = POS) -> DataFrame:
-    """A column `__order` to sort by: over all rows (window 0), or within consecutive windows, so that no row comes
-    earlier than window - 1 places before its own."""
-    chance = F.xxhash64(F.lit(seed + (epoch if reshuffle else 0)), pos)
-    slot = F.lit(0).cast("long") if window == 0 else F.floor(F.col(pos) / window).cast("long")
-    return df.withColumn("__order", F.struct(slot.alias("slot"), (F.col(pos) if window == 1 else chance).alias("at"), F.col(pos).alias("pos")))
-
-
-def shuffled(df: DataFrame, seed: int, window: int = 0, epoch: int = 0, reshuffle: bool = True, pos: str = POS) -> DataFrame:
-    """The rows at new positions, in the order of `shuffle`. A full shuffle ranks ranges of the hash side by side."""
+def shuffled(
+    df: DataFrame, seed: int, window: int = 0, epoch: int = 0, reshuffle: bool = True, pos: str = POS, total: int | None = None, once: bool = False
+) -> DataFrame:
+    """The rows at new positions: in any order (window 0, ranges of a hash are ranked side by side), or as they leave a
+    buffer of `window` rows. total: rows of df, counted where it is not given; once: df is one partition that cannot be
+    counted before it is read, and is sorted."""
     if window == 1:
         return df
-    chance = F.xxhash64(F.lit(seed + (epoch if reshuffle else 0)), pos)  # one to one for positions
+    seed += epoch if reshuffle else 0
     if window == 0:
+        chance = F.xxhash64(F.lit(seed), pos)  # one to one for positions
         return with_position(df.withColumn("__chance", chance), "__chance", pos=pos).drop("__chance")
-    slot = F.floor(F.col(pos) / window).cast("long")
-    dealt = df.withColumns({"__slot": slot, "__chance": chance})
-    rank = F.row_number().over(Window.partitionBy("__slot").orderBy("__chance")) - 1
-    return dealt.withColumn(pos, F.col("__slot") * window + rank).drop("__slot", "__chance")
+    if not once:
+        return df.withColumn(pos, place(pos, window, seed, df.count() if total is None else total))
+    left = df.withColumn("__left", place(pos, window, seed, None))
+    return left.withColumn(pos, (F.row_number().over(Window.orderBy("__left")) - 1).cast("long")).drop("__left")
 
 
 def chain(df: DataFrame, params: ReaderParams, total: int | None = None, pos: str = POS) -> DataFrame:

@@ -343,14 +343,9 @@ def shuffle_full(spark, sf_dir):
 
 
 def epoch_shuffle_window(spark, sf_dir):
-    """A shuffle within windows of 64: each window keeps its rows and has its places, in an order of its own."""
-    df = _events(spark, sf_dir).withColumn("before", F.col(POS))
-    own = rows.shuffled(df, seed=5, window=64, epoch=1)
-    slot = F.floor(F.col(POS) / 64).cast("long").alias("slot")
-    return own.groupBy(slot).agg(
-        F.sum("event_id").cast("long").alias("ids"), F.countDistinct(POS).alias("places"), F.min(POS).alias("least"),
-        F.max(F.abs(F.floor(F.col("before") / 64) - F.floor(F.col(POS) / 64))).cast("long").alias("strayed"),
-    )
+    """A shuffle through a buffer of 64 rows in the second epoch: where each row leaves it."""
+    own = rows.shuffled(_events(spark, sf_dir), seed=5, window=64, epoch=1)
+    return own.select("event_id", F.col(POS).alias("place"))
 
 
 def shuffle_epochs(spark, sf_dir):
@@ -450,6 +445,28 @@ _IMAGES = """SELECT CAST(k AS BIGINT) AS pos, CASE WHEN k < 5 THEN 6 END AS heig
   CASE WHEN k < 5 THEN 126 END AS bytes, CASE WHEN k < 5 THEN CAST(k AS INTEGER) END AS red, CASE WHEN k < 5 THEN CAST(50 + k AS INTEGER) END AS green,
   CASE WHEN k < 5 THEN CAST(100 + k AS INTEGER) END AS blue, k = 5 AS bad FROM range(6) t(k)"""
 
+
+
+def _key(salt: int) -> int:
+    """The key of draws below step 2^32, of seed 6 (seed 5, second epoch)."""
+
+    def mix(x: int) -> int:
+        x = (x ^ x >> 16) * 0x85EBCA6B % (1 << 32)
+        x = (x ^ x >> 13) * 0xC2B2AE35 % (1 << 32)
+        return x ^ x >> 16
+
+    return mix(mix(6 ^ mix(0) ^ salt))
+
+
+_BUFFER = f"""
+    WITH a AS (SELECT t, xor(t::UBIGINT, {_key(0)}::UBIGINT) AS x, xor(t::UBIGINT, {_key(0x9E3779B9)}::UBIGINT) AS y FROM range((SELECT count(*) FROM events) + 8192) r(t)),
+    b AS (SELECT t, xor(x, x >> 16) * 2246822507::UBIGINT & 4294967295::UBIGINT AS x, xor(y, y >> 16) * 2246822507::UBIGINT & 4294967295::UBIGINT AS y FROM a),
+    c AS (SELECT t, xor(x, x >> 13) * 3266489909::UBIGINT & 4294967295::UBIGINT AS x, xor(y, y >> 13) * 3266489909::UBIGINT & 4294967295::UBIGINT AS y FROM b),
+    d AS (SELECT t, xor(x, x >> 16) AS x, xor(y, y >> 16) AS y FROM c),
+    put AS (SELECT t, CAST((x * 2147483648::UBIGINT + (y >> 1)) % 64 AS BIGINT) AS slot FROM d UNION ALL SELECT t - 64, t FROM range(64) r(t)),
+    gone AS (SELECT t + 64 AS p, lead(t) OVER (PARTITION BY slot ORDER BY t) AS leaves FROM put)
+    SELECT event_id, CAST(row_number() OVER (ORDER BY leaves) - 1 AS BIGINT) AS place FROM gone JOIN {_E} e USING (p)"""
+
 ORACLE_SQL = {
     "csv_with_empty_store": """WITH c AS (SELECT c_custkey, CAST(c_custkey % 3 AS INTEGER) AS k, CAST(row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) AS BIGINT) AS r FROM customer),
         n AS (SELECT count(*) FILTER (k = 0) AS a, count(*) FILTER (k <= 1) AS b, count(*) AS c FROM c)
@@ -486,7 +503,7 @@ ORACLE_SQL = {
     "images_of_files": _IMAGES,
     "images_of_records": _IMAGES,
     "shuffle_full": "SELECT count(*) AS n, count(*) AS places, CAST(0 AS BIGINT) AS least, count(*) - 1 AS most, CAST(sum(event_id) AS BIGINT) AS ids, true AS moved FROM events",
-    "epoch_shuffle_window": f"SELECT p // 64 AS slot, CAST(sum(event_id) AS BIGINT) AS ids, count(*) AS places, min(p) AS least, CAST(0 AS BIGINT) AS strayed FROM {_E} GROUP BY 1",
+    "epoch_shuffle_window": _BUFFER,
     "shuffle_epochs": "SELECT false AS epochs_agree, true AS kept_agree, false AS seeds_agree, true AS one_moves_nothing",
     "parse_wide_numbers": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN '18446744073709551615' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN '7' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE event_id::VARCHAR END AS u,
         CAST(CASE event_id % 7 WHEN 0 THEN 18446744073709551615::FLOAT WHEN 1 THEN 18446744073709551616::FLOAT WHEN 2 THEN -1::FLOAT WHEN 3 THEN 7::FLOAT WHEN 4 THEN NULL WHEN 5 THEN 2500::FLOAT ELSE event_id::FLOAT END AS DOUBLE) AS f, true AS half FROM events""",

@@ -46,6 +46,9 @@ class DataReader:
     """A reader over source(), a DataFrame with __pos (from 0, without gaps) and __bad (null, or why a row does not
     decode). The schema is that of the rows before they are shuffled."""
 
+    #: Whether the source can be read only once.
+    _once = False
+
     def __init__(self, spark: SparkSession, paths: list, params: ReaderParams | None = None):
         self.spark, self.paths, self.params = spark, list(paths), params or ReaderParams()
         seed = self.params.shuffle_seed
@@ -71,7 +74,7 @@ class DataReader:
         """The rows that the parameters leave, with their place in the epoch as __pos."""
         df = rows.chain(self._source, self.params)
         if self.params.shuffle_instances:
-            df = rows.shuffled(df, self._seed, self.params.shuffle_window, epoch, self.params.reshuffle_each_epoch)
+            df = rows.shuffled(df, self._seed, self.params.shuffle_window, epoch, self.params.reshuffle_each_epoch, once=self._once)
         return df
 
     def _batches(self, epoch: int, details: bool) -> DataFrame:
@@ -179,6 +182,8 @@ class TextLineReader(DataReader):
 class PipeReader(DataReader):
     """Lines of a named pipe, one pass an epoch: pass n reads PATH_n, beginning with fifo_id."""
 
+    _once = True
+
     def __init__(self, spark: SparkSession, path: str, params: ReaderParams | None = None, timeout: float = 60.0, fifo_id: int = 0, compression: str = "none"):
         super().__init__(spark, [path], params)
         check_compression(compression)
