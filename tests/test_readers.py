@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rivulet.errors import CorruptFooterError, CorruptHeaderError, CorruptRecordError, SchemaError, StreamError
 from rivulet.functions.parsing import infer_data_type
 from rivulet.operators import rows
-from rivulet.operators.position import with_position
+from rivulet.operators.position import POS, with_position
 from rivulet.params import CsvParams, LastExampleHandling, MaxFieldLengthHandling, ReaderParams
 from rivulet.sources import csv, lines, parquet_stream, recordio, stores
 from rivulet.streaming import examples
@@ -193,6 +193,41 @@ def test_parquet_stream(spark, tmp_path):
         list(parquet_stream.split(b"x"))
 
 
+def test_parquet_streams_over_splits(spark, tmp_path):
+    """Streams cut at any byte give the files that a walk from the beginning gives; one whose data hold both marks is
+    walked, as the damaged ones are."""
+    import gzip
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def file(n, text="PAR1"):
+        out = io.BytesIO()
+        pq.write_table(pa.table({"a": list(range(n)), "s": [f"{text}{i}" for i in range(n)]}), out, use_dictionary=False, compression="none")
+        return out.getvalue()
+
+    plain = b"".join(file(n) for n in (3, 0, 40, 1, 7, 90))
+    marks = file(5) + file(30, "xPAR1PAR1") + file(2)
+    assert list(parquet_stream.split(marks)) == [file(5), file(30, "xPAR1PAR1"), file(2)]
+    paths = write(tmp_path, a__bin=plain, b__bin=marks, c__bin=b"", d__bin=file(4), e__gz=gzip.compress(plain))
+    want = [*parquet_stream.split(plain), *parquet_stream.split(marks), file(4), *parquet_stream.split(plain), *parquet_stream.split(plain)]
+    seam = len(file(3))
+    for size in (1 << 20, 1000, *range(seam - 6, seam + 6)):
+        own = spark.newSession()
+        own.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        own.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = parquet_stream.read_parquet_stream(own, [*paths, paths[0]]).orderBy(POS).collect()
+        assert [bytes(r["payload"]) for r in rows] == want, size
+        assert [r[POS] for r in rows] == list(range(len(want)))
+        assert [r["__row_idx"] for r in rows if r["__store_idx"] == 5] == list(range(6))
+    assert parquet_stream.read_parquet_stream(spark, [paths[2]]).count() == 0
+    cut, junk = write(tmp_path, g__bin=plain[:-2], h__bin=b"junk" + plain)[-2:]
+    for path, said in ((cut, "does not end"), (junk, "no Parquet file begins")):
+        with pytest.raises(Exception, match=said):
+            parquet_stream.read_parquet_stream(spark, [paths[0], path]).collect()
+
+
 def test_examples(spark):
     df = with_position(spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2.0).alias("x")), "k")
     own = examples.Examples(lambda epoch: rows.batches(df, {"k": 0, "x": 0.0}, 4, LastExampleHandling.PAD))
