@@ -9,6 +9,7 @@ import gzip
 import io
 import struct
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ from rivulet.sources.images import ImageParams
 from rivulet.sources.staging import new_path
 from rivulet.streaming.adapters import as_arrow_file
 
+from . import ranges
+from .ranges import in_order, small_splits
+
 RAW = CsvParams(header_row_index=None)
 
 
@@ -120,29 +124,41 @@ def csv_bad_rows(spark, sf_dir):
     return reader.bad_rows().select(F.col(POS).alias("pos"), "reason")
 
 
-HEAD = b"a,b,a,\n1,x,2.5,18446744073709551615\n"
+def _orders_text(spark, sf_dir):
+    """Orders as files of four tasks, each with a header of a repeated and an empty name."""
+    cells = (F.col("o_orderkey") % 100, F.col("o_orderstatus"), F.col("o_custkey") + F.lit(0.5), F.expr("cast(18446744073709551615BD - o_orderkey as decimal(20, 0))"))
+    line = F.concat_ws(",", *(c.cast("string") for c in cells)).alias("a,b,a,")
+    path = new_path(spark, "orders")
+    in_order(table(spark, sf_dir, "orders"), "o_orderkey").select(line).write.options(header=True, quote="", escape="", sep="\1").csv(path)
+    return stores.list_objects(spark, path, "*.csv")
+
+
+def _by_column(spark, paths, ways):
+    """What each way of reading makes of the columns, counted over all rows."""
+    parts = []
+    for way, p in ways.items():
+        df = csv.read_csv(spark, paths, p)
+        own = [(i, f) for i, f in enumerate(df.schema) if not f.name.startswith("__")]
+        cells = (F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"c{i}").cast("string").alias("cell")) for i, f in own)
+        flat = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(F.lit(way).alias("way"), F.explode(F.array(*cells)).alias("c"))
+        parts.append(flat.groupBy("way", "c.place", "c.name", "c.type").agg(F.count("c.cell").alias("cells"), F.max("c.cell").alias("greatest")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def csv_names(spark, sf_dir):
-    """Column names: from the header, with a prefix, given, and by number."""
-    (path,) = put(spark, head=HEAD)
-    ways = {
+    """Column names: from the header, with a prefix, given, and by number, where the headers are rows like others."""
+    return _by_column(spark, _orders_text(spark, sf_dir), {
         "header": CsvParams(), "prefixed": CsvParams(name_prefix="p_"), "given": CsvParams(column_names=("w", "x", "y", "z"), name_prefix="p_"),
         "numbered": CsvParams(header_row_index=None), "numbered_prefixed": CsvParams(header_row_index=None, name_prefix="c"), "some": CsvParams(use_columns_by_index=frozenset({1, 2})),
-    }
-    held = [(way, i, c) for way, p in ways.items() for i, c in enumerate(csv.read_csv(spark, [path], p).columns) if not c.startswith("__")]
-    return spark.createDataFrame(held, "way string, place int, name string")
+    })
 
 
 def csv_types(spark, sf_dir):
     """Column types: inferred, one for all, by name and by place."""
-    (path,) = put(spark, head=HEAD)
-    ways = {
+    return _by_column(spark, _orders_text(spark, sf_dir), {
         "inferred": CsvParams(), "all_text": CsvParams(default_data_type="string"), "by_name": CsvParams(column_types={"a": "float32", "b": "string"}),
         "by_place": CsvParams(column_types_by_index={0: "int8", 3: "string"}),
-    }
-    held = [(way, f.name, f.dataType.simpleString()) for way, p in ways.items() for f in csv.read_csv(spark, [path], p).schema if not f.name.startswith("__")]
-    return spark.createDataFrame(held, "way string, name string, type string")
+    })
 
 
 def dedupe_names(spark, sf_dir):
@@ -181,7 +197,7 @@ def lines_compressed(spark, sf_dir):
     return own.select(F.col(POS).alias("pos"), F.col("__store_idx").alias("store"), "value")
 
 
-class NationStore(stores.DataStore):
+class SquareStore(stores.DataStore):
     """A source of one's own: makes its lines where it is read."""
 
     def __init__(self, first: int, last: int):
@@ -189,25 +205,34 @@ class NationStore(stores.DataStore):
 
     @property
     def id(self) -> str:
-        return f"numbers-{self.first}-{self.last}"
+        return f"squares-{self.first}-{self.last}"
+
+    @staticmethod
+    def lines(first: int, last: int) -> bytes:
+        return "".join(f"{i},{i * i}\n" for i in range(first, last)).encode()
 
     def open_read(self):
-        return stores.InputStream(io.BytesIO("".join(f"{i},{i * i}\n" for i in range(self.first, self.last)).encode()))
+        return stores.InputStream(io.BytesIO(self.lines(self.first, self.last)))
 
 
 def csv_own_stores(spark, sf_dir):
-    """Sources of one's own, and bytes in memory, plain and compressed, through a reader."""
-    memory = stores.InMemoryStore(gzip.compress(b"20,400\n21,441\n"), "gzip")
-    reader = CsvReader(spark, [NationStore(0, 12), NationStore(12, 20), memory, stores.InMemoryStore(b"22,484\n23,529\n24,576\n")], None, CsvParams(header_row_index=None, column_names=("n", "square")))
-    return reader.rows().select(F.col(POS).alias("pos"), "n", "square")
+    """The keys of the customers with their squares, from sources of one's own and bytes in memory, plain and compressed,
+    joined to the customers."""
+    customer = table(spark, sf_dir, "customer")
+    end = customer.agg(F.max("c_custkey")).first()[0] + 1
+    size = min(max(25, end // 16), 100_000)
+    own = [SquareStore(k, min(k + size, end - 5)) for k in range(0, end - 5, size)]
+    packed = stores.InMemoryStore(gzip.compress(SquareStore.lines(end - 5, end - 3)), "gzip")
+    reader = CsvReader(spark, [*own, packed, stores.InMemoryStore(SquareStore.lines(end - 3, end))], None, CsvParams(header_row_index=None, column_names=("n", "square")))
+    return reader.rows().join(customer, F.col("n") == F.col("c_custkey"), "left").select(F.col(POS).alias("pos"), "n", "square", "c_name")
 
 
 def natural_order(spark, sf_dir):
-    """Files by natural order: digits as numbers."""
-    names = ["f10.csv", "f9.csv", "f1.csv", "f2b.csv", "f2.csv", "g.txt"]
-    folder = put(spark, **dict.fromkeys(names, b"x"))[0].rsplit("/", 1)[0]
-    found = [p.rsplit("/", 1)[1] for p in stores.list_objects(spark, folder, "*.csv", lambda p: "f9" not in p)]
-    return spark.createDataFrame(list(enumerate(found)), "place long, name string")
+    """Customers in a folder a nation, read in the natural order of the folders (digits as numbers), one left out."""
+    path = new_path(spark, "nations")
+    table(spark, sf_dir, "customer").repartition("c_nationkey").select("c_nationkey", F.col("c_name").alias("value")).write.partitionBy("c_nationkey").text(path)
+    found = stores.list_objects(spark, path, "*.txt", lambda p: "=9/" not in p)
+    return lines.read_lines(spark, found).select(F.col("__store_idx").cast("long").alias("place"), "value")
 
 
 def text_reader_batches(spark, sf_dir):
@@ -284,47 +309,86 @@ def tensor_records(spark, sf_dir):
 
 
 def parquet_streams(spark, sf_dir):
-    """Two Parquet files in one stream, a third in another, opened by Arrow where they lie."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    def file(n: int) -> bytes:
-        out = io.BytesIO()
-        pq.write_table(pa.table({"a": list(range(n)), "s": ["PAR1"] * n}), out)
-        return out.getvalue()
+    """Orders as twelve Parquet files in three streams, read in many splits and opened by Arrow where they lie."""
 
     def opened(payload: pd.Series) -> pd.Series:
         import pyarrow.parquet as pq
 
-        return pd.Series([sum(pq.read_table(as_arrow_file(bytes(p))).column("a").to_pylist()) for p in payload], dtype="int64")
+        return pd.Series([pq.read_table(as_arrow_file(bytes(p)), columns=["o_orderkey"], partitioning=None).column(0).to_numpy() for p in payload])
 
     opened.__annotations__ = {"payload": pd.Series, "return": pd.Series}
-    own = parquet_stream.read_parquet_stream(spark, put(spark, a=file(3) + file(500), b=file(25)))
-    return own.select(F.col(POS).alias("pos"), F.pandas_udf(opened, "long")("payload").alias("total"))
+    files, path = new_path(spark, "parquet"), new_path(spark, "streams")
+    dealt = table(spark, sf_dir, "orders").withColumn("part", F.col("o_orderkey") % 12)
+    dealt.repartition("part").write.partitionBy("part").parquet(files)
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(files)
+    part = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int")
+    # a file's last byte is a 1, which the text writer sets as its line end
+    body = F.expr("substring(content, 1, octet_length(content) - 1)").cast("string").alias("value")
+    streams = held.select(part.alias("part"), F.floor(part / 4).alias("stream"), body).repartition("stream").sortWithinPartitions("stream", "part")
+    streams.select("stream", "value").write.partitionBy("stream").option("lineSep", "1").text(path)
+    own = parquet_stream.read_parquet_stream(small_splits(spark), stores.list_objects(spark, path, "*.txt"))
+    return own.select(F.col(POS).alias("pos"), F.explode(F.pandas_udf(opened, "array<bigint>")("payload")).alias("key"))
+
+
+def png(height: int, width: int, pixel: bytes) -> bytes:
+    """An image of one colour: a byte of grey, three of red, green and blue, or four with the opacity."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    kind = {1: 0, 3: 2, 4: 6}[len(pixel)]
+    body = (b"\0" + pixel * width) * height
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
 
 
-def png(height: int, width: int, colour: tuple[int, int, int]) -> bytes:
-    """An image of one colour (red, green, blue)."""
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    body = (b"\0" + bytes(colour) * width) * height
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
-
-
-def _images(spark, sf_dir, frame_kind):
-    """Images of one colour a region, resized to 8 and cut to 6 by 7; the last one is junk."""
-    own = [png(10 + k, 30 - k, (k, 50 + k, 100 + k)) for k in range(5)]
-    if frame_kind == "recordio":
-        files = put(spark, images=b"".join(frame(recordio.COMPLETE, bytes(24) + d) for d in [*own, b"junk"]))
-    else:
-        files = put(spark, **{f"i{k}.png": d for k, d in enumerate([*own, b"junk"])})
-    reader = ImageReader(spark, files, None, ImageParams((3, 6, 7), image_frame=frame_kind, resize=8, to_rgb=True))
-    first = lambda k: F.conv(F.hex(F.substring("value.data", k, 1)), 16, 10).cast("int")
+def _pictures(keys: pd.Series) -> pd.Series:
+    """An image for each key, of 1, 3 and 4 channels in turn; each tenth is junk."""
+
+    def one(k: int) -> bytes:
+        colour = bytes((k % 256, k * 7 % 256, k * 13 % 256, 255))
+        return b"junk" if k % 10 == 7 else png(10 + k % 5, 30 - k % 5, (colour[:1], colour[:3], colour)[k % 3])
+
+    return pd.Series([one(int(k)) for k in keys])
+
+
+_pictures.__annotations__ = {"keys": pd.Series, "return": pd.Series}
+
+
+def _pixels(reader: ImageReader) -> DataFrame:
+    """Sizes and the first pixel of each image, its bytes in hexadecimal."""
+    n = reader.image_params.image_dimensions[0]
     return reader.rows().select(
         F.col(POS).alias("pos"), "value.height", "value.width", "value.channels", F.octet_length("value.data").alias("bytes"),
-        first(1).alias("red"), first(2).alias("green"), first(3).alias("blue"), F.col("__bad").isNotNull().alias("bad"),
+        F.hex(F.substring("value.data", 1, n)).alias("first"), F.hex(F.substring("value.data", -n, n)).alias("last"), F.col("__bad").isNotNull().alias("bad"),
     )
 
 
+def images_of_files(spark, sf_dir):
+    """An image a supplier in a file of its own, resized to 8 and cut to 6 by 7, in red, green and blue."""
+    path = new_path(spark, "pictures")
+    rows_ = in_order(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.pandas_udf(_pictures, "binary")("s_suppkey").cast("string").alias("value"))
+    rows_.write.option("maxRecordsPerFile", 1).text(path)
+    return _pixels(ImageReader(spark, stores.list_objects(spark, path, "*.txt"), None, ImageParams((3, 6, 7), resize=8, to_rgb=True)))
+
+
+def _framed_pictures(spark, sf_dir):
+    """An image a part, framed, in files of four tasks. A zero byte ends each, which the text writer sets as its line end."""
+    path = new_path(spark, "pictures")
+    payload = F.concat(F.lit(bytes(24)), F.pandas_udf(_pictures, "binary")("p_partkey"), F.lit(b"\0"))
+    framed = in_order(table(spark, sf_dir, "part"), "p_partkey").select(payload.alias("payload")).select(ranges.frame(recordio.COMPLETE, F.col("payload")).alias("data"))
+    framed.select(F.expr("substring(data, 1, octet_length(data) - 1)").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    return stores.list_objects(spark, path, "*.txt")
+
+
+def images_of_records(spark, sf_dir):
+    """An image a part in framed records, resized to 8 and cut to 6 by 7, in red, green and blue."""
+    return _pixels(ImageReader(spark, _framed_pictures(spark, sf_dir), None, ImageParams((3, 6, 7), image_frame="recordio", resize=8, to_rgb=True)))
+
+
+def images_of_channels(spark, sf_dir):
+    """The same images to one channel and to four, which two thirds of them have not."""
+    files = _framed_pictures(spark, sf_dir)
+    own = [_pixels(ImageReader(spark, files, None, ImageParams((n, 6, 7), image_frame="recordio", to_rgb=True))).withColumn("wanted", F.lit(n)) for n in (1, 4)]
+    return own[0].unionByName(own[1])
+
+
 # --- shuffles, numbers, sketches ----------------------------------------------------------------------------------
 
 
@@ -432,7 +496,7 @@ QUERIES = {
     "dedupe_names": dedupe_names, "csv_encodings": csv_encodings, "lines_of_all_ends": lines_of_all_ends, "lines_compressed": lines_compressed,
     "csv_own_stores": csv_own_stores, "natural_order": natural_order, "text_reader_batches": text_reader_batches, "reader_bytes": reader_bytes,
     "records_framed": records_framed, "tensor_records": tensor_records, "parquet_streams": parquet_streams,
-    "images_of_files": lambda spark, sf_dir: _images(spark, sf_dir, "none"), "images_of_records": lambda spark, sf_dir: _images(spark, sf_dir, "recordio"),
+    "images_of_files": images_of_files, "images_of_records": images_of_records, "images_of_channels": images_of_channels,
     "shuffle_full": shuffle_full, "epoch_shuffle_window": epoch_shuffle_window, "shuffle_epochs": shuffle_epochs, "parse_wide_numbers": parse_wide_numbers,
     "insights_cardinality": insights_cardinality, "insights_vocabulary": insights_vocabulary, "insights_full": insights_full, "insights_to_dict": insights_to_dict,
     "hll_cardinality": hll_cardinality, "sparse_coo_coordinates": sparse_coo_coordinates,
@@ -441,11 +505,26 @@ QUERIES = {
 _N = "(SELECT *, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS p FROM nation)"
 _E = "(SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS p FROM events)"
 _O = "(SELECT *, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS p FROM orders)"
-_IMAGES = """SELECT CAST(k AS BIGINT) AS pos, CASE WHEN k < 5 THEN 6 END AS height, CASE WHEN k < 5 THEN 7 END AS width, CASE WHEN k < 5 THEN 3 END AS channels,
-  CASE WHEN k < 5 THEN 126 END AS bytes, CASE WHEN k < 5 THEN CAST(k AS INTEGER) END AS red, CASE WHEN k < 5 THEN CAST(50 + k AS INTEGER) END AS green,
-  CASE WHEN k < 5 THEN CAST(100 + k AS INTEGER) END AS blue, k = 5 AS bad FROM range(6) t(k)"""
 
 
+def _image_sql(key: str, name: str, wanted: int) -> str:
+    """Pixels of the images of a table's keys, to `wanted` channels."""
+    grey = "printf('%02X', CAST(round_even(0.114 * blue + 0.587 * green + 0.299 * red, 0) AS INTEGER))"
+    first = {1: f"CASE have WHEN 1 THEN printf('%02X', red) ELSE {grey} END", 3: "printf('%02X%02X%02X', red, green, blue)", 4: "printf('%02X%02X%02XFF', red, green, blue)"}[wanted]
+    bad = "k % 10 = 7" + (" OR have <> 4" if wanted == 4 else "")
+    return f"""
+        SELECT pos, CASE WHEN NOT bad THEN 6 END AS height, CASE WHEN NOT bad THEN 7 END AS width, CASE WHEN NOT bad THEN {wanted} END AS channels,
+               CASE WHEN NOT bad THEN {42 * wanted} END AS bytes, CASE WHEN NOT bad THEN pixel END AS "first", CASE WHEN NOT bad THEN pixel END AS "last", bad
+        FROM (SELECT *, {first} AS pixel, {bad} AS bad FROM (
+          SELECT {key} AS k, CAST(row_number() OVER (ORDER BY {key}) - 1 AS BIGINT) AS pos, [1, 3, 4][CAST({key} % 3 + 1 AS INTEGER)] AS have, CAST({key} % 256 AS INTEGER) AS red,
+                 CAST((CASE {key} % 3 WHEN 0 THEN {key} ELSE {key} * 7 END) % 256 AS INTEGER) AS green, CAST((CASE {key} % 3 WHEN 0 THEN {key} ELSE {key} * 13 END) % 256 AS INTEGER) AS blue FROM {name}))"""
+
+
+#: Of each column that _orders_text writes: its number, name in the header, rows and greatest cell as text.
+_CELLS = """WITH cells(src, head, n, most) AS (
+        SELECT 0, 'a', count(*), max(CAST(o_orderkey % 100 AS VARCHAR)) FROM orders UNION ALL SELECT 1, 'b', count(*), max(o_orderstatus) FROM orders
+        UNION ALL SELECT 2, 'a', count(*), max(o_custkey || '.5') FROM orders UNION ALL SELECT 3, '', count(*), max(CAST(18446744073709551615::HUGEINT - o_orderkey AS VARCHAR)) FROM orders)"""
+
 
 def _key(salt: int) -> int:
     """The key of draws below step 2^32, of seed 6 (seed 5, second epoch)."""
@@ -479,29 +558,33 @@ ORACLE_SQL = {
     "csv_field_limit_bad": "SELECT CASE WHEN length(c_mktsegment) > 8 THEN -1 ELSE c_custkey END AS key, CASE WHEN length(c_mktsegment) <= 8 THEN c_mktsegment END AS segment, CASE WHEN length(c_mktsegment) > 8 THEN 'a field is too long' END AS said FROM customer",
     "csv_field_limit_cut": "SELECT c_custkey AS key, left(c_mktsegment, 8) AS segment, CASE WHEN length(c_mktsegment) > 8 THEN 'a field was cut' END AS said FROM customer",
     "csv_bad_rows": f"SELECT p AS pos, CASE o_orderkey % 50 WHEN 3 THEN '1 fields instead of 2' ELSE 'n is not int32: ''x1f''' END AS reason FROM {_O} WHERE o_orderkey % 50 IN (3, 7)",
-    "csv_names": """SELECT way, CAST(place AS INTEGER) AS place, name FROM (VALUES
-        ('header', 0, 'a'), ('header', 1, 'b'), ('header', 2, 'a_1'), ('header', 3, ''), ('prefixed', 0, 'p_a'), ('prefixed', 1, 'p_b'), ('prefixed', 2, 'p_a_1'), ('prefixed', 3, 'p_'),
-        ('given', 0, 'w'), ('given', 1, 'x'), ('given', 2, 'y'), ('given', 3, 'z'), ('numbered', 0, '1'), ('numbered', 1, '2'), ('numbered', 2, '3'), ('numbered', 3, '4'),
-        ('numbered_prefixed', 0, 'c1'), ('numbered_prefixed', 1, 'c2'), ('numbered_prefixed', 2, 'c3'), ('numbered_prefixed', 3, 'c4'), ('some', 0, 'b'), ('some', 1, 'a')) t(way, place, name)""",
-    "csv_types": """SELECT way, name, type FROM (VALUES
-        ('inferred', 'a', 'bigint'), ('inferred', 'b', 'string'), ('inferred', 'a_1', 'double'), ('inferred', '', 'decimal(20,0)'),
-        ('all_text', 'a', 'string'), ('all_text', 'b', 'string'), ('all_text', 'a_1', 'string'), ('all_text', '', 'string'),
-        ('by_name', 'a', 'float'), ('by_name', 'b', 'string'), ('by_name', 'a_1', 'double'), ('by_name', '', 'decimal(20,0)'),
-        ('by_place', 'a', 'tinyint'), ('by_place', 'b', 'string'), ('by_place', 'a_1', 'double'), ('by_place', '', 'string')) t(way, name, type)""",
+    "csv_names": _CELLS + """, named(way, src, place, name) AS (VALUES
+        ('header', 0, 0, 'a'), ('header', 1, 1, 'b'), ('header', 2, 2, 'a_1'), ('header', 3, 3, ''), ('prefixed', 0, 0, 'p_a'), ('prefixed', 1, 1, 'p_b'), ('prefixed', 2, 2, 'p_a_1'), ('prefixed', 3, 3, 'p_'),
+        ('given', 0, 0, 'w'), ('given', 1, 1, 'x'), ('given', 2, 2, 'y'), ('given', 3, 3, 'z'), ('numbered', 0, 0, '1'), ('numbered', 1, 1, '2'), ('numbered', 2, 2, '3'), ('numbered', 3, 3, '4'),
+        ('numbered_prefixed', 0, 0, 'c1'), ('numbered_prefixed', 1, 1, 'c2'), ('numbered_prefixed', 2, 2, 'c3'), ('numbered_prefixed', 3, 3, 'c4'), ('some', 1, 0, 'b'), ('some', 2, 1, 'a'))
+        SELECT way, CAST(place AS INTEGER) AS place, name, CASE WHEN way LIKE 'numbered%' THEN 'string' ELSE ['bigint', 'string', 'double', 'decimal(20,0)'][src + 1] END AS type,
+               n + CASE WHEN way LIKE 'numbered%' THEN 4 ELSE 0 END AS cells, CASE WHEN way LIKE 'numbered%' THEN greatest(most, head) ELSE most END AS greatest FROM named JOIN cells USING (src)""",
+    "csv_types": _CELLS + """, typed(way, src, name, type) AS (VALUES
+        ('inferred', 0, 'a', 'bigint'), ('inferred', 1, 'b', 'string'), ('inferred', 2, 'a_1', 'double'), ('inferred', 3, '', 'decimal(20,0)'),
+        ('all_text', 0, 'a', 'string'), ('all_text', 1, 'b', 'string'), ('all_text', 2, 'a_1', 'string'), ('all_text', 3, '', 'string'),
+        ('by_name', 0, 'a', 'float'), ('by_name', 1, 'b', 'string'), ('by_name', 2, 'a_1', 'double'), ('by_name', 3, '', 'decimal(20,0)'),
+        ('by_place', 0, 'a', 'tinyint'), ('by_place', 1, 'b', 'string'), ('by_place', 2, 'a_1', 'double'), ('by_place', 3, '', 'string'))
+        SELECT way, CAST(src AS INTEGER) AS place, name, type, n AS cells, most || CASE WHEN type = 'float' THEN '.0' ELSE '' END AS greatest FROM typed JOIN cells USING (src)""",
     "dedupe_names": "SELECT n_nationkey::BIGINT AS place, 'r' || n_regionkey || CASE WHEN r > 0 THEN '_' || r ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation)",
     "csv_encodings": "SELECT CAST(n_nationkey AS BIGINT) AS k, w || n_regionkey AS w, file FROM nation, (VALUES (0, 'привет'), (1, 'été'), (2, '中文'), (3, '中文')) t(file, w)",
     "lines_of_all_ends": f"SELECT p AS pos, n_name AS value FROM {_N} UNION ALL SELECT 25, 'last'",
     "lines_compressed": f"SELECT 25 * s + p AS pos, CAST(s AS INTEGER) AS store, n_name AS value FROM {_N}, range(4) t(s)",
-    "csv_own_stores": "SELECT n AS pos, n, n * n AS square FROM range(25) t(n)",
-    "natural_order": "SELECT CAST(place AS BIGINT) AS place, name FROM (VALUES (0, 'f1.csv'), (1, 'f2.csv'), (2, 'f2b.csv'), (3, 'f10.csv')) t(place, name)",
+    "csv_own_stores": "SELECT n AS pos, n, n * n AS square, c_name FROM range((SELECT max(c_custkey) + 1 FROM customer)) t(n) LEFT JOIN customer ON c_custkey = n",
+    "natural_order": "SELECT dense_rank() OVER (ORDER BY c_nationkey) - 1 AS place, c_name AS value FROM customer WHERE c_nationkey <> 9",
     "text_reader_batches": f"SELECT p // 96 AS batch_id, 32 AS size, CAST(sum(event_id) AS BIGINT) AS ids FROM {_E} WHERE p % 3 = 2 GROUP BY 1 HAVING count(*) = 32",
     "reader_bytes": f"SELECT CAST(sum(strlen(n_name)) FILTER (p < 10) AS BIGINT) AS first_batch, CAST(2 AS BIGINT) AS batches_left, CAST(sum(strlen(n_name)) AS BIGINT) AS all_batches, CAST(0 AS BIGINT) AS after_reset FROM {_N}",
     "records_framed": f"SELECT p + 25 * s AS pos, CAST(s AS INTEGER) AS store, n_name AS name FROM {_N}, range(2) t(s)",
     "tensor_records": f"""SELECT p // 4 AS batch_id, CAST(4 - count(*) AS INTEGER) AS padding, CAST(sum(n_nationkey + n_regionkey) AS BIGINT) AS pairs, CAST(sum(n_regionkey) AS BIGINT) AS labels,
         CAST(sum(n_regionkey) AS BIGINT) AS keys, CAST(sum(n_nationkey + 1) AS BIGINT) AS values FROM {_N} GROUP BY 1""",
-    "parquet_streams": "SELECT CAST(pos AS BIGINT) AS pos, CAST(total AS BIGINT) AS total FROM (VALUES (0, 3), (1, 124750), (2, 300)) t(pos, total)",
-    "images_of_files": _IMAGES,
-    "images_of_records": _IMAGES,
+    "parquet_streams": "SELECT o_orderkey % 12 AS pos, o_orderkey AS key FROM orders",
+    "images_of_files": _image_sql("s_suppkey", "supplier", 3),
+    "images_of_records": _image_sql("p_partkey", "part", 3),
+    "images_of_channels": f"SELECT *, 1 AS wanted FROM ({_image_sql('p_partkey', 'part', 1)}) UNION ALL SELECT *, 4 FROM ({_image_sql('p_partkey', 'part', 4)})",
     "shuffle_full": "SELECT count(*) AS n, count(*) AS places, CAST(0 AS BIGINT) AS least, count(*) - 1 AS most, CAST(sum(event_id) AS BIGINT) AS ids, true AS moved FROM events",
     "epoch_shuffle_window": _BUFFER,
     "shuffle_epochs": "SELECT false AS epochs_agree, true AS kept_agree, false AS seeds_agree, true AS one_moves_nothing",

@@ -1,8 +1,8 @@
 """Images as rows of height, width, channels and bytes.
 
 Spark's image source decodes (JPEG, PNG, GIF, BMP). It reads files, so images inside framed records or stores of one's
-own are first written to the shared folder, one file for each distinct image, and joined back by digest. Resize, crop
-and channels work on Arrow batches.
+own are first written to the shared folder, a file an image in one folder, and joined back by the files' names. Resize,
+crop and channels work on Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ from pyspark.sql.types import _parse_datatype_string
 
 from rivulet.errors import CorruptRecordError, NotSupportedError
 
+from .lines import frozen
 from .recordio import read_records
 from .staging import new_path
 from .stores import contents, name_of, special, with_store
 
 #: Fixed value: bytes before the image in a framed record.
 RECORD_HEADER = 24
+#: Bytes of written rows that a task takes.
+PART_BYTES = 32 << 20
 OUT = "struct<height: int, width: int, channels: int, data: binary, why: string>"
 
 
@@ -138,14 +141,20 @@ def _one_a_store(df: DataFrame) -> DataFrame:
 
 
 def _decode(df: DataFrame) -> DataFrame:
-    """df with the bytes in `image` decoded as Spark's image source does: a text file of one row is the row's bytes and
-    a line end, which decoders leave unread."""
+    """df with the bytes in `image` decoded as Spark's image source does. Rows are written once and read in partitions that
+    stay what they are; each task of that read writes a file an image, all in one folder, whose names tell the task and
+    the row. A text file of one row is the row's bytes and a line end, which decoders leave unread."""
     spark = df.sparkSession
-    path = new_path(spark, "images")
-    rows = df.withColumn("__digest", F.concat(F.lit("d"), F.sha2("image", 256)))
-    rows.dropDuplicates(["__digest"]).select("__digest", F.col("image").cast("string").alias("value")).write.partitionBy("__digest").text(path)
-    read = spark.read.format("image").option("dropInvalid", False)
-    if rows.isEmpty():
+    rows, files = new_path(spark, "rows"), new_path(spark, "images")
+    df.write.parquet(rows)
+    own = frozen(spark)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(PART_BYTES))  # a task writes a million files at most
+    held = own.read.schema(df.schema).parquet(rows)
+    held.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(files)
+    numbered = held.drop("image").withColumn("__mid", F.monotonically_increasing_id())
+    if held.isEmpty():
         kind = _parse_datatype_string("origin string, height int, width int, nChannels int, mode int, data binary")
-        return rows.withColumn("image", F.lit(None).cast(kind)).drop("__digest")
-    return rows.drop("image").join(read.load(path).select("__digest", "image"), "__digest", "left").drop("__digest")
+        return numbered.withColumn("image", F.lit(None).cast(kind)).drop("__mid")
+    images = spark.read.format("image").option("dropInvalid", False).load(files)
+    name = lambda k: F.regexp_extract("image.origin", r"part-(\d+)-[^/]*-c(\d+)[.][^/]*$", k).cast("long")
+    return numbered.join(images.withColumn("__mid", F.shiftleft(name(1), 33) + name(2)), "__mid", "left").drop("__mid")

@@ -23,7 +23,7 @@ def test_query(spark, name):
     if name not in ORACLE_SQL:
         return
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "events", "documents", "embeddings"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     assert sorted(want.columns) == columns
