@@ -482,6 +482,20 @@ def hll_cardinality(spark, sf_dir):
     return own.select(F.lit(keys).cast("long").alias("keys"), _near(F.lit(whole), F.lit(keys), 0.02).alias("near"), (F.col("merged") == whole).alias("merges"))
 
 
+def sketches_by_key(spark, sf_dir):
+    """Customers of each order priority and of all, estimated from two halves that were written, read and merged."""
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), "o_orderkey", "o_custkey")
+    half = sketch.sketches(df.withColumn("half", F.col("o_orderkey") % 2), "o_custkey", ["half", "priority"])
+    path = new_path(spark, "sketches")
+    half.write.partitionBy("half").parquet(path)
+    held = spark.read.parquet(path)
+    merged = sketch.merge_sketches(held, ["priority"]).unionByName(sketch.merge_sketches(held).withColumn("priority", F.lit("all")))
+    whole = sketch.sketches(df, "o_custkey", ["priority"]).unionByName(sketch.sketches(df, "o_custkey").withColumn("priority", F.lit("all")))
+    exact = df.groupBy("priority").agg(F.countDistinct("o_custkey").alias("customers")).unionByName(df.agg(F.countDistinct("o_custkey").alias("customers")).withColumn("priority", F.lit("all")))
+    told = merged.join(whole.withColumnRenamed("sketch", "whole"), "priority").join(exact, "priority")
+    return told.select("priority", "customers", _near(sketch.cardinality(), F.col("customers"), 0.02).alias("near"), (F.col("sketch") == F.col("whole")).alias("merges"))
+
+
 def sparse_coo_coordinates(spark, sf_dir):
     """Linear keys of large embedding entries to the coordinates of a matrix of 8 columns."""
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("key", "value")).where("value > 0.15")
@@ -499,7 +513,7 @@ QUERIES = {
     "images_of_files": images_of_files, "images_of_records": images_of_records, "images_of_channels": images_of_channels,
     "shuffle_full": shuffle_full, "epoch_shuffle_window": epoch_shuffle_window, "shuffle_epochs": shuffle_epochs, "parse_wide_numbers": parse_wide_numbers,
     "insights_cardinality": insights_cardinality, "insights_vocabulary": insights_vocabulary, "insights_full": insights_full, "insights_to_dict": insights_to_dict,
-    "hll_cardinality": hll_cardinality, "sparse_coo_coordinates": sparse_coo_coordinates,
+    "hll_cardinality": hll_cardinality, "sketches_by_key": sketches_by_key, "sparse_coo_coordinates": sparse_coo_coordinates,
 }
 
 _N = "(SELECT *, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS p FROM nation)"
@@ -607,6 +621,7 @@ ORACLE_SQL = {
           'example_value': arg_min(key, p), 'numeric_finite_median_approx': list_sort(list(key::DOUBLE))[13]::VARCHAR, 'string_captured_unique_values_overflowed': 'True'} FROM t)
         SELECT "column", e.key AS statistic, e.value AS value FROM (SELECT "column", unnest(map_entries(m)) AS e FROM s)
         UNION ALL SELECT 'key', 'captured ' || key, n::VARCHAR FROM (SELECT key, count(*) AS n, min(p) AS f FROM t GROUP BY key ORDER BY f LIMIT 3)""",
+    "sketches_by_key": "SELECT coalesce(o_orderpriority, 'all') AS priority, count(DISTINCT o_custkey) AS customers, true AS near, true AS merges FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ())",
     "hll_cardinality": "SELECT count(DISTINCT o_orderkey) AS keys, true AS near, true AS merges FROM orders",
     "sparse_coo_coordinates": "SELECT vec_id, CAST((k - 1) // 8 AS BIGINT) AS i, CAST((k - 1) % 8 AS BIGINT) AS j, round(CAST(embedding[k] AS DOUBLE), 5) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) WHERE embedding[k] > 0.15",
 }
