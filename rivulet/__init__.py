@@ -10,6 +10,7 @@ from rivulet.params import BadExampleHandling, CsvParams, LastExampleHandling, M
 from rivulet.readers import CsvReader, DataReader, ImageReader, PipeReader, TensorRecordReader, TextLineReader
 from rivulet.schema import Attribute, Schema
 from rivulet.sources.images import ImageParams
+from rivulet.sources.pipes import PipeStore
 from rivulet.sources.stores import DataStore, File, InMemoryStore, InputStream, list_files, list_objects
 from rivulet.streaming.examples import Example, Examples, Records
 from rivulet.streaming.tensors import CooTensor, DenseTensor
@@ -18,7 +19,7 @@ __all__ = [
     "Attribute", "BadExampleHandling", "ColumnAnalysis", "CooTensor", "CorruptFooterError", "CorruptHeaderError", "CorruptRecordError", "CsvParams",
     "CsvReader", "DataAnalysis", "DataReader", "DataReaderError", "DataStore", "DenseTensor", "Example", "Examples", "File", "ImageParams",
     "ImageReader", "InMemoryStore", "InflateError", "InputStream", "InvalidInstanceError", "LastExampleHandling", "LogLevel", "MaxFieldLengthHandling",
-    "NotSupportedError", "PipeReader", "ReaderLibraryError", "ReaderParams", "RecordError", "RecordTooLargeError", "Records", "Schema", "SchemaError",
+    "NotSupportedError", "PipeReader", "PipeStore", "ReaderLibraryError", "ReaderParams", "RecordError", "RecordTooLargeError", "Records", "Schema", "SchemaError",
     "StreamError", "TensorRecordReader", "TextLineReader", "analyze", "analyze_dataset", "get_log_level", "list_files", "list_objects",
     "set_log_handler", "set_log_level",
 ]

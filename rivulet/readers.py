@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from functools import cached_property
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,14 +53,23 @@ class DataReader:
         seed = self.params.shuffle_seed
         self._seed = random.randrange(1 << 31) if seed is None else seed
         self.epoch = 0
+        self._made: tuple[int, DataFrame] | None = None
         self._begin()
 
     def source(self) -> DataFrame:
         raise NotImplementedError
 
-    @cached_property
+    @property
     def _source(self) -> DataFrame:
-        return self.source()
+        """Of one pass where stores are pipes, each of which is read once a pass; of all passes otherwise."""
+        own = self.epoch if any(isinstance(p, pipes.PipeStore) for p in self.paths) else 0
+        if self._made is None or self._made[0] != own:
+            self._made = own, self.source()
+        return self._made[1]
+
+    def stores(self) -> list:
+        """The stores of this pass: pipes are brought into files."""
+        return [pipes.spool(self.spark, p, self.epoch) if isinstance(p, pipes.PipeStore) else p for p in self.paths]
 
     def padding(self) -> dict[str, Column]:
         """The features, and what pads each."""
@@ -157,7 +165,7 @@ class CsvReader(DataReader):
         self.csv_params = csv_params or CsvParams()
 
     def source(self) -> DataFrame:
-        return csv.read_csv(self.spark, self.paths, self.csv_params)
+        return csv.read_csv(self.spark, self.stores(), self.csv_params)
 
     @property
     def _notes(self) -> bool:
@@ -172,7 +180,7 @@ class TextLineReader(DataReader):
         self.encoding, self.compression, self.max_line_length = encoding, compression, max_line_length
 
     def source(self) -> DataFrame:
-        own = lines.read_lines(self.spark, self.paths, encoding=self.encoding, compression=self.compression)
+        own = lines.read_lines(self.spark, self.stores(), encoding=self.encoding, compression=self.compression)
         if self.max_line_length:
             over = F.raise_error(F.lit("RecordTooLargeError: a line exceeds max_line_length"))
             own = own.withColumn("value", F.when(F.octet_length("value") >= self.max_line_length, over).otherwise(F.col("value")))
@@ -211,7 +219,7 @@ class TensorRecordReader(DataReader):
         self.schema = schema
 
     def source(self) -> DataFrame:
-        return protobuf.read_protobuf(self.spark, self.paths, self.schema)
+        return protobuf.read_protobuf(self.spark, self.stores(), self.schema)
 
 
 class ImageReader(DataReader):
@@ -224,7 +232,7 @@ class ImageReader(DataReader):
         self.image_params = image_params
 
     def source(self) -> DataFrame:
-        return images.read_images(self.spark, self.paths, self.image_params)
+        return images.read_images(self.spark, self.stores(), self.image_params)
 
     def padding(self) -> dict[str, Column]:
         n, h, w = self.image_params.image_dimensions
