@@ -37,6 +37,8 @@ from .shared import materialise, text_or_empty
 SPACE = "▁"
 #: Bytes of text, and texts, that share a block vocabulary.
 BLOCK_BYTES, BLOCK_TEXTS = 16 << 20, 8192
+#: Blocks dealt to a task, which meets them one after the other.
+TASK_BLOCKS = 16
 #: Zipf offset, and the weight of the prior in pieces.
 OFFSET, PRIOR = 10.0, 5000.0
 #: Lattice cells held at a time.
@@ -262,7 +264,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str, id_col: str = "doc_id
 
     rated = counted.mapInPandas(rate, "word binary, c long, lp double")
     blocks = bags.select("block").distinct().count()
-    parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task meets a block or few
+    parts = max(-(-blocks // TASK_BLOCKS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task holds one block at a time
     met = words.join(rated, "word").select(F.col("block").alias("of"), "number", "c", "lp").repartition(parts, "of")
     below = n + add * (v + 1)
     base_end = math.log10((ends + add) / below)

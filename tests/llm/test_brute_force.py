@@ -280,22 +280,27 @@ def test_lattice_training(spark):
                 total[i] += weight * k
         return {i: v / z for i, v in total.items()}, z
 
-    logp = np.log(own.prior)
     words = sorted(counts)
-    want = np.zeros(len(logp))
-    for w in words:
-        for i, v in uses(w, logp)[0].items():
-            want[i] += v * counts[w]
-    assert np.allclose(own.expected([w.encode() for w in words], np.array([counts[w] for w in words], float), logp), want)
-    weight = own.prior * lattice_lm.PRIOR + want
-    weight[own.end] += sum(fold)
-    logp = np.log(weight / weight.sum())
-    logp[own.byte] -= math.log(256)
-    out = {r["doc_id"]: r for r in lattice_lm.score(frame(spark, texts), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, PIECES, steps=1).collect()}
-    for i, ws in enumerate(split):
-        score = (sum(math.log(uses(w, logp)[1]) for w in ws) + logp[own.end]) / math.log(10)
-        assert out[i]["score"] == pytest.approx(score, rel=1e-9)
-        assert (out[i]["n_tokens"], out[i]["n_known"], out[i]["train"]) == (len(ws) + 1, sum(w in counts for w in ws) + 1, fold[i])
+    logp = np.log(own.prior)
+    for steps in (1, 2, 3):
+        want = np.zeros(len(logp))
+        for w in words:
+            for i, v in uses(w, logp)[0].items():
+                want[i] += v * counts[w]
+        assert np.allclose(own.expected([w.encode() for w in words], np.array([counts[w] for w in words], float), logp), want)
+        weight = own.prior * lattice_lm.PRIOR + want
+        weight[own.end] += sum(fold)
+        logp = np.log(weight / weight.sum())
+        if steps == 2:
+            continue
+        told = logp.copy()
+        told[own.byte] -= math.log(256)
+        train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+        out = {r["doc_id"]: r for r in lattice_lm.score(frame(spark, texts), train, PIECES, steps=steps).collect()}
+        for i, ws in enumerate(split):
+            score = (sum(math.log(uses(w, told)[1]) for w in ws) + told[own.end]) / math.log(10)
+            assert out[i]["score"] == pytest.approx(score, rel=1e-9)
+            assert (out[i]["n_tokens"], out[i]["n_known"], out[i]["train"]) == (len(ws) + 1, sum(w in counts for w in ws) + 1, fold[i])
 
 
 def test_words_counted(spark):
