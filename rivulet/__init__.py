@@ -13,6 +13,7 @@ from rivulet.sources.images import ImageParams
 from rivulet.sources.pipes import PipeStore
 from rivulet.sources.stores import DataStore, File, InMemoryStore, InputStream, list_files, list_objects
 from rivulet.streaming.examples import Example, Examples, Records
+from rivulet.streaming.pipe_stream import stream_batches, stream_csv, stream_messages, stream_pipe
 from rivulet.streaming.tensors import CooTensor, DenseTensor
 
 __all__ = [
@@ -21,5 +22,5 @@ __all__ = [
     "ImageReader", "InMemoryStore", "InflateError", "InputStream", "InvalidInstanceError", "LastExampleHandling", "LogLevel", "MaxFieldLengthHandling",
     "NotSupportedError", "PipeReader", "PipeStore", "ReaderLibraryError", "ReaderParams", "RecordError", "RecordTooLargeError", "Records", "Schema", "SchemaError",
     "StreamError", "TensorRecordReader", "TextLineReader", "analyze", "analyze_dataset", "get_log_level", "list_files", "list_objects",
-    "set_log_handler", "set_log_level",
+    "set_log_handler", "set_log_level", "stream_batches", "stream_csv", "stream_messages", "stream_pipe",
 ]

@@ -123,21 +123,44 @@ def read_csv(spark: SparkSession, stores: list, params: CsvParams | None = None)
     if row is not None and len(row) != len(names):
         raise SchemaError(f"the first row has {len(row)} columns, the header {len(names)}")
     kinds = column_types(names, row, p)
+    kept, final = _kept(names, p)
+
+    if numbered is not None:
+        data = numbered.lines(head, p.has_single_header)
+    else:
+        data = spark.createDataFrame([], "value string, __store_idx int, __row_idx long, __pos long")
+    return _typed(_guarded(data, p), p, len(names), kinds, kept, final)
+
+
+def parse_rows(data: DataFrame, p: CsvParams) -> DataFrame:
+    """Rows (value, __store_idx, __row_idx, __pos), a stream's too, as read_csv gives them, with the names of the
+    parameters and their types, text where none is given. Nothing is read for it."""
+    names = list(p.column_names)
+    kinds = column_types(names, None, p)
+    kept, final = _kept(names, p)
+    return _typed(_guarded(data, p), p, len(names), kinds, kept, final)
+
+
+def _kept(names: list[str], p: CsvParams) -> tuple[list[int], list[str]]:
+    """Places of the columns that are kept, and their names."""
     kept = [i for i, name in enumerate(names) if (not p.use_columns or name in p.use_columns) and (not p.use_columns_by_index or i in p.use_columns_by_index)]
     final = [names[i] for i in kept]
     if p.dedupe_column_names:
         final = dedupe(final)
     elif len(set(final)) < len(final):
         raise SchemaError(f"duplicate column names: {final}")
+    return kept, final
 
-    if numbered is not None:
-        data = numbered.lines(head, p.has_single_header)
-    else:
-        data = spark.createDataFrame([], "value string, __store_idx int, __row_idx long, __pos long")
-    if p.max_line_length:
-        too_long = F.octet_length("value") >= p.max_line_length
-        data = data.withColumn("value", F.when(too_long, F.raise_error(F.lit("RecordTooLargeError: a line exceeds max_line_length"))).otherwise(F.col("value")))
-    cell, why, note, told = _cells(data, p, len(names), kept)
+
+def _guarded(data: DataFrame, p: CsvParams) -> DataFrame:
+    if not p.max_line_length:
+        return data
+    too_long = F.octet_length("value") >= p.max_line_length
+    return data.withColumn("value", F.when(too_long, F.raise_error(F.lit("RecordTooLargeError: a line exceeds max_line_length"))).otherwise(F.col("value")))
+
+
+def _typed(data: DataFrame, p: CsvParams, width: int, kinds: list[str], kept: list[int], final: list[str]) -> DataFrame:
+    cell, why, note, told = _cells(data, p, width, kept)
     typed = [parse(cell(k), kinds[i], p.nan_values) for k, i in enumerate(kept)]
     own = ("__store_idx", "__row_idx", "__pos", "__bytes", "__note")
     told = told.select(

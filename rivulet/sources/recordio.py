@@ -64,6 +64,30 @@ def records(data: bytes) -> Iterator[bytes]:
         raise CorruptRecordError("the last split record does not end")
 
 
+def framed(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """Payloads of a byte stream as it comes; what is held is one record and a part."""
+    rest, held = bytearray(), bytearray()
+    for part in parts:
+        rest += part
+        at = 0
+        while len(rest) - at >= 8:
+            magic, word = struct.unpack_from("<II", rest, at)
+            if magic != MAGIC:
+                raise CorruptHeaderError("a record of the stream has no header")
+            length = word & 0x1FFFFFFF
+            end = at + 8 + length + (-length % 4)
+            if end > len(rest):
+                break
+            held += rest[at:end]
+            at = end
+            if word >> 29 in (COMPLETE, END):
+                yield from records(bytes(held))
+                held.clear()
+        del rest[:at]
+    if held or rest:
+        yield from records(bytes(held + rest))
+
+
 def read_records(spark: SparkSession, stores: list) -> DataFrame:
     """(__row_idx, payload, __store_idx, __pos) of the records of the stores in order.
 
