@@ -6,17 +6,30 @@ from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 POS = "__pos"
 #: Rows of a table that is broadcast: one for each range.
 BROADCAST_RANGES = 100_000
+#: Rows of a sample for each range of a key that is not a number.
+SAMPLED = 100
 
 
-def range_bounds(df: DataFrame, key: str, ranges: int, accuracy: int = 10_000) -> list:
-    """Ascending values that cut the key into about equal ranges."""
-    cuts = [k / ranges for k in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(key, F.array(*map(F.lit, cuts)), F.lit(accuracy)).alias("b")).first()["b"] if cuts else None
-    return sorted(set(bounds or []))
+def range_bounds(df: DataFrame, key: str, ranges: int) -> list:
+    """Ascending values that cut a key of any type into about equal ranges: percentiles of numbers, and of a sample of
+    about SAMPLED rows a range of anything else."""
+    if ranges < 2:
+        return []
+    own = df.select(F.col(key).alias("k")).where("k is not null")
+    if isinstance(own.schema["k"].dataType, NumericType):
+        cuts = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+        bounds = own.agg(F.percentile_approx("k", cuts, F.lit(max(10_000, 10 * ranges))).alias("b")).first()["b"]
+        return sorted(set(bounds or []))
+    n = own.count()
+    held = own if n <= SAMPLED * ranges else own.sample(SAMPLED * ranges / n, seed=5)
+    part = F.ntile(ranges).over(Window.orderBy("k"))
+    last = held.select("k", part.alias("part")).where(F.col("part") < ranges).groupBy("part").agg(F.max("k").alias("k"))
+    return sorted({bytes(r["k"]) if isinstance(r["k"], bytearray) else r["k"] for r in last.collect()})  # one row a range
 
 
 def range_of(key: Column, bounds: list) -> Column:
@@ -26,7 +39,7 @@ def range_of(key: Column, bounds: list) -> Column:
         return F.lit(0)
     k = isqrt(len(bounds) - 1) + 1
     groups = [bounds[i : i + k] for i in range(0, len(bounds), k)]
-    below = lambda held: F.size(F.filter(held, lambda b: b < key))
+    below = lambda held: F.size(F.filter(held, lambda b: F.coalesce(b < key, F.lit(False))))
     if len(groups) == 1:
         return below(F.lit(bounds))
     coarse = below(F.lit([g[-1] for g in groups]))  # groups that lie below the key as a whole
@@ -35,8 +48,9 @@ def range_of(key: Column, bounds: list) -> Column:
 
 
 def with_position(df: DataFrame, key: str, ranges: int | None = None, pos: str = POS) -> DataFrame:
-    """Adds the 0-based rank of a unique numeric key. Rows are cut into ranges of the key; a task numbers its range
-    and adds the rows of the ranges before it, one number a range."""
+    """Adds the 0-based rank of a unique key of any type that has an order; a null comes first, and rows that share a key
+    follow each other in any order. Rows are cut into ranges of the key; a task numbers its range and adds the rows of the
+    ranges before it, one number a range."""
     spark = df.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn("__range", range_of(F.col(key), range_bounds(df, key, ranges)))

@@ -123,6 +123,18 @@ def insights_capture(spark, sf_dir):
     return insights.capture(orders(spark, sf_dir), "o_orderpriority", POS, 3)
 
 
+def insights_medians(spark, sf_dir):
+    """Of all columns at once, which have numbers in each row, in some or in none."""
+    own = with_position(table(spark, sf_dir, "events"), "event_id").withColumn("cell", dirty())
+    return insights.medians(own, ["cell", "value", "event_type"], POS)
+
+
+def insights_captures(spark, sf_dir):
+    """The first values of three columns of customers, in the order of their names, a key of text."""
+    own = with_position(table(spark, sf_dir, "customer"), "c_name")
+    return insights.captures(own, ["c_mktsegment", "c_nationkey", "c_name"], POS, 5)
+
+
 def sparse_coo_batches(spark, sf_dir):
     """Batches of 16 rows of the same matrices: entries and sums of the coordinates and the data."""
     own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
@@ -192,6 +204,7 @@ QUERIES = {
     "concat_stores": concat_stores, "parse_numbers": parse_numbers,
     "insights_statistics": insights_statistics, "insights_text": insights_text,
     "insights_median_10k": insights_median_10k, "insights_capture": insights_capture,
+    "insights_medians": insights_medians, "insights_captures": insights_captures,
     "sparse_coo_batches": sparse_coo_batches, "csv_table": csv_table, "text_lines": text_lines,
     "csv_projected": csv_projected, "csv_reader_batches": csv_reader_batches, "parse_nan_values": parse_nan_values,
     "protobuf_records": protobuf_records,
@@ -237,6 +250,14 @@ ORACLE_SQL = {
     ),
     "insights_median_10k": f"SELECT list_sort(list(x))[len(list(x)) // 2 + 1] AS numeric_finite_median_approx FROM (SELECT o_totalprice AS x FROM {O_POS} WHERE p < 10000)",
     "insights_capture": f"SELECT value, n, more > 3 AS overflowed FROM (SELECT o_orderpriority AS value, count(*) AS n, min(p) AS f, count(*) OVER () AS more FROM {O_POS} GROUP BY 1) ORDER BY f LIMIT 3",
+    "insights_medians": f"""WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS p, {DIRTY_SQL} AS cell, value::DOUBLE AS value FROM events),
+        x AS (SELECT 'cell' AS "column", p, try_cast(trim(cell) AS DOUBLE) AS x FROM e WHERE regexp_matches(trim(cell), '^[0-9]+$') UNION ALL SELECT 'value', p, value FROM e WHERE value IS NOT NULL),
+        f AS (SELECT "column", list_sort(list(x)) AS a FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY p) AS r FROM x) WHERE r <= 10000 GROUP BY 1)
+        SELECT "column", a[len(a) // 2 + 1] AS numeric_finite_median_approx FROM f UNION ALL SELECT 'event_type', 'nan'::DOUBLE""",
+    "insights_captures": """WITH c AS (SELECT unnest(['c_mktsegment', 'c_nationkey', 'c_name']) AS "column", unnest([c_mktsegment::VARCHAR, c_nationkey::VARCHAR, c_name::VARCHAR]) AS value,
+          row_number() OVER (ORDER BY c_name) AS p FROM customer),
+        v AS (SELECT "column", value, count(*) AS n, row_number() OVER (PARTITION BY "column" ORDER BY min(p)) AS r, count(*) OVER (PARTITION BY "column") AS m FROM c WHERE trim(value) <> '' GROUP BY 1, 2)
+        SELECT "column", value, n, m > 5 AS overflowed FROM v WHERE r <= 5""",
     "sparse_coo_batches": """SELECT CAST(p // 16 AS BIGINT) AS batch_id, CAST(count(k) AS INTEGER) AS entries, max(n) AS rows, CAST(coalesce(sum(p % 16) FILTER (k IS NOT NULL), 0) AS BIGINT) AS row_sum,
         CAST(coalesce(sum((k // 8) % 8), 0) AS BIGINT) AS i_sum, CAST(coalesce(sum(k % 8), 0) AS BIGINT) AS j_sum, round(coalesce(sum(x), 0), 4) AS total
         FROM (SELECT p, n, k, x FROM (SELECT *, count(*) OVER (PARTITION BY p // 16) AS n FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings))
