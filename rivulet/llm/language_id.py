@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Slots that n-grams are hashed into; a power of two.
@@ -99,13 +99,14 @@ def fit(labels: list[str], bits: np.ndarray, landmarks: int = 128, columns: int
 
 
 def sample(labelled: DataFrame, per_class: int, max_classes: int, longest: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """At most per_class rows (id, body, label) of each label, as packed presence rows."""
+    """At most per_class rows (id, body, label) of each label, as packed presence rows; cut in Spark, so that no more
+    come to the driver. The draw is by identifier and text, so rows that share an identifier are drawn one by one."""
     counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_classes + 1).collect()
     if len(counts) > max_classes:
         raise ValueError(f"more than {max_classes} labels")
     if not counts:
         return [], np.zeros((0, SLOTS // 8), np.uint8)
-    order = F.xxhash64(F.lit(seed), "id")
+    order = F.xxhash64(F.lit(seed), "id", "body")
     rate = F.create_map(*(F.lit(v) for r in counts for v in (r["label"], min(1.0, 1.3 * per_class / r["count"]))))
     part = labelled.where((order / F.lit(2.0**64) + 0.5) < F.element_at(rate, F.col("label"))).select("label", "body", order.alias("place"))
 
@@ -118,13 +119,10 @@ def sample(labelled: DataFrame, per_class: int, max_classes: int, longest: int,
                 bits.append(np.packbits(row, bitorder="little").tobytes())
             yield pd.DataFrame({"label": b["label"], "place": b["place"], "bits": bits})
 
-    rows = sorted(map(tuple, part.mapInPandas(reduce, "label string, place long, bits binary").collect()), key=lambda r: (r[0], r[1]))
-    kept, n = [], {}
-    for label, _, bits in rows:
-        n[label] = n.get(label, 0) + 1
-        if n[label] <= per_class:
-            kept.append((label, bits))
-    return [x for x, _ in kept], np.array([np.frombuffer(b, np.uint8) for _, b in kept]).reshape(-1, SLOTS // 8)
+    drawn = part.mapInPandas(reduce, "label string, place long, bits binary")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    kept = sorted((r["label"], r["place"], bytes(r["bits"])) for r in drawn.withColumn("n", place).where(F.col("n") <= per_class).collect())
+    return [label for label, _, _ in kept], np.array([np.frombuffer(bits, np.uint8) for _, _, bits in kept]).reshape(-1, SLOTS // 8)
 
 
 def train(

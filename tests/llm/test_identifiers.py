@@ -1,12 +1,13 @@
 """Identifiers of any kind: the next document, and sets of shingles that share a digest."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm import fingerprints, simhash
+from rivulet.llm import fingerprints, language_id, simhash
 
 
 def _edited(rows):
@@ -55,3 +56,16 @@ def test_sets_that_share_a_digest_are_told_apart(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
     assert found == {**{i: i for i in range(8)}, 8: 0, 9: 3}
     assert np.unique(list(found.values())).size == 8
+
+
+def test_sample_of_one_identifier(spark):
+    """A third of all rows share an identifier and a text, another third an identifier alone: the sample is cut in Spark,
+    and rows of one identifier are drawn one by one."""
+    rows = [("x", "same words", "a")] * 400 + [("x", f"text {i}", "b") for i in range(400)] + [(str(i), f"other {i}", "c") for i in range(400)] + [(None, "z", "d")]
+    df = spark.createDataFrame(rows, "id string, body string, label string")
+    labels, bits = language_id.sample(df, 50, 8, 3, 11)
+    counts = Counter(labels)
+    assert counts["b"] == counts["c"] == 50 and counts["d"] == 1 and counts["a"] in (0, 50)
+    assert len(bits) == len(labels) and len({b.tobytes() for b, k in zip(bits, labels, strict=True) if k == "b"}) > 10
+    again, same = language_id.sample(df.repartition(5), 50, 8, 3, 11)
+    assert labels == again and (bits == same).all()
