@@ -9,20 +9,34 @@ from rivulet.operators.position import POS
 from rivulet.sources import lines, recordio, stores
 from rivulet.sources.staging import new_path
 
-#: Bytes of a split, so that files of the small tables have several.
-SPLIT = 16 << 10
+#: Least bytes of a split, so that files of the small tables have several, and splits of larger files, whose number does
+#: not grow with them until a split has the bytes that the session sets.
+SPLIT, SPLITS = 16 << 10, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_splits(spark: SparkSession) -> SparkSession:
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a path."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(own).getLength()
+
+
+def split_bytes(total: int, most: int) -> int:
+    """Bytes of a split of files of so many bytes."""
+    return min(most, max(SPLIT, -(-total // SPLITS)))
+
+
+def small_splits(spark: SparkSession, path: str) -> SparkSession:
+    """A session that reads the files below a path in several splits."""
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             own.conf.set(key, value)
-    own.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT))
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes(bytes_of(spark, path), most)))
     own.conf.set("spark.sql.files.openCostInBytes", "0")
     return own
 
@@ -52,7 +66,7 @@ def records_over_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = in_order(table(spark, sf_dir, "orders"), "o_orderkey").withColumn("said", said).select(framed.alias("data"))
     path = new_path(spark, "records")
     rows.select(F.expr("substring(data, 1, octet_length(data) - 1)").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
-    own = recordio.read_records(small_splits(spark), stores.list_objects(spark, path, "*.txt"))
+    own = recordio.read_records(small_splits(spark, path), stores.list_objects(spark, path, "*.txt"))
     return own.select(F.col(POS).alias("pos"), F.col("__store_idx").isNotNull().alias("stored"), F.hex("payload").alias("payload"))
 
 
@@ -66,7 +80,7 @@ def text_of_wide_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = new_path(spark, "wide")
         rows.write.option("encoding", written).option("quote", "").option("escape", "").option("sep", "\1").csv(path)
         files = stores.list_objects(spark, path, "*.csv")
-        parts.append(lines.read_lines(small_splits(spark), files, encoding=read).select(F.lit(written).alias("encoding"), F.col(POS).alias("pos"), "value"))
+        parts.append(lines.read_lines(small_splits(spark, path), files, encoding=read).select(F.lit(written).alias("encoding"), F.col(POS).alias("pos"), "value"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 

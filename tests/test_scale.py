@@ -4,7 +4,8 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from rivulet.plans import formats
+from rivulet.plans import formats, ranges
+from rivulet.sources import lines, stores
 
 
 def test_cells_that_equal_the_limit(spark, tmp_path):
@@ -17,3 +18,14 @@ def test_cells_that_equal_the_limit(spark, tmp_path):
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
     want = con.sql(formats.ORACLE_SQL["sparse_coo_coordinates"]).select(*columns).fetchall()
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want) and len(want) == 34
+
+
+def test_number_of_splits_does_not_grow_with_the_files(spark, tmp_path):
+    """Files of small tables have several splits of 16 KB; those of larger ones as many as SPLITS."""
+    for n, least, most in ((4_000, 4, 10), (400_000, 60, 70)):
+        path = f"{tmp_path}/{n}"
+        spark.range(0, n, 1, 3).selectExpr("lpad(id, 19, '0') as value").write.text(path)
+        files = stores.list_objects(spark, path, "*.txt")
+        held = ranges.small_splits(spark, path).read.text(files)
+        assert least <= held.rdd.getNumPartitions() <= most
+        assert lines.read_lines(ranges.small_splits(spark, path), files).where("__pos <> cast(value as long)").isEmpty()
