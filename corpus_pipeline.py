@@ -53,9 +53,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, likeness 0.8) one row stays, chosen as among equal texts."""
+    """Of each group of near copies one row stays, chosen as among equal texts. Near copies are linked by SimHash, all
+    links of op7 (three-word shingles, 3 bits of 64 or fewer), and by five-word shingles of likeness 0.8, which
+    fingerprints tell apart badly; a group is what links of either kind reach."""
     keyed = _keyed(docs)
-    groups = simhash.similar_groups(keyed, id_col=KEY, shingle=5, least=0.8)
+    groups = simhash.near_groups(keyed, id_col=KEY, shingle=3, like=5, least=0.8)
     return keyed.join(groups.where(F.col(KEY).eqNullSafe(F.col("component_id"))).select(KEY), KEY, "left_semi").select(docs.columns)
 
 

@@ -18,6 +18,7 @@ block by block, each pair of blocks by itself.
   likeness 0.8 shares in all but 7 of a million cases. Where texts meet, a sketch, a byte of each hash, puts aside
   pairs 4.5 deviations below `least`, and the others make groups of candidates. Within a group all texts are
   compared in full and only links that hold are thinned: see `_verified_links`.
+- `near_groups`: the links of both, in one search for components.
 
 Before the search, `exact_groups` merges equal fingerprints, `similar_groups` equal sets of shingles (by a 64-bit
 digest). Null and empty texts have fingerprint zero and link like any other (in `similar_groups` to each other only).
@@ -127,6 +128,10 @@ class Window:
     flip_rest: bool
 
 
+#: Windows of the first word at which all pairs within 3 bits meet.
+WITHIN_3 = [Window(0, low, 32, 31, True) for low in (0, 32)]
+
+
 def anchors_of(words: np.ndarray, window: Window) -> tuple[np.ndarray, np.ndarray]:
     """(place of the fingerprint, anchor): the home of each, and every other anchor within 2 bits."""
     one, bits = np.uint64(1), (words[:, window.word] >> np.uint64(window.low)) & np.uint64((1 << window.width) - 1)
@@ -272,8 +277,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _fingerprints(docs, id_col, text_col, shingle, 1).select("id", F.col("words")[0].alias("fp"))
     firsts = materialise(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "firsts")
     nodes = firsts.select(F.col("fp").alias("node"), F.array("fp").alias("words"))
-    windows = [Window(0, low, 32, 31, True) for low in (0, 32)]
-    roots = components(links(nodes, windows, 3)).withColumnRenamed("node", "fp")
+    roots = components(links(nodes, WITHIN_3, 3)).withColumnRenamed("node", "fp")
     return _named(rows, firsts, roots, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -293,8 +297,9 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def _signatures(column: Column, shingle: int) -> Column:
-    """fp, node and other (digests of the set of shingles), anchors (of the bands), sketch; no anchors for a text without words."""
+def _signatures(column: Column, shingle: int, fp_shingle: int) -> Column:
+    """fp (over shingles of fp_shingle words), node and other (digests of the set of shingles), anchors (of the bands), sketch;
+    no anchors for a text without words."""
     digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -302,7 +307,8 @@ def _signatures(column: Column, shingle: int) -> Column:
             rows = []
             for text in texts:
                 hashes = shingle_hashes(text, shingle)
-                fp, hashes = _simhash_of(hashes, 1).view(np.int64)[0], np.unique(hashes)
+                fp = _simhash_of(hashes if fp_shingle == shingle else shingle_hashes(text, fp_shingle), 1).view(np.int64)[0]
+                hashes = np.unique(hashes)
                 least = least_hashes(hashes)
                 bands = [digest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))] if len(hashes) else []
                 node = np.uint64(digest(hashes.tobytes(), SEED)).view(np.int64)
@@ -470,8 +476,25 @@ def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8
 ) -> DataFrame:
     """One row per input row: id_col, fp, component_id, linked by shingle likeness of `least` or more."""
+    rows, firsts = _sets(docs, id_col, text_col, shingle, shingle)
+    roots = components(_verified_links(firsts, rows, shingle, least))
+    return _named(rows.select("id", "fp", "node"), firsts, roots, "node").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, like: int = 5, least: float = 0.8
+) -> DataFrame:
+    """One row per input row: id_col, fp (over shingles of `shingle` words), component_id, linked where fingerprints differ
+    in 3 bits or fewer, as in `exact_groups`, and by likeness of shingles of `like` words, as in `similar_groups`."""
+    rows, firsts = _sets(docs, id_col, text_col, like, shingle)
+    roots = components(_fingerprint_links(rows).unionByName(_verified_links(firsts, rows, like, least)))
+    return _named(rows.select("id", "fp", "node"), firsts, roots, "node").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, fp_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(id, body and signatures of each row; a row a node, none of which stands for two sets)."""
     said = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
-    said = said.select("id", "body", _signatures(F.col("body"), shingle).alias("s")).select("id", "body", "s.*")
+    said = said.select("id", "body", _signatures(F.col("body"), shingle, fp_shingle).alias("s")).select("id", "body", "s.*")
     rows = materialise(said, "signatures", compression="zstd")
     firsts = _firsts(rows)
     while not (clashes := firsts.where("clash").select("node")).isEmpty():  # sets apart by 128 bits that share a node
@@ -479,5 +502,16 @@ def similar_groups(
         rows = rows.withColumn("node", F.when(F.col("clash"), F.xxhash64("other", "node")).otherwise(F.col("node"))).drop("clash")
         rows = materialise(rows, "signatures", compression="zstd")
         firsts = _firsts(rows)
-    roots = components(_verified_links(firsts, rows, shingle, least))
-    return _named(rows.select("id", "fp", "node"), firsts, roots, "node").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows, firsts
+
+
+def _fingerprint_links(rows: DataFrame) -> DataFrame:
+    """(u, v): nodes whose fingerprints differ in 3 bits or fewer, through the least node of each fingerprint."""
+    of = materialise(rows.groupBy("fp", "node").agg(F.lit(1).alias("one")).drop("one"), "fingerprints")
+    firsts = materialise(of.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    shared = firsts.where("n > 1").select("fp", "first")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_SHARED else shared
+    same = of.join(shared, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    near = links(firsts.select(F.col("fp").alias("node"), F.array("fp").alias("words")), WITHIN_3, 3)
+    end = lambda name, place: firsts.select(F.col("fp").alias(name), F.col("first").alias(place))
+    return same.unionByName(near.join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")))

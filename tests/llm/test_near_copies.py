@@ -115,3 +115,25 @@ def test_isolated_pairs(spark):
         own = range(300 * k + 1, 300 * k + 300, 2)
         print(k, sum(want[i] != i for i in own), sum(got[i] != i for i in own))
     assert got == want and sum(g != i for i, g in enumerate(want)) >= 600
+
+
+def test_pipeline_links_by_simhash(spark):
+    """Of the pipeline's stage stay what neither links of 3 bits of the fingerprints nor of likeness reach from a lesser identifier."""
+    import corpus_pipeline
+
+    rng, texts = np.random.default_rng(10), []
+    for _ in range(150):
+        base = words(rng, 6)
+        texts.append(" ".join(base * 40))
+        texts.append(" ".join(base * 41 + words(rng, 150)))  # the repeated shingles decide the bits, not the set
+        texts.append(" ".join(words(rng, 30)))
+        texts.append(texts[-1] + " more words")
+    fps, sets, root = [simhash.simhash(t) for t in texts], groups_of(texts), list(range(len(texts)))
+    fps_near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    for i, j in fps_near + list(enumerate(sets)):
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    assert len(set(root)) < min(len(set(sets)), len(texts) - 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(root)
