@@ -36,6 +36,8 @@ LONGEST = 5
 MOST_BYTES = 256_000_000
 #: Words remembered before a mapper sends its counts, bytes of text split at a time, numbers in a written row, keys sorted at a time.
 DISTINCT, TEXT, RUN, KEYS = 500_000, 1 << 22, 1 << 20, 1 << 21
+#: Parts in which sums come to the driver: each is a job, so they do not grow with the partitions of a shuffle.
+SENT = 8
 #: Buckets: so many occurrences each, in powers of two, from a chunk of counts to 128 MB of bits.
 LOAD, MOST_BUCKETS = 4, 1 << 30
 
@@ -200,6 +202,11 @@ def _rows(places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([data], pa.binary())})
 
 
+def _sent(rows: DataFrame) -> Iterator:
+    """Rows, made side by side in one job; SENT parts of them come to the driver one after the other."""
+    return materialise(rows, "sums").coalesce(SENT).toLocalIterator()
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(keys, 77) & np.uint64(buckets - 1)).astype(np.int64)
 
@@ -222,7 +229,7 @@ def _bucket_bits(runs: DataFrame, known, buckets: int, least: int) -> np.ndarray
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([np.packbits(full).tobytes()], pa.binary())})
 
     out = np.zeros(buckets // 8, np.uint8)
-    for row in tree_sum(runs.mapInArrow(count, COUNTS)).mapInArrow(bits, COUNTS).toLocalIterator():  # buckets / 8 bytes at most
+    for row in _sent(tree_sum(runs.mapInArrow(count, COUNTS)).mapInArrow(bits, COUNTS)):  # buckets / 8 bytes at most
         out[row["chunk"] * (CHUNK // 8) : (row["chunk"] + 1) * (CHUNK // 8)] = np.frombuffer(row["data"], np.uint8)
     return out
 
@@ -265,7 +272,7 @@ def _counted(runs: DataFrame, known, hashed, n: int) -> np.ndarray:
         yield from _rows(at, total[at])
 
     out = np.zeros(n, np.int64)
-    for row in tree_sum(runs.mapInArrow(count, COUNTS)).toLocalIterator():  # n is bounded by MOST_BYTES
+    for row in _sent(tree_sum(runs.mapInArrow(count, COUNTS))):  # n is bounded by MOST_BYTES
         places, counts = unpacked(row["data"])
         out[row["chunk"] * CHUNK + places.astype(np.int64)] = counts
     return out

@@ -207,3 +207,22 @@ def test_perfect_hash_numbers_its_keys_and_no_other():
     rows = [(chunk, *unpacked(data)) for chunk, data in packed(places, counts)]
     assert np.concatenate([c * 65536 + p.astype(np.int64) for c, p, _ in rows]).tolist() == places.tolist()
     assert np.concatenate([n for *_, n in rows]).tolist() == counts.tolist()
+
+
+def test_phrase_jobs_do_not_grow_with_the_partitions(spark):
+    """Sums come to the driver in a number of jobs that the partitions of a shuffle do not change."""
+    from rivulet.llm import phrases
+
+    docs = spark.createDataFrame([(i, "a b c d e f g. h i j a b", "en") for i in range(40)], "doc_id long, text string, lang string")
+    held, jobs, found = spark.conf.get("spark.sql.shuffle.partitions"), [], []
+    try:
+        for parts in ("4", "48"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.sparkContext.setJobGroup(f"phrases-{parts}", "")
+            found.append(sorted(phrases.collocations(docs, least=20).collect()))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"phrases-{parts}")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(found[0])
+    assert 0 < jobs[1] <= jobs[0] + 40, jobs
