@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from rivulet.plans import formats, ranges
 from rivulet.sources import images as images_
@@ -63,3 +64,16 @@ def test_plain_images_are_those_of_spark_and_need_no_file(spark, tmp_path):
         written = [p for p in staging.paths() - before if p.endswith("/images")]
         assert len(list(Path(written[0].removeprefix("file:")).glob("*.txt"))) <= len(odd) + 1
         assert got == own("none", [str(tmp_path / f"i{i:02}.png") for i in range(len(told))])
+
+
+def test_ordered_files_are_written_by_several_tasks(spark):
+    """A file a task of the sort, in the order of the rows."""
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        own = spark.range(0, 5_000, 1, 3).orderBy((5_000 - F.col("id"))).select(F.col("id").cast("string").alias("value"))
+        files = formats.in_files(own, "ordered")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert len(files) > 1
+    assert lines.read_lines(spark, files).where(F.col("__pos") != 4_999 - F.col("value").cast("long")).isEmpty()
