@@ -93,7 +93,7 @@ def read_csv(spark: SparkSession, stores: list, params: CsvParams | None = None)
         keep &= ~F.col("value").startswith(p.comment_char)
     if p.skip_blank_lines:
         keep &= F.col("value") != ""
-    records = quoted_records(Dialect(p.delimiter, p.quote_char, p.comment_char)) if p.allow_quoted_new_lines else None
+    records = quoted_records(Dialect(p.delimiter, p.quote_char, p.comment_char), tokenize if p.max_field_length is None else None) if p.allow_quoted_new_lines else None
     read = lambda own: number_lines(spark, own, keep, p.encoding, p.compression, records)
     numbered = read(stores) if stores else None
     counts = numbered.counts() if stores else {}
@@ -176,7 +176,7 @@ def _typed(data: DataFrame, p: CsvParams, width: int, kinds: list[str], kept: li
 
 def _cells(data: DataFrame, p: CsvParams, width: int, kept: list[int]) -> tuple[Callable[[int], Column], Column, Column, DataFrame]:
     """(k-th kept cell, why there are none, what was done, rows): lines without a quote are cut by Spark, only others and
-    those that may hold too long a field go through the tokenizer."""
+    those that may hold too long a field go through the tokenizer, unless their fields came with them."""
     delimiter, quote, longest = p.delimiter, p.quote_char, p.max_field_length
     cut = p.max_field_length_handling is not MaxFieldLengthHandling.TREAT_AS_BAD
 
@@ -215,9 +215,15 @@ def _cells(data: DataFrame, p: CsvParams, width: int, kept: list[int]) -> tuple[
         python = F.lit(None).cast("struct<cells:array<string>,why:string,note:string>")
     else:
         python = F.pandas_udf(cells, "cells array<string>, why string, note string")(F.when(F.col("__hard"), F.col("value")))
-    told = told.withColumn("__c", python)
+    if "fields" in data.columns and longest is None:
+        many = F.size("fields")
+        of = lambda k: F.when(many == width, F.get("fields", F.lit(kept[k])))
+        fault, note = F.coalesce("unread", F.when(many != width, F.concat(many.cast("string"), F.lit(f" fields instead of {width}")))), F.lit(None).cast("string")
+    else:
+        told = told.withColumn("__c", python)
+        of, fault, note = (lambda k: F.get("__c.cells", F.lit(k))), F.col("__c.why"), F.col("__c.note")
     short = F.size("__plain") != width
-    cell = lambda k: F.when(F.col("__hard"), F.get("__c.cells", F.lit(k))).when(~short, F.get("__plain", F.lit(kept[k])))
-    why = F.when(F.col("__hard"), F.col("__c.why")).when(short, F.concat(F.size("__plain").cast("string"), F.lit(f" fields instead of {width}")))
+    cell = lambda k: F.when(F.col("__hard"), of(k)).when(~short, F.get("__plain", F.lit(kept[k])))
+    why = F.when(F.col("__hard"), fault).when(short, F.concat(F.size("__plain").cast("string"), F.lit(f" fields instead of {width}")))
     warned = p.max_field_length_handling is MaxFieldLengthHandling.TRUNCATE_WARN
-    return cell, why, F.col("__c.note") if warned else F.lit(None).cast("string"), told
+    return cell, why, note if warned else F.lit(None).cast("string"), told

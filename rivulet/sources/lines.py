@@ -23,7 +23,7 @@ from rivulet.errors import StreamError
 from rivulet.operators.position import POS
 
 from .quoted import LINE_END, cut_splits
-from .stores import BROADCAST_BYTES, contents, name_of, plain, special
+from .stores import BROADCAST_BYTES, contents, local_table, name_of, plain, special
 from .wide import by_encoding, heads, wide_lines
 
 #: Byte order marks, the longest first.
@@ -120,8 +120,8 @@ class Numbered:
         return out
 
     def lines(self, head: int = 0, single: bool = False) -> DataFrame:
-        """(value, __store_idx, __row_idx, __pos); the first `head` lines of each store (single: of the first store that
-        has lines) are left out, and positions count what is there."""
+        """(value, __store_idx, __row_idx, __pos), with the fields of quoted records if they were cut; the first `head`
+        lines of each store (single: of the first store that has lines) are left out, and positions count what is there."""
         counts, shifts, at, in_store, last, drop = self.counts(), [], 0, 0, None, 0
         for store, file, start, low, n in self.splits:
             if store != last:
@@ -129,10 +129,11 @@ class Numbered:
                 at, last = at - drop, store
             shifts.append((file, start, store, in_store - low, at - low, drop))
             at, in_store = at + n, in_store + n
-        table = self.spark.createDataFrame(shifts, "file string, start long, __store_idx int, in_store long, in_all long, drop int")
+        table = local_table(self.spark, shifts, "file string, start long, __store_idx int, in_store long, in_all long, drop int")
         table = F.broadcast(table) if sum(len(s[0]) + 48 for s in shifts) <= BROADCAST_BYTES else table
+        told = [c for c in ("fields", "unread") if c in self.rows.columns]
         joined = table.join(self.rows, ["file", "start"], "right").select(
-            "value", "__store_idx", (F.col("mid") + F.col("in_store")).alias("__row_idx"), (F.col("mid") + F.col("in_all")).alias(POS), "drop"
+            "value", "__store_idx", (F.col("mid") + F.col("in_store")).alias("__row_idx"), (F.col("mid") + F.col("in_all")).alias(POS), "drop", *told
         )
         lost = F.raise_error(F.lit("StreamError: the files are cut otherwise than when they were counted"))
         return joined.where(F.when(F.col("__store_idx").isNull(), lost).otherwise(F.col("__row_idx") >= F.col("drop"))).drop("drop")
@@ -175,10 +176,11 @@ def number_lines(
         first = F.col("start") == 0
         rows = rows.withColumns({"marked": F.lit(encoding is None) & first & wide, "value": F.when(first, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value"))})
     if dialect is not None and not whole:
-        cut = cut_splits(held, rows.select(F.when(~F.col("marked"), F.col("value")).alias("value"), "file", "start"), dialect)
+        cut = cut_splits(held, rows.select(F.when(~F.col("marked"), F.col("value")).alias("value"), "file", "start"), dialect, records.tokenize)
         if cut is None:  # 16 or 32 bits a character
             return number_lines(spark, stores, keep, None, compression, records, True)
-        rows, completed = cut
+        rows, full, completed = cut
+        full = full if keep is None else full.where(keep)
     if keep is not None:
         rows = rows.where(keep)
     own = number_rows(spark, stores, rows, as_uri=not whole)
@@ -186,7 +188,7 @@ def number_lines(
         return _wide(spark, stores, keep, None)
     if own is None:
         return number_lines(spark, stores, keep, None, compression, records, True)
-    return own if completed is None else replace(own, rows=completed(own.rows))
+    return own if completed is None else replace(own, rows=completed(full.withColumn("mid", F.monotonically_increasing_id())))
 
 
 def number_rows(spark: SparkSession, stores: list, rows: DataFrame, as_uri: bool = True) -> Numbered | None:

@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.errors import CorruptRecordError
+
 from .staging import new_path
-from .stores import BROADCAST_BYTES
+from .stores import BROADCAST_BYTES, local_table
 
 LINE_END = "\r\n|\r|\n"
 #: Kinds of what a split yields: a record, the beginning of one that goes on in the next split, and what goes on.
@@ -32,6 +34,8 @@ class Dialect:
 
 def _stays_open(line: str, delimiter: str, quote: str, inside: bool) -> bool:
     """Whether a line ends within a quoted field; inside: it begins within one."""
+    if not inside and quote not in line:
+        return False
     at, n = 0, len(line)
     while True:
         if not inside and at < n and line[at] == quote:
@@ -73,14 +77,24 @@ def lines_of(text: str) -> Iterator[tuple[str, str]]:
     yield from zip(pieces[::2], [*pieces[1::2], ""], strict=True)
 
 
-def quoted_records(dialect: Dialect = Dialect()) -> Callable[[str], list[str]]:
-    """A function from a text to its records, which carries the dialect."""
+def lines_within(text: str) -> Iterator[tuple[str, str]]:
+    """(line, its end) of a text that holds no line feed and ends before one."""
+    if "\r" not in text:
+        yield text, "\n"
+        return
+    for line, end in lines_of(text + "\n"):
+        if end or line:
+            yield line, end
+
+
+def quoted_records(dialect: Dialect = Dialect(), tokenize: Callable[[str, str, str], list[str]] | None = None) -> Callable[[str], list[str]]:
+    """A function from a text to its records, which carries the dialect and what cuts a record into fields, if given."""
 
     def cut(text: str) -> list[str]:
         machine = Machine(dialect)
         return [r for line, end in lines_of(text) if (r := machine.feed(line, end)) is not None]
 
-    cut.dialect = dialect
+    cut.dialect, cut.tokenize = dialect, tokenize
     return cut
 
 
@@ -113,37 +127,62 @@ def _ends(dialect: Dialect):
                 marked |= text is None
                 if marked:
                     continue
-                for line, end in lines_of(text + "\n"):
-                    if end or line:
-                        for m in machines:
-                            m.feed(line, end)
-                            m.own.clear()
+                for line, end in lines_within(text):
+                    for m in machines:
+                        m.feed(line, end)
+                        m.own.clear()
             out, within = machines
             yield pd.DataFrame([(*key, marked, out.inside, out.ended, within.inside, within.ended)], columns=["file", "start", "marked", "out_open", "out_ended", "in_open", "in_ended"])
 
     return run
 
 
-def _pieces(dialect: Dialect, kinds: tuple[int, ...]):
+PIECE = "file string, start long, value string, kind int, owner long"
+#: Fields of a record that holds a quote, null for others, or why there are none.
+FIELDS = "fields array<string>, unread string"
+
+
+def _fields(dialect: Dialect, tokenize: Callable, record: str) -> tuple[list[str] | None, str | None]:
+    if not dialect.quote or dialect.quote not in record:
+        return None, None
+    try:
+        return tokenize(record, dialect.delimiter, dialect.quote), None
+    except CorruptRecordError as e:
+        return None, str(e)
+
+
+def _pieces(dialect: Dialect, kinds: tuple[int, ...], tokenize: Callable | None = None):
+    """PIECE, and FIELDS where records are cut in the same process."""
+    columns = ["file", "start", "value", "kind", "owner", *(["fields", "unread"] if tokenize else [])]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (file, start, inside, owner), lines in by_split(batches):
             machine, rest, held = Machine(dialect, bool(inside)), bool(inside), []
 
             def told(value: str, kind: int, at: int, file=file, start=start, held=held) -> None:
                 if kind in kinds:
-                    held.append((file, start, value, kind, at))
+                    held.append((file, start, value, kind, at, *(_fields(dialect, tokenize, value) if tokenize else ())))
 
             for text in lines:
-                for line, end in lines_of(text + "\n"):
-                    if (end or line) and (record := machine.feed(line, end)) is not None:
+                for line, end in lines_within(text):
+                    if (record := machine.feed(line, end)) is not None:
                         told(record, REST if rest else RECORD, int(owner) if rest else start)
                         rest = False
                 if len(held) >= 10_000:
-                    yield pd.DataFrame(held, columns=["file", "start", "value", "kind", "owner"])
+                    yield pd.DataFrame(held, columns=columns)
                     held.clear()
             if machine.own:
                 told("".join(machine.own), REST if rest else HEAD, int(owner) if rest else start)
-            yield pd.DataFrame(held, columns=["file", "start", "value", "kind", "owner"])
+            yield pd.DataFrame(held, columns=columns)
+
+    return run
+
+
+def _with_fields(dialect: Dialect, tokenize: Callable):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = [_fields(dialect, tokenize, record) for record in batch["complete"]]
+            yield pd.concat([batch, pd.DataFrame(told, columns=["own_fields", "own_unread"], index=batch.index)], axis=1)
 
     return run
 
@@ -151,7 +190,7 @@ def _pieces(dialect: Dialect, kinds: tuple[int, ...]):
 def with_splits(spark: SparkSession, rows: DataFrame, table: list[tuple], columns: str) -> DataFrame:
     """rows (file, start, ...) of a frozen read, in their order, with what `table` (file, start, columns) has of their split.
     A table beyond BROADCAST_BYTES meets them in a shuffle, after which splits lie whole and in order again."""
-    held = spark.createDataFrame(table, f"file string, start long, {columns}")
+    held = local_table(spark, table, f"file string, start long, {columns}")
     if sum(len(t[0]) + 16 + 8 * len(t) for t in table) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(held), ["file", "start"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -159,10 +198,10 @@ def with_splits(spark: SparkSession, rows: DataFrame, table: list[tuple], column
     return met.repartition(parts, "file", "start").sortWithinPartitions("file", "start", "__mid").drop("__mid")
 
 
-def cut_splits(spark: SparkSession, lines: DataFrame, dialect: Dialect) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]] | None:
+def cut_splits(spark: SparkSession, lines: DataFrame, dialect: Dialect, tokenize: Callable | None = None) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]] | None:
     """lines (value, file, start), cut at line feeds alone by a frozen read, to (file, start, value, kind), records in
-    order, those that lie across splits at their beginning; and a function that completes the values of these. None if
-    a value is null: text that cannot be cut so."""
+    order, those that lie across splits at their beginning; the same rows with FIELDS, if they are to be tokenized; and
+    a function that completes the values of records across splits. None if a value is null: text that cannot be cut so."""
     told = lines.mapInPandas(_ends(dialect), "file string, start long, marked boolean, out_open boolean, out_ended boolean, in_open boolean, in_ended boolean").collect()
     if any(s["marked"] for s in told):
         return None
@@ -175,18 +214,24 @@ def cut_splits(spark: SparkSession, lines: DataFrame, dialect: Dialect) -> tuple
         owner = -1 if not ends else s["start"] if ended or not inside else owner
         inside = ends
     met = with_splits(spark, lines, begins, "inside boolean, owner long").select("value", "file", "start", "inside", "owner")
-    out = "file string, start long, value string, kind int, owner long"
-    records = met.mapInPandas(_pieces(dialect, (RECORD, HEAD)), out).drop("owner")
+    records = met.mapInPandas(_pieces(dialect, (RECORD, HEAD)), PIECE).drop("owner")
+    full = met.mapInPandas(_pieces(dialect, (RECORD, HEAD), tokenize), f"{PIECE}, {FIELDS}").drop("owner") if tokenize else records
     if not any(b[2] for b in begins):
-        return records, lambda df: df
+        return records, full, lambda df: df
     path = new_path(spark, "pieces")
-    parts = met.mapInPandas(_pieces(dialect, (HEAD, REST)), out)
+    parts = met.mapInPandas(_pieces(dialect, (HEAD, REST)), PIECE)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), "")
-    parts.groupBy("file", "owner").agg(text.alias("complete")).write.parquet(path)
+    joint = parts.groupBy("file", "owner").agg(text.alias("complete"))
+    if tokenize:
+        joint = joint.mapInPandas(_with_fields(dialect, tokenize), "file string, owner long, complete string, own_fields array<string>, own_unread string")
+    joint.write.parquet(path)
     whole = spark.read.parquet(path).withColumnRenamed("owner", "start").withColumn("kind", F.lit(HEAD))
 
     def completed(df: DataFrame) -> DataFrame:
         joined = df.join(whole, ["file", "start", "kind"], "left")
+        if tokenize:
+            own = F.col("complete").isNotNull()
+            joined = joined.withColumns({c: F.when(own, F.col(f"own_{c}")).otherwise(F.col(c)) for c in ("fields", "unread")}).drop("own_fields", "own_unread")
         return joined.withColumn("value", F.coalesce("complete", "value")).drop("complete")
 
-    return records, completed
+    return records, full, completed

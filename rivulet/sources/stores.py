@@ -16,9 +16,12 @@ from typing import BinaryIO
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from rivulet.errors import InflateError, NotSupportedError, StreamError
 from rivulet.operators.position import POS
@@ -27,6 +30,13 @@ from rivulet.operators.position import POS
 BROADCAST_BYTES = 64 << 20
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """rows of the driver, as Arrow: no Python process of an executor has to unpickle them."""
+    own = StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(own)]
+    return spark.createDataFrame(pa.table(columns, names=own.names), own)
+
+
 def natural_key(name: str) -> list:
     """Digit runs compare as numbers."""
     return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.split(r"(\d+)", name) if p]

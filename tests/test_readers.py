@@ -312,3 +312,30 @@ def test_quoted_records_over_splits(spark, tmp_path):
             assert (len(own.splits) > 5) == (size != "1m")
     rows = csv.read_csv(spark, write(tmp_path, u__csv='k,v\n1,"a\nb"\n'.encode("utf-16"))[-1:], CsvParams(allow_quoted_new_lines=True)).collect()
     assert [(r["k"], r["v"]) for r in rows] == [(1, "a\nb")]
+
+
+def test_quoted_lines_take_one_python_process_a_task(spark, tmp_path):
+    """Records are cut and tokenized where they are, over splits too, and tables of splits come without Python: as many
+    processes as tasks, whatever is asked of the rows."""
+    text = "".join(f'{i},"a\n{"x" * (i % 40)}\r\n""z"\n' + ("" if i % 7 else f'{i},"lone\n"y,more\n\n') + ("" if i % 11 else f"{i},plain\n") for i in range(60)) + '9,"open\n'
+    paths = write(tmp_path, a__csv=text, b__csv='7,"b\n"')
+    p = CsvParams(header_row_index=None, column_names=("k", "s"), allow_quoted_new_lines=True)
+    want = []
+    for own in (text, '7,"b\n"'):
+        for record in filter(None, csv.quoted_records()(own)):
+            try:
+                cells = csv.tokenize(record)
+                want.append((int(cells[0]), cells[1], None) if len(cells) == 2 else (None, None, f"{len(cells)} fields instead of 2"))
+            except CorruptRecordError as e:
+                want.append((None, None, str(e)))
+    for size in ("90", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            read = csv.read_csv(spark, paths, p)
+            assert [(r["k"], r["s"], r["__bad"]) for r in read.orderBy("__pos").collect()] == want
+            plan = read.where("__bad is null").select("k", "s")._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert plan.count("MapInPandas") == 1 and "pythonUDF" not in plan and "ArrowEvalPython" not in plan and "LogicalRDD" not in plan
+    short = CsvParams(header_row_index=None, column_names=("k", "s"), allow_quoted_new_lines=True, max_field_length=9)
+    assert [(r["k"], r["s"]) for r in csv.read_csv(spark, paths, short).orderBy("__pos").collect()] == [(k, s) if s is not None and len(s) <= 9 else (None, None) for k, s, _ in want]
