@@ -24,8 +24,20 @@ from pyspark.sql import functions as F
 from .shared import materialise, text_or_empty
 from .words import WordIds
 
-#: Texts encoded at a time in a task.
-BLOCK = 256
+#: Characters of texts encoded at a time in a task, or one text that has more.
+BLOCK = 4 << 20
+
+
+def blocks(texts: list[str]) -> Iterator[slice]:
+    """Stretches of texts of BLOCK characters at most, or one text."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > BLOCK:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(text)
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,10 +51,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
         seen = np.zeros(capacity + 1, np.int64).tolist()
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
+            keys, bodies = batch["id"].tolist(), batch["body"].tolist()
+            for block in blocks(bodies):
                 rows = []
-                block = batch.iloc[at : at + BLOCK]
-                for key, ids in zip(block["id"], words.encode(block["body"].tolist()), strict=True):
+                for key, ids in zip(keys[block], words.encode(bodies[block]), strict=True):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), step)):
                         own = ids[start : start + step]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import exact_dedup, fingerprints, language_id, lattice_lm, license_scan, mixing, packing, preferences, queries, simhash, token_counts
 from rivulet.llm.shared import vocabulary
+from rivulet.llm.words import WordIds
 
 BPE, PIECES = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
 TEXTS = [
@@ -287,3 +288,23 @@ def test_pairs_against_others(spark):
     long = spark.range(1000).select(F.lit(0).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     pieces = preferences.assemble(preferences.format_preferences(long, F.col("conv_id"), F.lit(True))).orderBy("piece").collect()
     assert len(pieces) == 16 and "".join(r["chosen"] for r in pieces) == "".join(f"<|user|>\n{i}<|end|>\n" for i in range(1000))
+
+
+def test_word_ids_are_those_of_the_library():
+    """Whole texts at once: white space at either end, empty texts, special tokens, ends of any punctuation; and plain words
+    with such ends are learned from their letters, not by the library's whole encoding."""
+    from tokenizers import Tokenizer
+
+    path = BPE
+    library = Tokenizer.from_file(path)
+    plain = "haanth. Haanth.. haanth*** nden,&&& ciónbo.%%% ÉIER!! ñezie$$$ haanth' haanth-_-"
+    odd = "a<|endoftext a<|endoftext|>! A<|B. <|endoftext|>. it's it's' x's. 1. a1*** a\x1cb ñ** İ. ß! ſ.. ʼn! ... * a<| 'S' don't'"
+    texts = [plain, "", " \n", odd, f"\t{plain} {odd}\r\n", "x" * 300 + " y", "　a \x85b", odd.upper()]
+    words = WordIds(path)
+    direct, whole = [], words._direct
+    words._direct = lambda word: direct.append(word) or whole(word)
+    assert np.frombuffer(words.encode([plain])[0], "<u4").tolist() == library.encode(plain, add_special_tokens=False).ids
+    assert not [word for word in direct if any(c.isalpha() for c in word.decode())]
+    for _ in range(2):
+        assert [np.frombuffer(own, "<u4").tolist() for own in words.encode(texts)] == [library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert words.encode([]) == [] and [list(range(*s.indices(4))) for s in packing.blocks(["a", "b" * (packing.BLOCK + 1), "", "c"])] == [[0], [1], [2, 3]]
