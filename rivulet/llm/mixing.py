@@ -20,7 +20,8 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialise, text_or_empty
@@ -74,13 +75,21 @@ def allot(budget: float, leaves: dict[tuple, float], weights: dict[tuple, float]
 
 
 def tokens(text: Column) -> Column:
-    """Words between white space. Over Arrow batches, as splitting in the JVM costs three times as much."""
+    """Words between white space. Over Arrow batches, as splitting in the JVM costs three times as much. Marked so
+    that no filter moves past it: else a task holds two Python workers, and both read every text."""
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([len(t.encode("utf-8", "surrogatepass").split()) for t in texts], dtype="int64")
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "long")(text)
+    return F.pandas_udf(run, "long").asNondeterministic()(text)
+
+
+def quotas(spark: SparkSession, plan: list[tuple]) -> DataFrame:
+    """plan as rows (leaf, epoch, quota). From Arrow: rows of a list go through Python workers of their own kind, which stay
+    in the executors' memory."""
+    schema = pa.schema([*((c, pa.string()) for c in LEAF), ("epoch", pa.int32()), ("quota", pa.int64())])
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in plan], schema))
 
 
 def mix(
@@ -116,8 +125,7 @@ def mix(
     goal = budget * sum(room.values()) if budget < 1 else budget
     parts = allot(goal, {k: v * max_epochs for k, v in room.items()}, weights or {})
     plan = [(*k, e, int(min(room[k], round(v) - e * room[k]))) for k, v in parts.items() for e in range(max_epochs) if round(v) - e * room[k] > 0]
-    quota = rows.sparkSession.createDataFrame(plan, "domain string, lang string, source string, epoch int, quota long")
-    return select_prefixes(rows, quota, seed, id_col)
+    return select_prefixes(rows, quotas(rows.sparkSession, plan), seed, id_col)
 
 
 def select_prefixes(rows: DataFrame, quota: DataFrame, seed: int, id_col: str) -> DataFrame:

@@ -73,3 +73,27 @@ def test_mixing_stage_by_brute_force(spark):
                 want.add(i)
             left -= n
     assert {r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()} == want
+
+
+def test_mixing_holds_one_python_worker_a_task(spark, tmp_path, monkeypatch):
+    """Texts go to one Python worker, though rows without a token are filtered out; the quotas to none."""
+    from rivulet.llm import mixing
+
+    rows = [(i, "w " * (i % 5), "en", f"src{i % 3}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/docs")
+    sized, quotas = [], []
+    materialise, select = mixing.materialise, mixing.select_prefixes
+    monkeypatch.setattr(mixing, "materialise", lambda df, *a, **b: sized.append(df) or materialise(df, *a, **b))
+    monkeypatch.setattr(mixing, "select_prefixes", lambda df, quota, *a: quotas.append(quota) or select(df, quota, *a))
+    mixed = corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    assert 0 < mixed.count() < 48
+    assert sized[0]._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert "PythonRDD" not in quotas[0]._jdf.queryExecution().toRdd().toDebugString()
+    assert quotas[0].schema.simpleString() == "struct<domain:string,lang:string,source:string,epoch:int,quota:bigint>"
+
+
+def test_mixing_with_nothing_to_give(spark):
+    from rivulet.llm import mixing
+
+    docs = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert mixing.mix(docs, 0.5, {("all",): 0.0}).count() == 0
